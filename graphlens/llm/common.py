@@ -131,13 +131,19 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray, sep: np.ndarray) -> tuple[
     return starts, stops, np.searchsorted(starts, offsets)
 
 
+def prefix_sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """total and back: (total[b] - total[a]) * back[a] is a polynomial hash of bytes a to b, wherever they stand."""
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * _power(_ODD, len(raw)), out=total[1:])
+    return total, _power(_INVERSE, len(raw) + 1)
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes, by a polynomial prefix sum over the block."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * _power(_ODD, len(raw)), out=total[1:])
-    return mix((total[stops] - total[starts]) * _power(_INVERSE, len(raw) + 1)[starts] + (stops - starts).astype(np.uint64))
+    total, back = prefix_sums(raw)
+    return mix((total[stops] - total[starts]) * back[starts] + (stops - starts).astype(np.uint64))
 
 
 def window_hashes(words: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
