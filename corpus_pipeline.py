@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphlens.llm import decontaminate, lines, simhash
+from graphlens.llm import decontaminate, lines, pieces, simhash, toxicity
+from graphlens.llm.queries import TOKENIZER
 
 ORACLE_SQL = None
 
 
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score reaches 0.3 go; texts are not changed."""
+    return toxicity.remove_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated lines are cut from the texts; every document stays."""
     return lines.remove_repeated_lines(docs)
@@ -24,7 +31,19 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.remove_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("line dedup", line_dedup), ("SimHash near-dedup", simhash_dedup), ("benchmark decontamination", decontamination)]
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its token ids, and whether decoding gives its text back."""
+    out = pieces.decode(pieces.encode(docs, TOKENIZER), TOKENIZER)
+    return out.withColumn("round_trip", F.coalesce("text", F.lit("")) == F.col("decoded")).drop("decoded")
+
+
+STAGES = [
+    ("toxicity", toxicity_filter),
+    ("line dedup", line_dedup),
+    ("SimHash near-dedup", simhash_dedup),
+    ("benchmark decontamination", decontamination),
+    ("SentencePiece encoding and decoding", sentencepiece),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
