@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlens.llm import decontaminate, exact, html, lines, pieces, quality, sharding, simhash, substring, toxicity
+from graphlens.llm.oracle import ORACLE_SQL
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -83,4 +84,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
