@@ -128,7 +128,7 @@ def _definitions(body: Column) -> Column:
     """array<struct<kind, name>> of a document's top-level definitions; null if its braces do not match or it has none."""
     bare = F.regexp_replace(F.regexp_replace(body, r"#[^\n]*", ""), r"\"[^\"\n]*\"", "")
     flat = F.aggregate(F.sequence(F.lit(1), F.lit(64)), bare, lambda s, _: F.regexp_replace(s, r"\{[^{}]*\}", "\u0001"))
-    top = r"(?s)(query|mutation|subscription|fragment)?\s*(\w*)[^\x01]*\x01"
+    top = r"(?s)\s*(?:(query|mutation|subscription|fragment)\b)?\s*(\w*)[^\x01]*\x01"
     rows = F.zip_with(_all(flat, top, 1), _all(flat, top, 2), lambda a, b: F.struct(F.when(a == "", "query").otherwise(a).alias("kind"), F.nullif(b, F.lit("")).alias("name")))
     return F.when((F.size(rows) > 0) & ~flat.rlike(r"[{}]"), rows)
 
@@ -161,7 +161,7 @@ def hooks(texts: DataFrame, known: DataFrame) -> DataFrame:
     found = _named(files, HOOK, 3).select("project", "path", "line", F.when(F.col("g2") != "", F.col("g2")).otherwise(F.col("g3")).alias("name"))
     starts = found.groupBy("project", "path").agg(F.array_sort(F.collect_list(F.struct("line", "name"))).alias("starts"))
     tokens = identifiers(files).join(known.select("project", F.col("symbol").alias("token")).distinct(), ["project", "token"], "left_semi")
-    inside = tokens.join(starts, ["project", "path"]).withColumn("h", F.element_at(F.filter("starts", lambda s: s["line"] <= F.col("line")), -1))
+    inside = tokens.join(starts, ["project", "path"]).withColumn("h", F.try_element_at(F.filter("starts", lambda s: s["line"] <= F.col("line")), F.lit(-1)))
     used = inside.where("h is not null").groupBy("project", "path", F.col("h.line").alias("line"), F.col("h.name").alias("name")).agg(F.array_sort(F.collect_set("token")).alias("operations"))
     rows = found.join(used, ["project", "path", "line", "name"], "left")
     return rows.select("project", "name", F.col("path").alias("file"), "line", F.coalesce("operations", F.array().cast("array<string>")).alias("operations"))

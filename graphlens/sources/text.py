@@ -19,13 +19,13 @@ def read_texts(spark: SparkSession, root: str, pattern: str = "*", project: str
 
     Files that cannot be read are skipped; bytes that are no UTF-8 become U+FFFD.
     """
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
-    rows = reader.text(root).select(_below(F.col("_metadata.file_path"), root).alias("path"), unix_lines(F.col("value")).alias("text"))
+    reader = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+    rows = reader.text(root, wholetext=True).select(_below(F.col("_metadata.file_path"), root).alias("path"), unix_lines(F.col("value")).alias("text"))
     return rows.where(~F.array_contains(F.split("path", "/"), "node_modules")).select(F.lit(project).alias("project"), "path", "text")
 
 
 def list_files(spark: SparkSession, root: str, project: str | None = None) -> DataFrame:
-    """(project, path, size) of all files below a root; contents are not read."""
+    """(project, path, size) of the files below a root that are not empty; contents are not read."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return rows.select(F.lit(project).alias("project"), _below(F.col("path"), root).alias("path"), F.col("length").alias("size"))
 
