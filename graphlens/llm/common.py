@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes that the vectorised code holds at once; a longer single text is still taken whole.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -73,6 +73,17 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[in
         a = b
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at most ``limit`` bytes of a text column, or of one row."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        a = 0
+        while a < len(batch):
+            b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + limit, "right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 # --- words of a block -------------------------------------------------------------------------------------------
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)

@@ -45,13 +45,13 @@ def _ranked(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return ranked.join(F.broadcast(offsets), "part").select(*keys, "low", (F.col("offset") + F.col("inside")).alias("rank"))
 
 
-def repeated_runs(lines: DataFrame, min_lines: int = 1, max_rounds: int = 40) -> DataFrame:
+def repeated_runs(lines: DataFrame, min_lines: int = 1, max_rounds: int = 20) -> DataFrame:
     """(pos, depth): every position whose run of ``min_lines`` lines or more has an earlier copy.
 
-    Prefix doubling: round k ranks the suffixes by their first 2**k lines, from the ranks of the two halves. Suffixes
-    of one rank are an LCP interval of that depth; the smallest position in it is the first copy of the run. A suffix
-    whose run occurs once has its final place and takes no part in later rounds, and the rounds end when no run is
-    repeated. depth is the deepest interval, a power of two, in which an earlier position lies (or ``min_lines``).
+    Prefix doubling, twice a round: round k ranks the suffixes by their first 4**k lines, from the ranks of the four
+    quarters. Suffixes of one rank are an LCP interval of that depth; the smallest position in it is the first copy of
+    the run. A suffix whose run occurs once has its final place and takes no part in later rounds, and the rounds end
+    when no run is repeated. depth is the deepest interval of a round with an earlier position, or ``min_lines``.
     """
     order = _ranked(lines, ["h1", "h2"])
     level = cut(lines.join(order, ["h1", "h2"]).select("pos", "end", "rank", "low"))
@@ -59,27 +59,31 @@ def repeated_runs(lines: DataFrame, min_lines: int = 1, max_rounds: int = 40) ->
     for k in range(max_rounds):
         if level.isEmpty():
             break
-        span = 1 << k
-        # Runs of min_lines lines: two overlapping runs of the greatest power of two below it.
-        if span <= min_lines < 2 * span:
-            found = level if span == min_lines else _doubled(level, min_lines - span)
+        span = 4**k
+        if span <= min_lines < 4 * span:
+            # Overlapping runs of the round's depth cover a run of min_lines lines.
+            found = level if span == min_lines else _longer(level, [*range(span, min_lines - span, span), min_lines - span])
             found = found.where("low < pos").select("pos", F.lit(min_lines).cast("long").alias("depth"))
         elif span > min_lines:
             found = found.unionByName(level.where("low < pos").select("pos", F.lit(span).cast("long").alias("depth")))
-        level = _doubled(level, span)
+        level = _longer(level, [span, 2 * span, 3 * span])
     else:
-        raise RuntimeError(f"runs of more than 2**{max_rounds} lines")
+        raise RuntimeError(f"runs of more than 4**{max_rounds} lines")
     if found is None:
         return level.select("pos", F.lit(0).cast("long").alias("depth")).limit(0)
     return found.groupBy("pos").agg(F.max("depth").alias("depth"))
 
 
-def _doubled(level: DataFrame, span: int) -> DataFrame:
-    """The next ranks: by a suffix's rank and the rank of the suffix ``span`` lines further in the same document."""
-    after = level.select((F.col("pos") - span).alias("pos"), "end", F.col("rank").alias("next"))
-    pairs = level.join(after, ["pos", "end"]).select("pos", "end", F.col("rank").alias("r"), "next")
-    order = _ranked(pairs, ["r", "next"])
-    return cut(pairs.join(order, ["r", "next"]).select("pos", "end", "rank", "low"))
+def _longer(level: DataFrame, steps: list[int]) -> DataFrame:
+    """The next ranks: by a suffix's rank and those of the suffixes some lines further in the same document."""
+    pairs = level.select("pos", "end", F.col("rank").alias("r0"))
+    keys = ["r0"]
+    for k, step in enumerate(steps, 1):
+        after = level.select((F.col("pos") - step).alias("pos"), "end", F.col("rank").alias(f"r{k}"))
+        pairs = pairs.join(after, ["pos", "end"])
+        keys.append(f"r{k}")
+    order = _ranked(pairs, keys)
+    return cut(pairs.join(order, keys).select("pos", "end", "rank", "low"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1) -> DataFrame:
@@ -88,7 +92,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A line goes if it lies in a run of at least ``min_lines`` lines that also starts at an earlier position, in the order
     of id, text hash and line; the first copy of every run stays. Lines end at \\n and are equal when their 128-bit ids
     are. n_runs and longest_run describe the removed lines as unbroken runs; run_depth is the deepest LCP interval
-    (a power of two of lines) with an earlier position that starts in the document.
+    (a power of four of lines) with an earlier position that starts in the document.
 
     Defined results: null text stays null, with no lines; empty text is one empty line, so only its first copy counts
     as kept; null ids come first; rows equal in id and text are one document and get the same result; empty table - no

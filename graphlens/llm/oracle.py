@@ -37,11 +37,11 @@ SELECT doc_id, len(w) AS n_words, coalesce(len(ps), 0) AS n_removed, sha256(coal
 
 
 def _lines(rounds: int = 13) -> str:
-    """Runs of 1, 2, 4, ... lines by name, each from the names of its halves; the deepest earlier copy gives run_depth."""
+    """Runs of 1, 2, 4, ... lines by name, each from the names of its halves; the deepest earlier copy of 1, 4, 16, ... lines gives run_depth."""
     names = ["r0 AS (SELECT doc_id, n, md5(line) AS g FROM lines)"]
     for k in range(1, rounds):
         names.append(f"r{k} AS (SELECT a.doc_id, a.n, md5(a.g || b.g) AS g FROM r{k - 1} a JOIN r{k - 1} b ON b.doc_id = a.doc_id AND b.n = a.n + {1 << (k - 1)})")
-    deep = " UNION ALL ".join(f"SELECT doc_id, {1 << k} AS depth FROM (SELECT doc_id, row_number() OVER (PARTITION BY g ORDER BY doc_id, n) AS c FROM r{k}) WHERE c > 1" for k in range(rounds))
+    deep = " UNION ALL ".join(f"SELECT doc_id, {1 << k} AS depth FROM (SELECT doc_id, row_number() OVER (PARTITION BY g ORDER BY doc_id, n) AS c FROM r{k}) WHERE c > 1" for k in range(0, rounds, 2))
     return f"""WITH lines AS (SELECT doc_id, unnest(range(0, len(l))) AS n, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
 {", ".join(names)},
 seen AS (SELECT doc_id, n, line, row_number() OVER (PARTITION BY line ORDER BY doc_id, n) > 1 AS gone FROM lines),

@@ -15,7 +15,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import arrow_rows, cut, with_schema
+from graphlens.llm.common import arrow_rows, cut, small_batches, with_schema
 
 SPACE = "▁"
 #: No piece goes on across the start of one of these: a line feed, a run of spaces with what follows, or other text.
@@ -31,7 +31,7 @@ class Vocabulary:
     by its bytes so that decoding gives every text back exactly.
     """
 
-    def __init__(self, model: bytes, kind: str = "bpe", cache: int = 600_000):
+    def __init__(self, model: bytes, kind: str = "bpe", cache: int = 250_000):
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.kind, self.limit = kind, cache
         plain = [i for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
@@ -41,6 +41,7 @@ class Vocabulary:
         self.byte_ids = {int(sp.id_to_piece(i)[3:-1], 16): i for i in range(sp.vocab_size()) if sp.is_byte(i)}
         if len(self.byte_ids) < 256:
             raise ValueError("the vocabulary has no bytes to fall back to")
+        self.four = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
         self.worst = min(self.score.values()) - 10.0  # of an unknown character, in a unigram model
         self.surface = [self.text[i].replace(SPACE, " ").encode() if i in self.text else b"" for i in range(sp.vocab_size())]
@@ -51,10 +52,19 @@ class Vocabulary:
         vocabulary = self
 
         class Cache(dict):
+            """Words in use; when full they become the last generation, from which a word seen again returns."""
+
+            last: dict[str, bytes] = {}
+
             def __missing__(self, word: str) -> bytes:
+                got = self.last.get(word)
+                if got is None:
+                    got = vocabulary.packed(vocabulary.segment(word))
                 if len(self) >= vocabulary.limit:
+                    self.last = dict(self)
                     self.clear()
-                got = self[word] = vocabulary.packed(vocabulary.segment(word))
+                if len(word) <= 64:
+                    self[word] = got
                 return got
 
         self.cache = Cache()
@@ -63,18 +73,19 @@ class Vocabulary:
 
     def merged(self, word: str) -> list[str]:
         """BPE: the best-scored neighbours join first, the leftmost of equals."""
-        score, parts = self.score.get, list(word)
-        if len(parts) > 48:
+        parts = list(word)
+        if len(parts) > 64:
             return self._merged_long(parts)
-        while len(parts) > 1:
-            best = at = None
-            for i in range(len(parts) - 1):
-                s = score(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        score = self.score.get
+        pairs = [score(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs and (best := max(pairs)) > NEVER:
+            i = pairs.index(best)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i:
+                pairs[i - 1] = score(parts[i - 1] + parts[i], NEVER)
+            if i < len(pairs):
+                pairs[i] = score(parts[i] + parts[i + 1], NEVER)
         return parts
 
     def _merged_long(self, parts: list[str]) -> list[str]:
@@ -106,11 +117,10 @@ class Vocabulary:
         return [word[s:e] for s, e, _ in self.path(nodes, [(0, 0, 0)], 0, self.best_end(nodes, len(word)))]
 
     def packed(self, parts: list[str]) -> bytes:
-        out = []
-        for p in parts:
-            i = self.ids.get(p)
-            out += [i] if i is not None else [self.byte_ids[x] for x in p.encode("utf-8", "surrogatepass")]
-        return np.array(out, np.int32).tobytes()
+        try:
+            return b"".join([self.four[p] for p in parts])
+        except KeyError:  # unknown characters, by their bytes
+            return b"".join([self.four.get(p) or b"".join(self.byte_ids[x].to_bytes(4, "little") for x in p.encode("utf-8", "surrogatepass")) for p in parts])
 
     # --- max-plus lattice -------------------------------------------------------------------------------------------
 
@@ -364,7 +374,7 @@ def encode(docs: DataFrame, model_path: str, name: str = "ids", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(model, kind)
-        for batch in batches:
+        for batch in small_batches(batches, place):
             packed = [vocabulary.encode(t) for t in batch.column(place).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
@@ -393,9 +403,10 @@ def decode(rows: DataFrame, model_path: str, name: str = "decoded", ids_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         surface = np.array(_vocabulary(model, kind).surface, object)
-        for batch in batches:
-            lists = batch.column(place)
-            out = [b"".join(surface[x.values.to_numpy()].tolist()).removeprefix(b" ").decode("utf-8", "replace") if x.is_valid else "" for x in lists]
-            yield arrow_rows(batch, batch.schema, **{name: pa.array(out, pa.string())})
+        for whole in batches:
+            for a in range(0, len(whole), 256):
+                batch = whole.slice(a, 256)
+                out = [b"".join(surface[x.values.to_numpy()].tolist()).removeprefix(b" ").decode("utf-8", "replace") if x.is_valid else "" for x in batch.column(place)]
+                yield arrow_rows(batch, batch.schema, **{name: pa.array(out, pa.string())})
 
     return rows.mapInArrow(run, with_schema(rows, **{name: "string"}))

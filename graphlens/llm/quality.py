@@ -72,7 +72,7 @@ def _contexts(space: Space, blocks: int):
         dims, signs = space.index_vectors()
         total = np.zeros(space.rows * space.dims, np.float64)
         for batch in batches:
-            for _, _, raw, offsets in text_blocks(batch.column(0)):
+            for _, _, raw, offsets in text_blocks(batch.column(0), 1 << 21):  # large: each block adds whole tables
                 words, shapes, first = tokens(raw, offsets, space)
                 if len(words) < 2:
                     continue

@@ -162,11 +162,16 @@ def label_model(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int
 
 def fit_linear(x: np.ndarray, target: np.ndarray, weight: np.ndarray, decay: float = 1e-3, rounds: int = 400) -> np.ndarray:
     """Weighted logistic regression on soft targets, by accelerated gradient steps."""
-    weight = weight / weight.sum()
-    scale = np.sqrt((x**2 * weight[:, None]).sum(axis=0)) + 1e-3
+    weight = (weight / weight.sum()).astype(x.dtype)
+    scale = np.sqrt(np.einsum("nk,nk,n->k", x, x, weight)) + 1e-3
     x = x / scale
     beta = ahead = np.zeros(x.shape[1])
-    step = 4 / max(1e-9, np.linalg.norm((x * np.sqrt(weight)[:, None]).T @ (x * np.sqrt(weight)[:, None]), 2) + 4 * decay)
+    top = np.ones(x.shape[1])
+    for _ in range(30):  # the greatest curvature, by power iteration
+        top = x.T @ (weight * (x @ top))
+        curve = np.linalg.norm(top)
+        top /= max(1e-12, curve)
+    step = 4 / (1.1 * curve + 4 * decay)
     for k in range(rounds):
         slope = x.T @ (weight * (_sigmoid(x @ ahead) - target)) + decay * ahead
         new = ahead - step * slope
@@ -247,7 +252,7 @@ def _fit(texts: DataFrame, features: Features, prior: float, got: dict[int, int]
 
     # At most 2 * sample rows of as many numbers as the lexicon has units.
     rows = texts.mapInArrow(measure, "label int, counts binary, words long").toPandas()
-    counts = np.array([np.frombuffer(x, np.float32) for x in rows["counts"]], np.float64)
+    counts = np.array([np.frombuffer(x, np.float32) for x in rows.pop("counts")])
     words = rows["words"].to_numpy()
     drawn = got[1] / (got[0] + got[1])
     votes = features.votes(counts, words)
@@ -256,4 +261,4 @@ def _fit(texts: DataFrame, features: Features, prior: float, got: dict[int, int]
     posterior, _, _ = label_model(np.column_stack([votes, 2 * label - 1]), drawn, 0.02 + 0.96 * label)
     # The sample has more of the rarer label than all labelled rows have: weights set the shares right.
     weight = posterior * prior / drawn + (1 - posterior) * (1 - prior) / (1 - drawn)
-    return fit_linear(features.design(counts, words), posterior, weight)
+    return fit_linear(features.design(counts, words).astype(np.float32), posterior, weight)

@@ -217,6 +217,20 @@ def test_substrings(spark, docs, empty, width):
     assert substring.substring_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("shard_bytes", [1 << 20, 2000])
+def test_reference_spans(spark, docs, empty, shard_bytes):
+    texts = [t for _, t in corpus()][6:12]
+    reference = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string")
+    windows = {tuple(w[k : k + 20]) for t in texts for w in [t.split()] for k in range(len(w) - 19)}
+    rows = substring.reference_spans(docs, reference, 20, shard_bytes=shard_bytes).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        words = (r.text or "").split()
+        want = {p for k in range(len(words) - 19) if tuple(words[k : k + 20]) in windows for p in range(k, k + 20)}
+        assert {p for s in r.reference_spans for p in range(s.a, s.b)} == want
+    assert substring.reference_spans(empty, reference).count() == 0
+
+
 def brute_lines(documents, least):
     from pyspark.sql import SparkSession
 
