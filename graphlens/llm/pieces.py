@@ -31,7 +31,7 @@ class Vocabulary:
     by its bytes so that decoding gives every text back exactly.
     """
 
-    def __init__(self, model: bytes, kind: str = "bpe", cache: int = 250_000):
+    def __init__(self, model: bytes, kind: str = "bpe", cache: int = 1 << 16):
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.kind, self.limit = kind, cache
         plain = [i for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
@@ -44,9 +44,7 @@ class Vocabulary:
         self.four = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
         self.worst = min(self.score.values()) - 10.0  # of an unknown character, in a unigram model
-        self.surface = [self.text[i].replace(SPACE, " ").encode() if i in self.text else b"" for i in range(sp.vocab_size())]
-        for byte, i in self.byte_ids.items():
-            self.surface[i] = bytes([byte])
+        self.surface = surfaces(model)
         self.compatible = lru_cache(1 << 18)(self._compatible)
         self.reachable = lru_cache(1 << 16)(lambda piece: self.kind != "bpe" or self.merged(piece) == [piece])
         vocabulary = self
@@ -275,6 +273,19 @@ class Vocabulary:
         return got.removeprefix(b" ").decode("utf-8", "replace")
 
 
+@lru_cache(2)
+def surfaces(model: bytes) -> list[bytes]:
+    """The bytes that each id stands for: all that decoding needs of a model."""
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+
+    def of(i: int) -> bytes:
+        if sp.is_byte(i):
+            return bytes([int(sp.id_to_piece(i)[3:-1], 16)])
+        return b"" if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) else sp.id_to_piece(i).replace(SPACE, " ").encode()
+
+    return [of(i) for i in range(sp.vocab_size())]
+
+
 _loaded: dict[tuple[int, str], Vocabulary] = {}
 
 
@@ -396,13 +407,13 @@ def encode(docs: DataFrame, model_path: str, name: str = "ids", text_col: str =
     return short.union(joined)
 
 
-def decode(rows: DataFrame, model_path: str, name: str = "decoded", ids_col: str = "ids", kind: str = "bpe") -> DataFrame:
+def decode(rows: DataFrame, model_path: str, name: str = "decoded", ids_col: str = "ids") -> DataFrame:
     """The rows with the text of their ids; null or no ids give an empty text."""
     model = Path(model_path).read_bytes()
     place = rows.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        surface = np.array(_vocabulary(model, kind).surface, object)
+        surface = np.array(surfaces(model), object)
         for whole in batches:
             for a in range(0, len(whole), 256):
                 batch = whole.slice(a, 256)
