@@ -156,8 +156,9 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     marked = anchored.join(shared, "anchor").groupBy("id", "text_key").agg(F.collect_set("anchor").alias("anchors"))
     marked = cut(marked)
     windows = known.join(marked, ["id", "text_key"]).select("id", "text_key", "body", "anchors").mapInArrow(_windows(window), f"w1 long, w2 long, id {kind}, text_key long, start long")
-    earliest = windows.groupBy("w1", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("w1", "w2", "low")
-    gone = windows.join(earliest, ["w1", "w2"]).where("id > low").groupBy("id", "text_key").agg(F.collect_set("start").alias("starts"), F.lit(False).alias("whole"))
+    earliest = windows.groupBy("w1", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(F.bitwise_not("w1").alias("not1"), "w2", "low")
+    # The join's key is not the grouping's, so both sides are dealt anew and a passage that many documents share can be split.
+    gone = windows.withColumn("not1", F.bitwise_not("w1")).join(earliest, ["not1", "w2"]).where("id > low").groupBy("id", "text_key").agg(F.collect_set("start").alias("starts"), F.lit(False).alias("whole"))
     gone = gone.unionByName(copies.select("id", "text_key", F.array().cast("array<long>").alias("starts"), F.lit(True).alias("whole")))
     body = known.join(gone, ["id", "text_key"], "left").select("id", "text_key", "body", "starts", "whole")
     body = body.unionByName(rows.where("id is null").select("*", F.lit(None).cast("array<long>").alias("starts"), F.lit(None).cast("boolean").alias("whole")))
