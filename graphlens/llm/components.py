@@ -11,8 +11,8 @@ from graphlens.llm.common import cut
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component): every node of a link with the smallest node that it can reach.
 
-    A round groups by node with partial aggregates and joins the minimum back by node, so a hub's rows are never in
-    one group; each round's links are written to the shared folder. The links shrink to one star per component, and
+    A round groups by node with partial aggregates and joins the minimum back by a key that is not the grouping's, so
+    both sides are dealt anew and a hub's rows can be split between tasks; each round's links are written to the shared folder. The links shrink to one star per component, and
     the rounds end when none changes.
     """
     links = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
@@ -21,11 +21,11 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         # Large star: a node's larger neighbours link to its smallest neighbour or itself.
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = both.groupBy("a").agg(F.min("b").alias("low")).select(F.bitwise_not("a").alias("not_a"), F.least("a", "low").alias("m"))
+        large = both.withColumn("not_a", F.bitwise_not("a")).join(low, "not_a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # Small star: a node's smaller neighbours and itself link to the smallest of them.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.bitwise_not("a").alias("not_a"), "m")
+        small = large.withColumn("not_a", F.bitwise_not("a")).join(low, "not_a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         links = cut(small)
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
