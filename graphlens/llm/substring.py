@@ -148,16 +148,16 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     rows = rows.select("id", "text_key", "body")
     known = rows.where("id is not null")
     profiles = cut(known.mapInArrow(_profile(window), f"id {kind}, text_key long, words long, seq1 long, seq2 long, anchors array<long>").where(F.col("words") >= window))
-    first = profiles.groupBy("seq1", "seq2").agg(F.min("id").alias("first_id"))
-    matched = profiles.join(first, ["seq1", "seq2"])
+    # Joins of groups' minima go by another key than the grouping, so both sides are dealt anew and a hot group can be split.
+    first = profiles.groupBy("seq1", "seq2").agg(F.min("id").alias("first_id")).select(F.bitwise_not("seq1").alias("not1"), "seq2", "first_id")
+    matched = profiles.withColumn("not1", F.bitwise_not("seq1")).join(first, ["not1", "seq2"])
     copies = matched.where("id > first_id").select("id", "text_key").distinct()
     anchored = matched.where("id = first_id").select("id", "text_key", F.explode("anchors").alias("anchor"))
-    shared = anchored.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor")
-    marked = anchored.join(shared, "anchor").groupBy("id", "text_key").agg(F.collect_set("anchor").alias("anchors"))
+    shared = anchored.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(F.bitwise_not("anchor").alias("not1"))
+    marked = anchored.withColumn("not1", F.bitwise_not("anchor")).join(shared, "not1").groupBy("id", "text_key").agg(F.collect_set("anchor").alias("anchors"))
     marked = cut(marked)
     windows = known.join(marked, ["id", "text_key"]).select("id", "text_key", "body", "anchors").mapInArrow(_windows(window), f"w1 long, w2 long, id {kind}, text_key long, start long")
     earliest = windows.groupBy("w1", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(F.bitwise_not("w1").alias("not1"), "w2", "low")
-    # The join's key is not the grouping's, so both sides are dealt anew and a passage that many documents share can be split.
     gone = windows.withColumn("not1", F.bitwise_not("w1")).join(earliest, ["not1", "w2"]).where("id > low").groupBy("id", "text_key").agg(F.collect_set("start").alias("starts"), F.lit(False).alias("whole"))
     gone = gone.unionByName(copies.select("id", "text_key", F.array().cast("array<long>").alias("starts"), F.lit(True).alias("whole")))
     body = known.join(gone, ["id", "text_key"], "left").select("id", "text_key", "body", "starts", "whole")
