@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlens.llm import decontaminate, lines, pieces, simhash, toxicity
+from graphlens.llm.common import fresh_name
 from graphlens.llm.queries import TOKENIZER
 
 ORACLE_SQL = None
@@ -33,8 +34,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its token ids, and whether decoding gives its text back."""
-    out = pieces.decode(pieces.encode(docs, TOKENIZER), TOKENIZER)
-    return out.withColumn("round_trip", F.coalesce("text", F.lit("")) == F.col("decoded")).drop("decoded")
+    out = pieces.encode(docs, TOKENIZER, decoded="decoded")
+    decoded = out.columns[-1]
+    return out.withColumn(fresh_name(docs, "round_trip"), F.coalesce("text", F.lit("")) == F.col(decoded)).drop(decoded)
 
 
 STAGES = [

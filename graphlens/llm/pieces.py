@@ -15,7 +15,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import arrow_rows, cut, small_batches, with_schema
+from graphlens.llm.common import arrow_rows, cut, fresh_name, small_batches, with_schema
 
 SPACE = "▁"
 #: No piece goes on across the start of one of these: a line feed, a run of spaces with what follows, or other text.
@@ -286,6 +286,10 @@ def surfaces(model: bytes) -> list[bytes]:
     return [of(i) for i in range(sp.vocab_size())]
 
 
+def _text(surface: np.ndarray, ids: np.ndarray) -> str:
+    return b"".join(surface[ids].tolist()).removeprefix(b" ").decode("utf-8", "replace")
+
+
 _loaded: dict[tuple[int, str], Vocabulary] = {}
 
 
@@ -368,8 +372,10 @@ def _traces(model: bytes, kind: str):
     return run
 
 
-def encode(docs: DataFrame, model_path: str, name: str = "ids", text_col: str = "text", kind: str = "bpe", chunk: int = 1 << 16) -> DataFrame:
-    """The documents with their SentencePiece ids (array<int>).
+def encode(docs: DataFrame, model_path: str, name: str = "ids", text_col: str = "text", kind: str = "bpe", chunk: int = 1 << 16, decoded: str | None = None) -> DataFrame:
+    """The documents with their SentencePiece ids (array<int>); names get underscores where taken.
+
+    ``decoded`` names one more column: the text that the ids give back, decoded by the task that has just encoded it.
 
     Texts of up to ``chunk`` characters are encoded in one pass without a shuffle; words seen before come from a bounded
     cache. Longer texts are split into chunks anywhere. A chunk's state at a boundary is the token that covers the
@@ -381,15 +387,21 @@ def encode(docs: DataFrame, model_path: str, name: str = "ids", text_col: str =
     """
     model = Path(model_path).read_bytes()
     place = docs.columns.index(text_col)
+    name = fresh_name(docs, name)
     schema = with_schema(docs, **{name: "array<int>"})
+    if decoded:
+        decoded = fresh_name(docs.withColumn(name, F.lit(0)), decoded)
+        schema = schema.add(decoded, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(model, kind)
+        surface = np.array(vocabulary.surface, object)
         for batch in small_batches(batches, place):
             packed = [vocabulary.encode(t) for t in batch.column(place).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
-            yield arrow_rows(batch, batch.schema, **{name: ids})
+            back = {decoded: pa.array([_text(surface, np.frombuffer(x, np.int32)) for x in packed], pa.string())} if decoded else {}
+            yield arrow_rows(batch, batch.schema, **{name: ids}, **back)
 
     # A text with a literal U+2581 has word starts of its own kind, and takes the plain way whatever its length.
     giant = F.coalesce((F.length(text_col) >= chunk) & ~F.contains(F.col(text_col), F.lit(SPACE)), F.lit(False))
@@ -403,13 +415,14 @@ def encode(docs: DataFrame, model_path: str, name: str = "ids", text_col: str =
     chosen = pieces.mapInArrow(_transfers(model, kind), "key string, k int, states int, matrix array<double>").groupBy("key").applyInPandas(_choose, "key string, k int, enter int, leave int")
     traced = pieces.join(chosen, ["key", "k"]).select("key", "k", "context", "lo", "hi", "enter", "leave").mapInArrow(_traces(model, kind), "key string, k int, ids array<int>")
     whole = traced.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids_"))
-    joined = long.join(whole, F.sha2(long[text_col], 256) == whole["key"]).select(*[long[c] for c in docs.columns], F.col("ids_").alias(name))
-    return short.union(joined)
+    joined = long.join(whole, F.sha2(long[text_col], 256) == whole["key"]).select(*[long[c] for c in docs.columns], whole["ids_"].alias(name))
+    return short.union(decode(joined, model_path, decoded, name) if decoded else joined)
 
 
 def decode(rows: DataFrame, model_path: str, name: str = "decoded", ids_col: str = "ids") -> DataFrame:
-    """The rows with the text of their ids; null or no ids give an empty text."""
+    """The rows with the text of their ids (underscores where the name is taken); null or no ids give an empty text."""
     model = Path(model_path).read_bytes()
+    name = fresh_name(rows, name)
     place = rows.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,7 +430,7 @@ def decode(rows: DataFrame, model_path: str, name: str = "decoded", ids_col: str
         for whole in batches:
             for a in range(0, len(whole), 256):
                 batch = whole.slice(a, 256)
-                out = [b"".join(surface[x.values.to_numpy()].tolist()).removeprefix(b" ").decode("utf-8", "replace") if x.is_valid else "" for x in batch.column(place)]
+                out = [_text(surface, x.values.to_numpy()) if x.is_valid else "" for x in batch.column(place)]
                 yield arrow_rows(batch, batch.schema, **{name: pa.array(out, pa.string())})
 
     return rows.mapInArrow(run, with_schema(rows, **{name: "string"}))

@@ -19,7 +19,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = pieces.decode(pieces.encode(docs, TOKENIZER), TOKENIZER)
+    out = pieces.encode(docs, TOKENIZER, decoded="decoded")
     same = F.coalesce("text", F.lit("")) == F.col("decoded")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(F.array_join("ids", " ")).alias("ids_md5"), same.alias("round_trip"))
 

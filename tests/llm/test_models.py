@@ -35,6 +35,9 @@ def test_encode_equals_the_library_and_decodes(spark, library, chunk):
     docs = spark.createDataFrame(rows, "doc_id long, text string, k int")
     out = pieces.decode(pieces.encode(docs, TOKENIZER, chunk=chunk), TOKENIZER).collect()
     assert len(out) == len(rows)
+    once = pieces.encode(docs.withColumn("ids", F.lit("taken")), TOKENIZER, chunk=chunk, decoded="decoded")
+    assert once.columns == ["doc_id", "text", "k", "ids", "ids_", "decoded"]
+    assert sorted((str(r.text), tuple(r.ids_), r.decoded) for r in once.collect()) == sorted((str(r.text), tuple(r.ids), r.decoded) for r in out)
     for r in out:
         assert r.decoded == (r.text or "")
         if "▁" not in (r.text or ""):
