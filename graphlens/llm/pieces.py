@@ -31,7 +31,7 @@ class Vocabulary:
     by its bytes so that decoding gives every text back exactly.
     """
 
-    def __init__(self, model: bytes, kind: str = "bpe", cache: int = 1 << 16):
+    def __init__(self, model: bytes, kind: str = "bpe", cache: int = 1 << 18):
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.kind, self.limit = kind, cache
         plain = [i for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
