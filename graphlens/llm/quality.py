@@ -146,10 +146,14 @@ def _pool(table: np.ndarray, space: Space):
 
 
 class Network:
-    """Two-layer network for a probability, trained by Adam with early stopping and calibrated by a temperature."""
+    """Two-layer network for a probability, trained by Adam with early stopping and calibrated by a temperature.
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60, seed: int = 1, decay: float = 1e-4):
+    ``shift`` is added to the calibrated logits: the log odds of all rows less those of the rows drawn for training.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60, seed: int = 1, decay: float = 1e-4, shift: float = 0.0):
         rng = np.random.default_rng(seed)
+        self.shift = shift
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
         x = self._standard(x)
         order = rng.permutation(len(x))
@@ -184,7 +188,7 @@ class Network:
         return np.tanh(x @ self.weights[0] + self.weights[1]) @ self.weights[2] + self.weights[3]
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return _sigmoid(self._logits(self._standard(x)) / self.temperature)
+        return _sigmoid(self._logits(self._standard(x)) / self.temperature + self.shift)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -195,13 +199,18 @@ def _loss(z: np.ndarray, y: np.ndarray) -> float:
     return float(np.mean(np.logaddexp(0, z) - y * z))
 
 
-def labelled_sample(labels: DataFrame, label: str, id_col: str, limit: int) -> DataFrame:
-    """(id, label): at most ``limit`` rows of each label that may be learnt from, by a hash of the id.
+def learnable(labels: DataFrame, label: str, id_col: str) -> DataFrame:
+    """(id, label): one row per id that may be learnt from.
 
     An id with several labels counts as its largest. Null ids and null labels are left out.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    known = known.groupBy(F.col(id_col).alias("id")).agg((F.max(label) > 0).cast("int").alias("label"))
+    return known.groupBy(F.col(id_col).alias("id")).agg((F.max(label) > 0).cast("int").alias("label"))
+
+
+def labelled_sample(labels: DataFrame, label: str, id_col: str, limit: int) -> DataFrame:
+    """(id, label): at most ``limit`` ids of each label that may be learnt from, by a hash of the id."""
+    known = learnable(labels, label, id_col)
     one = lambda k: known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(limit)
     return one(0).unionByName(one(1))
 
@@ -210,7 +219,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", i
     """One row per document: ``id_col``, held_out, score (probability of label 1), predicted (1 if score >= ``threshold``).
 
     The word vectors come from all texts, the network from at most ``sample`` labelled rows of each label, none of them
-    held out (crc32 of the id as text, modulo 4, is 2). Only the text is an input of the score.
+    held out (crc32 of the id as text, modulo 4, is 2). The prior is that of all learnable ids, however few
+    are drawn of a label. Only the text is an input of the score.
 
     Defined results: null and empty texts have the zero vector and get a score too; with no labels, or one kind only,
     the score is 0.5 or that label's value for all; a null id is not held out; empty table - no rows.
@@ -223,8 +233,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", i
     train = pooled.join(F.broadcast(chosen), "id").select("label", "vector").toPandas()
     x = np.array([np.frombuffer(v, np.float32) for v in train["vector"]], np.float64)
     y = train["label"].to_numpy(float)
-    # The sample may favour the rarer label; the network's prior is set back to that of all labelled rows.
-    network = Network(x, y) if len(set(y)) == 2 else None
+    network = None
+    if len(set(y)) == 2:
+        # The sample may favour the rarer label; the network's prior is set back to that of all labelled rows.
+        every = {r[0]: r[1] for r in learnable(labels, label, id_col).groupBy("label").count().collect()}
+        undrawn = {k: np.log(n / min(n, sample)) for k, n in every.items()}
+        network = Network(x, y, shift=undrawn[1] - undrawn[0])
     constant = float(y[0]) if len(y) else 0.5
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

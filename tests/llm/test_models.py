@@ -144,3 +144,13 @@ def test_label_model_finds_the_good_voters():
     posterior, accuracy, correlation = toxicity.label_model(votes, 0.3, np.clip((votes[:, :3] > 0).mean(axis=1), 0.05, 0.95))
     assert ((posterior > 0.5) == y).mean() > 0.95
     assert accuracy[0] > accuracy[3] and correlation[3, 4] > 0.9
+
+
+def test_quality_prior_does_not_follow_the_sample(spark):
+    """Texts say nothing of the label, so a score is the share of label 1, however few rows of a label are drawn."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(30)), int(i % 7 > 0)) for i in range(1400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    mean = {n: quality.quality_scores(docs.drop("quality"), docs.drop("text"), sample=n).agg(F.avg("score")).first()[0] for n in (50, 8000)}
+    assert mean[8000] == pytest.approx(6 / 7, abs=0.05)
+    assert mean[50] == pytest.approx(mean[8000], abs=0.1)
