@@ -205,21 +205,34 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
     rows = cut(add_fingerprint(rows, "fp", "body", width, seed).select("id", "fp"))
+    found = _components(rows, distance, segments, hot)
+    return found.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _components(rows: DataFrame, distance: int, segments: int, hot: int) -> DataFrame:
+    """Rows with columns id and fp, further with their class (one of its fingerprints) and component_id."""
     prints = cut(rows.groupBy("fp").agg(F.min("id").alias("low")))
     parts = connected_components(near_links(prints.select("fp"), distance, segments, hot))
     # Each fingerprint's class: itself, or the smallest fingerprint it reaches; then the smallest id of the class.
     classes = prints.join(parts, prints.fp == parts.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("class"))
     lowest = classes.groupBy("class").agg(F.min("low").alias("component_id"))
-    of_print = classes.join(lowest, "class").select("fp", "component_id")
-    return rows.join(of_print, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rows.join(classes.join(lowest, "class").select("fp", "class", "component_id"), "fp")
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4, seed: int = 42, segments: int = 3, hot: int = 4096) -> DataFrame:
     """The documents' own columns, with one row of each class of near-duplicates: its smallest id.
 
-    Rows of equal id are told apart by their text; rows equal in both are one and the same document.
+    Rows of equal id, or of none, are told apart by their text: of those with a class's smallest id, the text of the
+    smallest hash stays. Rows equal in both are one and the same document. A null id stays only in a class without others.
     """
-    keep = cut(simhash_components(docs, id_col, text_col, **options).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("keep_id")))
-    kept = docs.join(keep, docs[id_col].eqNullSafe(keep["keep_id"]), "left_semi")
-    repeated = not keep.groupBy("keep_id").count().where("count > 1").isEmpty()
-    return kept.dropDuplicates([id_col]) if repeated else kept
+    text_hash = F.coalesce(F.unhex(F.sha2(F.col(text_col), 256)), F.lit(b""))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), text_hash.alias("hash"))
+    rows = cut(add_fingerprint(rows, "fp", "body", width, seed).select("id", "hash", "fp"))
+    lowest = _components(rows, distance, segments, hot).where(F.col("id").eqNullSafe(F.col("component_id")))
+    keys = cut(lowest.groupBy("class", "id", "hash").count())
+    keep = cut(keys.groupBy("class", F.col("id").alias("keep_id")).agg(F.min("hash").alias("keep_hash")).drop("class"))
+    name = fresh_name(docs, "hash")
+    kept = docs.withColumn(name, text_hash)
+    kept = kept.join(keep, kept[id_col].eqNullSafe(keep["keep_id"]) & (kept[name] == keep["keep_hash"]), "left_semi")
+    repeated = not keys.where("count > 1").isEmpty()
+    return (kept.dropDuplicates([id_col, name]) if repeated else kept).drop(name)

@@ -147,6 +147,20 @@ def test_simhash_dedup_keeps_one_of_each(spark, docs):
     assert simhash.simhash_dedup(docs).columns == docs.columns
 
 
+def test_simhash_dedup_tells_rows_of_equal_id_apart_by_text(spark):
+    rng = random.Random(8)
+    a, b, c, d, e, f = (" ".join(rng.choices("abcdefghijklmnop", k=200)) for _ in range(6))
+    rows = [(None, a), (None, b), (None, c), (5, d), (5, e), (5, c), (3, c), (7, f), (7, f), (None, None), (6, "")]
+    frame = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, hash int")
+    got = simhash.simhash_dedup(frame)
+    assert got.columns == frame.columns
+    # Row (5, c) is a copy of document 3, (None, c) too, and the null text one of document 6.
+    want = [(None, a), (None, b), (5, d), (5, e), (3, c), (7, f), (6, "")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
+    tied = frame.withColumn("doc_id", F.lit(None).cast("long")).where(F.col("text").isNull() | (F.col("text") == ""))
+    assert simhash.simhash_dedup(tied).count() == 1
+
+
 def bench_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
 
