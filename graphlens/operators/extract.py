@@ -268,8 +268,8 @@ def permission_keys(objects: DataFrame, max_depth: int = 16) -> DataFrame:
         found = leaf if found is None else found.unionByName(leaf)
         level = level.where(F.col("value").startswith("{"))
         if level.isEmpty():
-            break
-    return found
+            return found
+    raise ValueError(f"permission objects nested in more than {max_depth} levels")
 
 
 # --- pages --------------------------------------------------------------------------------------------------------------------

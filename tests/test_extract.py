@@ -1,5 +1,6 @@
 """Extraction from texts, one case per rule."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from graphlens.functions.matches import matches_with_lines, unix_lines
@@ -156,3 +157,10 @@ def test_source_tree(spark, tmp_path):
     assert read_texts(spark, str(tmp_path), "*.ts").first().text.endswith("bad")
     files = list_files(spark, str(tmp_path))
     assert files.count() == 3 and count_sources(files).first()[0] == 3  # the empty file is not listed
+
+
+def test_permission_keys_are_never_cut_by_depth(spark):
+    nested = lambda n: spark.createDataFrame([("p", '{"a":' * n + '["R"]' + "}" * n)], "project string, json string")
+    assert [r.key for r in extract.permission_keys(nested(3), max_depth=3).collect()] == ["a.a.a"]
+    with pytest.raises(ValueError, match="more than 3 levels"):
+        extract.permission_keys(nested(4), max_depth=3)
