@@ -12,99 +12,191 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from graphlens.llm.common import arrow_rows, with_schema
-from graphlens.llm.html_pages import LABELLED
+from graphlens.llm.common import arrow_rows, fresh_name, small_batches, with_schema
+from graphlens.llm.html_pages import labelled_pages
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(?P<raw>script|style|noscript|template|textarea|title|svg|iframe)\b(?>[^>\"']|\"[^\"]*\"|'[^']*')*>(?s:.*?)(?:</(?P=raw)\s*>|$)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?>[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
+    r"<!--.*?(?:-->|$)|<(?P<raw>script|style|noscript|template|textarea|title|svg|iframe)\b(?>[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*(?:>|$)(?s:.*?)(?:</(?P=raw)\s*>|$)"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?>[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|<[!?/][^>]*(?:>|$)",
     re.DOTALL | re.IGNORECASE,
 )
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
+_PARTS = re.compile(r"[_-]+")
+#: An element is boilerplate if its log-odds of holding content are below this.
+DROP = -1.5
+#: What opens and closes marks in a labelled page.
+_MARKS = {"[[": "mark-content", "]]": "mark-end", "{{": "mark-boilerplate", "}}": "mark-back"}
 
-# The HTML standard's void elements, and elements whose start or end parts one block from the next.
+# The HTML standard's void elements, those that end an open one of their own name, and those whose start or end
+# parts one block from the next.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_SELF_ENDING = frozenset("p li td tr dt dd option".split())
 _BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements that never hold an article's text, and words of a class, id or role that say the same of any element.
-_DROPPED = frozenset("nav footer aside form button select head menu dialog label object canvas audio video map".split())
-_NAMES = re.compile(
-    r"^(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|signup|"
-    r"sidebar|widget|menu|nav|navbar|navigation|breadcrumbs?|masthead|footer|comments?|commentlist|respond|discussion|disqus|replies|"
-    r"share|sharing|social|related|recommended|pagination|pager|toolbar|search|login|complementary|contentinfo)$"
-)
-_OWN = frozenset(["html", "body", "article", "main"])
+_ROOTS = frozenset(["html", "body", "head"])
+
+
+def names_of(attributes: str) -> list[str]:
+    """The words of an element's class, id and role; digits at a word's end do not count."""
+    return [x.rstrip("0123456789-_") for found in _ATTRIBUTE.findall(attributes) for x in "".join(found).lower().split()] if attributes else []
+
+
+class ElementScore:
+    """Log-odds that an element holds content, from its name and the words of its class, id and role.
+
+    The odds are counted on labelled pages: an element holds content if marked text stands in it, and is boilerplate if
+    it has text, but none of that. A word that the pages do not have scores by its parts: those that tell boilerplate
+    share their mean with the parts that no page has, so that one telling part beside a strange one does not decide.
+    """
+
+    def __init__(self, tags: dict[str, float], words: dict[str, float], parts: dict[str, float]):
+        self.tags, self.words, self.parts = tags, words, parts
+
+    def __call__(self, name: str, attributes: str, in_article: bool) -> float:
+        tag = self.tags.get(name, 0.0)
+        if in_article:
+            tag = self.tags.get(f"in {name}", tag)
+        if not attributes:
+            return tag
+        told = [self._word(x) for x in names_of(attributes) if x]
+        # What a site calls an element tells more than its name does: a word for content keeps what the name would drop.
+        most, least = max(told, default=0.0), min(told, default=0.0)
+        return tag / 2 + most if most > -least else tag + least
+
+    def _word(self, word: str) -> float:
+        got = self.words.get(word)
+        if got is None:
+            parts = [self.parts.get(x, 0.0) for x in _PARTS.split(word) if x and not x.isdigit()]
+            bad = [x for x in parts if x < 0]
+            got = sum(max(-3.0, x) for x in bad) / (len(bad) + parts.count(0.0)) if bad else 0.0
+        return got
 
+    @staticmethod
+    def fit(pages: list[str]) -> ElementScore:
+        kept, dropped = [Counter(), Counter(), Counter()], [Counter(), Counter(), Counter()]
+        for page in pages:
+            for name, attributes, in_article, content in _labelled_elements(page):
+                words = set(names_of(attributes))
+                parts = {p for w in words for p in _PARTS.split(w)}
+                # Where words tell what an element is, its name is not counted.
+                names = [] if words else ["in " * in_article + name]
+                for counts, found in zip(kept if content else dropped, (names, words, parts), strict=True):
+                    counts.update(found)
+        odds = lambda k: {x: math.log((kept[k][x] + 0.3) / (dropped[k][x] + 0.3)) for x in {*kept[k], *dropped[k]}}
+        # A name that stands on both sides says little: only one that is nearly always boilerplate is worth its odds.
+        # Inside an article it counts apart if the pages have it there as content (a heading's header, say).
+        tags = {x: s if s < DROP - 1 else 0.0 for x, s in odds(0).items() if not x.startswith("in ") or kept[0][x]}
+        return ElementScore(tags, odds(1), odds(2))
 
-def _boilerplate(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element, by its name or the words of its class, id and role, is not part of an article."""
-    if name in _DROPPED or (name == "header" and not in_article):
-        return True
-    if not attributes or name in ("html", "body"):
-        return False
-    for found in _ATTRIBUTE.findall(attributes):
-        for word in re.split(r"[\s_-]+", "".join(found).lower()):
-            if _NAMES.match(word) and (name not in _OWN or word.startswith("comment")):
-                return True
-            if word == "header" and not in_article and name not in _OWN:
-                return True
-    return False
 
+def _marked(page: str) -> str:
+    for mark, tag in _MARKS.items():
+        page = page.replace(mark, f"<{tag}>")
+    return page
 
-def scan(page: str) -> Iterator[tuple[str, str]]:
-    """(tag, "") or ("", text) of everything but comments, scripts, styles and boilerplate elements.
+
+def _labelled_elements(page: str) -> Iterator[tuple[str, str, bool, bool]]:
+    """(name, attributes, in an article, holds content) of a labelled page's elements that have text.
+
+    Of boilerplate, only the outermost element counts: what stands in it (links, lists) is no better a sign than elsewhere.
+    """
+    found: list[dict] = []
+    stack: list[dict] = []
+    content = False
+    articles = at = 0
+    page = _marked(page)
+    for m in _TOKEN.finditer(page):
+        if page[at : m.start()].strip():
+            for e in stack:
+                e["content" if content else "other"] = True
+        at = m.end()
+        name = (m["name"] or "").lower()
+        if name in _MARKS.values():
+            content = name in ("mark-content", "mark-back")
+        elif name and name not in _VOID and not m["close"]:
+            stack.append({"name": name, "attributes": m["attributes"], "article": articles > 0, "above": stack[-1] if stack else None, "content": False, "other": False})
+            found.append(stack[-1])
+            articles += name in ("article", "main")
+        elif m["close"] and any(e["name"] == name for e in stack):
+            while True:
+                e = stack.pop()
+                articles -= e["name"] in ("article", "main")
+                if e["name"] == name:
+                    break
+    for e in found:
+        if e["content"] or (e["other"] and e["above"] is not None and e["above"]["content"]):
+            yield e["name"], e["attributes"], e["article"], e["content"]
+
+
+def scan(page: str, element: ElementScore) -> Iterator[tuple[str, str]]:
+    """(tag, "") or ("", text) of everything but comments, scripts, styles and elements that score as boilerplate.
 
     An element left open ends with its parent, so an unclosed advert cannot swallow the page; a new article or main
-    element also ends boilerplate that only a class told.
+    element also ends boilerplate that only a class told. Every tag is looked at once, and every element is closed once.
     """
-    stack: list[tuple[str, bool]] = []  # open elements, and whether they are dropped
-    dropped = articles = at = 0
+    stack: list[str] = []  # open elements
+    opened: Counter = Counter()  # how many of each name are open
+    dropped, by_name = -1, False  # the depth at which boilerplate began, and whether the element's name alone told
+    articles = at = 0
+    scores: dict[tuple, float] = {}
     for m in _TOKEN.finditer(page):
-        if at < m.start() and not dropped:
+        if at < m.start() and dropped < 0:
             yield "", page[at : m.start()]
         at = m.end()
         name = m["name"]
         if not name:
-            if m["raw"] and not dropped:
+            if m["raw"] and dropped < 0:
                 yield m["raw"].lower(), ""
             continue
         name = name.lower()
         if name in _VOID:
-            if not dropped:
+            if dropped < 0:
                 yield name, ""
         elif m["close"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    for gone, bad in stack[k:]:
-                        dropped -= bad
-                        articles -= gone in ("article", "main")
-                    del stack[k:]
-                    break
-            if not dropped:
+            if opened[name]:
+                while True:
+                    gone = stack.pop()
+                    opened[gone] -= 1
+                    articles -= gone in ("article", "main")
+                    if gone == name:
+                        break
+                if len(stack) <= dropped:
+                    dropped = -1
+            if dropped < 0:
                 yield "/" + name, ""
         else:
-            bad = _boilerplate(name, m["attributes"], articles > 0)
-            if name in ("article", "main") and not bad and dropped and all(x in ("div", "section", "p", "span", "ul") for x, y in stack if y):
-                stack = [(x, False) for x, _ in stack]
-                dropped = 0
-            if name in ("p", "li", "td", "tr", "dt", "dd", "option") and stack and stack[-1][0] == name:
-                dropped -= stack.pop()[1]
-            stack.append((name, bad))
-            dropped += bad
-            articles += name in ("article", "main")
-            if not dropped:
+            if name in _SELF_ENDING and stack and stack[-1] == name:
+                stack.pop()
+                opened[name] -= 1
+                if len(stack) <= dropped:
+                    dropped = -1
+            starts = name in ("article", "main")
+            if (dropped < 0 or (starts and not by_name)) and name not in _ROOTS:
+                key = (name, m["attributes"], articles > 0)
+                score = scores.get(key)
+                if score is None:
+                    score = scores[key] = element(*key)
+                if score < DROP:
+                    if dropped < 0:
+                        dropped, by_name = len(stack), element(name, "", articles > 0) < DROP
+                elif starts:
+                    dropped = -1
+            stack.append(name)
+            opened[name] += 1
+            articles += starts
+            if dropped < 0:
                 yield name, ""
-    if at < len(page) and not dropped:
+    if at < len(page) and dropped < 0:
         yield "", page[at:]
 
 
-def features(page: str) -> Iterator[tuple[str, int, str]]:
+def features(page: str, element: ElementScore) -> Iterator[tuple[str, int, str]]:
     """(feature, count, text) of every token: tags and words, told apart in and out of an article and of a link."""
     link, depth = False, 0
-    for tag, text in scan(page):
+    for tag, text in scan(page, element):
         if tag in ("/article", "/main"):
             depth -= 1
         where = "in " if depth > 0 and tag not in ("article", "main") else ""
@@ -117,58 +209,94 @@ def features(page: str) -> Iterator[tuple[str, int, str]]:
             depth += 1
 
 
-def fit_weights(pages: list[str] = LABELLED) -> dict[str, float]:
-    """Scores of tags and words (w; a w in a link), in and out of articles, from labelled pages.
+class Weights:
+    """What labelled pages teach: which elements hold content, and the scores of tags and words along a page."""
+
+    def __init__(self, element: ElementScore, tokens: dict[str, float]):
+        self.element, self.tokens = element, tokens
+
+    def of(self, feature: str) -> float:
+        """A tag unseen in the labelled pages costs little inside an article and half a word outside."""
+        value = self.tokens.get(feature)
+        return value if value is not None else -0.02 if feature.startswith("in ") else -0.5
+
+
+def fit_weights(pages: list[str] | None = None) -> Weights:
+    """Scores from labelled pages: of elements, of tags and of words (w; a w in a link), in and out of articles.
 
-    A score is the log-odds of standing inside the marked content. A tag that content has as often as the rest costs
-    next to nothing; the others' costs are doubled until the best region of every labelled page is its content.
+    A token's score is the log-odds of standing inside the marked content. A tag that content has as often as the rest
+    costs next to nothing; the others' costs are doubled as often as makes the best region the content on most of the
+    first 150 pages.
     """
+    pages = labelled_pages() if pages is None else pages
+    element = ElementScore.fit(pages)
     inside, outside = Counter(), Counter()
     for page in pages:
-        marks = page.index("[["), page.index("]]")
-        at = 0
-        for x, n, text in features(page.replace("[[", "<mark-start>").replace("]]", "<mark-end>")):
-            if x.endswith(("mark-start", "mark-end")):
-                at += 1
-            else:
-                (inside if at == 1 else outside)[x] += n
-        assert at == 2 and marks[0] < marks[1], "a labelled page has one [[ and one ]]"
+        content = False
+        for x, n, _ in features(_marked(page), element):
+            name = x.removeprefix("in ")
+            if name in _MARKS.values():
+                content = name in ("mark-content", "mark-back")
+            elif not name.startswith("/mark"):
+                (inside if content else outside)[x] += n
     total = sum(inside.values()), sum(outside.values())
     raw = {x: math.log((inside[x] + 0.5) / total[0]) - math.log((outside[x] + 0.5) / total[1]) for x in {*inside, *outside}}
-    for power in range(8):
-        weights = {x: (s if x.endswith("w") else -0.02 if s > -0.5 else s * 2**power) for x, s in raw.items()}
+    best = None
+    for power in range(6):
+        tokens = {x: (s if x.endswith("w") else -0.02 if s > -0.5 else s * 2**power) for x, s in raw.items()}
         for x in ("w", "in w", "in a w"):
-            weights[x] = max(0.5, weights.get(x, 0.5))
-        if all(extract(p.replace("[[", "").replace("]]", ""), weights) == extract(p[p.index("[[") + 2 : p.index("]]")], {"w": 1.0, "a w": 1.0, "": 0.0}) for p in pages):
-            break
-    return weights
+            tokens[x] = max(0.5, tokens.get(x, 0.5))
+        weights = Weights(element, tokens)
+        right = sum(extract(unmarked(p), weights) == marked_text(p, weights) for p in pages[:150])
+        if best is None or right > best[0]:
+            best = right, weights
+    return best[1]
+
+
+def unmarked(page: str) -> str:
+    for mark in _MARKS:
+        page = page.replace(mark, "")
+    return page
+
+
+def marked_text(page: str, weights: Weights) -> str:
+    """The text between a labelled page's marks, without what its inner marks take out."""
+    body = page[page.index("[[") + 2 : page.index("]]")]
+    while "{{" in body:
+        body = body[: body.index("{{")] + body[body.index("}}") + 2 :]
+    return extract(body, Weights(ElementScore({}, {}, {}), {"w": 1.0, "a w": 1.0, "in w": 1.0, "in a w": 1.0, "": 0.0}), whole=True)
 
 
 @lru_cache(1)
-def default_weights() -> dict[str, float]:
+def default_weights() -> Weights:
     return fit_weights()
 
 
-def extract(page: str | None, weights: dict[str, float] | None = None) -> str:
-    """The main text of a page: its blocks in page order, one per line; no content gives an empty text."""
-    if not page:
-        return ""
-    weights = default_weights() if weights is None else weights
-    tokens = []
+def best_region(values: list[float]) -> tuple[int, int]:
+    """The contiguous run [start, end) of the greatest positive sum, the first and shortest of equals; (0, 0) if none is positive."""
     best, start, end = 0.0, 0, 0
     total, begun = 0.0, 0
-    for x, count, text in features(page):
-        tokens.append((x, text))
-        value = weights.get(x)
-        if value is None:
-            value = weights.get("", -0.02 if x.startswith("in ") else -0.5)
-        total += value * count
+    for k, value in enumerate(values):
+        total += value
         if total <= 0:
-            total, begun = 0.0, len(tokens)
+            total, begun = 0.0, k + 1
         elif total > best:
-            best, start, end = total, begun, len(tokens)
+            best, start, end = total, begun, k + 1
+    return start, end
+
+
+def extract(page: str | None, weights: Weights | None = None, whole: bool = False) -> str:
+    """The main text of a page: its blocks in page order, one per line; no content gives an empty text.
+
+    ``whole`` takes all of the page that is no boilerplate element for the region.
+    """
+    if not page:
+        return ""
+    weights = default_weights() if weights is None else weights
+    tokens = list(features(page, weights.element))
+    start, end = (0, len(tokens)) if whole else best_region([weights.of(x) * count for x, count, _ in tokens])
     blocks, now = [], []
-    for x, text in tokens[start:end]:
+    for x, _, text in tokens[start:end]:
         if text:
             now.append(text)
         elif x.removeprefix("in ").lstrip("/") in _BLOCK:
@@ -179,18 +307,20 @@ def extract(page: str | None, weights: dict[str, float] | None = None) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def extract_text(pages: DataFrame, name: str = "text", html_col: str = "html", weights: dict[str, float] | None = None) -> DataFrame:
-    """The pages with their main text.
+def extract_text(pages: DataFrame, name: str = "text", html_col: str = "html", weights: Weights | None = None) -> DataFrame:
+    """The pages with their main text (underscores where the name is taken).
 
-    Every page is scanned once, whole, without a shuffle; the weights are a small table fitted on labelled pages.
-    Defined results: null, empty and tagless html give an empty text or the text as it is; unclosed tags, scripts and
-    comments run to the end of their parent or of the page; unknown references stay as they are.
+    Every page is scanned once, whole, without a shuffle; the weights are small tables fitted on labelled pages.
+    Defined results: null, empty and tagless html give an empty text or the text as it is; comments, scripts and tags
+    that never end run to the end of the page, as in browsers; elements that never end run to the end of their parent;
+    unknown references stay as they are; equal pages give equal texts; empty table - no rows.
     """
     weights = weights or default_weights()
     place = pages.columns.index(html_col)
+    name = fresh_name(pages, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, place):
             got = [extract(page.as_py(), weights) for page in batch.column(place)]
             yield arrow_rows(batch, batch.schema, **{name: pa.array(got, pa.string())})
 

@@ -215,6 +215,13 @@ def labelled_sample(labels: DataFrame, label: str, id_col: str, limit: int) -> D
     return one(0).unionByName(one(1))
 
 
+def one_text_each(rows: DataFrame, chosen: DataFrame, value: str) -> DataFrame:
+    """(id, label, value) of the chosen ids: one row per id however many rows have it, with their smallest value."""
+    # Broadcast: as many ids and labels as the sample has.
+    found = rows.join(F.broadcast(chosen), "id")
+    return found.groupBy("id", "label").agg(F.min(value).alias(value))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, sample: int = 8000, space: Space = Space()) -> DataFrame:  # noqa: B008
     """One row per document: ``id_col``, held_out, score (probability of label 1), predicted (1 if score >= ``threshold``).
 
@@ -223,14 +230,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", i
     are drawn of a label. Only the text is an input of the score.
 
     Defined results: null and empty texts have the zero vector and get a score too; with no labels, or one kind only,
-    the score is 0.5 or that label's value for all; a null id is not held out; empty table - no rows.
+    the score is 0.5 or that label's value for all; an id with several labels counts as its largest, and of several
+    vectors of one labelled id one is learnt from; a null id is not held out and teaches nothing; empty table - no rows.
     """
     table = word_vectors(docs, text_col, space)
     kind = docs.schema[id_col].dataType.simpleString()
     pooled = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).mapInArrow(_pool(table, space), f"id {kind}, vector binary"))
     chosen = labelled_sample(labels, label, id_col, sample)
-    # Broadcast: at most 2 * sample ids and labels.
-    train = pooled.join(F.broadcast(chosen), "id").select("label", "vector").toPandas()
+    # At most 2 * sample rows.
+    train = one_text_each(pooled, chosen, "vector").orderBy("id").select("label", "vector").toPandas()
     x = np.array([np.frombuffer(v, np.float32) for v in train["vector"]], np.float64)
     y = train["label"].to_numpy(float)
     network = None

@@ -1,6 +1,9 @@
 """SentencePiece, HTML extraction, quality and toxicity: brute force, exact round trips and held-out accuracy."""
 
+import math
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -9,6 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from graphlens.llm import html, pieces, quality, toxicity
+from graphlens.llm.html_pages import labelled_pages
 from graphlens.llm.queries import QUERIES, TOKENIZER
 
 SF = "/root/testdata/sf0.01"
@@ -94,10 +98,47 @@ def test_pages(spark):
 
 
 def test_labelled_pages_are_recovered():
+    """Nearly all pages the weights come from, and of as many that they have not seen."""
     weights = html.default_weights()
-    for page in html.LABELLED:
-        want = html.extract(page[page.index("[[") + 2 : page.index("]]")], {"w": 1.0, "a w": 1.0, "": 0.0})
-        assert html.extract(page.replace("[[", "").replace("]]", ""), weights) == want
+    for seed in (11, 5):
+        pages = labelled_pages(300, seed)
+        right = [html.extract(html.unmarked(p), weights) == html.marked_text(p, weights) for p in pages]
+        assert np.mean(right) > 0.98
+
+
+def test_one_word_of_a_class_decides_nothing():
+    page = "<article><p>First part of it.</p><div class='{}'><p>Kept or not.</p></div><p>Last part of it.</p></article>"
+    for name in ("related-work", "alert", "widget-maker", "menu-of-the-day", "shared-memory", "x ad-hoc-networks"):
+        assert html.extract(page.format(name)) == "First part of it.\nKept or not.\nLast part of it."
+    for name in ("ad", "notice", "social", "share-buttons", "related-posts", "ad-banner", "comments", "box ad", "cookie-notice-2"):
+        assert html.extract(page.format(name)) == "First part of it.\nLast part of it."
+    assert html.extract("<body><div class='alert'><p>All that this page has to say.</p></div></body>") == "All that this page has to say."
+
+
+def test_best_region_equals_brute_force():
+    rng = random.Random(3)
+    for _ in range(300):
+        values = [rng.choice([-3.0, -1.0, -0.5, 0.5, 1.0, 2.0]) for _ in range(rng.randint(0, 14))]
+        sums = {(a, b): sum(values[a:b]) for a in range(len(values)) for b in range(a + 1, len(values) + 1)}
+        top = max(sums.values(), default=0)
+        a, b = html.best_region(values)
+        assert (a, b) == (0, 0) if top <= 0 else sums[a, b] == top
+
+
+def test_hostile_pages_take_linear_time():
+    pages = ["<b>" * 100_000 + "</i>" * 100_000 + "text", "<a " * 200_000 + "'>", "<!" * 300_000, "<div class=ad>" + "<article>" * 50_000, "<p>" * 300_000, '<a "' * 200_000]
+    took = time.perf_counter()
+    assert [html.extract(p) for p in pages][0] == "text"
+    assert time.perf_counter() - took < 20
+
+
+def test_odd_pages(spark):
+    long = "<article>" + "<p>long &amp; winding</p>" * 50_000 + "</article>"
+    frame = spark.createDataFrame([(1, long, "a"), (1, long, "a"), (None, None, None), (3, "", "b")], "page_id long, html string, TEXT string")
+    got = html.extract_text(frame)
+    assert got.columns == ["page_id", "html", "TEXT", "text_"]
+    assert sorted((str(r.page_id), r.text_.count("long & winding")) for r in got.collect()) == [("1", 50_000), ("1", 50_000), ("3", 0), ("None", 0)]
+    assert html.extract_text(frame.where("false")).count() == 0
 
 
 def auc(y, s):
@@ -141,9 +182,126 @@ def test_label_model_finds_the_good_voters():
     y = rng.random(4000) < 0.3
     votes = np.column_stack([np.where(rng.random(4000) < a, y, ~y) * 2.0 - 1 for a in (0.95, 0.9, 0.85, 0.6)])
     votes = np.column_stack([votes, votes[:, 3], votes[:, 3]])  # three voters that are one
-    posterior, accuracy, correlation = toxicity.label_model(votes, 0.3, np.clip((votes[:, :3] > 0).mean(axis=1), 0.05, 0.95))
+    posterior, accuracy, dependence = toxicity.label_model(votes, 0.3)
     assert ((posterior > 0.5) == y).mean() > 0.95
-    assert accuracy[0] > accuracy[3] and correlation[3, 4] > 0.9
+    assert accuracy[0] > accuracy[3] and dependence[3, 4] > 10 * dependence[0, 1]
+
+
+@pytest.mark.parametrize("noise", [0.0, 0.02])
+def test_label_model_settles_on_voters_that_agree(noise):
+    rng = np.random.default_rng(1)
+    y = rng.random(1000) < 0.5
+    votes = np.column_stack([np.where(rng.random(1000) < noise, ~y, y) * 2.0 - 1 for _ in range(12)])
+    posterior, accuracy, _ = toxicity.label_model(votes, 0.5)
+    assert ((posterior > 0.5) == y).all() and accuracy.min() > 0.9
+    for rounds in (1, 2, 3):
+        assert len(toxicity.label_model(votes, 0.5, rounds)[0]) == 1000
+
+
+def test_label_model_equals_a_plain_count(monkeypatch):
+    """One round of expectation-maximisation by loops over rows, voters and votes, for voters without parents."""
+    rng = np.random.default_rng(9)
+    votes = rng.choice([-1.0, 0.0, 1.0], (60, 3))
+    monkeypatch.setattr(toxicity, "_tree", lambda dependence: [-1, -1, -1])
+    got, _, _ = toxicity.label_model(votes, 0.25, 1)
+    alike = np.corrcoef((votes == 1).T) ** 4
+    most = sorted(range(60), key=lambda i: (-round(sum((votes[i][j] == 1) / alike[j].sum() for j in range(3)), 9), i))
+    start = [0.9 if i in most[:15] and (votes[i] == 1).any() else 0.1 if (votes[i] == 1).any() else 0.02 for i in range(60)]
+    for i in range(60):
+        odds = math.log(0.25 / 0.75)
+        for j in range(3):
+            share = []
+            for side in (start, [1 - p for p in start]):
+                mass = {v: 0.5 + sum(p for p, row in zip(side, votes, strict=True) if row[j] == v) for v in (-1.0, 0.0, 1.0)}
+                share.append(mass[votes[i][j]] / sum(mass.values()))
+            odds += math.log(share[0] / share[1])
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-odds)), abs=1e-9)
+
+
+def test_spanning_tree_joins_what_depends():
+    dependence = np.zeros((5, 5))
+    for a, b, x in ((0, 1, 0.5), (1, 2, 0.4), (0, 2, 0.1), (3, 4, 0.2)):
+        dependence[a, b] = dependence[b, a] = x
+    links = {frozenset((v, p)) for v, p in enumerate(toxicity._tree(dependence)) if p >= 0}
+    assert links == {frozenset((0, 1)), frozenset((1, 2)), frozenset((3, 4))}
+
+
+def test_pattern_voters_read_the_text():
+    texts = ["YOU ARE ALL SO VERY LOUD", "what!! is this all about??", "such an a*shole as this one", "noooo way that is good now", "you are such a one as that", "word word word word word word", "a quiet text that says nothing", "hi", ""]
+    body = [t.encode() for t in texts]
+    got = toxicity.patterns(np.frombuffer(b"".join(body), np.uint8), np.cumsum([0, *map(len, body)]))
+    fires = [{toxicity.PATTERNS[k] for k in np.flatnonzero(row == 1)} for row in got]
+    assert fires[0] >= {"shouting", "capital words", "addresses the reader", "tells the reader what they are"}
+    assert fires[1] == {"repeated marks"} and fires[2] == {"masked words"} and fires[3] == {"drawn-out letters"}
+    assert fires[4] == {"addresses the reader", "tells the reader what they are"} and fires[5] == {"one word over and over"}
+    assert fires[6] == set() and (got[6] == -1).all() and (got[7:] == 0).all()
+
+
+def test_counts_of_units_equal_a_dictionary():
+    """Lexicon counts of texts by a plain dictionary of words and byte beginnings."""
+    texts = ["Idiot idiotic idiots", "nothing of the kind", "", "IDIOT!"]
+    body = [t.encode() for t in texts]
+    raw, offsets = np.frombuffer(b"".join(body), np.uint8), np.cumsum([0, *map(len, body)])
+    hashes, rows, words = toxicity.units(raw, offsets)
+    assert words.tolist() == [3, 4, 0, 1]
+    idiot = toxicity._hashes_of("idiot")[0]
+    features = toxicity.Features([(int(idiot.view(np.int64)), 0, 3.0), (int(hashes[2][0].view(np.int64)), 2, 3.0)], 2)
+    counts, _ = features.counts(raw, offsets)
+    plain = []
+    for t in texts:
+        found = re.findall(r"[a-z0-9]+", t.lower())
+        plain.append(sorted([sum(w == "idiot" for w in found), sum(len(w) > 5 and w[:5] == "idiot" for w in found)]))
+    assert [sorted(x) for x in counts.tolist()] == plain
+
+
+def test_separable_labels_and_clashing_columns(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * 3 for _ in range(30)) + (" vile foul mean base cruel rude coarse" if i % 2 else ""), i % 2) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxicity int")
+    labels = spark.createDataFrame([(i, y, i + 1000, "x") for i, _, y in rows], "doc_id long, toxic int, id long, text string")
+    scores = {r.doc_id: r.predicted for r in toxicity.toxicity_scores(docs, labels).collect()}
+    assert scores == {i: y for i, _, y in rows}
+    kept = toxicity.remove_toxic(docs, labels)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, _, y in rows if not y}
+    assert toxicity.add_toxicity(docs, labels).columns[-1] == "toxicity_"
+
+
+def test_a_labelled_id_of_many_rows_teaches_once(spark):
+    docs = spark.range(3000).selectExpr("id % 4 as doc_id", "concat('word ', id) as text")
+    chosen = spark.createDataFrame([(0, 1), (1, 0), (3, 1)], "id long, label int")
+    got = quality.one_text_each(docs.withColumnRenamed("doc_id", "id"), chosen, "text").collect()
+    assert sorted((r.id, r.text) for r in got) == [(0, "word 0"), (1, "word 1"), (3, "word 1003")]
+
+
+def test_vectors_and_pooling_equal_a_plain_count(spark):
+    """Random-indexing vectors and pooled vectors of a few texts by loops over tokens."""
+    texts = ["the cat sat on the mat", "The dog, the cat!", None, "x"]
+    space = quality.Space(words=64, dims=8, nonzero=2)
+    dims, signs = space.index_vectors()
+    table = np.zeros((space.rows, space.dims))
+    split = []
+    for t in texts:
+        body = (t or "").encode()
+        words, shapes, _ = quality.tokens(np.frombuffer(body, np.uint8), np.array([0, len(body)]), space)
+        split.append((words.tolist(), shapes.tolist()))
+        for i in range(len(words)):
+            for j in (i - 1, i + 1):
+                if 0 <= j < len(words):
+                    for beside in (words[j], shapes[j]):
+                        for k in range(space.nonzero):
+                            for centre in (words[i], shapes[i]):
+                                table[centre, dims[k][beside]] += signs[k][beside]
+    table /= np.maximum(1e-9, np.linalg.norm(table, axis=1, keepdims=True))
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = quality.word_vectors(docs, "text", space, 4)
+    assert np.allclose(got, table, atol=1e-6)
+    pooled = docs.mapInArrow(quality._pool(got, space), "id long, vector binary").collect()
+    for r in pooled:
+        words, shapes = split[r.id]
+        vector = np.frombuffer(r.vector, np.float32)
+        want = [np.mean([table[w] for w in part], axis=0) if part else np.zeros(space.dims) for part in (words, shapes)]
+        share = [math.sqrt(sum(s == space.words + k for s in shapes) / max(1, len(shapes))) for k in range(quality.SHAPES)]
+        assert np.allclose(vector, [*want[0], *want[1], *share, math.log1p(len(words))], atol=1e-5)
 
 
 def test_quality_prior_does_not_follow_the_sample(spark):
