@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,15 +17,16 @@ BLOCK_BYTES = 1 << 19
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; a folder of our own only where none is set (tests, one machine)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(folder)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints/graphlens")
+    """Use the shared folder that ``spark.checkpoint.dir`` names; where it is unset, one of our own, in local mode only."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="graphlens-checkpoints-")
+    context.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -33,6 +35,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Delete the files of a ``cut`` that nothing will read again."""
+    plan = df._jdf.queryExecution().analyzed()
+    file = plan.rdd().getCheckpointFile()
+    if file.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh_name(df: DataFrame, stem: str) -> str:
     """A column name that the frame does not have yet, in any letter case."""
     taken = {c.lower() for c in df.columns}

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import cut
+from graphlens.llm.common import cut, release
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component): every node of a link with the smallest node that it can reach.
 
     A round groups by node with partial aggregates and joins the minimum back by a key that is not the grouping's, so
-    both sides are dealt anew and a hub's rows can be split between tasks; each round's links are written to the shared folder. The links shrink to one star per component, and
-    the rounds end when none changes.
+    both sides are dealt anew and a hub's rows can be split between tasks. Each round's links are written to the shared
+    folder and the round's before are deleted. The links shrink to one star per component, and the rounds end when
+    none changes.
     """
     links = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
     links = cut(links)
@@ -26,7 +27,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         # Small star: a node's smaller neighbours and itself link to the smallest of them.
         low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.bitwise_not("a").alias("not_a"), "m")
         small = large.withColumn("not_a", F.bitwise_not("a")).join(low, "not_a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        links = cut(small)
+        last, links = links, cut(small)
+        release(last)
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

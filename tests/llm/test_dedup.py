@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -111,7 +112,7 @@ def brute_components(prints, distance=4):
     return [(doc, f"{p:016x}", low.get(find(i))) for i, (doc, p) in enumerate(prints)]
 
 
-@pytest.mark.parametrize("options", [{}, {"segments": 2}, {"hot": 1}])
+@pytest.mark.parametrize("options", [{}, {"plan": simhash.tables(4, 1 << 24), "hot": 1}])
 def test_simhash(spark, docs, empty, options):
     for frame in (docs, real(spark)):
         want = brute_components([(i, brute_print(t)) for i, t in pairs_of(frame)])
@@ -129,8 +130,10 @@ def test_simhash_links_of_dense_prints(spark):
     prints = sorted(prints)
     want = {f"{p:016x}": c for _, h, c in brute_components([(i, p) for i, p in enumerate(prints)]) for p in [int(h, 16)]}
     frame = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
-    for hot in (4096, 2):
-        parts = {r.node: r.component for r in connected_components(simhash.near_links(frame, hot=hot)).collect()}
+    for hot, rows in ((4096, 0), (2, 0), (4096, 1 << 25), (2, 1 << 25), (4096, 1 << 60)):
+        plan = simhash.tables(4, rows)
+        assert len(plan) == {0: 3, 1 << 25: 10, 1 << 60: 2}[rows]
+        parts = {r.node: r.component for r in connected_components(simhash.near_links(frame, plan=plan, hot=hot)).collect()}
         groups = defaultdict(set)
         for p in prints:
             s = p - (1 << 64) if p >> 63 else p
@@ -141,10 +144,25 @@ def test_simhash_links_of_dense_prints(spark):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, brute.values()))
 
 
+def test_simhash_of_very_long_texts():
+    rng = random.Random(4)
+    text = " ".join(rng.choice(WORDS) for _ in range(200_000))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([text, None, "a"])], names=["id", "t"])
+    got = pa.Table.from_batches(simhash._fingerprints(1, 4, 42, "fp", [0])(iter([batch]))).to_pydict()
+    assert got["id"] == [1, 2, 3] and [x % (1 << 64) for x in got["fp"]] == [brute_print(text), 0, brute_print("a")]
+
+
 def test_simhash_dedup_keeps_one_of_each(spark, docs):
-    comps = simhash.simhash_components(docs).select("component_id").distinct().count()
-    assert simhash.simhash_dedup(docs).count() == comps
-    assert simhash.simhash_dedup(docs).columns == docs.columns
+    rows = pairs_of(docs)
+    prints = [brute_print(t) for _, t in rows]
+    left, classes = set(range(len(rows))), 0
+    while left:
+        reached, classes = {left.pop()}, classes + 1
+        while near := {j for j in left for i in reached if (prints[i] ^ prints[j]).bit_count() <= 4}:
+            reached |= near
+            left -= near
+    got = simhash.simhash_dedup(docs)
+    assert got.columns == docs.columns and got.count() == classes
 
 
 def test_simhash_dedup_tells_rows_of_equal_id_apart_by_text(spark):
