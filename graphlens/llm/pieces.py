@@ -18,21 +18,34 @@ from pyspark.sql import functions as F
 from graphlens.llm.common import arrow_rows, cut, fresh_name, small_batches, with_schema
 
 SPACE = "▁"
+#: Stands for a literal U+2581 while a text is encoded, U+2581 itself being a space then; no text can hold a lone surrogate.
+LITERAL = "\ud800"
+#: Characters of its neighbours that a chunk carries on either side: no piece may be longer.
+HALO = 64
 #: No piece goes on across the start of one of these: a line feed, a run of spaces with what follows, or other text.
-_WORDS = re.compile(rf"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
+_WORDS = re.compile(rf"[\n{LITERAL}]|{SPACE}+[^{SPACE}{LITERAL}\n]*|[^{SPACE}{LITERAL}\n]+")
 NEVER = -1e18
 Token = tuple[int, int, int]  # start, end, id; an unknown character's id is -1 - its code point; (b, b, 0) at a word start
 
 
+def normal(text: str) -> str:
+    """A text with its spaces as pieces write them, and each literal U+2581 told apart; of the same length."""
+    return text.replace(SPACE, LITERAL).replace(" ", SPACE)
+
+
 class Vocabulary:
     """The pieces of a SentencePiece model, BPE or unigram, that keeps white space and falls back to bytes.
 
     ``model`` is the model file's content. Encoding gives the library's ids, but for a literal U+2581, which is encoded
-    by its bytes so that decoding gives every text back exactly.
+    by its bytes so that decoding gives every text back exactly. A model that changes texts before encoding, puts no
+    space before them, has no bytes, or has pieces longer than a chunk's surroundings, is refused.
     """
 
     def __init__(self, model: bytes, kind: str = "bpe", cache: int = 1 << 18):
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        probe = "  ﬁ　ＡÅ a\tb "
+        if sp.normalize(probe) != SPACE + probe.replace(" ", SPACE):
+            raise ValueError("the model normalises texts or puts no space before them; its ids cannot be told from the text as it is")
         self.kind, self.limit = kind, cache
         plain = [i for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.ids = {sp.id_to_piece(i): i for i in plain}
@@ -43,6 +56,8 @@ class Vocabulary:
             raise ValueError("the vocabulary has no bytes to fall back to")
         self.four = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
+        if self.longest > HALO:
+            raise ValueError(f"the vocabulary has a piece of {self.longest} characters, more than the {HALO} that a chunk sees of its neighbours")
         self.worst = min(self.score.values()) - 10.0  # of an unknown character, in a unigram model
         self.surface = surfaces(model)
         self.compatible = lru_cache(1 << 18)(self._compatible)
@@ -118,7 +133,7 @@ class Vocabulary:
         try:
             return b"".join([self.four[p] for p in parts])
         except KeyError:  # unknown characters, by their bytes
-            return b"".join([self.four.get(p) or b"".join(self.byte_ids[x].to_bytes(4, "little") for x in p.encode("utf-8", "surrogatepass")) for p in parts])
+            return b"".join([self.four.get(p) or b"".join(self.byte_ids[x].to_bytes(4, "little") for x in p.replace(LITERAL, SPACE).encode()) for p in parts])
 
     # --- max-plus lattice -------------------------------------------------------------------------------------------
 
@@ -144,7 +159,7 @@ class Vocabulary:
         if at <= 0 or at >= len(text):
             return True
         a, b = text[at - 1], text[at]
-        return a == "\n" or b == "\n" or (b == SPACE and a != SPACE)
+        return a in ("\n", LITERAL) or b in ("\n", LITERAL) or (b == SPACE and a != SPACE)
 
     def states(self, text: str, at: int) -> list[Token]:
         """Boundary states: the tokens that may cover the last character before a place; one state at a word start."""
@@ -251,21 +266,7 @@ class Vocabulary:
 
     def encode(self, text: str | None) -> bytes:
         """A text's ids as little-endian 32-bit integers."""
-        if not text:
-            return b""
-        first, *rest = text.split(SPACE)
-        out = [self._encode(SPACE + first.replace(" ", SPACE))]
-        for part in rest:
-            out.append(self.literal)
-            out.append(self._encode(part.replace(" ", SPACE)))
-        return b"".join(out)
-
-    @property
-    def literal(self) -> bytes:
-        return np.array([self.byte_ids[x] for x in SPACE.encode()], np.int32).tobytes()
-
-    def _encode(self, normal: str) -> bytes:
-        return b"".join(map(self.cache.__getitem__, _WORDS.findall(normal)))
+        return b"".join(map(self.cache.__getitem__, _WORDS.findall(normal(f" {text}")))) if text else b""
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
@@ -315,18 +316,18 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(NEVER, (a[:, :, None] + b[None, :, :]).max(axis=1))
 
 
-def _chunks(chunk: int, halo: int):
-    """(key, body) to (key, k, context, lo, hi): the normal text of a chunk with its neighbours' nearest characters."""
+def _chunks(chunk: int):
+    """(key, body) to (key, k, context, lo, hi): a chunk of the text, a space before it, with its neighbours' nearest characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                normal = SPACE + body.replace(" ", SPACE)
-                for k, lo in enumerate(range(0, len(normal), chunk)):
-                    hi = min(len(normal), lo + chunk)
-                    a, b = max(0, lo - halo), min(len(normal), hi + halo)
+            for key, body in zip(batch.column(0), batch.column(1), strict=True):
+                text = f" {body.as_py()}"
+                for k, lo in enumerate(range(0, len(text), chunk)):
+                    hi = min(len(text), lo + chunk)
+                    a, b = max(0, lo - HALO), min(len(text), hi + HALO)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([key]), pa.array([k], pa.int32()), pa.array([normal[a:b]]), pa.array([lo - a], pa.int32()), pa.array([hi - a], pa.int32())],
+                        [pa.array([key.as_py()]), pa.array([k], pa.int32()), pa.array([text[a:b]]), pa.array([lo - a], pa.int32()), pa.array([hi - a], pa.int32())],
                         names=["key", "k", "context", "lo", "hi"],
                     )
 
@@ -338,7 +339,7 @@ def _transfers(model: bytes, kind: str):
         vocabulary = _vocabulary(model, kind)
         for batch in batches:
             rows = batch.to_pylist()
-            found = [vocabulary.transfer(r["context"], r["lo"], r["hi"]) for r in rows]
+            found = [vocabulary.transfer(normal(r["context"]), r["lo"], r["hi"]) for r in rows]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([m.shape[0] for m in found], pa.int32()), pa.array([m.ravel().tolist() for m in found], pa.list_(pa.float64()))],
                 names=["key", "k", "states", "matrix"],
@@ -364,7 +365,7 @@ def _traces(model: bytes, kind: str):
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                path = vocabulary.traced(r["context"], r["lo"], r["hi"], r["enter"], r["leave"])
+                path = vocabulary.traced(normal(r["context"]), r["lo"], r["hi"], r["enter"], r["leave"])
                 ids = np.frombuffer(vocabulary.packed([vocabulary.text[i] if i >= 0 else chr(-1 - i) for _, _, i in path]), np.int32)
                 out.append(ids.tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["key", "k", "ids"])
@@ -372,13 +373,14 @@ def _traces(model: bytes, kind: str):
     return run
 
 
-def encode(docs: DataFrame, model_path: str, name: str = "ids", text_col: str = "text", kind: str = "bpe", chunk: int = 1 << 16, decoded: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, name: str = "ids", text_col: str = "text", kind: str = "bpe", chunk: int = 1 << 15, decoded: str | None = None) -> DataFrame:
     """The documents with their SentencePiece ids (array<int>); names get underscores where taken.
 
     ``decoded`` names one more column: the text that the ids give back, decoded by the task that has just encoded it.
 
-    Texts of up to ``chunk`` characters are encoded in one pass without a shuffle; words seen before come from a bounded
-    cache. Longer texts are split into chunks anywhere. A chunk's state at a boundary is the token that covers the
+    Texts shorter than ``chunk`` characters are a single chunk, whose only states are its two ends: they are traced at
+    once, in one pass without a shuffle; words seen before come from a bounded cache. Longer texts are split into
+    chunks anywhere. A chunk's state at a boundary is the token that covers the
     character before it; each chunk yields the max-plus matrix from its entry to its exit states, a document's
     matrices are combined by an associative scan, and every chunk is traced back by itself between the chosen states.
 
@@ -403,14 +405,13 @@ def encode(docs: DataFrame, model_path: str, name: str = "ids", text_col: str =
             back = {decoded: pa.array([_text(surface, np.frombuffer(x, np.int32)) for x in packed], pa.string())} if decoded else {}
             yield arrow_rows(batch, batch.schema, **{name: ids}, **back)
 
-    # A text with a literal U+2581 has word starts of its own kind, and takes the plain way whatever its length.
-    giant = F.coalesce((F.length(text_col) >= chunk) & ~F.contains(F.col(text_col), F.lit(SPACE)), F.lit(False))
+    giant = F.coalesce(F.length(text_col) >= chunk, F.lit(False))
     short = docs.where(~giant).mapInArrow(run, schema)
     long = docs.where(giant)
-    # Giant texts are named by their hash: equal texts share one encoding.
-    texts = long.select(F.sha2(text_col, 256).alias("key"), F.col(text_col).alias("body")).dropDuplicates(["key"])
+    # Giant texts are named by their hash: equal texts share one encoding. They are dealt by it before they are split.
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = texts.mapInArrow(_chunks(chunk, 64), "key string, k int, context string, lo int, hi int").repartition(n, "key", "k")
+    texts = long.select(F.sha2(text_col, 256).alias("key"), F.col(text_col).alias("body")).repartition(n, "key").dropDuplicates(["key"])
+    pieces = texts.mapInArrow(_chunks(chunk), "key string, k int, context string, lo int, hi int").repartition(n, "key", "k")
     pieces = cut(pieces)
     chosen = pieces.mapInArrow(_transfers(model, kind), "key string, k int, states int, matrix array<double>").groupBy("key").applyInPandas(_choose, "key string, k int, enter int, leave int")
     traced = pieces.join(chosen, ["key", "k"]).select("key", "k", "context", "lo", "hi", "enter", "leave").mapInArrow(_traces(model, kind), "key string, k int, ids array<int>")

@@ -49,11 +49,34 @@ def test_encode_equals_the_library_and_decodes(spark, library, chunk):
 
 
 def test_encode_real_documents(spark, library):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(200)
-    for r in pieces.encode(docs, TOKENIZER, chunk=3000).collect():
+    """Every document through the scan: chunks of 500 characters, most texts longer."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = pieces.encode(docs, TOKENIZER, chunk=500).collect()
+    assert len(rows) == 1000 and sum(len(r.text) >= 500 for r in rows) > 600
+    for r in rows:
         assert r.ids == library.encode(r.text)
 
 
+def test_giant_text_with_literal_marks_is_split(spark, vocabulary):
+    """A megabyte with U+2581 goes through many chunks and gives the plain way's ids and itself back."""
+    rng = random.Random(12)
+    text = "".join(rng.choice(["ab", "cde", " ", "▁", "\n", "é", "the ", "▁▁", "ing"]) for _ in range(500_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = pieces.encode(docs, TOKENIZER, chunk=1 << 14, decoded="back").first()
+    assert row.back == text and row.ids == np.frombuffer(vocabulary.encode(text), np.int32).tolist()
+
+
+def test_other_models_are_refused(monkeypatch):
+    model = open(TOKENIZER, "rb").read()
+    monkeypatch.setattr(pieces, "HALO", 5)
+    with pytest.raises(ValueError, match="piece of"):
+        pieces.Vocabulary(model)
+    real = sentencepiece.SentencePieceProcessor.normalize
+    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "normalize", lambda self, x: real(self, x).replace("ﬁ", "fi"))
+    with pytest.raises(ValueError, match="normalises"):
+        pieces.Vocabulary(model)
+
+
 def test_unigram_chunks_equal_plain_viterbi(vocabulary):
     """The same vocabulary read as a unigram model: a chunked scan finds a path of the best total score."""
     model = pieces.Vocabulary(open(TOKENIZER, "rb").read(), "unigram")
