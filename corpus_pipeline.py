@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlens.llm import decontaminate, lines, pieces, simhash, toxicity
-from graphlens.llm.common import fresh_name
+from graphlens.llm.common import cut, fresh_name
 from graphlens.llm.queries import TOKENIZER
 
 ORACLE_SQL = None
@@ -49,7 +49,8 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another on the documents; what a stage keeps is written once, in the shared checkpoint folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs if k == 0 else cut(docs), sf_dir)
     return docs
