@@ -36,26 +36,21 @@ kept AS (SELECT doc_id, string_agg(w[p], ' ' ORDER BY p) AS t FROM (SELECT doc_i
 SELECT doc_id, len(w) AS n_words, coalesce(len(ps), 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN marks USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
 
-def _lines(rounds: int = 13) -> str:
-    """Runs of 1, 2, 4, ... lines by name, each from the names of its halves; the deepest earlier copy of 1, 4, 16, ... lines gives run_depth."""
-    names = ["r0 AS (SELECT doc_id, n, md5(line) AS g FROM lines)"]
-    for k in range(1, rounds):
-        names.append(f"r{k} AS (SELECT a.doc_id, a.n, md5(a.g || b.g) AS g FROM r{k - 1} a JOIN r{k - 1} b ON b.doc_id = a.doc_id AND b.n = a.n + {1 << (k - 1)})")
-    deep = " UNION ALL ".join(f"SELECT doc_id, {1 << k} AS depth FROM (SELECT doc_id, row_number() OVER (PARTITION BY g ORDER BY doc_id, n) AS c FROM r{k}) WHERE c > 1" for k in range(0, rounds, 2))
-    return f"""WITH lines AS (SELECT doc_id, unnest(range(0, len(l))) AS n, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
-{", ".join(names)},
-seen AS (SELECT doc_id, n, line, row_number() OVER (PARTITION BY line ORDER BY doc_id, n) > 1 AS gone FROM lines),
-runs AS (SELECT doc_id, gone, count(*) AS len FROM (SELECT *, n - row_number() OVER (PARTITION BY doc_id, gone ORDER BY n) AS grp FROM seen) GROUP BY doc_id, gone, grp),
-r AS (SELECT doc_id, count(*) FILTER (gone) AS n_runs, coalesce(max(len) FILTER (gone), 0) AS longest_run FROM runs GROUP BY doc_id),
-depths AS (SELECT doc_id, max(depth) AS run_depth FROM ({deep}) GROUP BY doc_id),
-kept AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '') AS t FROM seen GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs, coalesce(longest_run, 0) AS longest_run,
-coalesce(run_depth, 0) AS run_depth, sha256(coalesce(t, '')) AS kept_sha256
-FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN depths USING (doc_id)"""
+# Runs grow by one line as long as several positions have them; a position's longest with an earlier one is its lcp.
+_LINES = """WITH RECURSIVE lines AS (SELECT doc_id, unnest(range(0, len(l))) AS n, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+named AS (SELECT doc_id, n, md5(line) AS h FROM lines),
+step AS (SELECT doc_id, n, 1 AS len, h AS g FROM named
+UNION ALL SELECT s.doc_id, s.n, s.len + 1 AS len, md5(s.g || l.h) AS g FROM (SELECT *, count(*) OVER (PARTITION BY g) AS members FROM step) s JOIN named l ON l.doc_id = s.doc_id AND l.n = s.n + s.len WHERE members > 1),
+lcp AS (SELECT doc_id, n, max(len) AS len FROM (SELECT *, row_number() OVER (PARTITION BY len, g ORDER BY doc_id, n) AS c FROM step) WHERE c > 1 AND len >= 2 GROUP BY doc_id, n),
+gone AS (SELECT DISTINCT doc_id, unnest(range(n, n + 2)) AS n FROM lcp),
+heads AS (SELECT a.doc_id, count(*) AS n_runs, max(a.len) AS longest_run FROM lcp a LEFT JOIN lcp b ON b.doc_id = a.doc_id AND b.n = a.n - 1 WHERE b.len IS NULL OR b.len <> a.len + 1 GROUP BY a.doc_id),
+kept AS (SELECT doc_id, count(*) AS n_lines, count(g.n) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY l.n) FILTER (g.n IS NULL), '') AS t FROM lines l LEFT JOIN gone g USING (doc_id, n) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs, coalesce(longest_run, 0) AS longest_run, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN heads USING (doc_id)"""
 
 
 ORACLE_SQL = {
-    "op2_line_dedup": _lines(),
+    "op2_line_dedup": _LINES,
     "op3_exact_dedup": _EXACT,
     "op5_sharding": _SHARDS,
     "op8_decontaminate": _CONTAMINATION,

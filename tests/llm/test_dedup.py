@@ -264,6 +264,7 @@ def test_reference_spans(spark, docs, empty, shard_bytes):
 
 
 def brute_lines(documents, least):
+    """(id, n_lines, n_removed, kept text, runs): runs by growing every run of lines until it has no earlier copy."""
     from pyspark.sql import SparkSession
 
     session = SparkSession.active()
@@ -272,22 +273,39 @@ def brute_lines(documents, least):
     order = sorted({d for d in documents if d[1] is not None}, key=lambda d: (d[0] is not None, d[0] or 0, keys[d]))
     seen, result = set(), {}
     for d in order:
-        parts = d[1].split("\n")
-        gone = set()
-        for k in range(len(parts) - least + 1):
-            run = tuple(parts[k : k + least])
-            if run in seen:
-                gone |= set(range(k, k + least))
-            seen.add(run)
-        result[d] = (len(parts), len(gone), "\n".join(p for k, p in enumerate(parts) if k not in gone))
-    return [(d[0], *result.get(d, (0, 0, None))) for d in documents]
+        parts, gone, shared = d[1].split("\n"), set(), {}
+        for k in range(len(parts)):
+            runs = [tuple(parts[k:e]) for e in range(k + 1, len(parts) + 1)]
+            lcp = next((j for j, run in enumerate(runs) if run not in seen), len(runs))
+            if lcp >= least:
+                gone |= set(range(k, k + lcp))
+                shared[k] = lcp
+            seen.update(runs)
+        heads = [(k, n) for k, n in sorted(shared.items()) if shared.get(k - 1) != n + 1]
+        result[d] = (len(parts), len(gone), "\n".join(p for k, p in enumerate(parts) if k not in gone), heads)
+    return [(d[0], *result.get(d, (0, 0, None, []))) for d in documents]
+
+
+def line_rows(frame, least):
+    return [(r.doc_id, r.n_lines, r.n_removed, r.kept_text, [tuple(x) for x in r.line_runs]) for r in lines.line_dedup(frame, min_lines=least).collect()]
 
 
-@pytest.mark.parametrize("least", [1, 2, 3])
+@pytest.mark.parametrize("least", [1, 2, 6])
 def test_lines(spark, docs, empty, least):
     for frame in (docs, real(spark)):
-        rows = lines.line_dedup(frame, min_lines=least).collect()
-        got = [(r.doc_id, r.n_lines, r.n_removed, r.kept_text) for r in rows]
-        assert sorted(got, key=str) == sorted(brute_lines(pairs_of(frame), least), key=str)
-        assert all(r.longest_run <= r.n_removed and (r.n_runs > 0) == (r.n_removed > 0) for r in rows)
+        assert sorted(line_rows(frame, least), key=str) == sorted(brute_lines(pairs_of(frame), least), key=str)
     assert lines.line_dedup(empty).count() == 0
+
+
+def test_runs_of_few_different_lines(spark):
+    """Texts over three lines share runs of all lengths; every longest prefix must be found, and blank lines alone stay."""
+    rng = random.Random(17)
+    texts = ["\n".join(rng.choice(["a", "b", ""]) for _ in range(rng.randint(1, 60))) for _ in range(25)]
+    texts += ["\n".join(["x"] * 50), texts[3], texts[4] + "\n" + texts[3], "one\n\ntwo", "three\n\nfour"]
+    rows = list(enumerate(texts)) + [(None, texts[5]), (2, texts[6])]
+    frame = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, n_lines int, base int")
+    for least in (1, 3):
+        got = [(r.doc_id, r.n_lines_, r.n_removed, r.kept_text, [tuple(x) for x in r.line_runs]) for r in lines.line_dedup(frame, min_lines=least).collect()]
+        assert sorted(got, key=str) == sorted(brute_lines(rows, least), key=str)
+    kept = {r.doc_id: r.text for r in lines.remove_repeated_lines(frame).collect()}
+    assert kept[28] == "one\n\ntwo" and kept[29] == "three\n\nfour"
