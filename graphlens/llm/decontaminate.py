@@ -2,126 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import LOWER, NOT_ALNUM, arrow_rows, fresh_name, text_blocks, with_schema, word_bounds, word_hashes
-
-
-class SuffixAutomaton:
-    """Generalised suffix automaton of word sequences: every word run of every sequence is a path from the root.
-
-    ``full[v]``: the state that holds the length-``width`` suffix of v's strings, or -1. ``items[v]``: the sequences
-    in which that state's width-long run occurs. ``short[v]``: (length, sequence) of whole sequences of fewer words
-    that end v's strings.
-    """
-
-    def __init__(self, sequences: dict[str, list[int]], width: int):
-        self.width = width
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        for words in sequences.values():
-            last = 0
-            for w in words:
-                last = self._extend(last, w)
-        order = sorted(range(len(self.link)), key=self.length.__getitem__)
-        self.full = [-1] * len(self.link)
-        self.items: dict[int, set[str]] = {}
-        self.short: list[list[tuple[int, str]]] = [[] for _ in self.link]
-        for name, words in sequences.items():
-            v = 0
-            for w in words:
-                v = self.next[v][w]
-            if 0 < len(words) < width:
-                self.short[self._holding(v, len(words))].append((len(words), name))
-        for v in order[1:]:
-            up = self.link[v]
-            self.full[v] = v if self.length[up] < width <= self.length[v] else self.full[up]
-            self.short[v] = self.short[v] + self.short[up]
-        for name, words in sequences.items():
-            v = 0
-            for i, w in enumerate(words):
-                v = self.next[v][w]
-                if i + 1 >= width:
-                    self.items.setdefault(self.full[v], set()).add(name)
-
-    def _holding(self, v: int, length: int) -> int:
-        while v and self.length[self.link[v]] >= length:
-            v = self.link[v]
-        return v
-
-    def _extend(self, last: int, w: int) -> int:
-        """The state of last's string and w, made where it is missing."""
-        q = self.next[last].get(w)
-        if q is not None:
-            return q if self.length[q] == self.length[last] + 1 else self._clone(last, q, w)
-        v = self._state(self.length[last] + 1, {})
-        p = last
-        while p >= 0 and w not in self.next[p]:
-            self.next[p][w] = v
-            p = self.link[p]
-        if p < 0:
-            self.link[v] = 0
-        else:
-            q = self.next[p][w]
-            self.link[v] = q if self.length[q] == self.length[p] + 1 else self._clone(p, q, w)
-        return v
-
-    def _state(self, length: int, following: dict[int, int]) -> int:
-        self.next.append(following)
-        self.length.append(length)
-        self.link.append(0)
-        return len(self.link) - 1
-
-    def _clone(self, p: int, q: int, w: int) -> int:
-        c = self._state(self.length[p] + 1, dict(self.next[q]))
-        self.link[c], self.link[q] = self.link[q], c
-        while p >= 0 and self.next[p].get(w) == q:
-            self.next[p][w] = c
-            p = self.link[p]
-        return c
-
-    def stream(self, words: Iterable[int]) -> Iterator[tuple[int, int, int]]:
-        """(end, state, length) of the longest match that ends at each word."""
-        v = length = 0
-        for i, w in enumerate(words):
-            while v and w not in self.next[v]:
-                v = self.link[v]
-                length = self.length[v]
-            q = self.next[v].get(w)
-            if q is None:
-                v = length = 0
-            else:
-                v, length = q, length + 1
-            yield i, v, length
-
-    def hits(self, words: Iterable[int]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Merged spans (start, end) of words inside windows that occur, and the sequences they occur in."""
-        spans: list[list[int]] = []
-        found: set[str] = set()
-        states: set[int] = set()
-        for i, v, length in self.stream(words):
-            size = self.width if length >= self.width else 0
-            if size:
-                states.add(self.full[v])
-            for n, name in self.short[v]:
-                if n <= length:
-                    found.add(name)
-                    size = max(size, n)
-            if size:
-                while spans and spans[-1][0] >= i + 1 - size:
-                    spans.pop()
-                if spans and spans[-1][1] >= i + 1 - size:
-                    spans[-1][1] = i + 1
-                else:
-                    spans.append([i + 1 - size, i + 1])
-        for state in states:
-            found |= self.items[state]
-        return [(a, b) for a, b in spans], found
+from graphlens.llm.automaton import match, without_spans
+from graphlens.llm.common import LOWER, NOT_ALNUM, fresh_name, word_bounds, word_hashes
 
 
 def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -131,89 +17,20 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return word_hashes(raw, starts, stops), starts, stops, first
 
 
-def _known_runs(known: np.ndarray, first: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
-    """(row, start, end) of runs of at least ``least`` words that the benchmark has, within a row."""
-    gap = np.flatnonzero(~known)
-    bounds = np.unique(np.concatenate([[-1], gap, first[1:-1] - 0.5, [len(known)]]))
-    a = np.floor(bounds[:-1] + 1).astype(np.int64)
-    b = np.ceil(bounds[1:]).astype(np.int64)
-    long = np.flatnonzero(b - a >= least)
-    rows = np.searchsorted(first, a[long], "right") - 1
-    return zip(rows.tolist(), a[long].tolist(), b[long].tolist(), strict=True)
-
-
-def _pass(texts: list[tuple[str, bytes]], width: int, text_at: int, n_words: str, spans_col: str, items_col: str, first_pass: bool):
-    """A mapInArrow function that adds one block of items to the rows' spans and items."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sequences, vocabulary = {}, {}
-        for name, text in texts:
-            raw = np.frombuffer(text, np.uint8)
-            hashes = words_of(raw, np.array([0, len(raw)]))[0]
-            sequences[name] = [vocabulary.setdefault(h, len(vocabulary)) for h in hashes.tolist()]
-        automaton = SuffixAutomaton(sequences, width)
-        table = np.array(sorted(vocabulary), np.uint64)
-        number = np.array([vocabulary[h] for h in table.tolist()], np.int64)
-        least = min([width, *(len(x) for x in sequences.values() if x)])
-        for batch in batches:
-            count, spans, items = [], [], []
-            for _, _, raw, offsets in text_blocks(batch.column(text_at)):
-                hashes, starts, stops, first = words_of(raw, offsets)
-                count += np.diff(first).tolist()
-                found: dict[int, tuple[list, set]] = {}
-                if len(table) and len(hashes):
-                    at = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
-                    known = table[at] == hashes
-                    for row, a, b in _known_runs(known, first, least):
-                        runs, names = automaton.hits(number[at[a:b]].tolist())
-                        if runs:
-                            own = found.setdefault(row, ([], set()))
-                            own[0].extend((x + a - first[row], y + a - first[row], starts[x + a] - offsets[row], stops[y + a - 1] - offsets[row]) for x, y in runs)
-                            own[1].update(names)
-                for row in range(len(offsets) - 1):
-                    runs, names = found.get(row, ([], set()))
-                    spans.append([dict(zip(("a", "b", "start", "stop"), map(int, x), strict=True)) for x in runs])
-                    items.append(sorted(names - {""}))
-            if not first_pass:
-                at = batch.num_columns
-                spans = [x + y for x, y in zip(batch.column(at - 2).to_pylist(), spans, strict=True)]
-                items = [sorted({*x, *y}) for x, y in zip(batch.column(at - 1).to_pylist(), items, strict=True)]
-                batch = batch.select(range(at - 3))
-            kind = pa.list_(pa.struct([(k, pa.int64()) for k in ("a", "b", "start", "stop")]))
-            yield arrow_rows(batch, batch.schema, **{n_words: pa.array(count, pa.int64()), spans_col: pa.array(spans, kind), items_col: pa.array(items, pa.list_(pa.string()))})
-
-    return run
-
-
-def match_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 13, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 1 << 20) -> DataFrame:
+def match_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 13, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = 1 << 17) -> DataFrame:
     """The documents with bench_words, bench_spans and bench_items (names get underscores where taken).
 
-    A window is ``width`` consecutive words of an item, or the whole item if it has fewer; bench_spans are the merged
-    word ranges [a, b) inside occurrences of windows, with their byte range [start, stop); bench_items are the ids of
-    the items whose windows occur. The items are dealt into blocks of about ``block_bytes`` of text; each block's
-    automaton is one broadcast of bounded size, and the documents stream past the blocks one after another without a
-    shuffle, so a benchmark of any size is handled.
+    A window is ``width`` consecutive words of an item, or the whole item if it has fewer; bench_spans are the word
+    ranges [a, b) inside occurrences of windows, with their byte range [start, stop); bench_items are the ids of the
+    items whose windows occur. The items are dealt into blocks of about ``block_words`` words; tasks build each
+    block's automaton, one broadcast of bounded size, and the documents stream past one block at a time.
 
     Defined results: null or wordless text has no words and no spans, and as an item no window; an item with a null
-    id marks spans but is not listed; items with equal text are each listed; an empty benchmark marks nothing.
+    id marks spans but is not listed; items with equal text are each listed; items of any length are taken whole; an
+    empty benchmark marks nothing; equal texts get equal marks; empty table - no rows.
     """
-    n_words, spans, items = (fresh_name(docs, c) for c in ("bench_words", "bench_spans", "bench_items"))
-    wanted = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.col(item_text).alias("body")).where("body is not null")
-    size = wanted.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
-    out = docs
-    for k in range(blocks):
-        # A block is bounded by block_bytes on average, and never less than one item.
-        rows = wanted.where(F.pmod(F.xxhash64("body"), F.lit(blocks)) == k).collect() if size else []
-        texts = [(r.id, r.body.encode()) for r in rows]
-        merged: dict[str, list[bytes]] = {}
-        for name, text in texts:
-            merged.setdefault(name, []).append(text)
-        texts = [(name if i == 0 else f"{name}\0{i}", text) for name, group in merged.items() for i, text in enumerate(group)]
-        schema = with_schema(docs, **{n_words: "long", spans: "array<struct<a:long,b:long,start:long,stop:long>>", items: "array<string>"})
-        out = out.mapInArrow(_pass(texts, width, docs.columns.index(text_col), n_words, spans, items, k == 0), schema)
-    clean = F.array_sort(F.array_distinct(F.filter(F.transform(items, lambda x: F.split_part(x, F.lit("\0"), F.lit(1))), lambda x: x != "")))
-    return out.withColumn(items, clean)
+    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("body")).where("body is not null")
+    return match(docs, items, words_of, width, text_col, ("bench_words", "bench_spans", "bench_items"), block_words)
 
 
 def word_total(spans) -> F.Column:
@@ -240,17 +57,11 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
     """The documents' own columns without contaminated documents, and without the marked spans of the others.
 
     A span at least one window long exceeds the length limit and is cut from the text; a document whose marked
-    words reach the coverage limit goes as a whole. Texts without a marked span stay byte for byte.
+    words reach the coverage limit goes as a whole.
+
+    Defined results: texts without a marked span stay byte for byte, null and empty ones among them; rows equal in the
+    text stay or go together; an empty benchmark changes nothing; empty table - no rows.
     """
     out = contamination(docs, benchmark, text_col=text_col, **options)
     spans, bad = out.columns[-4], out.columns[-1]
-    raw = F.col(text_col).cast("binary")
-    state = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<string>").alias("parts"))
-    piece = lambda a, b: F.decode(F.substring(raw, (a + 1).cast("int"), F.greatest(F.lit(0), b - a).cast("int")), "UTF-8")
-    cut_text = F.aggregate(
-        F.array_sort(spans),
-        state,
-        lambda s, x: F.struct(F.greatest(s["end"], x["stop"]).alias("end"), F.array_append(s["parts"], piece(s["end"], x["start"])).alias("parts")),
-        lambda s: F.concat(F.array_join(s["parts"], ""), piece(s["end"], F.octet_length(raw).cast("long"))),
-    )
-    return out.where(~F.col(bad)).withColumn(text_col, F.when(F.size(spans) > 0, cut_text).otherwise(F.col(text_col))).select(*docs.columns)
+    return out.where(~F.col(bad)).withColumn(text_col, without_spans(F.col(text_col), F.col(spans))).select(*docs.columns)

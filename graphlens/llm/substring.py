@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import WHITE, arrow_rows, cut, fresh_name, mix, text_blocks, window_hashes, with_schema, word_bounds, word_hashes
-from graphlens.llm.decontaminate import SuffixAutomaton
+from graphlens.llm.automaton import match, without_spans
+from graphlens.llm.common import WHITE, cut, fresh_name, mix, text_blocks, window_hashes, word_bounds, word_hashes
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -166,48 +166,32 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     return out.withColumnRenamed("id", id_col)
 
 
-def _along(texts: list[bytes], window: int, text_at: int, spans_at: int | None, name: str):
-    """A mapInArrow function: the word ranges of texts that a shard of the reference has, added to those found before."""
+def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a block, unchanged: hashes, starts, ends, first word of each row."""
+    starts, stops, first = word_bounds(raw, offsets, WHITE)
+    return word_hashes(raw, starts, stops), starts, stops, first
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sequences, numbers = {}, {}
-        for k, text in enumerate(texts):
-            raw = np.frombuffer(text, np.uint8)
-            starts, stops, _ = word_bounds(raw, np.array([0, len(raw)]), WHITE)
-            if len(starts) >= window:
-                sequences[str(k)] = [numbers.setdefault(h, len(numbers)) for h in word_hashes(raw, starts, stops).tolist()]
-        automaton = SuffixAutomaton(sequences, window)
-        for batch in batches:
-            spans = []
-            for _, _, raw, offsets in text_blocks(batch.column(text_at)):
-                starts, stops, first = word_bounds(raw, offsets, WHITE)
-                words = [numbers.get(h, -1) for h in word_hashes(raw, starts, stops).tolist()]
-                for a, b in zip(first.tolist(), first[1:].tolist(), strict=False):
-                    spans.append([{"a": x, "b": y} for x, y in automaton.hits(words[a:b])[0]])
-            if spans_at is not None:
-                spans = [x + y for x, y in zip(batch.column(spans_at).to_pylist(), spans, strict=True)]
-                batch = batch.select(range(spans_at))
-            kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-            yield arrow_rows(batch, batch.schema, **{name: pa.array(spans, kind)})
 
-    return run
+def reference_spans(docs: DataFrame, reference: DataFrame, window: int = 50, text_col: str = "text", reference_col: str = "text", shard_words: int = 1 << 17) -> DataFrame:
+    """The documents with reference_spans: the word ranges [a, b) inside windows that a reference text has, with their bytes.
+
+    The reference is dealt into shards of about ``shard_words`` words; tasks build each shard's suffix automaton, one
+    broadcast of bounded size, and the documents stream along one shard at a time for their matching statistics.
+    Ranges of different shards may overlap. A reference text of fewer words than a window marks nothing.
+
+    Defined results: null texts have no words; equal texts get equal spans; an empty reference marks nothing; empty
+    table - no rows.
+    """
+    long = F.size(F.filter(F.split(reference_col, r"[\x20\x09-\x0D]+"), lambda x: x != "")) >= window
+    texts = reference.where(F.col(reference_col).isNotNull() & long).select(F.lit(None).cast("string").alias("id"), F.col(reference_col).alias("body")).distinct()
+    out = match(docs, texts, words_of, window, text_col, ("reference_words", "reference_spans", "reference_items"), shard_words)
+    return out.select(*docs.columns, F.col(out.columns[-2]).alias(fresh_name(docs, "reference_spans")))
 
 
-def reference_spans(docs: DataFrame, reference: DataFrame, window: int = 50, text_col: str = "text", reference_col: str = "text", shard_bytes: int = 1 << 20) -> DataFrame:
-    """The documents with reference_spans: the word ranges [a, b) inside windows that a reference text has.
+def remove_reference(docs: DataFrame, reference: DataFrame, window: int = 50, text_col: str = "text", **options) -> DataFrame:
+    """The documents' own columns, the text without the spans of ``window`` words or more that a reference text has.
 
-    The reference is dealt into shards of about ``shard_bytes`` of text; the suffix automaton of each is a broadcast of
-    bounded size, and the documents stream along one after another for their matching statistics, without a shuffle.
-    Ranges of different shards may overlap. Null texts have no words; an empty reference marks nothing.
+    Texts without such a span stay byte for byte; the rest is as in ``reference_spans``.
     """
-    name = fresh_name(docs, "reference_spans")
-    wanted = reference.select(F.col(reference_col).alias("body")).where("body is not null").distinct()
-    size = wanted.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
-    shards = max(1, -(-size // shard_bytes))
-    out = docs
-    for k in range(shards):
-        # A shard is bounded by shard_bytes on average, and never less than one text.
-        texts = [r.body.encode() for r in wanted.where(F.pmod(F.xxhash64("body"), F.lit(shards)) == k).collect()]
-        place = None if k == 0 else len(docs.columns)
-        out = out.mapInArrow(_along(texts, window, docs.columns.index(text_col), place, name), with_schema(docs, **{name: "array<struct<a:long,b:long>>"}))
-    return out
+    out = reference_spans(docs, reference, window, text_col, **options)
+    return out.withColumn(text_col, without_spans(F.col(text_col), F.col(out.columns[-1]))).select(*docs.columns)

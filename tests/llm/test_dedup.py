@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from graphlens.llm import decontaminate, exact, lines, sharding, simhash, substring
+from graphlens.llm import automaton, decontaminate, exact, lines, sharding, simhash, substring
 from graphlens.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -199,14 +199,15 @@ def brute_contamination(documents, items):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 150])
-def test_contamination(spark, docs, empty, block_bytes):
+@pytest.mark.parametrize("block_words", [1 << 17, 40])
+def test_contamination(spark, docs, empty, block_words):
     own = corpus()[-2][1]
     items = [(1, own), (2, own + " w1 w2"), (3, "w1 w2 w3"), (4, None), (5, "!!"), (6, "w5"), (7, " ".join(own.split()[2:18])), (8, own)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for frame, table in ((docs, bench), (real(spark), spark.read.parquet(f"{SF}/benchmark.parquet"))):
+    tables = [(docs, bench)] if block_words == 40 else [(docs, bench), (real(spark), spark.read.parquet(f"{SF}/benchmark.parquet"))]
+    for frame, table in tables:
         want = brute_contamination(pairs_of(frame), [(r.item_id, r.text) for r in table.collect()])
-        rows = decontaminate.contamination(frame, table, block_bytes=block_bytes).collect()
+        rows = decontaminate.contamination(frame, table, block_words=block_words).collect()
         got = [(r.doc_id, r.bench_words, r.bench_hit, r.bench_items, r.contaminated) for r in rows]
         assert sorted(got, key=str) == sorted(want, key=str)
     assert decontaminate.contamination(empty, bench).count() == 0
@@ -249,20 +250,38 @@ def test_substrings(spark, docs, empty, width):
     assert substring.substring_dedup(empty).count() == 0
 
 
-@pytest.mark.parametrize("shard_bytes", [1 << 20, 2000])
-def test_reference_spans(spark, docs, empty, shard_bytes):
+@pytest.mark.parametrize("shard_words", [1 << 17, 300])
+def test_reference_spans(spark, docs, empty, shard_words):
     texts = [t for _, t in corpus()][6:12]
     reference = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string")
     windows = {tuple(w[k : k + 20]) for t in texts for w in [t.split()] for k in range(len(w) - 19)}
-    rows = substring.reference_spans(docs, reference, 20, shard_bytes=shard_bytes).collect()
+    rows = substring.reference_spans(docs, reference, 20, shard_words=shard_words).collect()
     assert len(rows) == docs.count()
     for r in rows:
         words = (r.text or "").split()
         want = {p for k in range(len(words) - 19) if tuple(words[k : k + 20]) in windows for p in range(k, k + 20)}
         assert {p for s in r.reference_spans for p in range(s.a, s.b)} == want
+    cut_texts = {(r.doc_id, len((r.text or "").split())) for r in substring.remove_reference(docs, reference, 20, shard_words=shard_words).collect()}
+    marked = {(r.doc_id, len((r.text or "").split()) - len({p for s in r.reference_spans for p in range(s.a, s.b)})) for r in rows}
+    assert cut_texts == marked
     assert substring.reference_spans(empty, reference).count() == 0
 
 
+def test_twenty_blocks_and_one_item_longer_than_a_block(spark):
+    """Blocks stay bounded however long an item is, and every window is found in whichever block has it."""
+    rng = random.Random(21)
+    long = [f"v{rng.randrange(500)}" for _ in range(9000)]
+    items = [(0, " ".join(long))] + [(i, " ".join(f"u{i}x{j}" for j in range(60))) for i in range(1, 180)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = bench.select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("body"))
+    blocks = automaton.automata(rows, decontaminate.words_of, 13, 1000, piece=500).collect()
+    assert len(blocks) >= 20 and max(len(r.payload) for r in blocks) < 1_000_000
+    texts = [" ".join(["x"] * 9 + long[8_000 - n : 8_000 + n] + ["y"]) for n in (6, 7, 40, 700)] + [items[90][1], "nothing here", items[90][1]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontaminate.contamination(docs, bench, block_words=1000).collect()
+    assert sorted((r.doc_id, r.bench_hit, r.bench_items) for r in got) == [(0, 0, []), (1, 14, ["0"]), (2, 80, ["0"]), (3, 1400, ["0"]), (4, 60, ["90"]), (5, 0, []), (6, 60, ["90"])]
+
+
 def brute_lines(documents, least):
     """(id, n_lines, n_removed, kept text, runs): runs by growing every run of lines until it has no earlier copy."""
     from pyspark.sql import SparkSession
