@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,12 +21,23 @@ def node_id(label: str, *identity: Column) -> Column:
 
 
 def with_identity(label: str, rows: DataFrame) -> DataFrame:
-    """Rows of a label's columns and project, as its node table; missing columns are null, equal nodes count once."""
+    """Rows of a label's columns and project, as its node table; missing columns are null, equal nodes count once.
+
+    Nodes are equal by their identity, not by the id that is its hash: two identities of one id both stay, and
+    ``Graph.violations`` reports them.
+    """
     spec = NODES[label]
     schema = spec.schema
     columns = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields if f.name != "id"]
     shaped = rows.select(*columns)
-    return shaped.withColumn("id", node_id(label, F.col("project"), *[F.col(c) for c in spec.identity])).dropDuplicates(["id"]).select(*schema.names)
+    return shaped.withColumn("id", node_id(label, F.col("project"), *[F.col(c) for c in spec.identity])).dropDuplicates(["project", *spec.identity]).select(*schema.names)
+
+
+def at_once(tables: Mapping, write: Callable[[str, DataFrame], None], jobs: int = 8) -> None:
+    """Write several tables, some jobs side by side: small tables leave most of a cluster idle. The first error is raised."""
+    with ThreadPoolExecutor(jobs) as pool:
+        for done in [pool.submit(write, k, v) for k, v in tables.items()]:
+            done.result()
 
 
 class Later(dict):
@@ -92,10 +105,8 @@ class Graph:
     def save(self, path: str) -> str:
         """Write a new version beside the others, by project, then point to it: readers see the old or the new one whole."""
         version = uuid.uuid4().hex
-        for k, v in self.nodes.items():
-            v.write.partitionBy("project").parquet(f"{path}/{version}/node_{k}")
-        for (t, a, b), v in self.edges.items():
-            v.write.partitionBy("project").parquet(f"{path}/{version}/edge_{t}__{a}__{b}")
+        tables = {f"node_{k}": v for k, v in self.nodes.items()} | {f"edge_{t}__{a}__{b}": v for (t, a, b), v in self.edges.items()}
+        at_once(tables, lambda name, v: v.write.partitionBy("project").parquet(f"{path}/{version}/{name}"))
         spark = next(iter(self.nodes.values())).sparkSession
         spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").parquet(f"{path}/published")
         return version

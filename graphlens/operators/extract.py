@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphlens.functions.matches import matches_with_lines
 from graphlens.functions.paths import directory, join_route, resolve, stem
+from graphlens.operators import literals
 
 # The file names, tags and patterns that mark each kind of fact.
 GUARDS = ("AuthGuard", "RouterGuard", "RoleBasedGuard", "RoleBasedDisableGuard")
@@ -34,6 +35,7 @@ GQL_TEMPLATE = r"(?s)(export\s+)?(?:const|let|var)\s+(\w+)\s*(?::[^=]+)?=\s*gql\
 HOOK = r"(export\s+(?:default\s+)?)(?:async\s+)?(?:function\s+(use\p{Lu}\w*)|const\s+(use\p{Lu}\w*)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>)"
 LAZY_IMPORT = r"(?s)const\s+(\w+)\s*=\s*(?:React\.)?lazy\(\s*\(\)\s*=>\s*import\(\s*['\"]([^'\"]+)['\"]\s*\)(?:[^;]*?default:\s*\w+\.(\w+))?"
 EAGER_IMPORT = r"import\s+(?:(\w+)\s*,?\s*)?(?:\{([^}]*)\})?\s*from\s*['\"]([^'\"]+)['\"]"
+DECLARATION = r"(?md)^(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:const|let|var|function|class)\s+(\w+)"
 IDENTIFIER = r"[A-Za-z_$][A-Za-z0-9_$]*"
 
 
@@ -125,12 +127,20 @@ def app_testids(texts: DataFrame) -> DataFrame:
 
 
 def _definitions(body: Column) -> Column:
-    """array<struct<kind, name>> of a document's top-level definitions; null if its braces do not match or it has none."""
+    """array<struct<kind, name>> of a document's top-level definitions; null if its braces do not match or it has none.
+
+    What stands in braces, however deep, is the text between brackets of a running depth above zero.
+    """
     bare = F.regexp_replace(F.regexp_replace(body, r"#[^\n]*", ""), r"\"[^\"\n]*\"", "")
-    flat = F.aggregate(F.sequence(F.lit(1), F.lit(64)), bare, lambda s, _: F.regexp_replace(s, r"\{[^{}]*\}", "\u0001"))
+    marks = F.regexp_extract_all(bare, F.lit(r"[^{}]+|[{}]"), F.lit(0))
+    state = F.struct(F.lit(0).alias("depth"), F.lit(True).alias("sound"), F.lit("").alias("top"))
+    deeper = lambda s, x: s["depth"] + F.when(x == "{", 1).when(x == "}", -1).otherwise(0)
+    shown = lambda s, x: F.when((x == "}") & (s["depth"] == 1), F.lit("\u0001")).when((s["depth"] == 0) & ~x.isin("{", "}"), x).otherwise(F.lit(""))
+    step = lambda s, x: F.struct(deeper(s, x).alias("depth"), (s["sound"] & (deeper(s, x) >= 0)).alias("sound"), F.concat(s["top"], shown(s, x)).alias("top"))
+    flat = F.aggregate(marks, state, step)
     top = r"(?s)\s*(?:(query|mutation|subscription|fragment)\b)?\s*(\w*)[^\x01]*\x01"
-    rows = F.zip_with(_all(flat, top, 1), _all(flat, top, 2), lambda a, b: F.struct(F.when(a == "", "query").otherwise(a).alias("kind"), F.nullif(b, F.lit("")).alias("name")))
-    return F.when((F.size(rows) > 0) & ~flat.rlike(r"[{}]"), rows)
+    rows = F.zip_with(_all(flat["top"], top, 1), _all(flat["top"], top, 2), lambda a, b: F.struct(F.when(a == "", "query").otherwise(a).alias("kind"), F.nullif(b, F.lit("")).alias("name")))
+    return F.when((F.size(rows) > 0) & flat["sound"] & (flat["depth"] == 0), rows)
 
 
 def operations(texts: DataFrame) -> DataFrame:
@@ -187,8 +197,11 @@ def callsites(texts: DataFrame, operations_: DataFrame, hooks_: DataFrame) -> Da
 
 
 def element_parts(element: Column) -> Column:
-    """struct<components, guards, permissions> of a route's JSX: guards and permissions distinct, components as they come."""
-    tags = _all(element, r"<([A-Z][\w.]*)")
+    """struct<components, guards, permissions> of a route's JSX: guards and permissions distinct, components as they come.
+
+    Elements in attributes (a fallback, an icon) are no children and do not count.
+    """
+    tags = _all(F.regexp_replace(element, r"=\{\s*<(?:[^{}]|\{[^{}]*\})*\}", "=0"), r"<([A-Z][\w.]*)")
     guards = F.array_distinct(F.filter(tags, lambda t: t.isin(*GUARDS)))
     components = F.filter(tags, lambda t: ~t.isin(*GUARDS, *ROUTER_TAGS) & ~t.startswith("Lazy"))
     roles = _all(element, r"<(?:" + "|".join(GUARDS) + r")\b[^>]*?\broles=\{\s*([A-Za-z_$][\w$]*(?:\.[\w$]+)+)\s*\}")
@@ -224,6 +237,86 @@ def route_tree(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
     raise ValueError(f"a route tree of more than {max_depth} levels, or a cycle")
 
 
+def jsx(value: Column) -> Column:
+    """The value of an element property if it is JSX, in round brackets or not; else null."""
+    return F.when(value.rlike(r"^(?:\(\s*)*<"), value)
+
+
+def enum_members(texts: DataFrame) -> DataFrame:
+    """(project, name, value): string members of enums, named Enum.MEMBER."""
+    enums = _named(texts, r"(?s)\benum\s+(\w+)\s*\{([^}]*)\}", 2).select("project", F.col("g1").alias("enum"), F.col("g2").alias("body"))
+    pair = lambda k: _all("body", r"(?m)(\w+)\s*=\s*['\"]([^'\"\n]*)['\"]", k)
+    rows = enums.select("project", "enum", F.explode(F.arrays_zip(pair(1).alias("member"), pair(2).alias("value"))).alias("x"))
+    return rows.groupBy("project", F.concat_ws(".", "enum", "x.member").alias("name")).agg(F.min("x.value").alias("value"))
+
+
+def route_nodes(texts: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """Route objects of router files: those of the array ``routes`` and of ``children`` arrays, each with its parent's node.
+
+    ``members`` (project, name, value) are enum members that path segments may name.
+    """
+    found = literals.tokens(texts)
+    parts = literals.entries(texts, found).where("bracket in ('{', '[')")
+    root = literals.declared(found, "routes").where("bracket = '['").select("project", "path", "literal", F.lit(True).alias("root"))
+    owner = parts.where("key = 'children' and child_bracket = '['").select("project", "path", F.col("child").alias("literal"), F.col("literal").alias("owner"))
+    objects = parts.where("bracket = '[' and child_bracket = '{'").select("project", "path", "literal", F.col("child").alias("object"), "line")
+    objects = objects.join(root, ["project", "path", "literal"], "left").join(owner, ["project", "path", "literal"], "left").where("root or owner is not null").drop("literal")
+    of = lambda key: F.max(F.when(F.col("key") == key, F.col("value"))).alias(f"{key}_")
+    known = parts.where("bracket = '{' and key in ('path', 'index', 'element')").groupBy("project", "path", F.col("literal").alias("object")).agg(of("path"), of("index"), of("element"))
+    rows = objects.join(known, ["project", "path", "object"], "left")
+    if members is None:
+        rows = rows.withColumn("members", F.create_map().cast("map<string,string>"))
+    else:
+        # Only members that segments name: as many as the routes have, gathered per project.
+        names = F.concat(_all("path_", r"\$\{\s*([\w.]+)\s*\}"), F.array("path_"))
+        asked = rows.where("path_ is not null").select("project", F.explode(names).alias("name")).distinct()
+        maps = members.join(asked, ["project", "name"], "left_semi").groupBy("project").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("members"))
+        rows = rows.join(maps, "project", "left").withColumn("members", F.coalesce("members", F.create_map().cast("map<string,string>")))
+    name = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws("\0", "project", "path", F.col(c).cast("string")))
+    return rows.select("project", F.col("path").alias("file"), "line", name("object").alias("node"), name("owner").alias("parent"), segment_value(F.col("path_"), F.col("members")).alias("segment"), F.coalesce(F.col("index_") == "true", F.lit(False)).alias("index"), element_parts(F.coalesce(jsx(F.col("element_")), F.lit(""))).alias("e"))
+
+
+def routes(nodes: DataFrame) -> DataFrame:
+    """Route records of ``route_nodes``, with full paths; a node that no root leads to is left out.
+
+    The nodes are read once per level of the tree: write or persist them before.
+    """
+    placed = route_tree(nodes.select("node", "parent", "segment", "index"))
+    return nodes.select("project", "file", "line", "node", "index", "e").join(placed, "node").select("project", "path", "index", "depth", F.col("parent_path").alias("parentPath"), "file", "line", "e.components", "e.guards", "e.permissions")
+
+
+def permission_entries(texts: DataFrame) -> DataFrame:
+    """Entries of the literals in files of /common/permissions/; those of the object that ``PERMISSIONS`` is set to have root."""
+    files = texts.where(F.col("path").contains("/common/permissions/") | F.col("path").startswith("common/permissions/"))
+    found = literals.tokens(files)
+    parts = literals.entries(files, found)
+    root = literals.declared(found, "PERMISSIONS").where("bracket = '{'").groupBy("project").agg(F.min_by(F.struct("path", "literal"), "path").alias("d")).select("project", "d.path", "d.literal", F.lit(True).alias("root"))
+    return parts.join(root, ["project", "path", "literal"], "left")
+
+
+def permissions(parts: DataFrame, max_depth: int = 64) -> DataFrame:
+    """Permission records of ``permission_entries``: the first file, by path, that sets PERMISSIONS to an object counts.
+
+    A list makes its dotted key a permission, whose roles are the list's plain strings; other values are left out, keys
+    stay as they are written. Objects nested deeper than ``max_depth`` raise. The entries are read once per level: write
+    or persist them before.
+    """
+    strings = parts.where("bracket = '['").where(F.col("value").rlike(r"(?s)^(?:'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\")$"))
+    roles = strings.groupBy("project", "path", F.col("literal").alias("child")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: F.substring(x["value"], F.lit(2), F.length(x["value"]) - 2)).alias("roles"))
+    keyed = parts.where("bracket = '{' and child_bracket in ('{', '[')").select("project", "path", "literal", "key", "child", "child_bracket", "line")
+    level = parts.where("root").select("project", "path", "literal", F.lit(None).cast("string").alias("above")).distinct()
+    out = None
+    for _ in range(max_depth):
+        level = level.join(keyed, ["project", "path", "literal"]).select("project", "path", F.concat_ws(".", "above", "key").alias("key"), "child", "child_bracket", "line")
+        lists = level.where("child_bracket = '['").drop("child_bracket")
+        out = lists if out is None else out.unionByName(lists)
+        level = level.where("child_bracket = '{'").select("project", "path", F.col("child").alias("literal"), F.col("key").alias("above"))
+        if level.isEmpty():
+            rows = out.join(roles, ["project", "path", "child"], "left")
+            return rows.select("project", "key", F.coalesce("roles", F.array().cast("array<string>")).alias("roles"), F.col("path").alias("file"), "line")
+    raise ValueError(f"permission objects nested in more than {max_depth} levels")
+
+
 def component_imports(texts: DataFrame) -> DataFrame:
     """(project, path, name, spec, export): what a router file imports, lazily first, then eagerly; the first wins."""
     lazy = _named(texts, LAZY_IMPORT, 3).select("project", "path", F.col("g1").alias("name"), F.col("g2").alias("spec"), F.nullif("g3", F.lit("")).alias("export"), F.lit(0).alias("order"), "line")
@@ -237,13 +330,25 @@ def component_imports(texts: DataFrame) -> DataFrame:
     return rows.groupBy("project", "path", "name").agg(best.alias("b")).select("project", "path", "name", "b.spec", "b.export")
 
 
-def resolved_components(imports: DataFrame, files: DataFrame, alias: tuple[str, str] = ("@/", "src/")) -> DataFrame:
-    """(project, name, file): imported names whose module is a file, by its path, with an extension, or as a folder's index."""
-    target = F.when(F.col("spec").startswith(alias[0]), F.concat(F.lit(alias[1]), F.substring("spec", len(alias[0]) + 1, 1 << 20))).otherwise(resolve(directory(F.col("path")), F.col("spec")))
+def resolved_components(imports: DataFrame, files: DataFrame, aliases: tuple[tuple[str, str], ...] = (("@/", "src/"),)) -> DataFrame:
+    """(project, name, file, export): imported names whose module is a file, by its path, with an extension, or as a folder's index.
+
+    ``aliases`` are beginnings of module names and the root-relative paths that they stand for; the first that fits counts.
+    """
+    target = resolve(directory(F.col("path")), F.col("spec"))
+    for head, folder in reversed(aliases):
+        target = F.when(F.col("spec").startswith(head), F.concat(F.lit(folder), F.substring("spec", len(head) + 1, 1 << 20))).otherwise(target)
     endings = ("", ".tsx", ".ts", ".jsx", "/index.tsx", "/index.ts")
     tries = imports.withColumn("t", target).withColumn("try", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.concat("t", F.lit(e)).alias("file")) for k, e in enumerate(endings)])))
     hit = tries.select("project", "name", "export", F.col("try.file").alias("file"), F.col("try.k").alias("k")).join(files.select("project", F.col("path").alias("file")), ["project", "file"], "left_semi")
-    return hit.groupBy("project", "name").agg(F.min_by("file", F.struct("k", "file")).alias("file"))
+    return hit.groupBy("project", "name").agg(F.min_by(F.struct("file", "export"), F.struct("k", "file")).alias("b")).select("project", "name", "b.file", "b.export")
+
+
+def component_lines(components: DataFrame, texts: DataFrame) -> DataFrame:
+    """Components (project, name, file, export) with the line that declares the export in its file; 1 where none does."""
+    found = _named(texts.join(components.select("project", F.col("file").alias("path")).distinct(), ["project", "path"], "left_semi"), DECLARATION, 1)
+    first = found.groupBy("project", F.col("path").alias("file"), F.col("g1").alias("export")).agg(F.min("line").alias("line"))
+    return components.join(first, ["project", "file", "export"], "left").withColumn("line", F.coalesce("line", F.lit(1).cast("long")))
 
 
 def named_in(components: DataFrame, texts: DataFrame, known: DataFrame, name: str) -> DataFrame:
@@ -253,7 +358,7 @@ def named_in(components: DataFrame, texts: DataFrame, known: DataFrame, name: st
     return components.join(used, ["project", "file"], "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
 
 
-def permission_keys(objects: DataFrame, max_depth: int = 16) -> DataFrame:
+def permission_keys(objects: DataFrame, max_depth: int = 64) -> DataFrame:
     """(project, key, roles) of nested permission objects given as JSON (project, json): dotted keys of the role lists.
 
     Only string elements of a list are roles; other values have none and are left out.

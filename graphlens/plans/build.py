@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Mapping
 from time import monotonic
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.graph import Graph, with_identity
+from graphlens.graph import Graph, at_once, with_identity
 from graphlens.operators.mutation import gated, implied_nodes, insert, resolve_edges, upsert, upsert_first, upsert_set, wipe
 from graphlens.schema import EDGES, NODES, edge_schema
 
@@ -116,11 +117,14 @@ def _files(g: Graph, rows: DataFrame) -> None:
 STEPS: dict[str, Callable[[Batches, Graph], None]] = {"gql": gql, "routes": routes, "permissions": permissions, "pages": pages, "docs": docs, "e2e": e2e, "scss": scss}
 
 
-def build(spark: SparkSession, batches: Batches) -> tuple[Graph, list[dict]]:
-    """The graph of the projects that the batches name, and per extractor: name, ok, error, seconds.
+def build(spark: SparkSession, batches: Batches, staging: str | None = None) -> tuple[Graph, list[dict]]:
+    """The graph of the projects that the batches name, and per extractor: name, ok, error, seconds, written.
 
     Records of projects without a project record are left out. An extractor that cannot be planned is reported and
     leaves the others' tables as they are. All tables are lazy: the fixed order is a chain of inputs, not of jobs.
+
+    With a new folder for ``staging``, each extractor's tables are written there as it ends, in a job of its own, and read
+    from there by the next: a record that cannot be read fails its own extractor alone, and ``written`` counts the rows.
     """
     projects = batches["projects"]
     known = {k: v if k == "projects" else gated(v, projects) for k, v in batches.items()}
@@ -128,25 +132,45 @@ def build(spark: SparkSession, batches: Batches) -> tuple[Graph, list[dict]]:
     g.nodes["Project"] = with_identity("Project", projects.withColumn("project", F.col("name")).withColumn("updated_at", F.current_timestamp()))
     report = []
     for name in ORDER:
-        began, before = monotonic(), (dict(g.nodes), dict(g.edges))
+        began, before, written = monotonic(), (dict(g.nodes), dict(g.edges)), {}
         try:
             STEPS[name](known, g)
-            report.append({"name": name, "ok": True, "error": None, "seconds": monotonic() - began})
+            if staging is not None:
+                written = _write(spark, g, before, f"{staging}/{name}")
+            report.append({"name": name, "ok": True, "error": None, "seconds": monotonic() - began, "written": written})
         except Exception as e:  # noqa: BLE001  reported to the caller
             g.nodes, g.edges = before
-            report.append({"name": name, "ok": False, "error": str(e), "seconds": monotonic() - began})
+            report.append({"name": name, "ok": False, "error": str(e), "seconds": monotonic() - began, "written": {}})
     return g, report
 
 
-def rebuild(old: Graph, new: Graph, project: str) -> Graph:
+def _write(spark: SparkSession, g: Graph, before: tuple[dict, dict], folder: str) -> dict[str, int]:
+    """Write the tables that a step has changed, and go on from what is written; rows per table, from the files' footers."""
+    counts = {}
+    for kind, tables, old in (("node", g.nodes, before[0]), ("edge", g.edges, before[1])):  # edges are resolved on what is written
+        changed = {k: tables[k] for k in tables if tables[k] is not old.get(k)}
+        name = {k: "_".join([kind, *([k] if isinstance(k, str) else k)]) for k in changed}
+        at_once(changed, lambda k, v: v.write.parquet(f"{folder}/{name[k]}"))  # noqa: B023
+        for k, v in changed.items():
+            tables[k] = spark.read.schema(v.schema).parquet(f"{folder}/{name[k]}")
+            counts[name[k]] = tables[k].count()
+    return counts
+
+
+def rebuild(old: Graph, new: Graph, project: str, keep: set[str] = frozenset()) -> Graph:
     """The old graph with one project's owned nodes and edges replaced by the new graph's.
 
-    Files and roles, which nobody owns, are taken from the new edges alone: none is left behind without one.
+    Files and roles, which nobody owns, are taken from the new edges alone: none is left behind without one. Labels to
+    ``keep`` stay as they were, with the old edges that lead from or to them.
     """
-    labels = [k for k in NODES if k != "Project"]
+    labels = [k for k in NODES if k != "Project" and k not in keep]
     nodes, edges = wipe(old.nodes, old.edges, labels, project)
     mine = lambda frame: frame.where(F.col("project") == project)
-    out = Graph({k: insert(nodes[k], mine(new.nodes[k])) for k in labels}, {k: insert(edges[k], mine(new.edges[k])) for k in EDGES})
+    stay = {k for k in EDGES if k[1] in keep or k[2] in keep}
+    out = Graph({k: insert(nodes[k], mine(new.nodes[k])) if k in labels else old.nodes[k] for k in NODES}, {k: insert(edges[k], mine(new.edges[k])) if k not in stay else old.edges[k] for k in EDGES})
+    if stay:
+        files = old.nodes["File"].join(functools.reduce(DataFrame.union, [old.edges[k].select(F.col("src" if k[1] == "File" else "dst").alias("id")) for k in stay if "File" in k] or [old.nodes["File"].select("id").limit(0)]).distinct(), "id", "left_semi")
+        out.nodes["File"] = upsert(out.nodes["File"], mine(files), ["project", "path"])
     out.nodes["Project"] = upsert_set(old.nodes["Project"], mine(new.nodes["Project"]), ["name"])
     return out
 

@@ -14,7 +14,22 @@ from graphlens.plans.pattern import anchors, assemble, gather, into, out, walk
 class NotFound(LookupError):
     """No such thing: the error of a lookup by name, with a code for callers."""
 
-    code = "not_found"
+    code = "NOT_FOUND"
+
+
+def envelope(error: Exception, **more) -> dict:
+    """The answer that stands for an error: its code and message, and what else the caller knows (kind, project)."""
+    if isinstance(error, NotFound):
+        return {"error": {"code": error.code, "message": str(error), **more}}
+    if isinstance(error, ValueError):
+        return {"error": {"code": "VALIDATION_ERROR", "message": str(error), **more}}
+    return {"error": {"code": "INTERNAL", "message": f"{type(error).__name__}: {error}", **more}}
+
+
+def listed(rows: DataFrame, name: str) -> dict:
+    """The answer that holds a list: its rows, in their order, under a name, and how many they are (after any limit)."""
+    found = [r.asDict(recursive=True) for r in rows.collect()]
+    return {"count": len(found), name: found}
 
 
 def first(rows: DataFrame, *order: str) -> dict:

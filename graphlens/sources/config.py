@@ -1,11 +1,19 @@
-"""Where a project's code lives, from the environment: PROJECT_<NAME>, ROUTER_FILES_<NAME>."""
+"""Where a project's code lives: the environment (PROJECT_<NAME>, ROUTER_FILES_<NAME>), its repository, its compiler's paths."""
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
+from pyspark.sql import SparkSession
+
+# What marks a repository's root, and where a project's compiler configuration may be.
+REPO_MARKERS = (".git", "pnpm-workspace.yaml", "lerna.json", "nx.json", "rush.json", "turbo.json")
+COMPILER_FILES = ("tsconfig.json", "tsconfig.app.json", "../tsconfig.json")
+
 
 @dataclass(frozen=True)
 class ProjectConfig:
@@ -26,3 +34,47 @@ def projects(environment: Mapping[str, str] | None = None) -> dict[str, ProjectC
             files = tuple(x.strip() for x in env.get(f"ROUTER_FILES_{name}", "").split(",") if x.strip())
             found[name.lower()] = ProjectConfig(name.lower(), root.rstrip("/"), files or ProjectConfig.router_files)
     return found
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store the path names."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+
+
+def repo_root(spark: SparkSession, code_root: str) -> str:
+    """The nearest folder above the code root that a marker makes a repository's root; else two levels up."""
+    scheme, _, bare = code_root.rstrip("/").rpartition("://")
+    parts = bare.split("/")
+    above = [f"{scheme}://" * bool(scheme) + "/".join(parts[:k]) for k in range(len(parts) - 1, 0, -1) if "/".join(parts[:k])]
+    for folder in above:
+        if any(folder_exists(spark, f"{folder}/{m}") for m in REPO_MARKERS):
+            return folder
+    return above[min(1, len(above) - 1)]
+
+
+def compiler_aliases(spark: SparkSession, code_root: str) -> tuple[tuple[str, str], ...]:
+    """(beginning of a module name, root-relative path) of the compiler's path mappings, the longest first; else @/ for src/.
+
+    The first of the usual configuration files counts; it is small and read whole. Comments and trailing commas are allowed.
+    """
+    for name in COMPILER_FILES:
+        if folder_exists(spark, f"{code_root}/{name}"):
+            text = spark.read.text(f"{code_root}/{name}", wholetext=True).first()[0]
+            bare = re.sub(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", text, flags=re.DOTALL)
+            options = json.loads(re.sub(r",(\s*[}\]])", r"\1", bare)).get("compilerOptions", {})
+            base = options.get("baseUrl", ".").removeprefix("./").strip("/.")
+            found = {}
+            for head, targets in options.get("paths", {}).items():
+                if head.endswith("*") and targets:
+                    target = targets[0].removeprefix("./").removesuffix("*")
+                    target = f"{base}/{target}" if base else target
+                    own = code_root.rstrip("/").rsplit("/", 1)[-1] + "/"
+                    if not name.startswith("../"):
+                        found[head.removesuffix("*")] = target
+                    elif target.startswith(own):  # a file above the code root maps to paths from there
+                        found[head.removesuffix("*")] = target.removeprefix(own)
+            if found:
+                return tuple(sorted(found.items(), key=lambda x: (-len(x[0]), x[0])))
+            break
+    return (("@/", "src/"),)

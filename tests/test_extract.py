@@ -164,3 +164,69 @@ def test_permission_keys_are_never_cut_by_depth(spark):
     assert [r.key for r in extract.permission_keys(nested(3), max_depth=3).collect()] == ["a.a.a"]
     with pytest.raises(ValueError, match="more than 3 levels"):
         extract.permission_keys(nested(4), max_depth=3)
+
+
+ROUTER = """import { Lazy } from 'react'
+import { About } from '@pages/about'
+enum Mode { NEW = 'new', EDIT = "edit" }
+const other = [{ path: 'no' }]
+const Home = lazy(() => import('./Home').then((m) => ({ default: m.HomePage })))
+export const routes: RouteObject[] = [ // [{
+  {
+    path: '/',
+    element: (
+      <AuthGuard roles={PERMISSIONS.app.read}>
+        <Suspense fallback={<Loader size={1} />}><Home a={{ path: 'x' }} /></Suspense>
+      </AuthGuard>
+    ),
+    handle: { path: 'inner' },
+    children: [
+      { index: true, element: <About /> },
+      { path: Mode.NEW, element: cond ? <A /> : <B />, children: [{ path: `:id/${Mode.EDIT}`, index: false }] },
+      { path: "don't", list: [{ path: 'stray' }] },
+      ...more,
+    ],
+  },
+  { path: 'plain', element: <><RoleBasedGuard roles={Other.x} /><About /></> },
+]
+const routesOf = [{ path: 'never' }]
+"""
+
+
+def test_routes_from_text(spark):
+    files = texts(spark, ("src/router/index.tsx", ROUTER), ("src/other.tsx", "const x = 1"))
+    got = extract.routes(extract.route_nodes(files, extract.enum_members(files)).persist())
+    want = ["path", "index", "depth", "parentPath", "line", "components", "guards", "permissions"]
+    assert sorted((tuple(r[c] for c in want) for r in got.collect()), key=str) == sorted(
+        [
+            ("/", False, 0, None, 7, ["Home"], ["AuthGuard"], ["app.read"]),
+            ("/", True, 1, "/", 16, ["About"], [], []),
+            ("/new", False, 1, "/", 17, [], [], []),
+            ("/new/:id/edit", False, 2, "/new", 17, [], [], []),
+            ("/don't", False, 1, "/", 18, [], [], []),
+            ("/plain", False, 0, None, 22, ["About"], ["RoleBasedGuard"], ["Other.x"]),
+        ],
+        key=str,
+    )
+
+
+def test_components_from_router(spark):
+    files = texts(spark, ("src/router/index.tsx", ROUTER), ("src/router/Home.tsx", "import x\n\nexport function HomePage() {}\n"), ("src/pages/about/index.tsx", "export const About = 1"))
+    found = extract.resolved_components(extract.component_imports(files.where("path like '%router/index%'")), files, (("@pages/", "src/pages/"),))
+    assert rows(extract.component_lines(found, files), "name", "file", "line") == [("About", "src/pages/about/index.tsx", 1), ("Home", "src/router/Home.tsx", 3)]
+
+
+def test_permissions_from_text(spark):
+    first = "const X = {}\nexport const PERMISSIONS: Deep<string[]> = {\n  // note: { [\n  app: {\n    read: ['ADMIN', \"USER\", role, `no`] as Role[],\n    deep: { write: [] } as Page,\n    n: 5, f() {}, 'q-k': ['A'],\n  },\n} as const\n"
+    files = texts(spark, ("src/common/permissions/b.ts", "export const PERMISSIONS = { late: ['X'] }"), ("src/common/permissions/a.ts", first), ("src/common/permissions/0.ts", "const PERMISSIONS = make()"), ("src/else.ts", first))
+    parts = extract.permission_entries(files).persist()
+    got = extract.permissions(parts)
+    assert rows(got, "key", "roles", "file", "line") == [("app.'q-k'", ["A"], "src/common/permissions/a.ts", 7), ("app.deep.write", [], "src/common/permissions/a.ts", 6), ("app.read", ["ADMIN", "USER"], "src/common/permissions/a.ts", 5)]
+    with pytest.raises(ValueError, match="more than 2 levels"):
+        extract.permissions(parts, max_depth=2)
+
+
+def test_documents_nested_deeper_than_any_cap(spark):
+    body = "query Deep { a" + " { b" * 100 + " }" * 100 + " } fragment F on T { x }"
+    got = extract.operations(texts(spark, ("src/gql/queries/a.ts", f"export const D = gql`{body}`"), ("src/gql/queries/b.ts", "const E = gql`query { a } }`")))
+    assert rows(got, "symbol", "gqlName", "kind") == [("D", "Deep", "query"), ("D", "F", "fragment"), ("E", "E", "fragment")]
