@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphlens.graph import Graph
+from graphlens.graph import Graph, Later
 from graphlens.operators import extract
 from graphlens.plans.build import OWNED, Batches, build, rebuild
 from graphlens.sources.config import ProjectConfig, compiler_aliases, folder_exists, repo_root
@@ -41,46 +41,45 @@ Keep = Callable[[str, DataFrame], DataFrame]
 
 
 def record_batches(sources: Sources, router_files: tuple[str, ...] = ProjectConfig.router_files, aliases: tuple[tuple[str, str], ...] = (("@/", "src/"),), keep: Keep = lambda name, rows: rows.persist()) -> dict[str, DataFrame]:
-    """All record batches of the texts: one plan per batch, over the files that can hold its facts.
+    """All record batches of the texts, each planned when it is first asked for, over the files that can hold its facts.
 
     ``keep`` is given every batch, and the two tables that are walked level by level, before another is made from it: by
     default it persists them, ``reindex`` writes them.
     """
     code, tests, here = sources.code, sources.tests, F.col("path")
-
-    def batch(name: str, rows: DataFrame) -> DataFrame:
-        return keep(name, rows.select(*T._parse_datatype_string(BATCHES[name]).names))
-
-    operations = batch("operations", extract.operations(code))
-    hooks = batch("hooks", extract.hooks(code, operations))
     router = code.where(here.isin(*router_files))
-    routes = batch("routes", extract.routes(keep("route_nodes", extract.route_nodes(router, extract.enum_members(code)))))
-    shown = routes.select("project", F.explode("components").alias("name")).distinct()
-    parts = extract.resolved_components(extract.component_imports(router), code, aliases).join(shown, ["project", "name"], "left_semi")
-    parts = extract.component_lines(keep("component_files", parts), code)
-    parts = extract.named_in(parts, code, hooks.select("project", F.col("name").alias("token")), "hookCalls")
-    parts = extract.named_in(parts, code, operations.select("project", F.col("symbol").alias("token")), "operationRefs")
-    modules = batch("scss", extract.style_modules(sources.styles))
-    return {
-        "projects": sources.projects,
-        "operations": operations,
-        "hooks": hooks,
-        "callsites": batch("callsites", extract.callsites(code, operations, hooks)),
-        "routes": routes,
-        "components": batch("components", parts.withColumn("exported", F.lit(True))),
-        "permissions": batch("permissions", extract.permissions(keep("permission_entries", extract.permission_entries(code)))),
-        "pages": batch("pages", extract.pages(sources.files)),
-        "docs": batch("docs", extract.docs(sources.docs)),
-        "specs": batch("specs", extract.specs(tests.where(here.rlike(f"^{TEST_FOLDER}/tests/.*\\.spec\\.ts$")))),
-        "page_objects": batch("page_objects", extract.page_objects(tests.where(here.rlike(f"^{TEST_FOLDER}/pages/[^/]*\\.page\\.ts$")))),
-        "locators": batch("locators", extract.locators(tests.where(here.rlike(r"\.locators\.ts$")))),
-        "testids": batch("testids", extract.app_testids(sources.app)),
-        "scss": modules,
-        "scss_imports": batch("scss_imports", extract.style_imports(code, modules)),
-    }
-
-
-def _writer(spark: SparkSession, folder: str) -> Keep:
+    found = Later()
+
+    def batch(name: str, make: Callable[[], DataFrame]) -> None:
+        found.later(name, lambda: keep(name, make().select(*T._parse_datatype_string(BATCHES[name]).names)))
+
+    def components() -> DataFrame:
+        shown = found["routes"].select("project", F.explode("components").alias("name")).distinct()
+        parts = extract.resolved_components(extract.component_imports(router), code, aliases).join(shown, ["project", "name"], "left_semi")
+        parts = extract.component_lines(keep("component_files", parts), code)
+        parts = extract.named_in(parts, code, found["hooks"].select("project", F.col("name").alias("token")), "hookCalls")
+        parts = extract.named_in(parts, code, found["operations"].select("project", F.col("symbol").alias("token")), "operationRefs")
+        return parts.withColumn("exported", F.lit(True))
+
+    batch("projects", lambda: sources.projects)
+    batch("operations", lambda: extract.operations(code))
+    batch("hooks", lambda: extract.hooks(code, found["operations"]))
+    batch("callsites", lambda: extract.callsites(code, found["operations"], found["hooks"]))
+    batch("routes", lambda: extract.routes(keep("route_nodes", extract.route_nodes(router, extract.enum_members(code)))))
+    batch("components", components)
+    batch("permissions", lambda: extract.permissions(keep("permission_entries", extract.permission_entries(code))))
+    batch("pages", lambda: extract.pages(sources.files))
+    batch("docs", lambda: extract.docs(sources.docs))
+    batch("specs", lambda: extract.specs(tests.where(here.rlike(f"^{TEST_FOLDER}/tests/.*\\.spec\\.ts$"))))
+    batch("page_objects", lambda: extract.page_objects(tests.where(here.rlike(f"^{TEST_FOLDER}/pages/[^/]*\\.page\\.ts$"))))
+    batch("locators", lambda: extract.locators(tests.where(here.rlike(r"\.locators\.ts$"))))
+    batch("testids", lambda: extract.app_testids(sources.app))
+    batch("scss", lambda: extract.style_modules(sources.styles))
+    batch("scss_imports", lambda: extract.style_imports(code, found["scss"]))
+    return found
+
+
+def writer(spark: SparkSession, folder: str) -> Keep:
     """Write a table once and go on from there; one that cannot be written stays as it is, for its extractor to report."""
 
     def keep(name: str, rows: DataFrame) -> DataFrame:
@@ -131,7 +130,7 @@ def reindex(spark: SparkSession, config: ProjectConfig, folder: str) -> dict:
     began = monotonic()
     sources = read_project(spark, config)
     staging = f"{folder}/staging/{uuid.uuid4().hex}"
-    batches = record_batches(sources, config.router_files, compiler_aliases(spark, config.code_root), _writer(spark, f"{staging}/batches"))
+    batches = record_batches(sources, config.router_files, compiler_aliases(spark, config.code_root), writer(spark, f"{staging}/batches"))
     graph, report = build(spark, batches, staging)
     if folder_exists(spark, f"{folder}/published"):
         failed = {label for r in report if not r["ok"] for label in OWNED[r["name"]]}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphlens.functions.columns import as_text
 from graphlens.graph import Graph
-from graphlens.queries import api, ops
+from graphlens.queries import api, ops, texts
 from graphlens.queries.fixture import PROJECT, fixture, table
 from graphlens.queries.oracle import ORACLE_SQL as GRAPH_SQL
 
@@ -60,7 +60,7 @@ QUERIES: dict[str, Query] = {
     "Q-30_adhoc_top_hooks": _on(lambda g: api.top_hooks(g, PROJECT)),
 }
 
-QUERIES |= ops.QUERIES
-ORACLE_SQL: dict[str, str] = GRAPH_SQL | ops.ORACLE_SQL
+QUERIES |= ops.QUERIES | texts.QUERIES
+ORACLE_SQL: dict[str, str] = GRAPH_SQL | ops.ORACLE_SQL | texts.ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -85,11 +85,11 @@ def j10_prefix_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _old_new(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    orders = table(spark, sf_dir, "orders")
-    row = lambda d, v: d.select(F.lit(PROJECT).alias("project"), F.col("o_custkey").alias("key"), v.alias("v"))
-    old = row(orders.where("o_orderkey % 3 = 0"), F.col("o_orderpriority")).groupBy("project", "key").agg(F.min("v").alias("v"))
-    new = row(orders.where("o_orderkey % 3 = 1"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus"))).groupBy("project", "key").agg(F.max("v").alias("v"))
-    return old, new
+    """Old values: every customer with orders. New ones: every customer. Keys are in both, or in the new alone."""
+    row = lambda d, k, v: d.select(F.lit(PROJECT).alias("project"), F.col(k).alias("key"), v.alias("v"))
+    old = row(table(spark, sf_dir, "orders"), "o_custkey", F.col("o_orderpriority")).groupBy("project", "key").agg(F.min("v").alias("v"))
+    new = row(table(spark, sf_dir, "customer"), "c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")))
+    return old.unionByName(row(table(spark, sf_dir, "supplier"), "s_suppkey", F.lit("supplier")).withColumn("key", -F.col("key") - 1)), new
 
 
 def w02_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,9 +138,8 @@ def a08_two_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q26_build_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = api.reindex_summary(fixture(spark, sf_dir), PROJECT)
-    wanted = ["node Domain", "node Page", "node Component", "node Route", "node GqlOperation", "node GqlHook", "node Doc", "node ScssModule", "edge RENDERS Route Component", "edge WRAPS GqlHook GqlOperation", "edge CALLS_HOOK Component GqlHook", "edge USES_OPERATION Component GqlOperation"]
-    return found.where(F.col("table").isin(wanted))
+    """Rows of every node and edge table of the fixture graph."""
+    return api.reindex_summary(fixture(spark, sf_dir), PROJECT)
 
 
 QUERIES = {
@@ -164,9 +163,11 @@ QUERIES = {
     "Q-26_build_counts": q26_build_counts,
 }
 
-_OLD = "SELECT o_custkey AS key, min(o_orderpriority) AS v FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1"
-_NEW = "SELECT o_custkey AS key, max(CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END) AS v FROM orders WHERE o_orderkey % 3 = 1 GROUP BY 1"
+_OLD = "SELECT o_custkey AS key, min(o_orderpriority) AS v FROM orders GROUP BY 1 UNION ALL SELECT -s_suppkey - 1, 'supplier' FROM supplier"
+_NEW = "SELECT c_custkey AS key, CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS v FROM customer"
 _EV = "SELECT *, event_type || '-' || k AS literal, event_type || '-' || left(CAST(k AS VARCHAR), 1) AS head FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"
+_SIGHTS = f"SELECT user_id, event_id, literal AS value, false AS pattern FROM ({_EV}) WHERE k % 3 <> 0 UNION ALL SELECT user_id, event_id, head, true FROM ({_EV}) WHERE event_type IN ('click', 'view') AND k % 10 = 0"
+_GRANTS = "SELECT DISTINCT n_nationkey, c FROM (SELECT n_nationkey, unnest([n_nationkey % 7, n_nationkey % 3]) AS c FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey % 5 <> 4)"
 _HEADS = f"ev AS ({_EV}), lit AS (SELECT DISTINCT literal AS value FROM ev WHERE k % 3 <> 0 OR k % 4 = 0), heads AS (SELECT DISTINCT head FROM ev WHERE event_type IN ('click', 'view') AND k % 10 = 0)"
 
 ORACLE_SQL = {
@@ -196,10 +197,22 @@ SELECT doc_id, count(*) AS matches, sum(n)::BIGINT AS line_sum, max(tail) AS las
     "W-08_gate": "SELECT c_mktsegment AS project, c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'",
     "W-09_wipe": """SELECT 'Route' AS "table", c_mktsegment AS project, count(*) AS n FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY 2 UNION ALL SELECT 'RENDERS', c_mktsegment, count(*) FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment <> 'BUILDING' GROUP BY 2""",
     "A-08_two_levels": "SELECT count(*) AS hooks, sum(u)::BIGINT AS uses, max(u) AS most, count(*) FILTER (u > 100) AS busy FROM (SELECT l_suppkey, count(DISTINCT l_orderkey) AS u FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)",
-    "Q-26_build_counts": """SELECT 'node Domain' AS "table", count(DISTINCT year(o_orderdate)) AS n FROM orders UNION ALL SELECT 'node Page', count(DISTINCT (year(o_orderdate), o_orderpriority)) + count(DISTINCT year(o_orderdate)) FROM orders
+    "Q-26_build_counts": f"""SELECT 'node Domain' AS "table", count(DISTINCT year(o_orderdate)) AS n FROM orders UNION ALL SELECT 'node Page', count(DISTINCT (year(o_orderdate), o_orderpriority)) + count(DISTINCT year(o_orderdate)) FROM orders
 UNION ALL SELECT 'node Component', count(*) FROM orders UNION ALL SELECT 'node Route', count(*) FROM customer UNION ALL SELECT 'node GqlOperation', count(*) FROM part UNION ALL SELECT 'node GqlHook', count(*) FROM supplier
 UNION ALL SELECT 'node Doc', count(*) FROM documents UNION ALL SELECT 'node ScssModule', count(*) FROM pages UNION ALL SELECT 'edge RENDERS Route Component', count(*) FROM orders
 UNION ALL SELECT 'edge WRAPS GqlHook GqlOperation', count(DISTINCT (l_suppkey, l_partkey)) FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 40
 UNION ALL SELECT 'edge CALLS_HOOK Component GqlHook', count(DISTINCT (l_orderkey, l_suppkey)) FROM lineitem WHERE l_linenumber = 1
-UNION ALL SELECT 'edge USES_OPERATION Component GqlOperation', count(DISTINCT (l_orderkey, l_partkey)) FROM lineitem WHERE l_linenumber = 2 AND l_quantity > 45""",
+UNION ALL SELECT 'edge USES_OPERATION Component GqlOperation', count(DISTINCT (l_orderkey, l_partkey)) FROM lineitem WHERE l_linenumber = 2 AND l_quantity > 45
+UNION ALL SELECT 'node File', (SELECT count(*) FROM orders) + (SELECT count(DISTINCT user_id) FROM events) + count(DISTINCT regexp_extract(url, '^https?://([^/]+)', 1)) FROM pages
+UNION ALL SELECT 'node Guard', count(DISTINCT c_mktsegment) FROM customer UNION ALL SELECT 'node Permission', count(*) FROM nation UNION ALL SELECT 'node Role', count(DISTINCT c) FROM ({_GRANTS})
+UNION ALL SELECT 'node TestId', count(*) FROM (SELECT DISTINCT value, pattern FROM ({_SIGHTS}) UNION SELECT literal, false FROM ({_EV}) WHERE k % 4 = 0) UNION ALL SELECT 'node TestIdLoc', count(DISTINCT literal) FROM ({_EV}) WHERE k % 4 = 0
+UNION ALL SELECT 'node PageObject', count(DISTINCT event_type) FROM events UNION ALL SELECT 'node E2eSpec', count(DISTINCT (user_id % 10, event_type)) FROM events
+UNION ALL SELECT 'edge IN_DOMAIN Page Domain', count(DISTINCT (year(o_orderdate), o_orderpriority)) + count(DISTINCT year(o_orderdate)) FROM orders UNION ALL SELECT 'edge BELONGS_TO Component Page', count(*) FROM orders UNION ALL SELECT 'edge HAS_FILE Page File', count(*) FROM orders
+UNION ALL SELECT 'edge GUARDED_BY Route Guard', count(*) FROM customer UNION ALL SELECT 'edge REQUIRES Route Permission', count(*) FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT 'edge GRANTED_TO Permission Role', count(*) FROM ({_GRANTS})
+UNION ALL SELECT 'edge CHILD_OF Route Route', count(*) FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey > 0
+UNION ALL SELECT 'edge CALLS_HOOK File GqlHook', count(DISTINCT (l_orderkey, l_suppkey, l_linenumber, l_partkey)) FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+UNION ALL SELECT 'edge USES_OPERATION File GqlOperation', count(DISTINCT (l_orderkey, l_suppkey, l_partkey)) FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber = 3 AND l_quantity > 45
+UNION ALL SELECT 'edge HAS_TESTID File TestId', count(*) FROM (SELECT DISTINCT user_id, value, pattern, event_id FROM ({_SIGHTS})) UNION ALL SELECT 'edge RESOLVES_TO TestIdLoc TestId', count(DISTINCT literal) FROM ({_EV}) WHERE k % 4 = 0
+UNION ALL SELECT 'edge DEFINES_LOC PageObject TestIdLoc', count(DISTINCT literal) FROM ({_EV}) WHERE k % 4 = 0 UNION ALL SELECT 'edge USES_POM E2eSpec PageObject', count(DISTINCT (user_id % 10, event_type)) FROM events WHERE event_type <> 'error'
+UNION ALL SELECT 'edge USES_SCSS File ScssModule', count(*) FROM pages""",
 }

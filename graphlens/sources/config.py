@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import tempfile
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -78,3 +80,13 @@ def compiler_aliases(spark: SparkSession, code_root: str) -> tuple[tuple[str, st
                 return tuple(sorted(found.items(), key=lambda x: (-len(x[0]), x[0])))
             break
     return (("@/", "src/"),)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder for tables on their way, where all executors see it: below spark.checkpoint.dir; a local one in local mode."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="graphlens-tables-")
+    return f"{base}/{uuid.uuid4().hex}"
