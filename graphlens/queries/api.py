@@ -123,8 +123,8 @@ def _under_pages(g: Graph, pages: DataFrame) -> dict[str, DataFrame]:
     hooks = g.nodes["GqlHook"].select("project", F.col("id").alias("at"), "file")
     components = g.nodes["Component"].select("project", F.col("id").alias("at"), "file")
     files = g.nodes["File"].select("project", F.col("id").alias("at"), F.col("path").alias("file"))
-    below = {k: prefix_join(v, dirs, "file", "dir_prefix", ["project"], directories=True).select(F.xxhash64("project", "dir_prefix").alias("anchor"), "at") for k, v in (("h", hooks), ("c", components), ("f", files))}
-    to = heads.select("anchor", F.xxhash64("project", "dir_prefix").alias("dir_id"))
+    below = {k: prefix_join(v, dirs, "file", "dir_prefix", ["project"], directories=True).select(F.struct("project", "dir_prefix").alias("anchor"), "at") for k, v in (("h", hooks), ("c", components), ("f", files))}
+    to = heads.select("anchor", F.struct("project", "dir_prefix").alias("dir_id"))
     reached = {
         "hooks": walk_self(g, below["h"], "GqlHook"),
         "by_hook": walk(g, below["h"], out("WRAPS", "GqlHook", "GqlOperation")),
