@@ -93,18 +93,19 @@ def _signed(x: int) -> int:
 
 
 def tables(distance: int, rows: int) -> list[Table]:
-    """The tables for so many fingerprints, with values wide enough that few fingerprints share one.
+    """The tables for so many fingerprints, with values wide enough that no more than 64 share one on average.
 
     Of ``blocks`` blocks of bits, the ``taken`` that two fingerprints within ``distance`` differ least in have at most
     distance * taken // blocks differences, so one table for every choice of that many blocks finds all links. The
-    first plan whose values outnumber the rows is taken; among more rows, the widest.
+    first plan that is wide enough is taken, and the widest beyond: fewer rows are named than by wider tables, while
+    comparing 64 fingerprints costs less than a row that is shuffled.
     """
     for blocks, taken in ((3, 1), (5, 2), (2, 1)):
         radius = distance * taken // blocks
         edges = [64 * i // blocks for i in range(blocks + 1)]
         parts = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
         plan = [Table(sum(x), radius) for x in combinations(parts, taken)]
-        if radius <= 2 and rows <= 1 << min(t.mask.bit_count() for t in plan):
+        if radius <= 2 and rows <= 64 << min(t.mask.bit_count() for t in plan):
             return plan
     if radius > 2:
         raise ValueError("balls of more than two bits are too large; use a smaller distance")

@@ -112,7 +112,7 @@ def brute_components(prints, distance=4):
     return [(doc, f"{p:016x}", low.get(find(i))) for i, (doc, p) in enumerate(prints)]
 
 
-@pytest.mark.parametrize("options", [{}, {"plan": simhash.tables(4, 1 << 24), "hot": 1}])
+@pytest.mark.parametrize("options", [{}, {"plan": simhash.tables(4, 1 << 28), "hot": 1}])
 def test_simhash(spark, docs, empty, options):
     for frame in (docs, real(spark)):
         want = brute_components([(i, brute_print(t)) for i, t in pairs_of(frame)])
@@ -130,9 +130,9 @@ def test_simhash_links_of_dense_prints(spark):
     prints = sorted(prints)
     want = {f"{p:016x}": c for _, h, c in brute_components([(i, p) for i, p in enumerate(prints)]) for p in [int(h, 16)]}
     frame = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
-    for hot, rows in ((4096, 0), (2, 0), (4096, 1 << 25), (2, 1 << 25), (4096, 1 << 60)):
+    for hot, rows in ((4096, 0), (2, 0), (4096, 1 << 28), (2, 1 << 28), (4096, 1 << 60)):
         plan = simhash.tables(4, rows)
-        assert len(plan) == {0: 3, 1 << 25: 10, 1 << 60: 2}[rows]
+        assert len(plan) == {0: 3, 1 << 28: 10, 1 << 60: 2}[rows]
         parts = {r.node: r.component for r in connected_components(simhash.near_links(frame, plan=plan, hot=hot)).collect()}
         groups = defaultdict(set)
         for p in prints:
