@@ -328,3 +328,21 @@ def test_runs_of_few_different_lines(spark):
         assert sorted(got, key=str) == sorted(brute_lines(rows, least), key=str)
     kept = {r.doc_id: r.text for r in lines.remove_repeated_lines(frame).collect()}
     assert kept[28] == "one\n\ntwo" and kept[29] == "three\n\nfour"
+
+
+def test_very_long_texts_go_through_whole(spark):
+    """Texts of about a megabyte, one a copy with more at its end, in line, exact and substring dedup, sharding and decontamination."""
+    long = "\n".join(" ".join(f"w{i}x{j}" for j in range(30)) for i in range(4000))
+    more = "first\n" + long + "\nlast"
+    frame = spark.createDataFrame([(1, long), (2, more), (3, None), (4, long)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.n_removed, [tuple(x) for x in r.line_runs]) for r in lines.line_dedup(frame).collect()}
+    assert got == {1: (4000, 0, []), 2: (4002, 4000, [(1, 4000)]), 3: (0, 0, []), 4: (4000, 4000, [(0, 4000)])}
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in exact.exact_dedup(frame, keep="max").collect()} == {1: (4, 2), 2: (2, 1), 3: (3, 1), 4: (4, 2)}
+    sizes = {r.doc_id: r["size"] for r in sharding.shard_by_bytes(frame, 4).collect()}
+    assert sizes == {1: len(long) + 16, 2: len(more) + 16, 3: 16, 4: len(long) + 16}
+    removed = {r.doc_id: (r.n_words, r.n_removed) for r in substring.substring_dedup(frame).collect()}
+    assert removed == {1: (120_000, 0), 2: (120_002, 120_000), 3: (0, 0), 4: (120_000, 120_000)}
+    item = " ".join(f"w3999x{j}" for j in range(30))
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    hits = {r.doc_id: (r.bench_hit, r.contaminated) for r in decontaminate.contamination(frame, bench).collect()}
+    assert hits == {1: (30, False), 2: (30, False), 3: (0, False), 4: (30, False)}
