@@ -145,8 +145,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = docs.where(F.col(text_col).isNotNull()).groupBy(F.xxhash64(text_col).alias("k1"), F.xxhash64(F.lit(1), text_col).alias("k2")).agg(F.min(id_col).alias("least"), F.max(id_col).alias("most"), F.count(F.lit(1)).alias("rows"), F.count(id_col).alias("named"))
     copied = counts.where((F.col("rows") > 1) & (~F.col("least").eqNullSafe(F.col("most")) | ((F.col("named") > 0) & (F.col("named") < F.col("rows")))))
     texts = texts.join(copied.select("k1", "k2", F.lit(True).alias("copied_")), ["k1", "k2"], "left").where("shared_ is not null or copied_")
-    texts = texts.select(F.col("k1").alias("k1_"), F.col("k2").alias("k2_"), F.col("first_id").alias("first_"), "shared_")
-    joined = docs.join(texts, (F.xxhash64(docs[text_col]) == F.col("k1_")) & (F.xxhash64(F.lit(1), docs[text_col]) == F.col("k2_")), "left")
+    # Joined by another key than the groupings', so that a text of many documents can be split between tasks.
+    texts = texts.select(F.bitwise_not("k1").alias("k1_"), F.col("k2").alias("k2_"), F.col("first_id").alias("first_"), "shared_")
+    joined = docs.join(texts, (F.bitwise_not(F.xxhash64(docs[text_col])) == F.col("k1_")) & (F.xxhash64(F.lit(1), docs[text_col]) == F.col("k2_")), "left")
     parts = F.split(F.col(text_col), "\n", -1)
     size = F.coalesce(F.when(F.col(text_col).isNotNull(), F.size(parts)), F.lit(0)).cast("long")
     kind = "array<struct<start: bigint, length: bigint>>"
