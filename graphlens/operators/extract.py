@@ -1,17 +1,18 @@
 """Facts from texts: rows (project, path, text) to record batches, by expressions that stay in the JVM.
 
-References are found by name, not by type: a text cannot tell two things of one name apart. Indexers that can deliver
-their records as JSON batches instead (graphlens.sources.records).
+References are found by binding (``symbols``): declarations, imports and re-exports tell two things of one name apart, but types
+are not inferred. Indexers that know them can deliver their records as JSON batches instead (graphlens.sources.records).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlens.functions.matches import matches_with_lines
-from graphlens.functions.paths import directory, join_route, resolve, stem
-from graphlens.operators import literals
+from graphlens.functions.paths import directory, resolve, stem
+from graphlens.operators import graphql, literals, symbols
+from graphlens.operators.trees import Keep, from_roots, checkpointed
 
 # The file names, tags and patterns that mark each kind of fact.
 GUARDS = ("AuthGuard", "RouterGuard", "RoleBasedGuard", "RoleBasedDisableGuard")
@@ -28,15 +29,14 @@ TESTID_LITERAL = r"data-testid=['\"]([^'\"]+)['\"]"
 TESTID_TEMPLATE = r"data-testid=`([^`]+)`"
 TESTID_PROPERTY = r"data-testid=\{\s*[`'\"]([^`'\"]+)[`'\"]"
 TESTID_ATTRIBUTE = r"(?:data-testid|testid)=['\"]([^'\"]+)['\"]"
-LOCATOR = r"(?s)export\s+const\s+(\w+)\s*(?::\s*[^=]+)?=\s*((?:\([^)]*\)\s*=>\s*)?(?:`(?:\\.|[^`])*`|'(?:\\.|[^'])*'|\"(?:\\.|[^\"])*\"))"
+# Every repeated group is possessive: the matcher loops over a long literal and does not call itself.
+LOCATOR = r"(?s)export\s+const\s+(\w+)\s*(?::\s*[^=]+)?=\s*((?:\([^)]*\)\s*=>\s*)?(?:`(?:[^`\\]++|\\.)*+`|'(?:[^'\\]++|\\.)*+'|\"(?:[^\"\\]++|\\.)*+\"))"
 CLASS_SELECTOR = r"(?md)^\s*\.([A-Za-z_][A-Za-z0-9_-]*)\b"
 STYLE_IMPORT = r"import\s+\w+\s+from\s+['\"]([^'\"]*\.module\.scss)['\"]"
-GQL_TEMPLATE = r"(?s)(export\s+)?(?:const|let|var)\s+(\w+)\s*(?::[^=]+)?=\s*gql\s*`((?:\\.|[^`\\])*)`"
-HOOK = r"(export\s+(?:default\s+)?)(?:async\s+)?(?:function\s+(use\p{Lu}\w*)|const\s+(use\p{Lu}\w*)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>)"
-LAZY_IMPORT = r"(?s)const\s+(\w+)\s*=\s*(?:React\.)?lazy\(\s*\(\)\s*=>\s*import\(\s*['\"]([^'\"]+)['\"]\s*\)(?:[^;]*?default:\s*\w+\.(\w+))?"
-EAGER_IMPORT = r"import\s+(?:(\w+)\s*,?\s*)?(?:\{([^}]*)\})?\s*from\s*['\"]([^'\"]+)['\"]"
-DECLARATION = r"(?md)^(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:const|let|var|function|class)\s+(\w+)"
-IDENTIFIER = r"[A-Za-z_$][A-Za-z0-9_$]*"
+GQL_TEMPLATE = r"(?s)(export\s+)?(?:const|let|var)\s+(\w+)\s*(?::[^=]+)?=\s*gql\s*`((?:[^`\\]++|\\.)*+)`"
+HOOK = r"^use[A-Z]"
+
+_FILE = ["project", "path"]
 
 
 def _all(text: str | Column, pattern: str, group: int = 1) -> Column:
@@ -126,23 +126,6 @@ def app_testids(texts: DataFrame) -> DataFrame:
 # --- operations and hooks -------------------------------------------------------------------------------------------------
 
 
-def _definitions(body: Column) -> Column:
-    """array<struct<kind, name>> of a document's top-level definitions; null if its braces do not match or it has none.
-
-    What stands in braces, however deep, is the text between brackets of a running depth above zero.
-    """
-    bare = F.regexp_replace(F.regexp_replace(body, r"#[^\n]*", ""), r"\"[^\"\n]*\"", "")
-    marks = F.regexp_extract_all(bare, F.lit(r"[^{}]+|[{}]"), F.lit(0))
-    state = F.struct(F.lit(0).alias("depth"), F.lit(True).alias("sound"), F.lit("").alias("top"))
-    deeper = lambda s, x: s["depth"] + F.when(x == "{", 1).when(x == "}", -1).otherwise(0)
-    shown = lambda s, x: F.when((x == "}") & (s["depth"] == 1), F.lit("\u0001")).when((s["depth"] == 0) & ~x.isin("{", "}"), x).otherwise(F.lit(""))
-    step = lambda s, x: F.struct(deeper(s, x).alias("depth"), (s["sound"] & (deeper(s, x) >= 0)).alias("sound"), F.concat(s["top"], shown(s, x)).alias("top"))
-    flat = F.aggregate(marks, state, step)
-    top = r"(?s)\s*(?:(query|mutation|subscription|fragment)\b)?\s*(\w*)[^\x01]*\x01"
-    rows = F.zip_with(_all(flat["top"], top, 1), _all(flat["top"], top, 2), lambda a, b: F.struct(F.when(a == "", "query").otherwise(a).alias("kind"), F.nullif(b, F.lit("")).alias("name")))
-    return F.when((F.size(rows) > 0) & flat["sound"] & (flat["depth"] == 0), rows)
-
-
 def operations(texts: DataFrame) -> DataFrame:
     """Tagged templates in /gql/queries/: one row per definition; of a symbol's declarations the first counts.
 
@@ -152,61 +135,70 @@ def operations(texts: DataFrame) -> DataFrame:
     one = found.groupBy("project", F.col("g2").alias("symbol")).agg(F.min_by(F.struct("path", "line", "g1", "g3"), F.struct("path", "line")).alias("d"))
     body = F.regexp_replace("d.g3", r"\$\{[^}]+\}", "")
     stub = F.array(F.struct(F.lit("fragment").alias("kind"), F.lit(None).cast("string").alias("name")))
-    rows = one.withColumn("x", F.explode(F.coalesce(_definitions(body), stub)))
+    rows = one.withColumn("x", F.explode(F.coalesce(F.nullif(graphql.definitions(body), F.array().cast("array<struct<kind:string,name:string>>")), stub)))
     return rows.select("project", "symbol", F.coalesce("x.name", "symbol").alias("gqlName"), F.col("x.kind").alias("kind"), F.col("d.path").alias("file"), F.col("d.line").alias("line"), (F.col("d.g1") != "").alias("exported"))
 
 
-def identifiers(texts: DataFrame) -> DataFrame:
-    """(project, path, line, token): every identifier with its line."""
-    lines = texts.select("project", "path", F.posexplode(F.split("text", "\n", -1)).alias("n", "body"))
-    return lines.select("project", "path", (F.col("n") + 1).cast("long").alias("line"), F.explode(_all("body", IDENTIFIER, 0)).alias("token"))
+def hooks(found: DataFrame, known: DataFrame) -> DataFrame:
+    """Exported hooks in /gql/hooks/, with the operations (project, symbol) that their bodies name, sorted; from token rows.
 
-
-def hooks(texts: DataFrame, known: DataFrame) -> DataFrame:
-    """Exported hooks in /gql/hooks/, with the operations (project, symbol) that their text names, sorted.
-
-    A hook's text runs to the next hook of its file.
+    A hook is an exported function, or a variable set to one, whose name begins with use and a capital letter.
     """
-    files = texts.where(F.col("path").contains("/gql/hooks/"))
-    found = _named(files, HOOK, 3).select("project", "path", "line", F.when(F.col("g2") != "", F.col("g2")).otherwise(F.col("g3")).alias("name"))
-    starts = found.groupBy("project", "path").agg(F.array_sort(F.collect_list(F.struct("line", "name"))).alias("starts"))
-    tokens = identifiers(files).join(known.select("project", F.col("symbol").alias("token")).distinct(), ["project", "token"], "left_semi")
-    inside = tokens.join(starts, ["project", "path"]).withColumn("h", F.try_element_at(F.filter("starts", lambda s: s["line"] <= F.col("line")), F.lit(-1)))
-    used = inside.where("h is not null").groupBy("project", "path", F.col("h.line").alias("line"), F.col("h.name").alias("name")).agg(F.array_sort(F.collect_set("token")).alias("operations"))
-    rows = found.join(used, ["project", "path", "line", "name"], "left")
+    here = found.where(F.col("path").contains("/gql/hooks/"))
+    own = symbols.functions(here).where("exported").where(F.col("name").rlike(HOOK))
+    named = here.where(symbols.is_name()).select("project", "path", "n", "token").join(known.select("project", F.col("symbol").alias("token")).distinct(), ["project", "token"], "left_semi")
+    inside = own.join(named.withColumnRenamed("n", "at"), ["project", "path"]).where("at >= body and at <= stop")
+    used = inside.groupBy("project", "path", "line", "name").agg(F.array_sort(F.collect_set("token")).alias("operations"))
+    rows = own.select("project", "path", "line", "name").join(used, ["project", "path", "line", "name"], "left")
     return rows.select("project", "name", F.col("path").alias("file"), "line", F.coalesce("operations", F.array().cast("array<string>")).alias("operations"))
 
 
-def callsites(texts: DataFrame, operations_: DataFrame, hooks_: DataFrame) -> DataFrame:
-    """Places that name an operation or a hook, imports included, but for the place that declares it."""
-    known = operations_.select("project", F.col("symbol").alias("token"), F.lit("operation").alias("targetKind"), F.col("file").alias("at"), F.col("line").alias("on"))
-    known = known.unionByName(hooks_.select("project", F.col("name").alias("token"), F.lit("hook").alias("targetKind"), F.col("file").alias("at"), F.col("line").alias("on")))
-    lines = texts.select("project", "path", F.posexplode(F.split("text", "\n", -1)).alias("n", "body"))
-    gaps, hits = F.split("body", IDENTIFIER, -1), _all("body", IDENTIFIER, 0)
-    zero = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<token:string,column:bigint>>").alias("out"))
-    step = lambda s, x: F.struct((s["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"), F.array_append(s["out"], F.struct(x["hit"].alias("token"), (s["at"] + F.length(x["gap"])).cast("long").alias("column"))).alias("out"))
-    placed = F.aggregate(F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))), zero, step, lambda s: s["out"])
-    tokens = lines.select("project", "path", (F.col("n") + 1).cast("long").alias("line"), F.explode(placed).alias("t")).select("project", "path", "line", "t.token", "t.column")
-    rows = tokens.join(known.select("project", "token", "targetKind").distinct(), ["project", "token"])
-    own = known.select("project", "token", "targetKind", F.col("at").alias("path"), F.col("on").alias("line"))
-    rows = rows.join(own, ["project", "token", "targetKind", "path", "line"], "left_anti")
-    return rows.select("project", F.col("token").alias("target"), "targetKind", F.col("path").alias("file"), "line", "column").distinct()
+def callsites(found: DataFrame, files: DataFrame, operations_: DataFrame, hooks_: DataFrame, aliases: symbols.Aliases = (("@/", "src/"),), keep: Keep = checkpointed) -> DataFrame:
+    """Places that refer to an operation or a hook, imports included, but for the line that declares it; from token rows.
+
+    ``targetFile`` is the file that declares what the place refers to.
+    """
+    known = operations_.select("project", F.col("symbol").alias("name"), F.lit("operation").alias("kind"), "file", "line")
+    known = known.unionByName(hooks_.select("project", "name", F.lit("hook").alias("kind"), "file", "line")).distinct()
+    rows = symbols.references(found, known, files, aliases, keep)
+    own = known.select("project", "name", "kind", "file", F.col("file").alias("path"), "line")
+    rows = rows.join(own, ["project", "name", "kind", "file", "path", "line"], "left_anti")
+    place = lambda c: F.col(c).cast("long").alias(c)
+    return rows.select("project", F.col("name").alias("target"), F.col("kind").alias("targetKind"), F.col("path").alias("file"), place("line"), place("column"), F.col("file").alias("targetFile"))
 
 
 # --- routes -----------------------------------------------------------------------------------------------------------------
 
 
-def element_parts(element: Column) -> Column:
-    """struct<components, guards, permissions> of a route's JSX: guards and permissions distinct, components as they come.
+def element_parts(found: DataFrame, elements: DataFrame) -> DataFrame:
+    """(project, path, object, e) of routes' elements (project, path, object, from_n, to_n), ranges of token rows.
 
-    Elements in attributes (a fallback, an icon) are no children and do not count.
+    e is struct<components, guards, permissions>: guards and permissions distinct, components as they come. An element in
+    an attribute (a fallback, an icon), however deep, is no child and does not count; nor does the text between tags.
     """
-    tags = _all(F.regexp_replace(element, r"=\{\s*<(?:[^{}]|\{[^{}]*\})*\}", "=0"), r"<([A-Z][\w.]*)")
-    guards = F.array_distinct(F.filter(tags, lambda t: t.isin(*GUARDS)))
-    components = F.filter(tags, lambda t: ~t.isin(*GUARDS, *ROUTER_TAGS) & ~t.startswith("Lazy"))
-    roles = _all(element, r"<(?:" + "|".join(GUARDS) + r")\b[^>]*?\broles=\{\s*([A-Za-z_$][\w$]*(?:\.[\w$]+)+)\s*\}")
-    permissions = F.array_distinct(F.transform(roles, lambda r: F.regexp_replace(r, r"^PERMISSIONS\.", "")))
-    return F.struct(components.alias("components"), guards.alias("guards"), permissions.alias("permissions"))
+    here = found.join(elements.select(*_FILE).distinct(), _FILE, "left_semi")
+    order = Window.partitionBy(*_FILE).orderBy("n")
+    ahead = lambda k: F.lead("token", k).over(order)
+    dotted = F.when(ahead(2) == ".", F.concat_ws(".", ahead(1), ahead(3), F.when(ahead(4) == ".", ahead(5)))).otherwise(ahead(1))
+    tags = here.withColumn("tag", F.when((F.col("token") == "<") & ahead(1).rlike(r"^\p{Lu}"), dotted))
+    # The tag that an attribute stands in is the last that began at its level.
+    level = Window.partitionBy(*_FILE, "level").orderBy("n")
+    tags = tags.withColumn("owner", F.last("tag", ignorenulls=True).over(level))
+    inside = tags.join(elements.select(*_FILE, "object", "from_n", "to_n"), _FILE).where("n >= from_n and n < to_n")
+    values = inside.where("token = '{' and prev = '='").select(*_FILE, "object", F.col("n").alias("open"), F.col("close").alias("shut"))
+    key = [*_FILE, "object"]
+    covered = lambda rows: rows.join(values, (rows["project"].eqNullSafe(values["project"])) & (rows["path"] == values["path"]) & (rows["object"] == values["object"]) & (rows["n"] > values["open"]) & (rows["n"] < values["shut"]), "left_anti")
+    shown = covered(inside.where("tag is not null").select(*key, "n", "tag"))
+    roles = covered(inside.where("token = 'roles' and next = '='").where(F.col("owner").isin(*GUARDS)).select(*key, "n", F.col("n").alias("at"))).select(*key, "n")
+    told = inside.select(*key, F.col("n").alias("at"), "token").join(values, key).where("at > open and at < shut")
+    told = told.join(roles.withColumn("open", F.col("n") + 2), [*key, "open"]).groupBy(*key, "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]), "").alias("said"))
+    told = told.where(F.col("said").rlike(r"^[A-Za-z_$][\w$]*(?:\??\.[\w$]+)+$"))
+    listed = lambda rows, what, name: rows.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", what))), lambda x: x[what]).alias(name))
+    is_guard, is_wrapper = F.col("tag").isin(*GUARDS), F.col("tag").isin(*ROUTER_TAGS) | F.col("tag").startswith("Lazy")
+    parts = elements.select(*key).join(listed(shown.where(~is_guard & ~is_wrapper), "tag", "components"), key, "left")
+    parts = parts.join(listed(shown.where(is_guard), "tag", "guards"), key, "left").join(listed(told.withColumn("said", F.regexp_replace(F.replace("said", F.lit("?"), F.lit("")), r"^PERMISSIONS\.", "")), "said", "permissions"), key, "left")
+    none = F.array().cast("array<string>")
+    return parts.select(*key, F.struct(F.coalesce("components", none).alias("components"), F.array_distinct(F.coalesce("guards", none)).alias("guards"), F.array_distinct(F.coalesce("permissions", none)).alias("permissions")).alias("e"))
 
 
 def segment_value(raw: Column, members: Column) -> Column:
@@ -221,20 +213,25 @@ def _member(members: Column, name: Column) -> Column:
     return F.coalesce(F.try_element_at(members, name), F.lower(F.regexp_extract(name, r"([^.]*)$", 1)))
 
 
-def route_tree(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
-    """Full paths of a route tree: (node, parent, segment, index) to (node, path, depth, parent_path), level by level.
+def route_tree(nodes: DataFrame, keep: Keep = checkpointed) -> DataFrame:
+    """Full paths of a route tree: (node, parent, segment, index) to (node, path, depth, parent_path). Roots have a null parent.
 
-    The number of levels is the tree's depth; each level is one join on the parent. Roots have a null parent.
+    A node's own step is its segment, absolute or to be put behind its parent's path, or nothing (an index, or no segment);
+    steps are joined along the way from the root, two at a time.
     """
-    level = nodes.where("parent is null").select("node", join_route(F.lit(None).cast("string"), F.col("segment"), F.col("index")).alias("path"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("string").alias("parent_path"))
-    found = level
-    for _ in range(max_depth):
-        above = level.select(F.col("node").alias("parent"), F.col("path").alias("above"), F.col("depth").alias("d"))
-        level = nodes.join(above, "parent").select("node", join_route(F.col("above"), F.col("segment"), F.col("index")).alias("path"), (F.col("d") + 1).alias("depth"), F.col("above").alias("parent_path"))
-        if level.isEmpty():
-            return found
-        found = found.unionByName(level)
-    raise ValueError(f"a route tree of more than {max_depth} levels, or a cycle")
+    segment = F.col("segment")
+    root = F.when(segment.isNull(), "/").when(segment.startswith("/"), segment).otherwise(F.concat(F.lit("/"), segment))
+    own = F.when(F.col("parent").isNull(), F.struct(F.lit(True).alias("whole"), root.alias("path")))
+    own = own.when(F.col("index") | segment.isNull(), F.lit(None).cast("struct<whole:boolean,path:string>")).otherwise(F.struct(segment.startswith("/").alias("whole"), segment.alias("path")))
+    stripped = lambda x: F.regexp_replace(x, "/$", "")
+
+    def join(above: Column, step: Column) -> Column:
+        path = F.when(above["path"] == "", step["path"]).otherwise(F.concat(stripped(above["path"]), F.lit("/"), step["path"]))
+        return F.when(step.isNull(), above).when(above.isNull() | step["whole"], step).otherwise(F.struct(above["whole"].alias("whole"), path.alias("path")))
+
+    placed = from_roots(nodes.withColumn("step", own), "step", join, keep=keep, name="route_ways").select("node", F.col("value.path").alias("path"), "depth")
+    up = nodes.where("parent is not null").select("node", "parent").join(placed.select(F.col("node").alias("parent"), F.col("path").alias("parent_path")), "parent")
+    return placed.join(up.select("node", "parent_path"), "node", "left")
 
 
 def jsx(value: Column) -> Column:
@@ -250,20 +247,23 @@ def enum_members(texts: DataFrame) -> DataFrame:
     return rows.groupBy("project", F.concat_ws(".", "enum", "x.member").alias("name")).agg(F.min("x.value").alias("value"))
 
 
-def route_nodes(texts: DataFrame, members: DataFrame | None = None) -> DataFrame:
+def route_nodes(texts: DataFrame, members: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
     """Route objects of router files: those of the array ``routes`` and of ``children`` arrays, each with its parent's node.
 
-    ``members`` (project, name, value) are enum members that path segments may name.
+    ``members`` (project, name, value) are enum members that path segments may name; ``found`` are the texts' token rows.
     """
-    found = literals.tokens(texts)
+    found = checkpointed("tokens", literals.tokens(texts)) if found is None else found
     parts = literals.entries(texts, found).where("bracket in ('{', '[')")
     root = literals.declared(found, "routes").where("bracket = '['").select("project", "path", "literal", F.lit(True).alias("root"))
     owner = parts.where("key = 'children' and child_bracket = '['").select("project", "path", F.col("child").alias("literal"), F.col("literal").alias("owner"))
     objects = parts.where("bracket = '[' and child_bracket = '{'").select("project", "path", "literal", F.col("child").alias("object"), "line")
     objects = objects.join(root, ["project", "path", "literal"], "left").join(owner, ["project", "path", "literal"], "left").where("root or owner is not null").drop("literal")
     of = lambda key: F.max(F.when(F.col("key") == key, F.col("value"))).alias(f"{key}_")
-    known = parts.where("bracket = '{' and key in ('path', 'index', 'element')").groupBy("project", "path", F.col("literal").alias("object")).agg(of("path"), of("index"), of("element"))
-    rows = objects.join(known, ["project", "path", "object"], "left")
+    known = parts.where("bracket = '{' and key in ('path', 'index')").groupBy("project", "path", F.col("literal").alias("object")).agg(of("path"), of("index"))
+    elements = parts.where("bracket = '{' and key = 'element'").where(jsx(F.col("value")).isNotNull()).groupBy("project", "path", F.col("literal").alias("object")).agg(F.max("from_n").alias("from_n"), F.max_by("to_n", "from_n").alias("to_n"))
+    none = F.array().cast("array<string>")
+    rows = objects.join(known, ["project", "path", "object"], "left").join(element_parts(found, elements), ["project", "path", "object"], "left")
+    rows = rows.withColumn("e", F.coalesce("e", F.struct(none.alias("components"), none.alias("guards"), none.alias("permissions"))))
     if members is None:
         rows = rows.withColumn("members", F.create_map().cast("map<string,string>"))
     else:
@@ -273,108 +273,101 @@ def route_nodes(texts: DataFrame, members: DataFrame | None = None) -> DataFrame
         maps = members.join(asked, ["project", "name"], "left_semi").groupBy("project").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("members"))
         rows = rows.join(maps, "project", "left").withColumn("members", F.coalesce("members", F.create_map().cast("map<string,string>")))
     name = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws("\0", "project", "path", F.col(c).cast("string")))
-    return rows.select("project", F.col("path").alias("file"), "line", name("object").alias("node"), name("owner").alias("parent"), segment_value(F.col("path_"), F.col("members")).alias("segment"), F.coalesce(F.col("index_") == "true", F.lit(False)).alias("index"), element_parts(F.coalesce(jsx(F.col("element_")), F.lit(""))).alias("e"))
+    return rows.select("project", F.col("path").alias("file"), "line", name("object").alias("node"), name("owner").alias("parent"), segment_value(F.col("path_"), F.col("members")).alias("segment"), F.coalesce(F.col("index_") == "true", F.lit(False)).alias("index"), "e")
 
 
-def routes(nodes: DataFrame) -> DataFrame:
+def routes(nodes: DataFrame, keep: Keep = checkpointed) -> DataFrame:
     """Route records of ``route_nodes``, with full paths; a node that no root leads to is left out.
 
-    The nodes are read once per level of the tree: write or persist them before.
+    The nodes are read several times: write or persist them before.
     """
-    placed = route_tree(nodes.select("node", "parent", "segment", "index"))
+    placed = route_tree(nodes.select("node", "parent", "segment", "index"), keep)
     return nodes.select("project", "file", "line", "node", "index", "e").join(placed, "node").select("project", "path", "index", "depth", F.col("parent_path").alias("parentPath"), "file", "line", "e.components", "e.guards", "e.permissions")
 
 
-def permission_entries(texts: DataFrame) -> DataFrame:
-    """Entries of the literals in files of /common/permissions/; those of the object that ``PERMISSIONS`` is set to have root."""
-    files = texts.where(F.col("path").contains("/common/permissions/") | F.col("path").startswith("common/permissions/"))
-    found = literals.tokens(files)
+def permission_entries(texts: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """Entries of the literals in files of /common/permissions/; those of the object that ``PERMISSIONS`` is set to have root.
+
+    The first file, by path, that sets PERMISSIONS to an object counts. ``found`` are the texts' token rows.
+    """
+    here = F.col("path").contains("/common/permissions/") | F.col("path").startswith("common/permissions/")
+    files = texts.where(here)
+    found = checkpointed("tokens", literals.tokens(files)) if found is None else found.where(here)
     parts = literals.entries(files, found)
     root = literals.declared(found, "PERMISSIONS").where("bracket = '{'").groupBy("project").agg(F.min_by(F.struct("path", "literal"), "path").alias("d")).select("project", "d.path", "d.literal", F.lit(True).alias("root"))
     return parts.join(root, ["project", "path", "literal"], "left")
 
 
-def permissions(parts: DataFrame, max_depth: int = 64) -> DataFrame:
-    """Permission records of ``permission_entries``: the first file, by path, that sets PERMISSIONS to an object counts.
+def permissions(parts: DataFrame, keep: Keep = checkpointed) -> DataFrame:
+    """Permission records of ``permission_entries``, at whatever depth.
 
     A list makes its dotted key a permission, whose roles are the list's plain strings; other values are left out, keys
-    stay as they are written. Objects nested deeper than ``max_depth`` raise. The entries are read once per level: write
-    or persist them before.
+    stay as they are written. The entries are read several times: write or persist them before.
     """
-    strings = parts.where("bracket = '['").where(F.col("value").rlike(r"(?s)^(?:'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\")$"))
-    roles = strings.groupBy("project", "path", F.col("literal").alias("child")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: F.substring(x["value"], F.lit(2), F.length(x["value"]) - 2)).alias("roles"))
-    keyed = parts.where("bracket = '{' and child_bracket in ('{', '[')").select("project", "path", "literal", "key", "child", "child_bracket", "line")
-    level = parts.where("root").select("project", "path", "literal", F.lit(None).cast("string").alias("above")).distinct()
-    out = None
-    for _ in range(max_depth):
-        level = level.join(keyed, ["project", "path", "literal"]).select("project", "path", F.concat_ws(".", "above", "key").alias("key"), "child", "child_bracket", "line")
-        lists = level.where("child_bracket = '['").drop("child_bracket")
-        out = lists if out is None else out.unionByName(lists)
-        level = level.where("child_bracket = '{'").select("project", "path", F.col("child").alias("literal"), F.col("key").alias("above"))
-        if level.isEmpty():
-            rows = out.join(roles, ["project", "path", "child"], "left")
-            return rows.select("project", "key", F.coalesce("roles", F.array().cast("array<string>")).alias("roles"), F.col("path").alias("file"), "line")
-    raise ValueError(f"permission objects nested in more than {max_depth} levels")
-
-
-def component_imports(texts: DataFrame) -> DataFrame:
-    """(project, path, name, spec, export): what a router file imports, lazily first, then eagerly; the first wins."""
-    lazy = _named(texts, LAZY_IMPORT, 3).select("project", "path", F.col("g1").alias("name"), F.col("g2").alias("spec"), F.nullif("g3", F.lit("")).alias("export"), F.lit(0).alias("order"), "line")
-    eager = _named(texts, EAGER_IMPORT, 3)
-    listed = F.transform(F.split("g2", ","), lambda x: F.regexp_replace(F.trim(x), r"^type\s+", ""))
-    named = eager.select("project", "path", F.explode(listed).alias("x"), "g3", "line").where("x <> ''")
-    named = named.select("project", "path", F.regexp_extract("x", r"(\w+)$", 1).alias("name"), F.col("g3").alias("spec"), F.regexp_extract("x", r"^(\w+)", 1).alias("export"), F.lit(1).alias("order"), "line")
-    default = eager.where("g1 <> ''").select("project", "path", F.col("g1").alias("name"), F.col("g3").alias("spec"), F.lit(None).cast("string").alias("export"), F.lit(1).alias("order"), "line")
-    rows = lazy.unionByName(named).unionByName(default)
-    best = F.min_by(F.struct("spec", "export"), F.struct("order", "line"))
-    return rows.groupBy("project", "path", "name").agg(best.alias("b")).select("project", "path", "name", "b.spec", "b.export")
+    strings = parts.where("bracket = '['").where(F.col("value").rlike(r"^(?:'(?:[^'\\]++|\\[\s\S])*+'|\"(?:[^\"\\]++|\\[\s\S])*+\")$"))
+    roles = strings.groupBy("project", "path", F.col("literal").alias("node")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: F.substring(x["value"], F.lit(2), F.length(x["value"]) - 2)).alias("roles"))
+    # Objects and lists are nodes; those of the root object are roots of their own.
+    keyed = parts.where("bracket = '{' and child_bracket in ('{', '[')")
+    nodes = keyed.select("project", "path", F.col("child").alias("node"), F.when(F.col("root").isNull(), F.col("literal")).alias("parent"), "key")
+    ways = from_roots(nodes, "key", lambda above, key: F.concat_ws(".", above, key), key=_FILE, keep=keep, name="permission_ways")
+    lists = keyed.where("child_bracket = '['").select("project", "path", F.col("child").alias("node"), "line")
+    rows = ways.join(lists, [*_FILE, "node"]).join(roles, [*_FILE, "node"], "left")
+    return rows.select("project", F.col("value").alias("key"), F.coalesce("roles", F.array().cast("array<string>")).alias("roles"), F.col("path").alias("file"), "line")
 
 
-def resolved_components(imports: DataFrame, files: DataFrame, aliases: tuple[tuple[str, str], ...] = (("@/", "src/"),)) -> DataFrame:
-    """(project, name, file, export): imported names whose module is a file, by its path, with an extension, or as a folder's index.
+def component_imports(found: DataFrame) -> DataFrame:
+    """(project, path, name, spec, export): what a router file imports, lazily first, then eagerly; the first wins. From token rows.
 
-    ``aliases`` are beginnings of module names and the root-relative paths that they stand for; the first that fits counts.
+    A lazy component is a variable set to a call of lazy; its module and export are those named in its own declarator.
     """
-    target = resolve(directory(F.col("path")), F.col("spec"))
-    for head, folder in reversed(aliases):
-        target = F.when(F.col("spec").startswith(head), F.concat(F.lit(folder), F.substring("spec", len(head) + 1, 1 << 20))).otherwise(target)
-    endings = ("", ".tsx", ".ts", ".jsx", "/index.tsx", "/index.ts")
-    tries = imports.withColumn("t", target).withColumn("try", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.concat("t", F.lit(e)).alias("file")) for k, e in enumerate(endings)])))
-    hit = tries.select("project", "name", "export", F.col("try.file").alias("file"), F.col("try.k").alias("k")).join(files.select("project", F.col("path").alias("file")), ["project", "file"], "left_semi")
-    return hit.groupBy("project", "name").agg(F.min_by(F.struct("file", "export"), F.struct("k", "file")).alias("b")).select("project", "name", "b.file", "b.export")
+    own = symbols.declarations(found).where("word in ('const', 'let', 'var')").select(*_FILE, "stmt", "name", F.col("n").alias("from_n"), "until", "line")
+    rows = own.join(found.select(*_FILE, "stmt", "n", "token"), [*_FILE, "stmt"]).where("n > from_n and n <= until")
+    listed = rows.groupBy(*_FILE, "name", "line").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("t"))
+    at = lambda token, more: F.get("t", (F.array_position("t", token) - 1 + more).cast("int"))
+    spec = F.when((at("import", 1) == "(") & at("import", 2).rlike("^['\"]"), F.substring(at("import", 2), F.lit(2), F.length(at("import", 2)) - 2))
+    export = F.when((F.array_position("t", "default") > 0) & (at("default", 1) == ":") & (at("default", 3) == "."), at("default", 4))
+    is_lazy = (F.get("t", F.lit(0)) == "=") & (F.array_position("t", "lazy") > 0) & (at("lazy", 1) == "(") & (F.array_position("t", "import") > 0)
+    lazy = listed.where(is_lazy).select(*_FILE, "name", spec.alias("spec"), export.alias("export"), F.lit(0).alias("order"), F.col("line").cast("long").alias("line")).where("spec is not null")
+    eager = symbols.module_names(found).where("kind = 'import' and name <> '*'")
+    eager = eager.select(*_FILE, F.col("local").alias("name"), "spec", F.when(F.col("name") != "default", F.col("name")).alias("export"), F.lit(1).alias("order"), F.col("n").cast("long").alias("line"))
+    best = F.min_by(F.struct("spec", "export"), F.struct("order", "line"))
+    return lazy.unionByName(eager).groupBy(*_FILE, "name").agg(best.alias("b")).select(*_FILE, "name", "b.spec", "b.export")
+
+
+def resolved_components(imports: DataFrame, files: DataFrame, aliases: symbols.Aliases = (("@/", "src/"),)) -> DataFrame:
+    """(project, name, file, export): imported names whose module is a file; of several files that import a name the first counts."""
+    hit = imports.join(symbols.resolved_modules(imports, files, aliases), [*_FILE, "spec"])
+    return hit.groupBy("project", "name").agg(F.min_by(F.struct(F.col("module").alias("file"), "export"), F.struct("path", "module")).alias("b")).select("project", "name", "b.file", "b.export")
 
 
-def component_lines(components: DataFrame, texts: DataFrame) -> DataFrame:
+def component_lines(components: DataFrame, found: DataFrame) -> DataFrame:
     """Components (project, name, file, export) with the line that declares the export in its file; 1 where none does."""
-    found = _named(texts.join(components.select("project", F.col("file").alias("path")).distinct(), ["project", "path"], "left_semi"), DECLARATION, 1)
-    first = found.groupBy("project", F.col("path").alias("file"), F.col("g1").alias("export")).agg(F.min("line").alias("line"))
+    own = found.join(components.select("project", F.col("file").alias("path")).distinct(), _FILE, "left_semi")
+    first = symbols.declarations(own).groupBy("project", F.col("path").alias("file"), F.col("name").alias("export")).agg(F.min("line").cast("long").alias("line"))
     return components.join(first, ["project", "file", "export"], "left").withColumn("line", F.coalesce("line", F.lit(1).cast("long")))
 
 
-def named_in(components: DataFrame, texts: DataFrame, known: DataFrame, name: str) -> DataFrame:
-    """Components (project, name, file) with the known names (project, token) that their file's text holds, sorted."""
-    tokens = identifiers(texts).select("project", F.col("path").alias("file"), "token").distinct().join(known.select("project", "token").distinct(), ["project", "token"], "left_semi")
+def named_in(components: DataFrame, found: DataFrame, known: DataFrame, name: str) -> DataFrame:
+    """Components (project, name, file) with the known names (project, token) that identifiers of their file have, sorted."""
+    tokens = found.where(symbols.is_name()).select("project", F.col("path").alias("file"), "token").distinct().join(known.select("project", "token").distinct(), ["project", "token"], "left_semi")
     used = tokens.groupBy("project", "file").agg(F.array_sort(F.collect_set("token")).alias(name))
     return components.join(used, ["project", "file"], "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
 
 
-def permission_keys(objects: DataFrame, max_depth: int = 64) -> DataFrame:
+def permission_keys(objects: DataFrame, keep: Keep = checkpointed) -> DataFrame:
     """(project, key, roles) of nested permission objects given as JSON (project, json): dotted keys of the role lists.
 
-    Only string elements of a list are roles; other values have none and are left out.
+    Only string elements of a list are roles; other values have none and are left out. JSON is a literal like any other:
+    its objects are walked as those of source texts are.
     """
-    level = objects.select("project", F.lit("").alias("key"), F.col("json").alias("value"))
-    found = None
-    for _ in range(max_depth):
-        level = level.select("project", "key", F.explode(F.from_json("value", "map<string,string>")).alias("k", "value")).select("project", F.when(F.col("key") == "", F.col("k")).otherwise(F.concat_ws(".", "key", "k")).alias("key"), "value")
-        items = F.from_json("value", "array<string>")
-        strings = F.filter(F.transform(F.from_json("value", "array<variant>"), lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))), lambda v: v.isNotNull())
-        leaf = level.where(F.col("value").startswith("[")).select("project", "key", F.coalesce(strings, items).alias("roles"))
-        found = leaf if found is None else found.unionByName(leaf)
-        level = level.where(F.col("value").startswith("{"))
-        if level.isEmpty():
-            return found
-    raise ValueError(f"permission objects nested in more than {max_depth} levels")
+    numbered = objects.select("project", F.concat(F.lit("common/permissions/"), F.xxhash64("json").cast("string")).alias("path"), F.concat(F.lit("const PERMISSIONS = "), "json").alias("text")).distinct()
+    found = keep("json_tokens", literals.tokens(numbered))
+    parts = literals.entries(numbered, found)
+    root = literals.declared(found, "PERMISSIONS").where("bracket = '{'").select(*_FILE, "literal", F.lit(True).alias("root"))
+    plain = lambda c: F.coalesce(F.from_json(F.concat(F.lit("["), c, F.lit("]")), "array<string>")[0], c)
+    parts = keep("json_entries", parts.join(root, [*_FILE, "literal"], "left").withColumn("key", plain(F.col("key"))))
+    rows = permissions(parts, keep)
+    return rows.select("project", "key", F.transform("roles", lambda r: plain(F.concat(F.lit('"'), r, F.lit('"')))).alias("roles"))
 
 
 # --- pages --------------------------------------------------------------------------------------------------------------------

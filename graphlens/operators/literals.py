@@ -1,4 +1,4 @@
-"""Object and array literals of source texts as rows: brackets are matched by running sums over tokens, not by a parser.
+"""Source texts as tokens with their brackets, and object and array literals as rows: running sums, not a parser.
 
 A text's tokens are exploded once; a bracket's depth is a running sum, the bracket that holds a token is the last one
 opened at its depth, and an entry of a literal is what stands between two commas of that depth. Windows go by file.
@@ -9,35 +9,66 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TOKEN = r"//[^\n]*|(?s:/\*.*?\*/)|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`|=>|[\[\]{}(),:;=<>]|[^\s\[\]{}(),:;=<>'\"`/]+|[/'\"`]"
+# Every repeated group is possessive, so that the matcher loops over a long literal instead of calling itself.
+_TEMPLATE = r"`(?:[^`\\$]++|\\[\s\S]|\$\{(?:[^`{}]++|`(?:[^`\\]++|\\[\s\S])*+`|\{[^{}`]*+\})*+\}|\$)*+`"
+_STRING = r"'(?:[^'\\\n]++|\\[\s\S])*+'|\"(?:[^\"\\\n]++|\\[\s\S])*+\""
+_COMMENT = r"//[^\n]*+|/\*(?s:.*?)(?:\*/|\z)"
+_WORDS = "export|import|const|let|var|function|type|interface|class|enum|async|declare|abstract|namespace"
+# The words of an element, between a tag's end and the next tag or expression: no statement begins in them.
+_ELEMENT_TEXT = rf"(?:[^<>{{}}=;()\n]++|\n(?!\s*+(?:{_WORDS})\b)|\([^<>{{}}=;()]*+\))++"
+_BEGINS = rf"\s*+(?!(?<=\n[ \t]{{0,60}})(?:{_WORDS})\b)(?=[\p{{L}}\p{{N}}'\"&])"
+_TEXT = rf"(?:(?<=[^=\s(,]>)|(?<=\n[ \t]{{0,60}}>)){_BEGINS}{_ELEMENT_TEXT}(?=[<{{])|(?<=\}}){_BEGINS}{_ELEMENT_TEXT}(?=</)"
+_REGEX = r"(?<=[=(,:!&|?\[]\s{0,3})/(?![/*\s>])(?:[^/\\\[\n]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/[a-z]*+"
+_NAME = r"[A-Za-z_$\p{L}][\w$\p{L}]*+"
+TOKEN = rf"{_COMMENT}|{_TEXT}|{_STRING}|{_TEMPLATE}|{_REGEX}|=>|{_NAME}|\p{{N}}[\w.]*+|[\[\]{{}}(),:;=<>]|[^\s\w$\p{{L}}\[\]{{}}(),:;=<>'\"`/]++|[/'\"`]"
+#: What begins a statement, and what stands before such a word inside one.
+STARTS = tuple(_WORDS.split("|"))
+INSIDE = ("export", "default", "async", "declare", "abstract", "import", "const", "let", "var", "function", "class", "=", "=>", ":", "|", "&", "<", ",", "?", "typeof", "extends", "implements", ".", "?.")
 _FILE = ["project", "path"]
 
 
 def tokens(texts: DataFrame) -> DataFrame:
-    """(project, path, n, pos, line, token, level): tokens but comments; level counts the brackets around a token.
+    """Tokens but comments and the words of elements: (project, path, n, pos, line, column, token, level, prev, prev2, next, stmt, close).
 
-    An opening bracket has the level that it stands in, a closing one the level that it ends.
+    level counts the brackets around a token: an opening bracket has the level that it stands in, a closing one the level
+    that it ends. prev, prev2 and next are the tokens beside it; stmt numbers the file's statements; close is the token
+    number of an opening bracket's counterpart.
     """
     hits = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))
     pairs = F.arrays_zip(F.slice(F.split("text", TOKEN, -1), 1, F.size(hits)).alias("gap"), hits.alias("token"))
-    rows = texts.select(*_FILE, F.posexplode(pairs).alias("n", "x")).select(*_FILE, "n", "x.gap", "x.token")
-    upto = Window.partitionBy(*_FILE).orderBy("n")
+    # Files are dealt before their tokens are listed: all windows find them together.
+    rows = texts.repartition(*_FILE).select(*_FILE, F.posexplode(pairs).alias("n", "x")).select(*_FILE, "n", "x.gap", "x.token")
+    order = Window.partitionBy(*_FILE).orderBy("n")
+    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
     feeds = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    tail = lambda c: F.when(F.contains(c, F.lit("\n")), F.length(F.substring_index(c, "\n", -1)))
     opens, closes = F.col("token").isin("{", "[", "("), F.col("token").isin("}", "]", ")")
-    return rows.select(
-        *_FILE,
-        "n",
-        (F.sum(F.length("gap") + F.length("token")).over(upto) - F.length("token") + 1).alias("pos"),
-        (F.sum(feeds("gap") + feeds("token")).over(upto) - feeds("token") + 1).alias("line"),
-        "token",
-        (F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(upto) + F.when(opens, -1).when(closes, 1).otherwise(0)).alias("level"),
-    ).where(~F.col("token").startswith("//") & ~F.col("token").startswith("/*"))
+    rows = rows.select(*_FILE, "n", "gap", "token", F.sum(F.length("gap") + F.length("token")).over(upto).alias("end"), (F.sum(feeds("gap") + feeds("token")).over(upto) - feeds("token") + 1).alias("line"))
+    start = F.col("end") - F.length("token")
+    # Positions of the last line feed: in the gap before the token, and up to a token's end.
+    in_gap = start - tail(F.col("gap"))
+    rows = rows.select(*_FILE, "n", "token", "line", (start + 1).alias("pos"), in_gap.alias("feed"), F.coalesce(F.col("end") - tail(F.col("token")), in_gap).alias("last_feed"))
+    column = F.col("pos") - F.greatest(F.coalesce("feed", F.lit(0)), F.coalesce(F.max("last_feed").over(before), F.lit(0)))
+    level = F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(upto) + F.when(opens, -1).when(closes, 1).otherwise(0)
+    rows = rows.select(*_FILE, "n", "pos", "line", column.alias("column"), "token", level.alias("level"))
+    rows = rows.where(~F.col("token").rlike(r"^/[/*]"))
+    prev, after = F.lag("token").over(order), F.lead("token").over(order)
+    # An element's words: what no other kind of token looks like, or a name between a tag's end and the next tag.
+    shape = F.col("token").rlike(r"^[\s\p{L}\p{N}'\"&]") & ~F.col("token").rlike(rf"^(?:{_NAME}|\p{{N}}[\w.]*+|[^\s\w$\p{{L}}'\"]++|{_STRING}|['\"])$")
+    alone = F.col("token").rlike(rf"^{_NAME}$") & (prev == ">") & after.isin("<", "{") & ~F.col("token").isin(*STARTS)
+    rows = rows.withColumn("words", shape | F.coalesce(alone, F.lit(False))).where("not words").drop("words")
+    begins = (F.col("level") == 0) & (F.col("token").isin(*STARTS) & ~F.coalesce(prev.isin(*INSIDE), F.lit(False)) | (F.coalesce(prev, F.lit("")) == ";"))
+    rows = rows.select("*", prev.alias("prev"), F.lag("token", 2).over(order).alias("prev2"), F.lead("token").over(order).alias("next"), begins.alias("begins"))
+    rows = rows.withColumn("stmt", F.sum(F.col("begins").cast("int")).over(upto)).drop("begins")
+    inner = Window.partitionBy(*_FILE, "inner").orderBy("n")
+    rows = rows.withColumn("inner", F.when(opens, F.col("level") + 1).when(closes, F.col("level")))
+    return rows.withColumn("close", F.when(opens, F.lead("n").over(inner))).drop("inner")
 
 
 def entries(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """(project, path, literal, bracket, place, key, child, child_bracket, value, line): entries of all bracketed lists.
+    """(project, path, literal, bracket, place, key, child, child_bracket, value, line, from_n, to_n): entries of all bracketed lists.
 
-    ``literal`` is the token number of the bracket that holds an entry. In braces an entry has a key and the text of its
+    ``literal`` is the token number of the bracket that holds an entry; its value is the tokens from_n up to to_n. In braces an entry has a key and the text of its
     value; in others it is all value. ``child`` is the bracket that the value begins with.
     """
     opens, closes = F.col("token").isin("{", "[", "("), F.col("token").isin("}", "]", ")")
@@ -54,12 +85,12 @@ def entries(texts: DataFrame, found: DataFrame) -> DataFrame:
     last = F.element_at("t", -1)
     parts = parts.where((F.size("t") > first + 1) & ((F.col("bracket") != "{") | keyed))
     parts = parts.select(
-        *_FILE, "literal", "bracket", "place", F.when(keyed, F.get("t", F.lit(0))["token"]).alias("key"), F.get("t", first).alias("v"), F.get("t", F.lit(0))["line"].alias("line"), F.size("t").alias("size"), last["pos"].alias("end"), last["token"].isin(",", "}", "]", ")").alias("ended")
+        *_FILE, "literal", "bracket", "place", F.when(keyed, F.get("t", F.lit(0))["token"]).alias("key"), F.get("t", first).alias("v"), F.get("t", F.lit(0))["line"].alias("line"), F.size("t").alias("size"), last["pos"].alias("end"), last["n"].alias("to_n"), last["token"].isin(",", "}", "]", ")").alias("ended")
     ).where("ended")
     joined = parts.join(texts.select(*_FILE, "text"), _FILE)
     value = F.rtrim(F.expr("substring(text, v.pos, end - v.pos)"))
     bracket = F.col("v.token").isin("{", "[", "(")
-    return joined.select(*_FILE, "literal", "bracket", "place", "key", F.when(bracket, F.col("v.n")).alias("child"), F.when(bracket, F.col("v.token")).alias("child_bracket"), value.alias("value"), "line")
+    return joined.select(*_FILE, "literal", "bracket", "place", "key", F.when(bracket, F.col("v.n")).alias("child"), F.when(bracket, F.col("v.token")).alias("child_bracket"), value.alias("value"), "line", F.col("v.n").alias("from_n"), "to_n")
 
 
 def declared(found: DataFrame, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ from time import monotonic
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.graph import Graph, at_once, with_identity
+from graphlens.graph import Graph, Later, ask_all, at_once, with_identity
 from graphlens.operators.mutation import gated, implied_nodes, insert, resolve_edges, upsert, upsert_first, upsert_set, wipe
 from graphlens.schema import EDGES, NODES, edge_schema
 
@@ -27,14 +27,17 @@ def _nodes(label: str, rows: DataFrame) -> DataFrame:
 def gql(b: Batches, g: Graph) -> None:
     g.nodes["GqlOperation"] = _nodes("GqlOperation", b["operations"].withColumnRenamed("gqlName", "gql_name"))
     g.nodes["GqlHook"] = _nodes("GqlHook", b["hooks"])
-    sites = b["callsites"].select("project", "target", "targetKind", F.col("file").alias("path"), "line", F.col("column").alias("col"))
+    sites = b["callsites"].select("project", "target", "targetKind", F.col("file").alias("path"), "line", F.col("column").alias("col"), F.col("targetFile").alias("at"))
     _files(g, sites)
     operations, hooks, files = g.nodes["GqlOperation"], g.nodes["GqlHook"], g.nodes["File"]
     wraps = b["hooks"].select("project", F.col("name").alias("hook"), F.explode("operations").alias("symbol"))
     g.edges["WRAPS", "GqlHook", "GqlOperation"] = resolve_edges(wraps, hooks, operations, {"hook": "name"}, {"symbol": "symbol"})
     for kind, edge, nodes, key in (("operation", "USES_OPERATION", operations, "symbol"), ("hook", "CALLS_HOOK", hooks, "name")):
         label = "GqlOperation" if kind == "operation" else "GqlHook"
-        g.edges[edge, "File", label] = resolve_edges(sites.where(F.col("targetKind") == kind), files, nodes, {"path": "path"}, {"target": key}, ["line", "col"])
+        named = sites.where(F.col("targetKind") == kind)
+        # A site that tells its target's file means that declaration; one that does not means all of the name.
+        told = resolve_edges(named.where("at is not null"), files, nodes, {"path": "path"}, {"target": key, "at": "file"}, ["line", "col"])
+        g.edges[edge, "File", label] = told.unionByName(resolve_edges(named.where("at is null"), files, nodes, {"path": "path"}, {"target": key}, ["line", "col"])).distinct()
 
 
 def routes(b: Batches, g: Graph) -> None:
@@ -120,14 +123,19 @@ STEPS: dict[str, Callable[[Batches, Graph], None]] = {"gql": gql, "routes": rout
 def build(spark: SparkSession, batches: Batches, staging: str | None = None) -> tuple[Graph, list[dict]]:
     """The graph of the projects that the batches name, and per extractor: name, ok, error, seconds, written.
 
-    Records of projects without a project record are left out. An extractor that cannot be planned is reported and
-    leaves the others' tables as they are. All tables are lazy: the fixed order is a chain of inputs, not of jobs.
+    Records of projects without a project record are left out. An extractor that fails, while its batches are made, planned
+    or written, is reported and leaves the others' tables as they are: batches are asked for by the extractor that needs
+    them. All tables are lazy: the fixed order is a chain of inputs, not of jobs.
 
     With a new folder for ``staging``, each extractor's tables are written there as it ends, in a job of its own, and read
     from there by the next: a record that cannot be read fails its own extractor alone, and ``written`` counts the rows.
     """
     projects = batches["projects"]
-    known = {k: v if k == "projects" else gated(v, projects) for k, v in batches.items()}
+    known = Later()
+    for k in batches:
+        known.later(k, lambda k=k: batches[k] if k == "projects" else gated(batches[k], projects))
+    if staging is not None:
+        ask_all(batches)  # many small jobs, most of them waiting for one another: a cluster runs them side by side
     g = Graph().completed(spark)
     g.nodes["Project"] = with_identity("Project", projects.withColumn("project", F.col("name")).withColumn("updated_at", F.current_timestamp()))
     report = []
@@ -150,10 +158,13 @@ def _write(spark: SparkSession, g: Graph, before: tuple[dict, dict], folder: str
     for kind, tables, old in (("node", g.nodes, before[0]), ("edge", g.edges, before[1])):  # edges are resolved on what is written
         changed = {k: tables[k] for k in tables if tables[k] is not old.get(k)}
         name = {k: "_".join([kind, *([k] if isinstance(k, str) else k)]) for k in changed}
-        at_once(changed, lambda k, v: v.write.parquet(f"{folder}/{name[k]}"))  # noqa: B023
-        for k, v in changed.items():
-            tables[k] = spark.read.schema(v.schema).parquet(f"{folder}/{name[k]}")
-            counts[name[k]] = tables[k].count()
+
+        def write(k, v: DataFrame) -> None:
+            v.write.parquet(f"{folder}/{name[k]}")  # noqa: B023
+            tables[k] = spark.read.schema(v.schema).parquet(f"{folder}/{name[k]}")  # noqa: B023
+            counts[name[k]] = tables[k].count()  # noqa: B023
+
+        at_once(changed, write)
     return counts
 
 

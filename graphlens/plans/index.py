@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
-from dataclasses import asdict, dataclass
+from collections.abc import Callable, Mapping
+from dataclasses import asdict
 from time import monotonic
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphlens.graph import Graph, Later
-from graphlens.operators import extract
+from graphlens.operators import extract, literals
+from graphlens.operators.trees import Keep, checkpointed
 from graphlens.plans.build import OWNED, Batches, build, rebuild
-from graphlens.sources.config import ProjectConfig, compiler_aliases, folder_exists, repo_root
+from graphlens.sources.config import ProjectConfig, compiler_aliases, folder_exists, projects, repo_root
 from graphlens.sources.records import BATCHES
-from graphlens.sources.text import count_sources, list_files, read_texts
+from graphlens.sources.text import list_files, read_texts, rejected_files
 
 # Where a repository keeps its documents and tests.
 DOC_FOLDERS = ("CLAUDE",)
@@ -24,69 +25,97 @@ ROOT_DOCS = ("README.md", "CLAUDE.md")
 TEST_FOLDER = "e2e"
 
 
-@dataclass(frozen=True)
 class Sources:
-    """A project's texts (project, path, text): of its code root, and of its repository, whose paths differ."""
+    """A project's texts (project, path, text): of its code root, and of its repository, whose paths differ.
 
-    projects: DataFrame  # name, root
-    code: DataFrame  # TypeScript below the code root
-    styles: DataFrame  # style modules below the code root's src
-    files: DataFrame  # listing of the code root: project, path
-    app: DataFrame  # TypeScript below the code root's src, by its path in the repository
-    tests: DataFrame  # test, page-object and locator files, by their path in the repository
-    docs: DataFrame  # documents, by their path in the repository
+    projects (name, root); code: TypeScript below the code root; styles: style modules below its src; files: its listing
+    (project, path); app: TypeScript below its src, by its path in the repository; tests: test, page-object and locator files,
+    docs: documents, by their path in the repository. Each is a DataFrame, or a function that gives one when it is asked for.
+    """
+
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]):
+        self._tables = Later(tables)
 
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._tables:
+            raise AttributeError(name)
+        return self._tables[name]
 
-Keep = Callable[[str, DataFrame], DataFrame]
 
 
-def record_batches(sources: Sources, router_files: tuple[str, ...] = ProjectConfig.router_files, aliases: tuple[tuple[str, str], ...] = (("@/", "src/"),), keep: Keep = lambda name, rows: rows.persist()) -> dict[str, DataFrame]:
+def record_batches(sources: Sources, router_files: tuple[str, ...] = ProjectConfig.router_files, aliases: tuple[tuple[str, str], ...] = (("@/", "src/"),), keep: Keep = checkpointed) -> Batches[str, DataFrame]:
     """All record batches of the texts, each planned when it is first asked for, over the files that can hold its facts.
 
-    ``keep`` is given every batch, and the two tables that are walked level by level, before another is made from it: by
-    default it persists them, ``reindex`` writes them.
+    The code's tokens are listed once, for all extractors that read code. ``keep`` is given every batch and every table that
+    others are made from: by default it checkpoints them, ``reindex`` writes them.
     """
-    code, tests, here = sources.code, sources.tests, F.col("path")
-    router = code.where(here.isin(*router_files))
+    here = F.col("path")
     found = Later()
 
+    def table(name: str, make: Callable[[], DataFrame]) -> None:
+        found.later(name, lambda: keep(name, make()))
+
     def batch(name: str, make: Callable[[], DataFrame]) -> None:
-        found.later(name, lambda: keep(name, make().select(*T._parse_datatype_string(BATCHES[name]).names)))
+        table(name, lambda: make().select(*T._parse_datatype_string(BATCHES[name]).names))
+
+    table("tokens", lambda: literals.tokens(sources.code))
+    router = lambda rows: rows.where(here.isin(*router_files))
+    files = lambda: sources.code.select("project", "path")
 
     def components() -> DataFrame:
+        tokens, code = found["tokens"], files()
         shown = found["routes"].select("project", F.explode("components").alias("name")).distinct()
-        parts = extract.resolved_components(extract.component_imports(router), code, aliases).join(shown, ["project", "name"], "left_semi")
-        parts = extract.component_lines(keep("component_files", parts), code)
-        parts = extract.named_in(parts, code, found["hooks"].select("project", F.col("name").alias("token")), "hookCalls")
-        parts = extract.named_in(parts, code, found["operations"].select("project", F.col("symbol").alias("token")), "operationRefs")
+        parts = extract.resolved_components(extract.component_imports(router(tokens)), code, aliases).join(shown, ["project", "name"], "left_semi")
+        parts = extract.component_lines(keep("component_files", parts), tokens)
+        parts = extract.named_in(parts, tokens, found["hooks"].select("project", F.col("name").alias("token")), "hookCalls")
+        parts = extract.named_in(parts, tokens, found["operations"].select("project", F.col("symbol").alias("token")), "operationRefs")
         return parts.withColumn("exported", F.lit(True))
 
+    def test_files(pattern: str) -> DataFrame:
+        return sources.tests.where(here.rlike(pattern))
+
     batch("projects", lambda: sources.projects)
-    batch("operations", lambda: extract.operations(code))
-    batch("hooks", lambda: extract.hooks(code, found["operations"]))
-    batch("callsites", lambda: extract.callsites(code, found["operations"], found["hooks"]))
-    batch("routes", lambda: extract.routes(keep("route_nodes", extract.route_nodes(router, extract.enum_members(code)))))
+    batch("operations", lambda: extract.operations(sources.code))
+    batch("hooks", lambda: extract.hooks(found["tokens"], found["operations"]))
+    batch("callsites", lambda: extract.callsites(found["tokens"], files(), found["operations"], found["hooks"], aliases, keep))
+    batch("routes", lambda: extract.routes(keep("route_nodes", extract.route_nodes(router(sources.code), extract.enum_members(sources.code), router(found["tokens"]))), keep))
     batch("components", components)
-    batch("permissions", lambda: extract.permissions(keep("permission_entries", extract.permission_entries(code))))
+    batch("permissions", lambda: extract.permissions(keep("permission_entries", extract.permission_entries(sources.code, found["tokens"])), keep))
     batch("pages", lambda: extract.pages(sources.files))
     batch("docs", lambda: extract.docs(sources.docs))
-    batch("specs", lambda: extract.specs(tests.where(here.rlike(f"^{TEST_FOLDER}/tests/.*\\.spec\\.ts$"))))
-    batch("page_objects", lambda: extract.page_objects(tests.where(here.rlike(f"^{TEST_FOLDER}/pages/[^/]*\\.page\\.ts$"))))
-    batch("locators", lambda: extract.locators(tests.where(here.rlike(r"\.locators\.ts$"))))
+    batch("specs", lambda: extract.specs(test_files(f"^{TEST_FOLDER}/tests/.*\\.spec\\.ts$")))
+    batch("page_objects", lambda: extract.page_objects(test_files(f"^{TEST_FOLDER}/pages/[^/]*\\.page\\.ts$")))
+    batch("locators", lambda: extract.locators(test_files(r"\.locators\.ts$")))
     batch("testids", lambda: extract.app_testids(sources.app))
     batch("scss", lambda: extract.style_modules(sources.styles))
-    batch("scss_imports", lambda: extract.style_imports(code, found["scss"]))
-    return found
+    batch("scss_imports", lambda: extract.style_imports(sources.code, found["scss"]))
+    # Only batches are for the graph; tables they share are made when a batch asks for them.
+    return _Only(found, set(BATCHES))
+
+
+class _Only(Mapping):
+    """Some keys of a mapping; values are made when they are asked for."""
+
+    def __init__(self, whole: Later, keys: set[str]):
+        self._whole, self._keys = whole, [k for k in whole if k in keys]
+
+    def __getitem__(self, key: str) -> DataFrame:
+        if key not in self._keys:
+            raise KeyError(key)
+        return self._whole[key]
+
+    def __iter__(self):
+        return iter(self._keys)
+
+    def __len__(self) -> int:
+        return len(self._keys)
 
 
 def writer(spark: SparkSession, folder: str) -> Keep:
-    """Write a table once and go on from there; one that cannot be written stays as it is, for its extractor to report."""
+    """Write a table once and go on from there; one that cannot be written raises to whoever asks for it."""
 
     def keep(name: str, rows: DataFrame) -> DataFrame:
-        try:
-            rows.write.parquet(f"{folder}/{name}")
-        except Exception:  # noqa: BLE001  raised again, and reported, where its extractor is written
-            return rows
+        rows.write.parquet(f"{folder}/{name}")
         return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
 
     return keep
@@ -105,17 +134,20 @@ def read_project(spark: SparkSession, config: ProjectConfig) -> Sources:
         rows = read_texts(spark, folder, pattern, name, recursive)
         return rows.withColumn("path", F.concat(F.lit(f"{inside}/"), "path")) if inside else rows
 
-    docs = none
-    for folder in DOC_FOLDERS:
-        docs = docs.unionByName(below(f"{repo}/{folder}", repo, "*.md", recursive=False))
-    docs = docs.unionByName(below(repo, repo, "*.md", recursive=False).where(F.col("path").isin(*ROOT_DOCS)))
+    def docs() -> DataFrame:
+        found = none
+        for folder in DOC_FOLDERS:
+            found = found.unionByName(below(f"{repo}/{folder}", repo, "*.md", recursive=False))
+        return found.unionByName(below(repo, repo, "*.md", recursive=False).where(F.col("path").isin(*ROOT_DOCS)))
+
+    # Folders are listed when an extractor asks for them: one that cannot be read is that extractor's failure.
     return Sources(
         projects=spark.createDataFrame([(name, root)], "name string, root string"),
-        code=below(root, root, "*.{ts,tsx}"),
-        styles=below(f"{root}/src", root, "*.module.scss"),
-        files=list_files(spark, root, name).select("project", "path"),
-        app=below(f"{root}/src", repo, "*.{ts,tsx}"),
-        tests=below(f"{repo}/{TEST_FOLDER}", repo, "*.ts"),
+        code=lambda: below(root, root, "*.{ts,tsx}"),
+        styles=lambda: below(f"{root}/src", root, "*.module.scss"),
+        files=lambda: list_files(spark, root, name).select("project", "path"),
+        app=lambda: below(f"{root}/src", repo, "*.{ts,tsx}"),
+        tests=lambda: below(f"{repo}/{TEST_FOLDER}", repo, "*.ts"),
         docs=docs,
     )
 
@@ -123,11 +155,14 @@ def read_project(spark: SparkSession, config: ProjectConfig) -> Sources:
 def reindex(spark: SparkSession, config: ProjectConfig, folder: str) -> dict:
     """Read a project's tree, build its graph and publish it in ``folder`` beside the other projects there.
 
-    Each extractor's tables are written as a job of its own: one that fails, at planning or while it runs, is reported
-    and leaves the others' tables, and its own old ones, as they are. The answer has, per extractor, name, ok, error,
-    seconds and the rows written; the source files; the version published.
+    Each extractor's tables are written as a job of its own: one that fails, while its batches are made, planned or
+    written, is reported and leaves the others' tables, and its own old ones, as they are. Only the project's own tables
+    are written. The answer has, per extractor, name, ok, error, seconds and the rows written; the source files; how many
+    files were not readable or no UTF-8; the version published.
     """
     began = monotonic()
+    if not folder_exists(spark, config.code_root):
+        raise LookupError(f"no such code root: {config.code_root}")
     sources = read_project(spark, config)
     staging = f"{folder}/staging/{uuid.uuid4().hex}"
     batches = record_batches(sources, config.router_files, compiler_aliases(spark, config.code_root), writer(spark, f"{staging}/batches"))
@@ -135,9 +170,27 @@ def reindex(spark: SparkSession, config: ProjectConfig, folder: str) -> dict:
     if folder_exists(spark, f"{folder}/published"):
         failed = {label for r in report if not r["ok"] for label in OWNED[r["name"]]}
         graph = rebuild(Graph.load(spark, folder), graph, config.name, keep=failed)
-    version = graph.save(folder)
-    files = count_sources(sources.files).first()["source_files"]
-    return {"project": asdict(config), "version": version, "source_files": files, "extractors": report, "seconds": monotonic() - began}
+    version = graph.save(folder, config.name)
+    files = sources.files.where(F.col("path").rlike(r"\.tsx?$") & ~F.array_contains(F.split("path", "/"), "node_modules"))
+    rejected = {r["reason"]: r["n"] for r in rejected_files(sources.code, files).groupBy("reason").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {"project": asdict(config), "version": version, "source_files": files.count(), "rejected": rejected, "extractors": report, "seconds": monotonic() - began}
+
+
+def reindex_all(spark: SparkSession, folder: str, environment: Mapping[str, str] | None = None, project: str | None = None) -> list[dict]:
+    """``reindex`` for every configured project, or the one of this name; LookupError if there is none.
+
+    A project that fails as a whole (no code root, a graph that is not sound) is reported with its error, and the next goes on.
+    """
+    targets = [c for c in projects(environment).values() if project is None or c.name == project]
+    if not targets:
+        raise LookupError(f"project not configured: {project}")
+    answers = []
+    for config in targets:
+        try:
+            answers.append(reindex(spark, config, folder))
+        except Exception as error:  # noqa: BLE001  reported to the caller
+            answers.append({"project": asdict(config), "error": f"{type(error).__name__}: {error}"})
+    return answers
 
 
-__all__ = ["Batches", "Sources", "read_project", "record_batches", "reindex"]
+__all__ = ["Batches", "Sources", "read_project", "record_batches", "reindex", "reindex_all"]

@@ -1,7 +1,9 @@
 """A source tree written from the star-schema tables, and what extraction and a build make of it, with the SQL for it.
 
 Every part is an operation's file, every supplier a hook, a component, a route and a test, every customer a view that
-calls some of them; nations are routers, page folders and page objects. The SQL works on the tables alone.
+calls some of them; nations are routers, page folders and page objects, and pass hooks on from file to file. Some literals
+have ten thousand characters. Other modules declare the same names again, and functions hide them: what they name is no
+call site. The SQL works on the tables alone.
 """
 
 from __future__ import annotations
@@ -28,6 +30,11 @@ def _t(pattern: str, **columns: str | Column) -> Column:
     return out
 
 
+def _long(k: Column, part: str) -> Column:
+    """Ten thousand characters of repeated parts for one key in fifty."""
+    return F.when(k % 50 == 0, F.lit(part * (10_000 // len(part)))).otherwise("")
+
+
 def sources(spark: SparkSession, sf_dir: str) -> Sources:
     t = lambda name: table(spark, sf_dir, name)
     part, customer = t("part").select(F.col("p_partkey").alias("k")), t("customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"))
@@ -38,18 +45,22 @@ def sources(spark: SparkSession, sf_dir: str) -> Sources:
     here = lambda pattern: F.array(_t(pattern, n="n"))
     lists = {
         "lazy": "const S{{k}} = lazy(() => import('@/pages/n{{n}}/S{{k}}').then((m) => ({ default: m.P{{k}} })))",
-        "routes": "  { path: 's{{k}}', element: <RoleBasedGuard roles={PERMISSIONS.n{{n}}.s{{k}}}><S{{k}} /><S{{k}} /></RoleBasedGuard> },",
+        "routes": "  { path: 's{{k}}', element: <RoleBasedGuard roles={PERMISSIONS.n{{n}}.s{{k}}} icon={<Icon of={[<Deep />]} />}><S{{k}} />don't<S{{k}} /></RoleBasedGuard> },",
         "tests": "test('s{{k}}', async () => {})",
-        "locators": "export const s{{k}} = \"[data-testid='t-{{k}}']\"",
+        "locators": "export const s{{k}} = \"[data-testid='t-{{k}}']{{long}}\"",
     }
     plain = supplier.groupBy("n").agg(F.array_sort(F.collect_list("k")).alias("ks"))
-    each = lambda name: F.transform("ks", lambda k: F.replace(F.replace(F.lit(lists[name]), F.lit("{{k}}"), k.cast("string")), F.lit("{{n}}"), F.col("n").cast("string")))
+    each = lambda name: F.transform("ks", lambda k: F.replace(F.replace(F.replace(F.lit(lists[name]), F.lit("{{k}}"), k.cast("string")), F.lit("{{n}}"), F.col("n").cast("string")), F.lit("{{long}}"), _long(k, " .step")))
     root = "{ path: '/n{{n}}', element: <AuthGuard roles={PERMISSIONS.n{{n}}.read}><Home /></AuthGuard>, children: ["
     code = [
-        file(part, _t("src/gql/queries/p{{k}}.ts", k="k"), _t("export const OP_{{k}} = gql`query Get{{k}} { a { b } ${Frag} }`\nconst IN_{{k}} = gql`mutation { pay }`", k="k")),
-        file(supplier, _t("src/gql/hooks/h{{k}}.ts", k="k"), _t("import { OP_{{k}} } from '../queries/p{{k}}'\nexport function useH{{k}}() {\n  return run(OP_{{k}}, OP_{{n}}, MISSING)\n}\n", k="k", n="n")),
-        file(customer, _t("src/views/c{{k}}.tsx", k="k"), _t("import s from './m{{k}}.module.scss'\nconst x = useH{{n}}(OP_{{k}})\nconst a = <i data-testid=\"t-{{k}}\" />\nconst b = <b data-testid={`row-{{k}}-${i}`} />", k="k", n="n")),
-        file(supplier, _t("src/pages/n{{n}}/S{{k}}.tsx", k="k", n="n"), _t("\n\nexport const P{{k}} = () => useH{{k}}(OP_{{k}})", k="k")),
+        file(part, _t("src/gql/queries/p{{k}}.ts", k="k"), _t("export const OP_{{k}} = gql`query Get{{k}} { a { b } ${Frag}{{long}} }`\nconst IN_{{k}} = gql`mutation { pay }`", k="k", long=_long(F.col("k"), " more { field }"))),
+        file(supplier, _t("src/gql/hooks/h{{k}}.ts", k="k"), _t("import { OP_{{k}} } from '../queries/p{{k}}'\nexport function useH{{k}}() {\n  return run(OP_{{k}}, OP_{{n}}, MISSING)\n}\nimport { OP_{{n}} } from '../queries/p{{n}}'\nconst hide = (OP_{{k}}) => run(OP_{{k}})\n// OP_{{k}} 'OP_{{k}}'\n", k="k", n="n")),
+        file(nation, _t("src/views/gql{{n}}.ts", n="n"), _t("export * from './all{{n}}'", n="n")),
+        file(nation, _t("src/views/all{{n}}.ts", n="n"), _t("export { useH{{n}} } from '../gql/hooks/h{{n}}'", n="n")),
+        file(nation, _t("src/other/o{{n}}.ts", n="n"), _t("export const useH{{n}} = 1\nexport const OP_{{n}} = 'useH{{n}}'", n="n")),
+        file(nation, _t("src/other/u{{n}}.ts", n="n"), _t("import { useH{{n}}, OP_{{n}} } from './o{{n}}'\nuseH{{n}}(OP_{{n}})\nmade.OP_{{n}}({ useH{{n}}: `useH{{n}}` })", n="n")),
+        file(customer, _t("src/views/c{{k}}.tsx", k="k"), _t("import s from './m{{k}}.module.scss'\nconst x = useH{{n}}(OP_{{k}})\nconst a = <i data-testid=\"t-{{k}}\" />\nconst b = <b data-testid={`row-{{k}}-${i}`} />\nimport { useH{{n}} } from './gql{{n}}'\nimport { OP_{{k}} } from '@/gql/queries/p{{k}}'", k="k", n="n")),
+        file(supplier, _t("src/pages/n{{n}}/S{{k}}.tsx", k="k", n="n"), _t("\n\nexport const P{{k}} = () => useH{{k}}(Q.OP_{{k}})\nimport { useH{{k}} } from '@/gql/hooks/h{{k}}'\nimport * as Q from '@/gql/queries/p{{k}}'", k="k")),
         file(plain, _t("src/router/n{{n}}.tsx", n="n"), lines(each("lazy"), "export const routes = [", here(root), each("routes"), "] },", "]")),
     ]
     granted = nation.groupBy(F.lit(0).alias("g")).agg(F.array_sort(F.collect_list(F.struct("n", "r"))).alias("ns"))
@@ -112,10 +123,15 @@ _SITES = f"""{_S}, p AS (SELECT p_partkey AS k FROM part), c AS (SELECT c_custke
 raw AS (SELECT 'operation' AS kind, k AS of, 'src/gql/hooks/h' || k || '.ts' AS file, 1 AS line, 10 AS col FROM s
 UNION ALL SELECT 'operation', k, 'src/gql/hooks/h' || k || '.ts', 3, 14 FROM s
 UNION ALL SELECT 'operation', n, 'src/gql/hooks/h' || k || '.ts', 3, 19 + length(CAST(k AS VARCHAR)) FROM s
+UNION ALL SELECT 'operation', n, 'src/gql/hooks/h' || k || '.ts', 5, 10 FROM s
+UNION ALL SELECT 'hook', n_nationkey, 'src/views/all' || n_nationkey || '.ts', 1, 10 FROM nation
 UNION ALL SELECT 'hook', n, 'src/views/c' || k || '.tsx', 2, 11 FROM c
+UNION ALL SELECT 'hook', n, 'src/views/c' || k || '.tsx', 5, 10 FROM c
 UNION ALL SELECT 'operation', k, 'src/views/c' || k || '.tsx', 2, 16 + length(CAST(n AS VARCHAR)) FROM c
+UNION ALL SELECT 'operation', k, 'src/views/c' || k || '.tsx', 6, 10 FROM c
 UNION ALL SELECT 'hook', k, 'src/pages/n' || n || '/S' || k || '.tsx', 3, 24 + length(CAST(k AS VARCHAR)) FROM s
-UNION ALL SELECT 'operation', k, 'src/pages/n' || n || '/S' || k || '.tsx', 3, 29 + 2 * length(CAST(k AS VARCHAR)) FROM s),
+UNION ALL SELECT 'hook', k, 'src/pages/n' || n || '/S' || k || '.tsx', 4, 10 FROM s
+UNION ALL SELECT 'operation', k, 'src/pages/n' || n || '/S' || k || '.tsx', 3, 31 + 2 * length(CAST(k AS VARCHAR)) FROM s),
 sites AS (SELECT kind, of, file, CAST(line AS BIGINT) AS line, CAST(col AS BIGINT) AS col FROM raw WHERE kind = 'hook' AND of IN (SELECT k FROM s) OR kind = 'operation' AND of IN (SELECT k FROM p))"""
 _IN_NATION = f"{_S}, o AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY k) AS i, count(*) OVER (PARTITION BY n) AS m FROM s)"
 
@@ -124,7 +140,7 @@ ORACLE_SQL = {
 UNION ALL SELECT 'IN_' || p_partkey, 'IN_' || p_partkey, 'mutation', 'src/gql/queries/p' || p_partkey || '.ts', 2, false FROM part""",
     "X-05_hooks": f"""WITH {_S}, used AS (SELECT DISTINCT s.k, 'OP_' || p_partkey AS op FROM s JOIN part ON p_partkey IN (s.k, s.n))
 SELECT 'useH' || s.k AS name, 'src/gql/hooks/h' || s.k || '.ts' AS file, CAST(2 AS BIGINT) AS line, coalesce(string_agg(op, ',' ORDER BY op), '') AS operations FROM s LEFT JOIN used ON used.k = s.k GROUP BY s.k""",
-    "X-06_callsites": f"""WITH {_SITES} SELECT CASE kind WHEN 'hook' THEN 'useH' ELSE 'OP_' END || of AS target, kind AS "targetKind", file, line, col AS "column" FROM sites""",
+    "X-06_callsites": f"""WITH {_SITES} SELECT CASE kind WHEN 'hook' THEN 'useH' ELSE 'OP_' END || of AS target, kind AS "targetKind", file, line, col AS "column", CASE kind WHEN 'hook' THEN 'src/gql/hooks/h' ELSE 'src/gql/queries/p' END || of || '.ts' AS "targetFile" FROM sites""",
     "X-12_routes_from_text": f"""WITH {_IN_NATION}
 SELECT '/n' || n || '/s' || k AS path, false AS index, CAST(1 AS BIGINT) AS depth, '/n' || n AS "parentPath", 'src/router/n' || n || '.tsx' AS file, m + 2 + i AS line, 'S' || k || ',S' || k AS components, 'RoleBasedGuard' AS guards, 'n' || n || '.s' || k AS permissions FROM o
 UNION ALL SELECT DISTINCT '/n' || n, false, CAST(0 AS BIGINT), NULL, 'src/router/n' || n || '.tsx', m + 2, 'Home', 'AuthGuard', 'n' || n || '.read' FROM o""",

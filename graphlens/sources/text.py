@@ -30,6 +30,12 @@ def list_files(spark: SparkSession, root: str, project: str | None = None) -> Da
     return rows.select(F.lit(project).alias("project"), _below(F.col("path"), root).alias("path"), F.col("length").alias("size"))
 
 
+def rejected_files(texts: DataFrame, files: DataFrame) -> DataFrame:
+    """(project, path, reason) of listed files that gave no text, or one with bytes that are no UTF-8."""
+    lost = files.join(texts.select("project", "path"), ["project", "path"], "left_anti").select("project", "path", F.lit("not readable").alias("reason"))
+    return lost.unionByName(texts.where(F.contains("text", F.lit("\ufffd"))).select("project", "path", F.lit("not UTF-8").alias("reason")))
+
+
 def count_sources(files: DataFrame) -> DataFrame:
     """One row: how many TypeScript source files there are."""
     return files.where(F.col("path").rlike(r"\.tsx?$")).agg(F.count(F.lit(1)).alias("source_files"))

@@ -1,11 +1,10 @@
 """Extraction from texts, one case per rule."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from graphlens.functions.matches import matches_with_lines, unix_lines
 from graphlens.functions.paths import directory_prefixes, join_route, resolve, stem
-from graphlens.operators import extract
+from graphlens.operators import extract, literals
 from graphlens.sources.text import count_sources, list_files, read_texts
 
 
@@ -90,11 +89,12 @@ def test_operations(spark):
 
 def test_hooks_and_callsites(spark):
     hook = "import { A, B } from '../queries/a'\nexport function useOne() {\n  return q(B, A, A)\n}\nexport const useTwo = () => q(A)\nconst useHidden = () => A\nexport function user() {}"
-    files = texts(spark, ("src/gql/queries/a.ts", OPS), ("src/gql/hooks/h.ts", hook), ("src/x.tsx", "import { useOne } from 'h'\nconst d = useOne(A)"))
+    files = texts(spark, ("src/gql/queries/a.ts", OPS), ("src/gql/hooks/h.ts", hook), ("src/x.tsx", "import { useOne } from './gql/hooks/h'\nconst d = useOne(A)"))
     ops = extract.operations(files)
-    hooks = extract.hooks(files, ops)
+    found = literals.tokens(files).persist()
+    hooks = extract.hooks(found, ops)
     assert rows(hooks, "name", "line", "operations") == [("useOne", 2, ["A", "B"]), ("useTwo", 5, ["A"])]
-    sites = extract.callsites(files, ops, hooks)
+    sites = extract.callsites(found, files, ops, hooks)
     assert ("useOne", "hook", "src/x.tsx", 2, 11) in rows(sites, "target", "targetKind", "file", "line", "column")
     assert not [r for r in sites.collect() if r.target == "A" and r.file == "src/gql/queries/a.ts" and r.line == 1]
 
@@ -109,7 +109,8 @@ def test_route_paths(spark):
 
 def test_route_elements(spark):
     jsx = "<AuthGuard><RoleBasedGuard roles={PERMISSIONS.a.b}><LazyForm><Page/><Page/><Outlet/></LazyForm></RoleBasedGuard><AuthGuard roles={Other.x}/></AuthGuard>"
-    r = spark.createDataFrame([(jsx,)], "e string").select(extract.element_parts(F.col("e")).alias("p")).first().p
+    found = literals.tokens(texts(spark, ("r.tsx", jsx))).persist()
+    r = extract.element_parts(found, spark.createDataFrame([("p", "r.tsx", 0, 0, 1000)], "project string, path string, object int, from_n int, to_n int")).first().e
     assert (r.components, r.guards, r.permissions) == (["Page", "Page"], ["AuthGuard", "RoleBasedGuard"], ["a.b", "Other.x"])
     raw = spark.createDataFrame([("':id'",), ("`:id/${Mode.EDIT}`",), ("Mode.NEW",), ("Mode.GONE",), (None,)], "s string")
     members = F.create_map(F.lit("Mode.EDIT"), F.lit("edit"), F.lit("Mode.NEW"), F.lit("create"))
@@ -118,13 +119,13 @@ def test_route_elements(spark):
 
 def test_components(spark):
     router = "import Home, { About as Us, type T } from './Home'\nconst Lazy1 = lazy(() => import('../pages/one').then(m => ({ default: m.OnePage })))\nconst Gone = lazy(() => import('./gone'))"
-    imports = extract.component_imports(texts(spark, ("src/router/index.tsx", router)))
+    imports = extract.component_imports(literals.tokens(texts(spark, ("src/router/index.tsx", router))))
     assert rows(imports, "name", "spec") == [("Gone", "./gone"), ("Home", "./Home"), ("Lazy1", "../pages/one"), ("T", "./Home"), ("Us", "./Home")]
     files = texts(spark, ("src/router/Home.tsx", "const x = useOne(A)"), ("src/pages/one/index.tsx", "nothing"))
     found = extract.resolved_components(imports, files)
     assert rows(found.where("name in ('Home', 'Lazy1', 'Gone')"), "name", "file") == [("Home", "src/router/Home.tsx"), ("Lazy1", "src/pages/one/index.tsx")]
     known = spark.createDataFrame([("p", "useOne"), ("p", "useNo")], "project string, token string")
-    assert ("Home", ["useOne"]) in rows(extract.named_in(found, files, known, "hookCalls"), "name", "hookCalls")
+    assert ("Home", ["useOne"]) in rows(extract.named_in(found, literals.tokens(files), known, "hookCalls"), "name", "hookCalls")
 
 
 def test_permissions(spark):
@@ -161,9 +162,10 @@ def test_source_tree(spark, tmp_path):
 
 def test_permission_keys_are_never_cut_by_depth(spark):
     nested = lambda n: spark.createDataFrame([("p", '{"a":' * n + '["R"]' + "}" * n)], "project string, json string")
-    assert [r.key for r in extract.permission_keys(nested(3), max_depth=3).collect()] == ["a.a.a"]
-    with pytest.raises(ValueError, match="more than 3 levels"):
-        extract.permission_keys(nested(4), max_depth=3)
+    for depth in (1, 3, 150):
+        assert [tuple(r) for r in extract.permission_keys(nested(depth)).collect()] == [("p", ".".join("a" * depth), ["R"])]
+    odd = spark.createDataFrame([("p", r'{"a.b": {"q\"x": ["R\"1", "é", null, 5, ["no"]], "n": null}}')], "project string, json string")
+    assert [tuple(r) for r in extract.permission_keys(odd).collect()] == [("p", 'a.b.q"x', ['R"1', "é"])]
 
 
 ROUTER = """import { Lazy } from 'react'
@@ -212,8 +214,8 @@ def test_routes_from_text(spark):
 
 def test_components_from_router(spark):
     files = texts(spark, ("src/router/index.tsx", ROUTER), ("src/router/Home.tsx", "import x\n\nexport function HomePage() {}\n"), ("src/pages/about/index.tsx", "export const About = 1"))
-    found = extract.resolved_components(extract.component_imports(files.where("path like '%router/index%'")), files, (("@pages/", "src/pages/"),))
-    assert rows(extract.component_lines(found, files), "name", "file", "line") == [("About", "src/pages/about/index.tsx", 1), ("Home", "src/router/Home.tsx", 3)]
+    found = extract.resolved_components(extract.component_imports(literals.tokens(files.where("path like '%router/index%'"))), files, (("@pages/", "src/pages/"),))
+    assert rows(extract.component_lines(found, literals.tokens(files)), "name", "file", "line") == [("About", "src/pages/about/index.tsx", 1), ("Home", "src/router/Home.tsx", 3)]
 
 
 def test_permissions_from_text(spark):
@@ -222,8 +224,9 @@ def test_permissions_from_text(spark):
     parts = extract.permission_entries(files).persist()
     got = extract.permissions(parts)
     assert rows(got, "key", "roles", "file", "line") == [("app.'q-k'", ["A"], "src/common/permissions/a.ts", 7), ("app.deep.write", [], "src/common/permissions/a.ts", 6), ("app.read", ["ADMIN", "USER"], "src/common/permissions/a.ts", 5)]
-    with pytest.raises(ValueError, match="more than 2 levels"):
-        extract.permissions(parts, max_depth=2)
+    deep = "export const PERMISSIONS = " + "{ a: " * 70 + "['R']" + " }" * 70
+    parts = extract.permission_entries(texts(spark, ("common/permissions/a.ts", deep))).persist()
+    assert rows(extract.permissions(parts), "key", "roles") == [(".".join("a" * 70), ["R"])]
 
 
 def test_documents_nested_deeper_than_any_cap(spark):

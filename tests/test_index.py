@@ -3,11 +3,15 @@
 import pytest
 from pyspark.sql import functions as F
 
+from graphlens import graph
 from graphlens.graph import Graph
 from graphlens.operators import extract
+from graphlens.plans import index
 from graphlens.plans.index import read_project, record_batches, reindex
 from graphlens.queries import api
+from graphlens.sources import records
 from graphlens.sources.config import ProjectConfig, compiler_aliases, repo_root
+from graphlens.sources.text import rejected_files
 
 TREE = {
     ".git/HEAD": "ref",
@@ -22,7 +26,7 @@ TREE = {
     "packages/web/src/common/modes.ts": "export enum Mode { EDIT = 'edit' }\n",
     "packages/web/src/router/index.tsx": "const Orders = React.lazy(() => import('@pages/shop/orders').then((m) => ({ default: m.OrdersPage })))\nimport { Login } from '@/pages/Login'\nexport const routes = [\n  { path: '/orders', element: <AuthGuard roles={PERMISSIONS.orders.read}><Orders /></AuthGuard>,\n    children: [{ path: `:id/${Mode.EDIT}`, element: <Orders /> }] },\n  { path: 'login', element: <Login /> },\n]\n",
     "packages/web/src/pages/Login.tsx": "export const Login = () => null\n",
-    "packages/web/src/pages/shop/orders/index.tsx": "import { useOrders } from '../../../gql/hooks/useOrders'\nimport styles from './o.module.scss'\n\nexport const OrdersPage = () => { const x = useOrders(); return <div data-testid=\"pay-now\">{PAY}</div> }\n",
+    "packages/web/src/pages/shop/orders/index.tsx": "import { useOrders } from '../../../gql/hooks/useOrders'\nimport styles from './o.module.scss'\n\nexport const OrdersPage = () => { const x = useOrders(); return <div data-testid=\"pay-now\">{PAY}</div> }\nimport { PAY } from '@/gql/queries/orders'\n",
     "packages/web/src/pages/shop/orders/Orders.tsx": "export const Orders = 1\n",
     "packages/web/src/pages/shop/orders/o.module.scss": ".row { }\n.cell { }\n",
     "e2e/tests/orders.spec.ts": "import { OrdersPage } from '../pages/orders.page'\ntest('pays', async () => {})\n",
@@ -85,7 +89,7 @@ def test_a_record_that_fails_while_it_runs_leaves_the_others(spark, config, answ
 
 def test_batches_are_planned_without_jobs_of_whole_trees(spark, config):
     batches = record_batches(read_project(spark, config))
-    assert batches["permissions"].count() == 1 and batches["callsites"].where("target = 'PAY'").count() == 1
+    assert batches["permissions"].count() == 1 and batches["callsites"].where("target = 'PAY'").count() == 2
 
 
 def test_answers_and_errors(spark, answer):
@@ -95,3 +99,60 @@ def test_answers_and_errors(spark, answer):
         api.first(api.routes_resolve(g, "shop", "/nowhere"), "path")
     assert api.envelope(missing.value, kind="route")["error"] == {"code": "NOT_FOUND", "message": "no such entry", "kind": "route"}
     assert api.envelope(ValueError("limit"))["error"]["code"] == "VALIDATION_ERROR" and api.envelope(KeyError("x"))["error"]["code"] == "INTERNAL"
+
+
+def test_what_fails_fails_alone(spark, config, answer, tmp_path, monkeypatch):
+    """A table that cannot be made, a folder that cannot be read and a ring of routes end one extractor each."""
+    real_nodes, real_texts = extract.route_nodes, index.read_texts
+
+    def ring(*args):
+        nodes = real_nodes(*args)
+        return nodes.withColumn("parent", F.when(F.col("segment").contains("login"), F.col("node")).otherwise(F.col("parent")))
+
+    def unreadable(spark, root, pattern="*", *args):
+        if pattern == "*.md":
+            raise OSError("permission denied")
+        return real_texts(spark, root, pattern, *args)
+
+    monkeypatch.setattr(extract, "route_nodes", ring)
+    monkeypatch.setattr(index, "read_texts", unreadable)
+    monkeypatch.setattr(extract, "style_modules", lambda texts: (_ for _ in ()).throw(ValueError("no styles")))
+    done = reindex(spark, config, str(tmp_path / "graph"))
+    errors = {r["name"]: r["error"] for r in done["extractors"]}
+    assert {k for k, e in errors.items() if e is None} == {"gql", "permissions", "pages", "e2e"}
+    assert "ring" in errors["routes"] and "permission denied" in errors["docs"] and "no styles" in errors["scss"]
+    assert Graph.load(spark, str(tmp_path / "graph")).violations().count() == 0
+
+
+def test_all_projects_in_a_call_and_only_their_own_tables(spark, config, tmp_path):
+    folder = str(tmp_path / "graph")
+    with pytest.raises(LookupError, match="not configured"):
+        index.reindex_all(spark, folder, {}, "nobody")
+    environment = {"PROJECT_SHOP": config.code_root, "PROJECT_TWIN": config.code_root, "PROJECT_GONE": "/no/such/folder"}
+    answers = {a["project"]["name"]: a for a in index.reindex_all(spark, folder, environment)}
+    assert "no such code root" in answers["gone"]["error"] and answers["shop"]["source_files"] == answers["twin"]["source_files"] == 8
+    before = {(e["name"], e["project"]): e["folder"] for e in graph._published(spark, folder)["entries"]}
+    index.reindex_all(spark, folder, environment, "twin")
+    after = {(e["name"], e["project"]): e["folder"] for e in graph._published(spark, folder)["entries"]}
+    assert before.keys() == after.keys() and {p for (_, p), x in after.items() if before[_, p] != x} == {"twin"}
+    g = Graph.load(spark, folder)
+    assert g.nodes["Route"].where("project = 'shop'").count() == g.nodes["Route"].where("project = 'twin'").count() == 3
+    assert Graph.load(spark, folder, answers["shop"]["version"]).nodes["Project"].count() == 1
+
+
+def test_a_graph_that_is_not_sound_is_not_published(spark, answer, tmp_path):
+    folder, _ = answer
+    g = Graph.load(spark, folder)
+    g.nodes["Doc"] = g.nodes["Doc"].unionByName(g.nodes["Doc"])
+    with pytest.raises(ValueError, match="repeated id"):
+        g.save(str(tmp_path / "bad"))
+    assert not (tmp_path / "bad" / "published").exists()
+
+
+def test_what_is_no_record_is_told(spark, tmp_path):
+    (tmp_path / "docs.json").write_text('{"project": "p", "name": "a", "size": 3}\n{"project": "p", "name": \n{"project": "p", "name": "b", "size": "many"}\n')
+    assert [r.name for r in records.read_batch(spark, str(tmp_path), "docs").collect()] == ["a"]
+    assert sorted(r.reason for r in records.rejected_records(spark, str(tmp_path), "docs").collect()) == ["a field of another type", "no JSON"]
+    texts = spark.createDataFrame([("p", "a.ts", "fine"), ("p", "b.ts", "bad �")], "project string, path string, text string")
+    files = spark.createDataFrame([("p", "a.ts"), ("p", "b.ts"), ("p", "c.ts")], "project string, path string")
+    assert sorted(tuple(r)[1:] for r in rejected_files(texts, files).collect()) == [("b.ts", "not UTF-8"), ("c.ts", "not readable")]
