@@ -37,6 +37,13 @@ _BLOCK = frozenset(
     "header hr html li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _ROOTS = frozenset(["html", "body", "head"])
+# Elements of running text, and parts that only stand in a larger whole: what a class calls them says nothing about content.
+_PHRASES = frozenset("a abbr b bdi bdo cite code data del dfn em i ins kbd mark q s samp small span strong sub sup time u var wbr".split())
+_TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li td th dd dt blockquote figcaption caption pre summary".split())
+_PARTS_OF_A_WHOLE = frozenset("h1 h2 h3 h4 h5 h6 li td th tr thead tbody tfoot caption figcaption dt dd".split())
+#: What an entry of a list of comments may be.
+_ENTRIES = frozenset("div li article section dd tr".split())
+_DATE = re.compile(r"\b\d{1,4}[./-]\d{1,2}[./-]\d{1,4}\b|\b\d{1,2}:\d{2}\b|\b\d{1,2}\.? \w+ (?:19|20)\d{2}\b|\b(?:19|20)\d{2}-\d{2}\b")
 
 
 def names_of(attributes: str) -> list[str]:
@@ -52,8 +59,12 @@ class ElementScore:
     share their mean with the parts that no page has, so that one telling part beside a strange one does not decide.
     """
 
-    def __init__(self, tags: dict[str, float], words: dict[str, float], parts: dict[str, float]):
-        self.tags, self.words, self.parts = tags, words, parts
+    def __init__(self, tags: dict[str, float], words: dict[str, float], parts: dict[str, float], whole: frozenset[str] = frozenset()):
+        self.tags, self.words, self.parts, self.whole = tags, words, parts, whole
+
+    def holds(self, name: str, attributes: str) -> bool:
+        """Whether an element is all content by its kind: an article, or one that labelled pages use for content and nothing else."""
+        return name in ("article", "main") or bool(attributes) and not self.whole.isdisjoint(names_of(attributes))
 
     def __call__(self, name: str, attributes: str, in_article: bool) -> float:
         tag = self.tags.get(name, 0.0)
@@ -77,9 +88,15 @@ class ElementScore:
     @staticmethod
     def fit(pages: list[str]) -> ElementScore:
         kept, dropped = [Counter(), Counter(), Counter()], [Counter(), Counter(), Counter()]
+        outer, pure = Counter(), Counter()
         for page in pages:
-            for name, attributes, in_article, content in _labelled_elements(page):
+            for name, attributes, in_article, content, whole in _labelled_elements(page):
                 words = set(names_of(attributes))
+                if content and words and (name in _PHRASES or name in _PARTS_OF_A_WHOLE):
+                    continue  # what these are called decides nothing
+                if content and whole is not None:
+                    outer.update(words)
+                    pure.update(words if whole else ())
                 parts = {p for w in words for p in _PARTS.split(w)}
                 # Where words tell what an element is, its name is not counted.
                 names = [] if words else ["in " * in_article + name]
@@ -89,7 +106,7 @@ class ElementScore:
         # A name that stands on both sides says little: only one that is nearly always boilerplate is worth its odds.
         # Inside an article it counts apart if the pages have it there as content (a heading's header, say).
         tags = {x: s if s < DROP - 1 else 0.0 for x, s in odds(0).items() if not x.startswith("in ") or kept[0][x]}
-        return ElementScore(tags, odds(1), odds(2))
+        return ElementScore(tags, odds(1), odds(2), frozenset(x for x in pure if pure[x] >= 5 and pure[x] > 0.4 * outer[x]))
 
 
 def _marked(page: str) -> str:
@@ -98,26 +115,29 @@ def _marked(page: str) -> str:
     return page
 
 
-def _labelled_elements(page: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """(name, attributes, in an article, holds content) of a labelled page's elements that have text.
+def _labelled_elements(page: str) -> Iterator[tuple[str, str, bool, bool, bool | None]]:
+    """(name, attributes, in an article, holds content, holds nothing else) of a labelled page's elements that have text.
+
+    The last is None for elements that stand inside the content.
 
     Of boilerplate, only the outermost element counts: what stands in it (links, lists) is no better a sign than elsewhere.
     """
     found: list[dict] = []
     stack: list[dict] = []
-    content = False
+    content = within = False  # whether what stands here is content, or between the marks of the content at least
     articles = at = 0
     page = _marked(page)
     for m in _TOKEN.finditer(page):
         if page[at : m.start()].strip():
             for e in stack:
                 e["content" if content else "other"] = True
+                e["outside"] |= not within
         at = m.end()
         name = (m["name"] or "").lower()
         if name in _MARKS.values():
-            content = name in ("mark-content", "mark-back")
+            content, within = name in ("mark-content", "mark-back"), name != "mark-end"
         elif name and name not in _VOID and not m["close"]:
-            stack.append({"name": name, "attributes": m["attributes"], "article": articles > 0, "above": stack[-1] if stack else None, "content": False, "other": False})
+            stack.append({"name": name, "attributes": m["attributes"], "article": articles > 0, "above": stack[-1] if stack else None, "content": False, "other": False, "outside": False, "inside": within})
             found.append(stack[-1])
             articles += name in ("article", "main")
         elif m["close"] and any(e["name"] == name for e in stack):
@@ -128,85 +148,156 @@ def _labelled_elements(page: str) -> Iterator[tuple[str, str, bool, bool]]:
                     break
     for e in found:
         if e["content"] or (e["other"] and e["above"] is not None and e["above"]["content"]):
-            yield e["name"], e["attributes"], e["article"], e["content"]
+            yield e["name"], e["attributes"], e["article"], e["content"], None if e["inside"] else not e["outside"]
+
+
+def threads(page: str) -> set[int]:
+    """Where elements begin that are lists of comments by their build: like children, each with words and a date.
+
+    Two children at least are of one name and class, have a time element or a date in them, and are most of the element's.
+    """
+    found: set[int] = set()
+    stack: list[dict] = []
+    at = 0
+
+    def closed() -> None:
+        e = stack.pop()
+        if e["like"] and (most := max(e["like"].values())) >= 2 and 3 * most >= 2 * e["kids"]:
+            found.add(e["at"])
+        if stack:
+            above = stack[-1]
+            above["words"] += e["words"]
+            above["dated"] |= e["dated"]
+            if e["name"] in _BLOCK:
+                above["kids"] += 1
+                if e["name"] in _ENTRIES and e["dated"] and e["words"] >= 3 and (e["class"] or e["name"] in ("li", "article")):
+                    above["like"][e["name"], e["class"]] += 1
+
+    opened: Counter = Counter()
+    for m in _TOKEN.finditer(page):
+        text = page[at : m.start()]
+        at = m.end()
+        if stack and text.strip():
+            stack[-1]["words"] += len(text.split())
+            stack[-1]["dated"] |= _DATE.search(text) is not None
+        name = (m["name"] or "").lower()
+        if not name or name in _VOID:
+            continue
+        if m["close"]:
+            if opened[name]:
+                while True:
+                    last = stack[-1]["name"]
+                    opened[last] -= 1
+                    closed()
+                    if last == name:
+                        break
+        else:
+            if name in _SELF_ENDING and stack and stack[-1]["name"] == name:
+                opened[name] -= 1
+                closed()
+            stack.append({"at": m.start(), "name": name, "class": " ".join(names_of(m["attributes"])), "words": 0, "dated": name == "time", "kids": 0, "like": Counter()})
+            opened[name] += 1
+    while stack:
+        closed()
+    return found
 
 
-def scan(page: str, element: ElementScore) -> Iterator[tuple[str, str]]:
-    """(tag, "") or ("", text) of everything but comments, scripts, styles and elements that score as boilerplate.
+def scan(page: str, element: ElementScore) -> Iterator[tuple[str, str, bool]]:
+    """(tag, "", inside) or ("", text, inside) of everything but comments, scripts, styles and elements that score as boilerplate.
 
-    An element left open ends with its parent, so an unclosed advert cannot swallow the page; a new article or main
-    element also ends boilerplate that only a class told. Every tag is looked at once, and every element is closed once.
+    inside: within an article, or an element that is all content by its kind. There, parts of a larger whole (headings,
+    list items, cells) are never boilerplate by what a class calls them, nor are elements of running text in a text block
+    anywhere. A list of reader comments, told by its build, is left out behind an article's end. An element left open ends
+    with its parent, so an unclosed advert cannot swallow the page; a new article or main element also ends boilerplate
+    that only a class told. Every tag is looked at once, and every element is closed once.
     """
-    stack: list[str] = []  # open elements
+    stack: list[tuple[str, bool]] = []  # open elements, and whether they are all content
     opened: Counter = Counter()  # how many of each name are open
-    dropped, by_name = -1, False  # the depth at which boilerplate began, and whether the element's name alone told
-    articles = at = 0
+    dropped, by_name = -1, False  # the depth at which boilerplate began, and whether a class alone cannot have told it
+    holding = articles = blocks = at = 0  # open elements that are all content; of those, all but main; open text blocks
+    ended = False
     scores: dict[tuple, float] = {}
+    lists: set[int] | None = None
     for m in _TOKEN.finditer(page):
         if at < m.start() and dropped < 0:
-            yield "", page[at : m.start()]
+            yield "", page[at : m.start()], holding > 0
         at = m.end()
         name = m["name"]
         if not name:
             if m["raw"] and dropped < 0:
-                yield m["raw"].lower(), ""
+                yield m["raw"].lower(), "", holding > 0
             continue
         name = name.lower()
         if name in _VOID:
             if dropped < 0:
-                yield name, ""
-        elif m["close"]:
+                yield name, "", holding > 0
+            continue
+        ends = 0
+        if m["close"]:
             if opened[name]:
-                while True:
-                    gone = stack.pop()
-                    opened[gone] -= 1
-                    articles -= gone in ("article", "main")
-                    if gone == name:
-                        break
-                if len(stack) <= dropped:
-                    dropped = -1
+                ends = next(k for k in range(1, len(stack) + 1) if stack[-k][0] == name)
+        elif name in _SELF_ENDING and stack and stack[-1][0] == name:
+            ends = 1
+        for _ in range(ends):
+            gone, whole = stack.pop()
+            opened[gone] -= 1
+            holding -= whole
+            articles -= whole and gone != "main"
+            blocks -= gone in _TEXT_BLOCKS
+            ended |= whole and gone != "main"
+        if ends and len(stack) <= dropped:
+            dropped = -1
+        if m["close"]:
             if dropped < 0:
-                yield "/" + name, ""
-        else:
-            if name in _SELF_ENDING and stack and stack[-1] == name:
-                stack.pop()
-                opened[name] -= 1
-                if len(stack) <= dropped:
-                    dropped = -1
-            starts = name in ("article", "main")
-            if (dropped < 0 or (starts and not by_name)) and name not in _ROOTS:
-                key = (name, m["attributes"], articles > 0)
-                score = scores.get(key)
-                if score is None:
-                    score = scores[key] = element(*key)
-                if score < DROP:
-                    if dropped < 0:
-                        dropped, by_name = len(stack), element(name, "", articles > 0) < DROP
-                elif starts:
-                    dropped = -1
-            stack.append(name)
-            opened[name] += 1
-            articles += starts
-            if dropped < 0:
-                yield name, ""
+                yield "/" + name, "", holding > 0
+            continue
+        starts = name in ("article", "main")
+        if dropped < 0 and ended and not articles:
+            if lists is None:  # nothing is told by its build without dates
+                lists = threads(page) if "<time" in page or "<TIME" in page or _DATE.search(page) else set()
+            if m.start() in lists:
+                dropped, by_name = len(stack), True
+        if (dropped < 0 or (starts and not by_name)) and name not in _ROOTS:
+            part = (holding > 0 and name in _PARTS_OF_A_WHOLE) or (blocks > 0 and name in _PHRASES)
+            key = (name, "" if part else m["attributes"], holding > 0)
+            score = scores.get(key)
+            if score is None:
+                score = scores[key] = element(*key)
+            if score < DROP:
+                if dropped < 0:
+                    dropped, by_name = len(stack), element(name, "", holding > 0) < DROP
+            elif starts:
+                dropped = -1
+        whole = dropped < 0 and element.holds(name, m["attributes"])
+        if dropped < 0:
+            yield name, "", holding > 0
+        stack.append((name, whole))
+        opened[name] += 1
+        holding += whole
+        articles += whole and name != "main"
+        blocks += name in _TEXT_BLOCKS
     if at < len(page) and dropped < 0:
-        yield "", page[at:]
+        yield "", page[at:], holding > 0
 
 
 def features(page: str, element: ElementScore) -> Iterator[tuple[str, int, str]]:
-    """(feature, count, text) of every token: tags and words, told apart in and out of an article and of a link."""
-    link, depth = False, 0
-    for tag, text in scan(page, element):
-        if tag in ("/article", "/main"):
-            depth -= 1
-        where = "in " if depth > 0 and tag not in ("article", "main") else ""
+    """(feature, count, text) of every token: tags and words, told apart in and out of content elements, and in links.
+
+    "in " stands before those inside an article or another element that is all content. Where such elements hold half of a
+    page's words or more, "beside " stands before the others.
+    """
+    tokens, words, link = [], [0, 0], False
+    for tag, text, inside in scan(page, element):
         if tag:
             link = tag == "a" or (link and tag != "/a")
-            yield where + tag, 1, ""
+            tokens.append((inside, tag, 1, ""))
         else:
-            yield where + ("a w" if link else "w"), len(text.split()), text
-        if tag in ("article", "main"):
-            depth += 1
+            count = len(text.split())
+            words[inside] += 0 if link else count
+            tokens.append((inside, "a w" if link else "w", count, text))
+    out = "beside " if words[1] and words[1] >= words[0] else ""
+    for inside, name, count, text in tokens:
+        yield ("in " if inside else out) + name, count, text
 
 
 class Weights:
@@ -234,7 +325,7 @@ def fit_weights(pages: list[str] | None = None) -> Weights:
     for page in pages:
         content = False
         for x, n, _ in features(_marked(page), element):
-            name = x.removeprefix("in ")
+            name = x.removeprefix("in ").removeprefix("beside ")
             if name in _MARKS.values():
                 content = name in ("mark-content", "mark-back")
             elif not name.startswith("/mark"):
@@ -264,7 +355,7 @@ def marked_text(page: str, weights: Weights) -> str:
     body = page[page.index("[[") + 2 : page.index("]]")]
     while "{{" in body:
         body = body[: body.index("{{")] + body[body.index("}}") + 2 :]
-    return extract(body, Weights(ElementScore({}, {}, {}), {"w": 1.0, "a w": 1.0, "in w": 1.0, "in a w": 1.0, "": 0.0}), whole=True)
+    return extract(body, Weights(ElementScore({}, {}, {}), {"w": 1.0, "a w": 1.0, "in w": 1.0, "in a w": 1.0, "beside w": 1.0, "": 0.0}), whole=True)
 
 
 @lru_cache(1)
@@ -299,7 +390,7 @@ def extract(page: str | None, weights: Weights | None = None, whole: bool = Fals
     for x, _, text in tokens[start:end]:
         if text:
             now.append(text)
-        elif x.removeprefix("in ").lstrip("/") in _BLOCK:
+        elif x.removeprefix("in ").removeprefix("beside ").lstrip("/") in _BLOCK:
             blocks.append("".join(now))
             now = []
     blocks.append("".join(now))

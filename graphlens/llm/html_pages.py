@@ -40,6 +40,11 @@ _BOILER = (
     ("section", 'class="comments"'), ("section", 'id="comments"'), ("div", 'id="comments"'), ("div", 'class="comments"'), ("div", 'class="comment"'), ("article", 'class="comment"'), ("li", 'class="comment"'), ("ol", 'class="comment-list"'), ("div", 'class="commentlist"'), ("div", 'class="comments-area"'), ("div", 'class="comment-form"'),
     ("div", 'id="disqus_thread"'), ("div", 'class="disqus"'), ("div", 'id="respond"'), ("div", 'class="replies"'), ("div", 'class="reply"'), ("div", 'class="comment-section"'), ("div", 'class="reader-comments"'), ("div", 'class="user-comments"'),
 )
+# Parts of running text, lists and tables, and headings, with the names that sites give boilerplate elsewhere.
+_INLINE = (("span", 'class="share"'), ("em", 'class="related"'), ("a", 'class="comment-link" href="/c"'), ("strong", 'class="ad"'), ("span", 'class="notice"'), ("b", ""), ("abbr", 'class="header"'))
+_HEADINGS = (("h2", 'class="banner"'), ("h3", 'class="header"'), ("h2", 'class="menu"'), ("h4", ""))
+_CELLS = ('class="header"', 'class="footer"', 'class="ad"', "")
+_UNKNOWN = ("user-responses", "kommentare", "opiniones", "lectores", "zuschriften", "avis", "stimmen")
 _WRAPPERS = (("div", ""), ("div", 'id="page"'), ("div", 'class="wrapper"'), ("div", 'class="container"'), ("div", 'class="site"'), ("div", 'class="row"'), ("div", 'class="layout main-layout"'), ("div", 'class="column main-column"'), ("div", 'class="area"'), ("div", 'class="section"'), ("div", 'class="block"'), ("div", 'class="site-content"'), ("section", ""))
 
 
@@ -49,7 +54,7 @@ def _element(kind: tuple[str, str], inside: str) -> str:
 
 
 def labelled_pages(count: int = 600, seed: int = 11) -> list[str]:
-    """``count`` pages: a wrapper, boilerplate before and after the content, and content that may hold boilerplate itself."""
+    """``count`` pages, and a fourth as many of ``_part_pages``: a wrapper, boilerplate around the content, and some inside it."""
     rng = random.Random(seed)
     say = lambda a, b: " ".join(rng.choice(_SENTENCES) for _ in range(rng.randint(a, b)))
     link = lambda text: f"<a href='/{rng.randint(1, 999)}'>{text}</a>"
@@ -93,4 +98,25 @@ def labelled_pages(count: int = 600, seed: int = 11) -> list[str]:
         if container[0] == "td":
             content = f"<table><tr><td>{boilerplate(k)}</td>{content}</tr></table>"
         pages.append(f"<html><head><title>{rng.choice(_LABELS)}</title></head><body>{_element(_WRAPPERS[k % len(_WRAPPERS)], before + content + after)}</body></html>")
+    return pages + _part_pages(count // 4, seed)
+
+
+def _part_pages(count: int, seed: int) -> list[str]:
+    """Pages whose articles have parts with the names of boilerplate, and comments behind them under names of the site's own."""
+    rng = random.Random(f"parts {seed}")
+    say = lambda a, b: " ".join(rng.choice(_SENTENCES) for _ in range(rng.randint(a, b)))
+    pages = []
+    for k in range(count):
+        parts = [
+            f"<p>{say(1, 1)} {_element(_INLINE[k % len(_INLINE)], 'a word of it')} {say(1, 1)}</p>",
+            _element(_HEADINGS[k % len(_HEADINGS)], "A part of the whole") + f"<p>{say(1, 2)}</p>",
+            f"<table><tr><th {_CELLS[k % 4]}>Year</th><td {_CELLS[(k + 1) % 4]}>{say(1, 1)}</td></tr></table>",
+            f"<ul><li class='ad'>{say(1, 1)}</li><li class='comment'>{say(1, 1)}</li></ul>",
+        ]
+        inside = f"<h1>{rng.choice(_SENTENCES)[:24]}</h1><p>{say(2, 4)}</p>" + "".join(rng.sample(parts, rng.randint(1, 4))) + f"<p>{say(2, 3)}</p>"
+        entries = "".join(f"<div class='entry{j}'><b>A reader</b> <time>2021-05-0{j + 1}</time><p>{say(1, 2)}</p></div>" if k % 2 else f"<p>{say(1, 1)}</p>" for j in range(rng.randint(2, 4)))
+        after = f"<div class='{_UNKNOWN[k % len(_UNKNOWN)]}'>{entries}</div>" if k % 3 else ""
+        container = ("div", 'class="posts"') if k % 5 == 0 else _CONTENT[k % 2]
+        nav = _element(rng.choice(_BOILER[:17]), "".join(f"<a href='/'>{x}</a> " for x in rng.sample(_LABELS, 4)))
+        pages.append(f"<html><head><title>{rng.choice(_LABELS)}</title></head><body>{_element(_WRAPPERS[k % len(_WRAPPERS)], nav + _element(container, f'[[{inside}]]') + after)}</body></html>")
     return pages

@@ -138,6 +138,41 @@ def test_one_word_of_a_class_decides_nothing():
     assert html.extract("<body><div class='alert'><p>All that this page has to say.</p></div></body>") == "All that this page has to say."
 
 
+def test_parts_of_an_article_stay_whatever_their_class():
+    page = "<body><nav><a href='/'>Home</a></nav><article><p>First part of it.</p>{}<p>Last part of it.</p></article><footer>Imprint</footer></body>"
+    cases = {
+        '<p>See <span class="share">this share</span> of the <a class="comment-link">public comment</a> record.</p>': "See this share of the public comment record.",
+        '<p>He wrote a <em class="related">related novel</em> in Bergen then.</p>': "He wrote a related novel in Bergen then.",
+        '<table><tr><th class="header">Year</th><td class="footer">1901</td></tr></table>': "Year\n1901",
+        '<h2 class="banner">The flood</h2>': "The flood",
+        '<ul><li class="comment">One</li><li class="ad">Two</li></ul>': "One\nTwo",
+        '<dl><dt class="menu">Fish</dt><dd class="notice">Caught</dd></dl>': "Fish\nCaught",
+        '<div class="ad"><p>Buy <span>now</span></p></div>': None,
+    }
+    for inner, text in cases.items():
+        for container in ("article", 'div class="article-body"'):
+            own = page.replace("<article>", f"<{container}>").replace("</article>", f"</{container.split()[0]}>")
+            assert html.extract(own.format(inner)) == "\n".join(x for x in ("First part of it.", text, "Last part of it.") if x)
+
+
+def test_comments_are_told_by_where_they_stand_and_how_they_are_built():
+    words = "The mill stood by the river and the water drove it for two hundred years until the war came."
+    article = f"<article><h1>Mill</h1><p>{words}</p><p>{words}</p></article>"
+    entry = "<div class='{}'><b>Anna</b> <time>2020-01-0{}</time><p>I saw the mill, it is a fine one and I would go again.</p></div>"
+    for name in ("user-responses", "kommentare", "x1"):
+        listed = f"<div class='{name}'>" + "".join(entry.format("e", k) for k in range(1, 5)) + "</div>"
+        plain = f"<div class='{name}'><p>A fine mill.</p><p>I would not go there again.</p></div>"
+        for after in (listed, plain):
+            for page in (f"<body>{article}{after}</body>", f"<body><main>{article}{after}</main></body>" if after is listed else ""):
+                assert html.extract(page) == (f"Mill\n{words}\n{words}" if page else "")
+    # An article's own dated parts stay, and so does a page that is nothing but a list of posts.
+    parts = "".join(f"<section class='update'><time>10:0{k}</time><p>{words}</p></section>" for k in range(3))
+    assert html.extract(f"<body><article>{parts}</article></body>").count(words) == 3
+    assert html.extract("<body><div class='posts'>" + "".join(entry.format("post", k) for k in range(1, 5)) + "</div></body>").count("I saw the mill") == 4
+    # What follows an article goes on with it where it is content by its kind.
+    assert html.extract(f"<body>{article}<section class='text'><p>{words}</p></section></body>").count(words) == 3
+
+
 def test_best_region_equals_brute_force():
     rng = random.Random(3)
     for _ in range(300):
