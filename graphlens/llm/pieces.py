@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import sentencepiece
+from sentencepiece import sentencepiece_model_pb2
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,12 +38,14 @@ class Vocabulary:
     """The pieces of a SentencePiece model, BPE or unigram, that keeps white space and falls back to bytes.
 
     ``model`` is the model file's content. Encoding gives the library's ids, but for a literal U+2581, which is encoded
-    by its bytes so that decoding gives every text back exactly. A model that changes texts before encoding, puts no
-    space before them, has no bytes, or has pieces longer than a chunk's surroundings, is refused.
+    by its bytes so that decoding gives every text back exactly. The kind is read from the model unless it is given. A
+    model of another kind is refused, and one that changes texts before encoding, puts no space before them, has no bytes,
+    has user-defined symbols, or pieces that go on over a space or line feed or are longer than a chunk's surroundings.
     """
 
-    def __init__(self, model: bytes, kind: str = "bpe", cache: int = 1 << 18):
+    def __init__(self, model: bytes, kind: str | None = None, cache: int = 1 << 18):
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        kind = kind or kind_of(model)
         probe = "  ﬁ　ＡÅ a\tb "
         if sp.normalize(probe) != SPACE + probe.replace(" ", SPACE):
             raise ValueError("the model normalises texts or puts no space before them; its ids cannot be told from the text as it is")
@@ -55,6 +58,9 @@ class Vocabulary:
         if len(self.byte_ids) < 256:
             raise ValueError("the vocabulary has no bytes to fall back to")
         self.four = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
+        odd = next((p for p in self.ids if _WORDS.findall(p) != [p]), None)
+        if odd is not None:
+            raise ValueError(f"the vocabulary has the piece {odd!r}, which goes on over a space or line feed; texts are cut there")
         self.longest = max(map(len, self.ids))
         if self.longest > HALO:
             raise ValueError(f"the vocabulary has a piece of {self.longest} characters, more than the {HALO} that a chunk sees of its neighbours")
@@ -268,12 +274,33 @@ class Vocabulary:
         """A text's ids as little-endian 32-bit integers."""
         return b"".join(map(self.cache.__getitem__, _WORDS.findall(normal(f" {text}")))) if text else b""
 
+    def encode_in_chunks(self, text: str, chunk: int) -> bytes:
+        """The same by the scan, all chunks in one place: transfer matrices, their prefix products, each chunk traced back."""
+        text = normal(f" {text}")
+        bounds = [(lo, min(len(text), lo + chunk)) for lo in range(0, len(text), chunk)]
+        matrices = [self.transfer(text, lo, hi) for lo, hi in bounds]
+        enter, leave = chosen(matrices)
+        path = [t for (lo, hi), a, b in zip(bounds, enter, leave, strict=True) for t in self.traced(text, lo, hi, a, b)]
+        return self.packed([self.text[i] if i >= 0 else chr(-1 - i) for _, _, i in path])
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
         got = b"".join([self.surface[i] for i in ids])
         return got.removeprefix(b" ").decode("utf-8", "replace")
 
 
+def kind_of(model: bytes) -> str:
+    """bpe or unigram, as a model's own description says; other kinds and user-defined symbols are refused."""
+    described = sentencepiece_model_pb2.ModelProto.FromString(model)
+    kind = {1: "unigram", 2: "bpe"}.get(described.trainer_spec.model_type)
+    if kind is None:
+        raise ValueError("the model is neither of BPE nor of unigram kind")
+    symbol = next((p.piece for p in described.pieces if p.type == p.USER_DEFINED), None)
+    if symbol is not None:
+        raise ValueError(f"the vocabulary has the user-defined symbol {symbol!r}, which is taken before all else")
+    return kind
+
+
 @lru_cache(2)
 def surfaces(model: bytes) -> list[bytes]:
     """The bytes that each id stands for: all that decoding needs of a model."""
@@ -312,6 +339,15 @@ def scan(matrices: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
+def chosen(matrices: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """The boundary states of the best path, by which each chunk is entered and left: a scan, then back from the end."""
+    sums = scan(matrices)
+    leave = [0] * len(matrices)
+    for k in range(len(matrices) - 1, 0, -1):
+        leave[k - 1] = int(np.argmax(sums[k - 1][0] + matrices[k][:, leave[k]]))
+    return [0, *leave[:-1]], leave
+
+
 def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(NEVER, (a[:, :, None] + b[None, :, :]).max(axis=1))
 
@@ -351,12 +387,8 @@ def _transfers(model: bytes, kind: str):
 def _choose(rows: pd.DataFrame) -> pd.DataFrame:
     """One document's matrices, a few numbers per chunk, to the boundary states of its best path."""
     rows = rows.sort_values("k")
-    matrices = [np.array(m).reshape(s, -1) for m, s in zip(rows["matrix"], rows["states"], strict=True)]
-    sums = scan(matrices)
-    leave = [0] * len(matrices)
-    for k in range(len(matrices) - 1, 0, -1):
-        leave[k - 1] = int(np.argmax(sums[k - 1][0] + matrices[k][:, leave[k]]))
-    return pd.DataFrame({"key": rows["key"].to_numpy(), "k": rows["k"].to_numpy(), "enter": [0, *leave[:-1]], "leave": leave})
+    enter, leave = chosen([np.array(m).reshape(s, -1) for m, s in zip(rows["matrix"], rows["states"], strict=True)])
+    return pd.DataFrame({"key": rows["key"].to_numpy(), "k": rows["k"].to_numpy(), "enter": enter, "leave": leave})
 
 
 def _traces(model: bytes, kind: str):
@@ -373,14 +405,15 @@ def _traces(model: bytes, kind: str):
     return run
 
 
-def encode(docs: DataFrame, model_path: str, name: str = "ids", text_col: str = "text", kind: str = "bpe", chunk: int = 1 << 15, decoded: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, name: str = "ids", text_col: str = "text", kind: str | None = None, chunk: int = 1 << 15, decoded: str | None = None, giant: int = 1 << 20) -> DataFrame:
     """The documents with their SentencePiece ids (array<int>); names get underscores where taken.
 
     ``decoded`` names one more column: the text that the ids give back, decoded by the task that has just encoded it.
 
     Texts shorter than ``chunk`` characters are a single chunk, whose only states are its two ends: they are traced at
     once, in one pass without a shuffle; words seen before come from a bounded cache. Longer texts are split into
-    chunks anywhere. A chunk's state at a boundary is the token that covers the
+    chunks anywhere, in the task that reads them; the chunks of those of ``giant`` characters or more are dealt to tasks of
+    their own. A chunk's state at a boundary is the token that covers the
     character before it; each chunk yields the max-plus matrix from its entry to its exit states, a document's
     matrices are combined by an associative scan, and every chunk is traced back by itself between the chosen states.
 
@@ -396,25 +429,26 @@ def encode(docs: DataFrame, model_path: str, name: str = "ids", text_col: str =
         schema = schema.add(decoded, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(model, kind)
+        vocabulary = _vocabulary(model, model_kind)
         surface = np.array(vocabulary.surface, object)
         for batch in small_batches(batches, place):
-            packed = [vocabulary.encode(t) for t in batch.column(place).to_pylist()]
+            packed = [vocabulary.encode(t) if t is None or len(t) < chunk else vocabulary.encode_in_chunks(t, chunk) for t in batch.column(place).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
             back = {decoded: pa.array([_text(surface, np.frombuffer(x, np.int32)) for x in packed], pa.string())} if decoded else {}
             yield arrow_rows(batch, batch.schema, **{name: ids}, **back)
 
-    giant = F.coalesce(F.length(text_col) >= chunk, F.lit(False))
-    short = docs.where(~giant).mapInArrow(run, schema)
-    long = docs.where(giant)
+    model_kind = kind or kind_of(model)
+    dealt = F.coalesce(F.length(text_col) >= giant, F.lit(False))
+    short = docs.where(~dealt).mapInArrow(run, schema)
+    long = docs.where(dealt)
     # Giant texts are named by their hash: equal texts share one encoding. They are dealt by it before they are split.
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = long.select(F.sha2(text_col, 256).alias("key"), F.col(text_col).alias("body")).repartition(n, "key").dropDuplicates(["key"])
     pieces = texts.mapInArrow(_chunks(chunk), "key string, k int, context string, lo int, hi int").repartition(n, "key", "k")
     pieces = cut(pieces)
-    chosen = pieces.mapInArrow(_transfers(model, kind), "key string, k int, states int, matrix array<double>").groupBy("key").applyInPandas(_choose, "key string, k int, enter int, leave int")
-    traced = pieces.join(chosen, ["key", "k"]).select("key", "k", "context", "lo", "hi", "enter", "leave").mapInArrow(_traces(model, kind), "key string, k int, ids array<int>")
+    best = pieces.mapInArrow(_transfers(model, model_kind), "key string, k int, states int, matrix array<double>").groupBy("key").applyInPandas(_choose, "key string, k int, enter int, leave int")
+    traced = pieces.join(best, ["key", "k"]).select("key", "k", "context", "lo", "hi", "enter", "leave").mapInArrow(_traces(model, model_kind), "key string, k int, ids array<int>")
     whole = traced.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids_"))
     joined = long.join(whole, F.sha2(long[text_col], 256) == whole["key"]).select(*[long[c] for c in docs.columns], whole["ids_"].alias(name))
     return short.union(decode(joined, model_path, decoded, name) if decoded else joined)

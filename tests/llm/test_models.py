@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 import sentencepiece
+from sentencepiece import sentencepiece_model_pb2
 from pyspark.sql import functions as F
 
 from graphlens.llm import html, pieces, quality, toxicity
@@ -33,13 +34,13 @@ def texts():
     return ["", "a", " a", "  a  b ", "\n\n a\n", "日本語テキスト🙂 ok", " " * 40 + "z", "ab" * 200 + " q", "\t\x00q", "word " * 50, "".join(rng.choice("abcdehinorst") for _ in range(900))]
 
 
-@pytest.mark.parametrize("chunk", [9, 50, 1 << 16])
-def test_encode_equals_the_library_and_decodes(spark, library, chunk):
+@pytest.mark.parametrize(("chunk", "giant"), [(9, 9), (50, 50), (50, 1 << 20), (1 << 16, 1 << 16)])
+def test_encode_equals_the_library_and_decodes(spark, library, chunk, giant):
     rows = [(i, t, 1) for i, t in enumerate(texts())] + [(None, None, 1), (50, "literal ▁ mark", 1), (3, "  a  b ", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, k int")
-    out = pieces.decode(pieces.encode(docs, TOKENIZER, chunk=chunk), TOKENIZER).collect()
+    out = pieces.decode(pieces.encode(docs, TOKENIZER, chunk=chunk, giant=giant), TOKENIZER).collect()
     assert len(out) == len(rows)
-    once = pieces.encode(docs.withColumn("ids", F.lit("taken")), TOKENIZER, chunk=chunk, decoded="decoded")
+    once = pieces.encode(docs.withColumn("ids", F.lit("taken")), TOKENIZER, chunk=chunk, decoded="decoded", giant=giant)
     assert once.columns == ["doc_id", "text", "k", "ids", "ids_", "decoded"]
     assert sorted((str(r.text), tuple(r.ids_), r.decoded) for r in once.collect()) == sorted((str(r.text), tuple(r.ids), r.decoded) for r in out)
     for r in out:
@@ -48,10 +49,11 @@ def test_encode_equals_the_library_and_decodes(spark, library, chunk):
             assert r.ids == library.encode(r.text or "")
 
 
-def test_encode_real_documents(spark, library):
-    """Every document through the scan: chunks of 500 characters, most texts longer."""
+@pytest.mark.parametrize("giant", [500, 1 << 20])
+def test_encode_real_documents(spark, library, giant):
+    """Every document through the scan, dealt out or where it is read: chunks of 500 characters, most texts longer."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    rows = pieces.encode(docs, TOKENIZER, chunk=500).collect()
+    rows = pieces.encode(docs, TOKENIZER, chunk=500, giant=giant).collect()
     assert len(rows) == 1000 and sum(len(r.text) >= 500 for r in rows) > 600
     for r in rows:
         assert r.ids == library.encode(r.text)
@@ -77,6 +79,44 @@ def test_other_models_are_refused(monkeypatch):
         pieces.Vocabulary(model)
 
 
+def changed(change):
+    """The model with its description changed."""
+    described = sentencepiece_model_pb2.ModelProto.FromString(open(TOKENIZER, "rb").read())
+    change(described)
+    return described.SerializeToString()
+
+
+def test_models_whose_pieces_cannot_be_cut_at_words_are_refused():
+    for piece in ("a▁b", "a▁", "a\nb", "\n\n"):
+        with pytest.raises(ValueError, match="goes on over"):
+            pieces.Vocabulary(changed(lambda m, piece=piece: m.pieces.add(piece=piece, score=-1.0)))
+    with pytest.raises(ValueError, match="user-defined"):
+        pieces.Vocabulary(changed(lambda m: m.pieces.add(piece="zzz", score=0.0, type=4)))
+    with pytest.raises(ValueError, match="neither"):
+        pieces.Vocabulary(changed(lambda m: setattr(m.trainer_spec, "model_type", 3)))
+
+
+def test_the_kind_is_read_from_the_model(spark, tmp_path):
+    """A model that says it is of unigram kind gives the library's ids without being told."""
+
+    def unigram(m):
+        m.trainer_spec.model_type = 1
+        for p in m.pieces:
+            if p.type == p.NORMAL:
+                p.score = -1.0 - (zlib.crc32(p.piece.encode()) % 100_003) / 1000
+
+    path = tmp_path / "unigram.model"
+    path.write_bytes(changed(unigram))
+    assert pieces.kind_of(path.read_bytes()) == "unigram"
+    plain = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    rng = random.Random(8)
+    some = ["the quick brown fox", "", "été 日本", "xq" * 40] + ["".join(rng.choice("abcdehinorst  ") for _ in range(120)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    for chunk, giant in ((1 << 15, 1 << 20), (30, 1 << 20), (30, 30)):
+        for r in pieces.encode(docs, str(path), chunk=chunk, giant=giant).collect():
+            assert r.ids == plain.encode(r.text)
+
+
 def test_unigram_chunks_equal_plain_viterbi(vocabulary):
     """The same vocabulary read as a unigram model: a chunked scan finds a path of the best total score."""
     model = pieces.Vocabulary(open(TOKENIZER, "rb").read(), "unigram")
