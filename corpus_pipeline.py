@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlens.llm import decontaminate, lines, pieces, simhash, toxicity
-from graphlens.llm.common import cut, fresh_name
+from graphlens.llm.common import cut, fresh_name, release
 from graphlens.llm.queries import TOKENIZER
 
 ORACLE_SQL = None
@@ -49,8 +49,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another on the documents; what a stage keeps is written once, in the shared checkpoint folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after another on the documents; what a stage keeps is written once, in the shared checkpoint folder.
+
+    A stage's rows are deleted there as soon as the next one's are written; the last stage reads those of the one before.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if k == 0 else cut(docs), sf_dir)
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = cut(docs)
+            if before is not None:
+                release(before)
+            before = docs
     return docs
