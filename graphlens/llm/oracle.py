@@ -12,11 +12,13 @@ SELECT doc_id, body, max(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) O
 
 # CRC-32 byte by byte: the table of 256 entries from its rule, then a fold over each text's bytes.
 _SHARDS = """WITH crctable AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, n) ORDER BY n) AS t FROM range(256) r(n)),
-sized AS (SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) + 16 AS BIGINT) AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
-summed AS (SELECT doc_id, size, h, sum(size) OVER (ORDER BY doc_id) - size AS before, sum(size) OVER () AS total FROM sized),
-placed AS (SELECT *, CAST(least(39, (2 * before + size) * 40 // (2 * total)) AS INT) AS shard FROM summed)
+sized AS (SELECT doc_id, coalesce(text, '') AS body, CAST(coalesce(octet_length(encode(text)), 0) + 16 AS BIGINT) AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+grouped AS (SELECT *, min(doc_id) OVER (PARTITION BY body) AS first_id, sum(size) OVER (PARTITION BY body) AS group_size, max(size) OVER () AS largest FROM sized),
+summed AS (SELECT *, sum(size) OVER (ORDER BY first_id, doc_id) - size AS before, sum(size) OVER () AS total FROM grouped),
+cuts AS (SELECT *, CASE WHEN group_size <= largest THEN min(before) OVER (PARTITION BY body) ELSE before END AS b, CASE WHEN group_size <= largest THEN group_size ELSE size END AS l FROM summed),
+placed AS (SELECT *, CAST(least(39, (2 * b + l) * 40 // (2 * total)) AS INT) AS shard FROM cuts)
 SELECT doc_id, size, xor(4294967295, list_reduce(list_transform(range(1, length(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT)), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295)) AS text_crc32,
-'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM placed, crctable"""
+'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY first_id, doc_id) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM placed, crctable"""
 
 _CONTAMINATION = f"""WITH d AS (SELECT doc_id, coalesce({_WORDS.format(text=_LOWER.format(text="text"), gaps=_NOT_ALNUM)}, []) AS w FROM documents),
 b AS (SELECT item_id, {_WORDS.format(text=_LOWER.format(text="text"), gaps=_NOT_ALNUM)} AS w FROM benchmark),

@@ -31,20 +31,37 @@ def with_prefix(rows: DataFrame, order: list[str], sizes: list[str], partitions:
 def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
     """One row per document: ``id_col``, size, text_crc32, law, shard, slot, grown_shard.
 
-    size is the text's UTF-8 bytes (null: none) and ``overhead``. Documents are taken in the order of id; a document
-    goes to the shard in whose equal share of all bytes its own middle byte lies, so shards are contiguous ranges of
-    the order, and each shard's total is within one document of the target. slot counts from 0 inside a shard.
+    size is the text's UTF-8 bytes (null: none) and ``overhead``. Documents are taken in the order of the smallest id that
+    has their text, then of their own id, so that equal texts stand together. A document goes to the shard in whose equal
+    share of all bytes its own middle byte lies; a group of equal texts goes as a whole to that of the group's middle byte,
+    if it has no more bytes than the largest document. Shards are contiguous ranges of the order, and each one's total is
+    within twice the largest document of the target. slot counts from 0 inside a shard.
 
-    Defined results: null ids come first; equal ids are ordered by checksum and size; a document longer than a whole
-    share fills its shard alone and neighbours may stay empty; empty table - no rows. Further columns are not read.
+    Defined results: null texts count as empty ones; null ids come first; equal ids are ordered by checksum and size; a
+    document longer than a whole share fills its shard alone and neighbours may stay empty; groups of more bytes than the
+    largest document are parted like other rows; empty table - no rows. Further columns are not read.
     """
+    text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("id"),
-        (F.coalesce(F.octet_length(text_col), F.lit(0)) + overhead).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("crc"),
-    ).withColumn("one", F.lit(1).cast("long"))
-    placed, (total, _) = with_prefix(rows, ["id", "crc", "size"], ["size", "one"])
-    placed = placed.withColumn("shard", F.least(F.lit(shards - 1), F.expr(f"(2 * before_size + size) * {shards} div {max(1, 2 * total)}")).cast("int"))
+        (F.octet_length(text) + overhead).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("crc"),
+        F.unhex(F.md5(text)).alias("h"),
+    )
+    # Joined back by another key than the grouping's, so that a text of many rows can be split between tasks.
+    groups = rows.groupBy("h").agg(F.min("id").alias("first_id"), F.sum("size").alias("group_size"), F.count(F.lit(1)).alias("copies"))
+    groups = groups.where("copies > 1").select(F.reverse("h").alias("back"), "first_id", "group_size")
+    rows = rows.withColumn("back", F.reverse("h")).join(groups, "back", "left")
+    rows = rows.select("id", "size", "crc", F.coalesce("first_id", "id").alias("first_id"), F.col("h").alias("text_id"), F.coalesce("group_size", "size").alias("group_size"), F.lit(1).cast("long").alias("one"))
+    placed, (total, _) = with_prefix(rows, ["first_id", "text_id", "id", "crc", "size"], ["size", "one"])
+    placed = cut(placed)
+    largest = placed.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
+    starts = placed.groupBy("text_id").agg(F.min("before_size").alias("group_before")).select(F.reverse("text_id").alias("back"), "group_before")
+    together = F.col("group_size") <= largest
+    placed = placed.withColumn("back", F.reverse("text_id")).join(starts, "back")
+    begin, length = F.when(together, F.col("group_before")).otherwise(F.col("before_size")), F.when(together, F.col("group_size")).otherwise(F.col("size"))
+    placed = placed.withColumn("begin", begin).withColumn("length", length)
+    placed = placed.withColumn("shard", F.least(F.lit(shards - 1), F.expr(f"(2 * begin + length) * {shards} div {max(1, 2 * total)}")).cast("int"))
     first = placed.groupBy("shard").agg(F.min("before_one").alias("first"))  # one row per shard
     return placed.join(F.broadcast(first), "shard").select(
         F.col("id").alias(id_col),

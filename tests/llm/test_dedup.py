@@ -80,8 +80,19 @@ def test_sharding(spark, docs, empty):
         for k, own in by.items():
             assert 0 <= k < shards and sorted(r.slot for r in own) == list(range(len(own)))
             assert abs(sum(r["size"] for r in own) - total / shards) <= 2 * biggest
-        ordered = sorted(rows, key=lambda r: (r.shard, r.slot))
-        assert [r.doc_id for r in ordered if r.doc_id is not None] == sorted(r.doc_id for r in rows if r.doc_id is not None)
+        # In order of the first id of a text; a text's documents in one shard, unless they have more bytes than the largest.
+        first, sizes, where = {}, defaultdict(int), defaultdict(set)
+        for i, t in pairs_of(frame):
+            crc = zlib.crc32((t or "").encode())
+            first[crc] = min(first.get(crc, 1 << 60), 1 << 60 if i is None else i)
+            sizes[crc] += len((t or "").encode()) + 16
+        ordered = [r for r in sorted(rows, key=lambda r: (r.shard, r.slot)) if first[r.text_crc32] < 1 << 60 and r.doc_id is not None]
+        assert [(first[r.text_crc32], r.doc_id) for r in ordered] == sorted((first[r.text_crc32], r.doc_id) for r in ordered)
+        for r in rows:
+            where[r.text_crc32].add(r.shard)
+        assert all(len(where[crc]) == 1 for crc, size in sizes.items() if size <= biggest)
+    same = spark.createDataFrame([(i, "one and the same text") for i in range(500)], "doc_id long, text string")
+    assert {r["n"] for r in sharding.shard_by_bytes(same, 10).groupBy("shard").agg(F.count("*").alias("n")).collect()} == {50}
     assert sharding.shard_by_bytes(empty).count() == 0
 
 
