@@ -156,6 +156,36 @@ def _doubled(rows: DataFrame, keep: Keep) -> DataFrame:
     return now.where("ended").drop("ended")
 
 
+def reachable(steps: DataFrame, keep: Keep, name: str) -> DataFrame:
+    """(project, path, module): the files that steps from file to file lead to, over ways of twice the length each round."""
+    ways = keep(f"{name}_0", steps.select(*_FILE, "module").where("path <> module").distinct())
+    many = ways.count()
+    for k in range(1, 32):
+        if not many:
+            break
+        more = ways.select("project", F.col("path").alias("start"), F.col("module").alias("path")).join(ways, _FILE).select("project", F.col("start").alias("path"), "module")
+        ways = keep(f"{name}_{k}", ways.unionByName(more).where("path <> module").distinct())
+        before, many = many, ways.count()
+        if many == before:
+            break
+    return ways
+
+
+def program(found: DataFrame, files: DataFrame, chosen: Column, aliases: Aliases, keep: Keep) -> DataFrame:
+    """(project, path): the files that are chosen, and those that their imports lead to, directly or not.
+
+    ``found`` are the token rows of all files; ``chosen`` is a predicate over path. Only ways through files that are not chosen are followed.
+    """
+    quoted = F.col("token").rlike("^['\"]") & ((F.col("prev").isin("from", "import") & (F.col("level") == 0)) | ((F.col("prev") == "(") & F.col("prev2").isin("import", "require")))
+    names = found.where(quoted).select(*_FILE, _unquoted(F.col("token")).alias("spec")).distinct()
+    steps = keep("import_steps", resolved_modules(names, files, aliases).select(*_FILE, "module", chosen.alias("from_chosen")))
+    outside = steps.where("not from_chosen").select(*_FILE, "module")
+    ways = reachable(outside, keep, "import_ways")
+    first = steps.where("from_chosen").select("project", F.col("module").alias("path")).distinct()
+    further = first.join(ways, _FILE).select("project", F.col("module").alias("path"))
+    return files.select(*_FILE).where(chosen).unionByName(first).unionByName(further).distinct()
+
+
 def exported_names(found: DataFrame, names: DataFrame, modules: DataFrame, keep: Keep) -> DataFrame:
     """(project, path, name, at_path, at_name): every name that a file exports, and the file and name that declare it.
 
@@ -170,15 +200,7 @@ def exported_names(found: DataFrame, names: DataFrame, modules: DataFrame, keep:
     passed = out.where("spec is not null and module is not null").select(*_FILE, "name", F.col("module").alias("to_path"), F.col("local").alias("to_name"))
     explicit = keep("exports", direct.unionByName(local).unionByName(passed).dropDuplicates([*_FILE, "name"]))
     stars = names.where("kind = 'export' and local is null and spec is not null").join(modules, [*_FILE, "spec"]).select(*_FILE, "module").distinct()
-    stars = keep("stars_0", stars)
-    rounds = range(1, 32) if not stars.isEmpty() else ()
-    for k in rounds:  # which files a file passes on, directly or not: ways of twice the length each time
-        more = stars.select("project", F.col("path").alias("start"), F.col("module").alias("path")).join(stars, _FILE).select("project", F.col("start").alias("path"), "module")
-        wider = keep(f"stars_{k}", stars.unionByName(more).where("path <> module").distinct())
-        grown = wider.count() > stars.count()
-        stars = wider
-        if not grown:
-            break
+    stars = reachable(stars, keep, "stars")
     passed = stars.join(explicit.where("name <> 'default'").select("project", F.col("path").alias("module"), "name"), ["project", "module"])
     passed = passed.groupBy(*_FILE, "name").agg(F.min("module").alias("to_path")).join(explicit.select(*_FILE, "name"), [*_FILE, "name"], "left_anti")
     pointers = explicit.unionByName(passed.select(*_FILE, "name", "to_path", F.col("name").alias("to_name")))

@@ -7,15 +7,15 @@ from collections.abc import Callable, Mapping
 from dataclasses import asdict
 from time import monotonic
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphlens.graph import Graph, Later
-from graphlens.operators import extract, literals
+from graphlens.operators import extract, literals, symbols
 from graphlens.operators.trees import Keep, checkpointed
 from graphlens.plans.build import OWNED, Batches, build, rebuild
-from graphlens.sources.config import ProjectConfig, compiler_aliases, folder_exists, projects, repo_root
+from graphlens.sources.config import ProjectConfig, compiler_aliases, compiler_files, folder_exists, projects, repo_root
 from graphlens.sources.records import BATCHES
 from graphlens.sources.text import list_files, read_texts, rejected_files
 
@@ -43,11 +43,12 @@ class Sources:
 
 
 
-def record_batches(sources: Sources, router_files: tuple[str, ...] = ProjectConfig.router_files, aliases: tuple[tuple[str, str], ...] = (("@/", "src/"),), keep: Keep = checkpointed) -> Batches[str, DataFrame]:
+def record_batches(sources: Sources, router_files: tuple[str, ...] = ProjectConfig.router_files, aliases: tuple[tuple[str, str], ...] = (("@/", "src/"),), keep: Keep = checkpointed, listed: Column | None = None) -> Batches:
     """All record batches of the texts, each planned when it is first asked for, over the files that can hold its facts.
 
     The code's tokens are listed once, for all extractors that read code. ``keep`` is given every batch and every table that
-    others are made from: by default it checkpoints them, ``reindex`` writes them.
+    others are made from: by default it checkpoints them, ``reindex`` writes them. ``listed``, a predicate over path, says which
+    code files the compiler is given; those that their imports lead to are read too, other code is not.
     """
     here = F.col("path")
     found = Later()
@@ -58,14 +59,21 @@ def record_batches(sources: Sources, router_files: tuple[str, ...] = ProjectConf
     def batch(name: str, make: Callable[[], DataFrame]) -> None:
         table(name, lambda: make().select(*T._parse_datatype_string(BATCHES[name]).names))
 
-    table("tokens", lambda: literals.tokens(sources.code))
+    if listed is None:
+        code = lambda: sources.code
+        table("tokens", lambda: literals.tokens(sources.code))
+    else:
+        table("all_tokens", lambda: literals.tokens(sources.code))
+        table("program", lambda: symbols.program(found["all_tokens"], sources.code.select("project", "path"), listed, aliases, keep))
+        code = lambda: sources.code.join(found["program"], ["project", "path"], "left_semi")
+        found.later("tokens", lambda: found["all_tokens"].join(found["program"], ["project", "path"], "left_semi"))
     router = lambda rows: rows.where(here.isin(*router_files))
-    files = lambda: sources.code.select("project", "path")
+    files = lambda: code().select("project", "path")
 
     def components() -> DataFrame:
-        tokens, code = found["tokens"], files()
+        tokens, paths = found["tokens"], files()
         shown = found["routes"].select("project", F.explode("components").alias("name")).distinct()
-        parts = extract.resolved_components(extract.component_imports(router(tokens)), code, aliases).join(shown, ["project", "name"], "left_semi")
+        parts = extract.resolved_components(extract.component_imports(router(tokens)), paths, aliases).join(shown, ["project", "name"], "left_semi")
         parts = extract.component_lines(keep("component_files", parts), tokens)
         parts = extract.named_in(parts, tokens, found["hooks"].select("project", F.col("name").alias("token")), "hookCalls")
         parts = extract.named_in(parts, tokens, found["operations"].select("project", F.col("symbol").alias("token")), "operationRefs")
@@ -75,12 +83,12 @@ def record_batches(sources: Sources, router_files: tuple[str, ...] = ProjectConf
         return sources.tests.where(here.rlike(pattern))
 
     batch("projects", lambda: sources.projects)
-    batch("operations", lambda: extract.operations(sources.code))
+    batch("operations", lambda: extract.operations(code()))
     batch("hooks", lambda: extract.hooks(found["tokens"], found["operations"]))
     batch("callsites", lambda: extract.callsites(found["tokens"], files(), found["operations"], found["hooks"], aliases, keep))
-    batch("routes", lambda: extract.routes(keep("route_nodes", extract.route_nodes(router(sources.code), extract.enum_members(sources.code), router(found["tokens"]))), keep))
+    batch("routes", lambda: extract.routes(keep("route_nodes", extract.route_nodes(router(code()), extract.enum_members(code()), router(found["tokens"]))), keep))
     batch("components", components)
-    batch("permissions", lambda: extract.permissions(keep("permission_entries", extract.permission_entries(sources.code, found["tokens"])), keep))
+    batch("permissions", lambda: extract.permissions(keep("permission_entries", extract.permission_entries(code(), found["tokens"])), keep))
     batch("pages", lambda: extract.pages(sources.files))
     batch("docs", lambda: extract.docs(sources.docs))
     batch("specs", lambda: extract.specs(test_files(f"^{TEST_FOLDER}/tests/.*\\.spec\\.ts$")))
@@ -165,7 +173,7 @@ def reindex(spark: SparkSession, config: ProjectConfig, folder: str) -> dict:
         raise LookupError(f"no such code root: {config.code_root}")
     sources = read_project(spark, config)
     staging = f"{folder}/staging/{uuid.uuid4().hex}"
-    batches = record_batches(sources, config.router_files, compiler_aliases(spark, config.code_root), writer(spark, f"{staging}/batches"))
+    batches = record_batches(sources, config.router_files, compiler_aliases(spark, config.code_root), writer(spark, f"{staging}/batches"), compiler_files(spark, config.code_root))
     graph, report = build(spark, batches, staging)
     if folder_exists(spark, f"{folder}/published"):
         failed = {label for r in report if not r["ok"] for label in OWNED[r["name"]]}

@@ -115,28 +115,43 @@ def routes_list(g: Graph, project: str, prefix: str | None = None, limit: int =
     return top(found.select("path", "index", "depth", "file", "line", "components", "guards", "permissions", "id"), bounded(limit, 5000), "path", "depth", "id").drop("id")
 
 
-def _under_pages(g: Graph, pages: DataFrame) -> dict[str, DataFrame]:
-    """(anchor, ...) of what lies under the directories of pages (anchor, project, dir), by prefix: hooks and operations."""
-    heads = pages.select("anchor", "project", F.concat("dir", F.lit("/")).alias("dir_prefix")).distinct()
-    # The prefixes are few beside the files: each directory is matched once, however many anchors have it.
-    dirs = heads.select("project", "dir_prefix").distinct()
+def _under_pages(g: Graph, pages: DataFrame) -> DataFrame:
+    """(anchor, hooks_2, ops_2, ops_3, ops_5): lists of what lies under the directories of pages (anchor, project, dir), by prefix: hooks and operations.
+
+    A directory's list is put together once, whoever has it. Anchors are told apart by the set of their directories only,
+    and each set's lists are joined once; no row stands for an anchor, a directory and a thing in it.
+    """
+    heads = pages.select("anchor", F.struct("project", F.concat("dir", F.lit("/")).alias("dir_prefix")).alias("dir_id")).distinct()
+    dirs = heads.select("dir_id").distinct().select("dir_id.*")
     hooks = g.nodes["GqlHook"].select("project", F.col("id").alias("at"), "file")
     components = g.nodes["Component"].select("project", F.col("id").alias("at"), "file")
     files = g.nodes["File"].select("project", F.col("id").alias("at"), F.col("path").alias("file"))
     below = {k: prefix_join(v, dirs, "file", "dir_prefix", ["project"], directories=True).select(F.struct("project", "dir_prefix").alias("anchor"), "at") for k, v in (("h", hooks), ("c", components), ("f", files))}
-    to = heads.select("anchor", F.struct("project", "dir_prefix").alias("dir_id"))
     reached = {
         "hooks": walk_self(g, below["h"], "GqlHook"),
         "by_hook": walk(g, below["h"], out("WRAPS", "GqlHook", "GqlOperation")),
         "by_file": walk(g, below["f"], out("USES_OPERATION", "File", "GqlOperation")),
         "by_component": walk(g, below["c"], out("USES_OPERATION", "Component", "GqlOperation")),
     }
-    out_ = {}
-    for k, rows in reached.items():
-        name = ["name", "file"] if k == "hooks" else ["symbol", "gql_name"]
-        rows = rows.select(F.col("anchor").alias("dir_id"), *name).distinct()
-        out_[k] = rows.join(to, "dir_id").drop("dir_id")
-    return out_
+    # A pair as one text, which sorts as the pair does: lists of texts are made distinct by hashing.
+    field = lambda c: F.coalesce(F.concat(F.lit("1"), F.col(c)), F.lit("0"))
+    columns = {k: ("name", "file") if k == "hooks" else ("symbol", "gql_name") for k in reached}
+    rows = [v.select(F.col("anchor").alias("dir_id"), F.lit(k).alias("kind"), F.concat(field(columns[k][0]), F.lit("\0"), field(columns[k][1])).alias("pair")) for k, v in reached.items()]
+    pairs = rows[0]
+    for more in rows[1:]:
+        pairs = pairs.unionByName(more)
+    lists = pairs.groupBy("dir_id").agg(*[F.collect_set(F.when(F.col("kind") == k, F.col("pair"))).alias(k) for k in reached])
+    sets = heads.groupBy("anchor").agg(F.array_sort(F.collect_set("dir_id")).alias("dirs"))
+    # What lies under a directory lies under those above it.
+    above = lambda d, all_: F.exists(all_, lambda e: (e != d) & e["project"].eqNullSafe(d["project"]) & F.startswith(d["dir_prefix"], e["dir_prefix"]))
+    sets = sets.withColumn("dirs", F.filter("dirs", lambda d: ~above(d, F.col("dirs"))))
+    apart = sets.select("dirs").distinct().repartition("dirs").withColumn("dir_id", F.explode("dirs")).join(lists, "dir_id")
+    joined = apart.groupBy("dirs").agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(k)))).alias(k) for k in reached])
+    found = sets.join(joined, "dirs")
+    part = lambda x, k: F.when(F.startswith(F.split_part(x, F.lit("\0"), F.lit(k)), F.lit("1")), F.substring(F.split_part(x, F.lit("\0"), F.lit(k)), 2, 1 << 30))
+    pair = lambda names: lambda x: F.struct(part(x, 1).alias(names[0]), part(x, 2).alias(names[1]))
+    called = {"hooks": "hooks_2", "by_file": "ops_2", "by_component": "ops_3", "by_hook": "ops_5"}
+    return found.select("anchor", *[F.transform(k, pair(columns[k])).alias(name) for k, name in called.items()])
 
 
 def walk_self(g: Graph, start: DataFrame, label: str) -> DataFrame:
@@ -145,10 +160,10 @@ def walk_self(g: Graph, start: DataFrame, label: str) -> DataFrame:
     return start.distinct().join(nodes.drop("project"), start["at"] == nodes["id"]).drop("at")
 
 
-def _lists(rows: DataFrame, components: list[DataFrame], under: dict[str, DataFrame], direct: DataFrame, hooked: DataFrame, hooks: DataFrame) -> DataFrame:
+def _lists(rows: DataFrame, components: list[DataFrame], under: DataFrame, direct: DataFrame, hooked: DataFrame, hooks: DataFrame) -> DataFrame:
     h = lambda d, n: gather(d, n, F.col("name"), F.col("file"))
     o = lambda d, n: gather(d, n, F.col("symbol"), F.col("gql_name"))
-    found = assemble(rows, *components, h(hooks, "hooks_1"), h(under["hooks"], "hooks_2"), o(direct, "ops_1"), o(under["by_file"], "ops_2"), o(under["by_component"], "ops_3"), o(hooked, "ops_4"), o(under["by_hook"], "ops_5"))
+    found = assemble(rows, *components, h(hooks, "hooks_1"), o(direct, "ops_1"), o(hooked, "ops_4"), under)
     # Lists are distinct in themselves, not across: what two branches reach is there twice.
     return found.select("*", F.concat("hooks_1", "hooks_2").alias("hooks"), F.concat("ops_1", "ops_2", "ops_3").alias("ops_direct"), F.concat("ops_4", "ops_5").alias("ops_via_hooks"))
 

@@ -10,7 +10,8 @@ import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 # What marks a repository's root, and where a project's compiler configuration may be.
 REPO_MARKERS = (".git", "pnpm-workspace.yaml", "lerna.json", "nx.json", "rush.json", "turbo.json")
@@ -55,31 +56,96 @@ def repo_root(spark: SparkSession, code_root: str) -> str:
     return above[min(1, len(above) - 1)]
 
 
-def compiler_aliases(spark: SparkSession, code_root: str) -> tuple[tuple[str, str], ...]:
-    """(beginning of a module name, root-relative path) of the compiler's path mappings, the longest first; else @/ for src/.
+def _settings(spark: SparkSession, path: str, seen: tuple[str, ...] = ()) -> dict:
+    """A compiler configuration with what it extends: its own settings over theirs, files and patterns by absolute path.
 
-    The first of the usual configuration files counts; it is small and read whole. Comments and trailing commas are allowed.
+    The files are small and read whole; comments and trailing commas are allowed. Configurations of packages are not followed.
     """
+    text = spark.read.text(path, wholetext=True).first()[0]
+    bare = re.sub(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", text, flags=re.DOTALL)
+    own = json.loads(re.sub(r",(\s*[}\]])", r"\1", bare))
+    folder = path.rsplit("/", 1)[0]
+    found: dict = {"compilerOptions": {}}
+    above = own.get("extends", [])
+    for name in [above] if isinstance(above, str) else above:
+        target = _joined(folder, name if name.endswith(".json") else f"{name}.json")
+        if name.startswith(".") and target not in seen and folder_exists(spark, target):
+            more = _settings(spark, target, (*seen, path))
+            found = {**found, **more, "compilerOptions": {**found["compilerOptions"], **more["compilerOptions"]}}
+    options = own.get("compilerOptions", {})
+    found["compilerOptions"] = {**found["compilerOptions"], **options}
+    if "paths" in options or "baseUrl" in options:
+        found["paths_folder"] = folder
+    for key in ("files", "include", "exclude"):
+        if key in own:
+            found[key] = [_joined(folder, x) for x in own[key]]
+    if "outDir" in options:
+        found["out"] = _joined(folder, options["outDir"])
+    return found
+
+
+def _joined(folder: str, relative: str) -> str:
+    """A path relative to a folder, without . and .. parts."""
+    parts = folder.split("/")
+    for part in relative.split("/"):
+        if part == "..":
+            parts.pop()
+        elif part not in ("", "."):
+            parts.append(part)
+    return "/".join(parts)
+
+
+def compiler_settings(spark: SparkSession, code_root: str) -> dict | None:
+    """The settings of the first of the usual configuration files that is there."""
+    root = code_root.rstrip("/")
     for name in COMPILER_FILES:
-        if folder_exists(spark, f"{code_root}/{name}"):
-            text = spark.read.text(f"{code_root}/{name}", wholetext=True).first()[0]
-            bare = re.sub(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", text, flags=re.DOTALL)
-            options = json.loads(re.sub(r",(\s*[}\]])", r"\1", bare)).get("compilerOptions", {})
-            base = options.get("baseUrl", ".").removeprefix("./").strip("/.")
-            found = {}
-            for head, targets in options.get("paths", {}).items():
-                if head.endswith("*") and targets:
-                    target = targets[0].removeprefix("./").removesuffix("*")
-                    target = f"{base}/{target}" if base else target
-                    own = code_root.rstrip("/").rsplit("/", 1)[-1] + "/"
-                    if not name.startswith("../"):
-                        found[head.removesuffix("*")] = target
-                    elif target.startswith(own):  # a file above the code root maps to paths from there
-                        found[head.removesuffix("*")] = target.removeprefix(own)
-            if found:
-                return tuple(sorted(found.items(), key=lambda x: (-len(x[0]), x[0])))
-            break
-    return (("@/", "src/"),)
+        if folder_exists(spark, f"{root}/{name}"):
+            return _settings(spark, _joined(root, name))
+    return None
+
+
+def compiler_aliases(spark: SparkSession, code_root: str) -> tuple[tuple[str, str], ...]:
+    """(beginning of a module name, root-relative path) of the compiler's path mappings, the longest first; else @/ for src/."""
+    settings = compiler_settings(spark, code_root) or {"compilerOptions": {}}
+    options, root = settings["compilerOptions"], code_root.rstrip("/") + "/"
+    base = _joined(settings.get("paths_folder", ""), options.get("baseUrl", "."))
+    found = {}
+    for head, targets in options.get("paths", {}).items():
+        if head.endswith("*") and targets:
+            target = _joined(base, targets[0].removesuffix("*")) + "/"
+            if target.startswith(root):  # modules outside the code root are not of the project
+                found[head.removesuffix("*")] = target.removeprefix(root)
+    return tuple(sorted(found.items(), key=lambda x: (-len(x[0]), x[0]))) or (("@/", "src/"),)
+
+
+#: Folders that a configuration without exclusions leaves out.
+UNREAD = ("node_modules", "bower_components", "jspm_packages")
+
+
+def _pattern(path: str) -> str:
+    """A configuration's path pattern as a regular expression; one without wildcard or ending in its last part is a folder."""
+    last = path.rsplit("/", 1)[-1]
+    if "*" not in last and "?" not in last and "." not in last:
+        path += "/**/*"
+    out = re.escape(path).replace(re.escape("**/"), "(?:[^/]+/)*").replace(re.escape("*"), "[^/]*").replace(re.escape("?"), "[^/]")
+    return f"^{out}$"
+
+
+def compiler_files(spark: SparkSession, code_root: str) -> Column | None:
+    """Which root-relative paths (column path) the compiler's configuration lists: a predicate; None if all below the root are.
+
+    Listed files always are; others if an inclusion fits them and no exclusion does. Without inclusions all files are
+    included, or none where files are listed; without exclusions package folders and the output folder are left out.
+    """
+    settings = compiler_settings(spark, code_root)
+    if settings is None or not any(k in settings for k in ("files", "include", "exclude", "out")):
+        return None
+    root = code_root.rstrip("/")
+    path = F.concat(F.lit(root + "/"), F.col("path"))
+    included = settings.get("include", [] if "files" in settings else [f"{root}/**/*"])
+    excluded = settings.get("exclude", [*[f"{root}/**/{x}" for x in UNREAD], *([settings["out"]] if "out" in settings else [])])
+    fits = lambda patterns: F.lit(False) if not patterns else path.rlike("|".join(_pattern(x) for x in patterns))
+    return path.isin(settings.get("files", [])) | (fits(included) & ~fits(excluded))
 
 
 def shared_folder(spark: SparkSession) -> str:

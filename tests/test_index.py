@@ -10,7 +10,7 @@ from graphlens.plans import index
 from graphlens.plans.index import read_project, record_batches, reindex
 from graphlens.queries import api
 from graphlens.sources import records
-from graphlens.sources.config import ProjectConfig, compiler_aliases, repo_root
+from graphlens.sources.config import ProjectConfig, compiler_aliases, compiler_files, repo_root
 from graphlens.sources.text import rejected_files
 
 TREE = {
@@ -156,3 +156,29 @@ def test_what_is_no_record_is_told(spark, tmp_path):
     texts = spark.createDataFrame([("p", "a.ts", "fine"), ("p", "b.ts", "bad �")], "project string, path string, text string")
     files = spark.createDataFrame([("p", "a.ts"), ("p", "b.ts"), ("p", "c.ts")], "project string, path string")
     assert sorted(tuple(r)[1:] for r in rejected_files(texts, files).collect()) == [("b.ts", "not UTF-8"), ("c.ts", "not readable")]
+
+
+def test_files_are_those_that_the_compiler_lists(spark, tmp_path):
+    tree = {
+        "tsconfig.base.json": '{"compilerOptions": {"paths": {"~/*": ["./web/src/*"]}, "outDir": "web/dist"}, "exclude": ["web/src/old"]}',
+        "web/tsconfig.json": '{"extends": "../tsconfig.base", "include": ["src", "extra/*.ts"], "exclude": ["src/old", "**/*.gen.ts"], "files": ["lone/gql/queries/l.ts"]}',
+        "web/src/gql/queries/a.ts": "import '../../old/gql/queries/used'\nexport const A = gql`query A { a }`",
+        "web/src/gql/queries/b.gen.ts": "export const B = gql`query B { a }`",
+        "web/src/old/gql/queries/used.ts": "export * from './further'\nexport const USED = gql`query Used { a }`",
+        "web/src/old/gql/queries/further.ts": "export const FURTHER = gql`query Further { a }`",
+        "web/src/old/gql/queries/gone.ts": "export const GONE = gql`query Gone { a }`",
+        "web/extra/gql/queries/deep.ts": "export const DEEP = gql`query Deep { a }`",
+        "web/lone/gql/queries/l.ts": "export const LONE = gql`query Lone { a }`",
+        "web/else/gql/queries/e.ts": "export const ELSE = gql`query Else { a }`",
+    }
+    for name, text in tree.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    root = str(tmp_path / "web")
+    assert compiler_aliases(spark, root) == (("~/", "src/"),)
+    batches = record_batches(read_project(spark, ProjectConfig("x", root)), listed=compiler_files(spark, root))
+    assert sorted(r.symbol for r in batches["operations"].collect()) == ["A", "FURTHER", "LONE", "USED"]
+    paths = spark.createDataFrame([("src/a.ts",), ("src/deep/b.tsx",), ("extra/x.ts",), ("extra/y/x.ts",), ("lone/gql/queries/l.ts",), ("src/old/x.ts",), ("src/x.gen.ts",), ("srcs/x.ts",)], "path string")
+    assert [r.path for r in paths.where(compiler_files(spark, root)).collect()] == ["src/a.ts", "src/deep/b.tsx", "extra/x.ts", "lone/gql/queries/l.ts"]
+    (tmp_path / "web/tsconfig.json").write_text('{"compilerOptions": {"strict": true}}')
+    assert compiler_files(spark, root) is None
