@@ -115,8 +115,10 @@ def w06_resolve_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def w08_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("project"), "c_custkey")
-    known = table(spark, sf_dir, "region").select(F.lit("BUILDING").alias("name")).distinct()
+    """Customers by their nation's number as project; projects are the nations of suppliers with a large balance."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("project"), "c_custkey")
+    rich = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.max("s_acctbal").alias("most")).where("most > 8000")
+    known = rich.select(F.col("s_nationkey").cast("string").alias("name"))
     return mutation.gated(rows, known).select("project", "c_custkey")
 
 
@@ -194,7 +196,7 @@ SELECT doc_id, count(*) AS matches, sum(n)::BIGINT AS line_sum, max(tail) AS las
     "W-03_upsert_set": f"WITH o AS ({_OLD}), n AS ({_NEW}) SELECT key, v FROM n UNION ALL SELECT key, v FROM o WHERE key NOT IN (SELECT key FROM n)",
     "W-04_upsert_first": "SELECT o_custkey, arg_min(o_orderstatus, o_orderkey) FILTER (o_orderkey % 3 <> 0) AS status, arg_min(o_orderpriority, o_orderkey) FILTER (o_orderkey % 5 <> 0) AS priority FROM orders GROUP BY 1",
     "W-06_resolve_edges": "SELECT DISTINCT l_suppkey AS src, p_partkey AS dst, l_linenumber AS line FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey - p_partkey % 2 = l_partkey",
-    "W-08_gate": "SELECT c_mktsegment AS project, c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'",
+    "W-08_gate": "SELECT CAST(c_nationkey AS VARCHAR) AS project, c_custkey FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier GROUP BY 1 HAVING max(s_acctbal) > 8000)",
     "W-09_wipe": """SELECT 'Route' AS "table", c_mktsegment AS project, count(*) AS n FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY 2 UNION ALL SELECT 'RENDERS', c_mktsegment, count(*) FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment <> 'BUILDING' GROUP BY 2""",
     "A-08_two_levels": "SELECT count(*) AS hooks, sum(u)::BIGINT AS uses, max(u) AS most, count(*) FILTER (u > 100) AS busy FROM (SELECT l_suppkey, count(DISTINCT l_orderkey) AS u FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)",
     "Q-26_build_counts": f"""SELECT 'node Domain' AS "table", count(DISTINCT year(o_orderdate)) AS n FROM orders UNION ALL SELECT 'node Page', count(DISTINCT (year(o_orderdate), o_orderpriority)) + count(DISTINCT year(o_orderdate)) FROM orders

@@ -44,19 +44,25 @@ def sources(spark: SparkSession, sf_dir: str) -> Sources:
     lines = lambda *parts: F.array_join(F.flatten(F.array(*[p if isinstance(p, Column) else F.array(F.lit(p)) for p in parts])), "\n")
     here = lambda pattern: F.array(_t(pattern, n="n"))
     lists = {
+        "eager": "import { P{{k}} as S{{k}} } from '@/pages/n{{n}}/S{{k}}'",
         "lazy": "const S{{k}} = lazy(() => import('@/pages/n{{n}}/S{{k}}').then((m) => ({ default: m.P{{k}} })))",
-        "routes": "  { path: 's{{k}}', element: <RoleBasedGuard roles={PERMISSIONS.n{{n}}.s{{k}}} icon={<Icon of={[<Deep />]} />}><S{{k}} />don't<S{{k}} /></RoleBasedGuard> },",
+        "routes": "  { {{step}}, element: <RoleBasedGuard roles={PERMISSIONS.n{{n}}.s{{k}}} icon={<Icon of={[<Deep />]} />}><S{{k}} />don't<S{{k}} /></RoleBasedGuard> },",
         "tests": "test('s{{k}}', async () => {})",
         "locators": "export const s{{k}} = \"[data-testid='t-{{k}}']{{long}}\"",
     }
     plain = supplier.groupBy("n").agg(F.array_sort(F.collect_list("k")).alias("ks"))
-    each = lambda name: F.transform("ks", lambda k: F.replace(F.replace(F.replace(F.lit(lists[name]), F.lit("{{k}}"), k.cast("string")), F.lit("{{n}}"), F.col("n").cast("string")), F.lit("{{long}}"), _long(k, " .step")))
+    # Every second component is imported, the others are lazy; every third route is an index, the others' segments name an enum.
+    step = lambda k: F.when(k % 3 == 0, F.lit("index: true")).otherwise(F.lit("path: `s{{k}}-${Mode{{n}}.A}`"))
+    pattern = lambda name, k: F.when(k % 2 == 0, F.lit(lists["lazy"])).otherwise(F.lit(lists["eager"])) if name == "lazy" else F.lit(lists[name])
+    filled = lambda name, k: F.replace(F.replace(pattern(name, k), F.lit("{{step}}"), step(k)), F.lit("{{k}}"), k.cast("string"))
+    each = lambda name: F.transform("ks", lambda k: F.replace(F.replace(filled(name, k), F.lit("{{n}}"), F.col("n").cast("string")), F.lit("{{long}}"), _long(k, " .step")))
     root = "{ path: '/n{{n}}', element: <AuthGuard roles={PERMISSIONS.n{{n}}.read}><Home /></AuthGuard>, children: ["
     code = [
         file(part, _t("src/gql/queries/p{{k}}.ts", k="k"), _t("export const OP_{{k}} = gql`query Get{{k}} { a { b } ${Frag}{{long}} }`\nconst IN_{{k}} = gql`mutation { pay }`", k="k", long=_long(F.col("k"), " more { field }"))),
         file(supplier, _t("src/gql/hooks/h{{k}}.ts", k="k"), _t("import { OP_{{k}} } from '../queries/p{{k}}'\nexport function useH{{k}}() {\n  return run(OP_{{k}}, OP_{{n}}, MISSING)\n}\nimport { OP_{{n}} } from '../queries/p{{n}}'\nconst hide = (OP_{{k}}) => run(OP_{{k}})\n// OP_{{k}} 'OP_{{k}}'\n", k="k", n="n")),
         file(nation, _t("src/views/gql{{n}}.ts", n="n"), _t("export * from './all{{n}}'", n="n")),
         file(nation, _t("src/views/all{{n}}.ts", n="n"), _t("export { useH{{n}} } from '../gql/hooks/h{{n}}'", n="n")),
+        file(nation, _t("src/common/mode{{n}}.ts", n="n"), _t("export enum Mode{{n}} { B = 'no', A = \"m{{n}}\" }", n="n")),
         file(nation, _t("src/other/o{{n}}.ts", n="n"), _t("export const useH{{n}} = 1\nexport const OP_{{n}} = 'useH{{n}}'", n="n")),
         file(nation, _t("src/other/u{{n}}.ts", n="n"), _t("import { useH{{n}}, OP_{{n}} } from './o{{n}}'\nuseH{{n}}(OP_{{n}})\nmade.OP_{{n}}({ useH{{n}}: `useH{{n}}` })", n="n")),
         file(customer, _t("src/views/c{{k}}.tsx", k="k"), _t("import s from './m{{k}}.module.scss'\nconst x = useH{{n}}(OP_{{k}})\nconst a = <i data-testid=\"t-{{k}}\" />\nconst b = <b data-testid={`row-{{k}}-${i}`} />\nimport { useH{{n}} } from './gql{{n}}'\nimport { OP_{{k}} } from '@/gql/queries/p{{k}}'", k="k", n="n")),
@@ -142,7 +148,7 @@ UNION ALL SELECT 'IN_' || p_partkey, 'IN_' || p_partkey, 'mutation', 'src/gql/qu
 SELECT 'useH' || s.k AS name, 'src/gql/hooks/h' || s.k || '.ts' AS file, CAST(2 AS BIGINT) AS line, coalesce(string_agg(op, ',' ORDER BY op), '') AS operations FROM s LEFT JOIN used ON used.k = s.k GROUP BY s.k""",
     "X-06_callsites": f"""WITH {_SITES} SELECT CASE kind WHEN 'hook' THEN 'useH' ELSE 'OP_' END || of AS target, kind AS "targetKind", file, line, col AS "column", CASE kind WHEN 'hook' THEN 'src/gql/hooks/h' ELSE 'src/gql/queries/p' END || of || '.ts' AS "targetFile" FROM sites""",
     "X-12_routes_from_text": f"""WITH {_IN_NATION}
-SELECT '/n' || n || '/s' || k AS path, false AS index, CAST(1 AS BIGINT) AS depth, '/n' || n AS "parentPath", 'src/router/n' || n || '.tsx' AS file, m + 2 + i AS line, 'S' || k || ',S' || k AS components, 'RoleBasedGuard' AS guards, 'n' || n || '.s' || k AS permissions FROM o
+SELECT '/n' || n || CASE WHEN k % 3 = 0 THEN '' ELSE '/s' || k || '-m' || n END AS path, k % 3 = 0 AS index, CAST(1 AS BIGINT) AS depth, '/n' || n AS "parentPath", 'src/router/n' || n || '.tsx' AS file, m + 2 + i AS line, 'S' || k || ',S' || k AS components, 'RoleBasedGuard' AS guards, 'n' || n || '.s' || k AS permissions FROM o
 UNION ALL SELECT DISTINCT '/n' || n, false, CAST(0 AS BIGINT), NULL, 'src/router/n' || n || '.tsx', m + 2, 'Home', 'AuthGuard', 'n' || n || '.read' FROM o""",
     "X-15_components": f"""WITH {_S} SELECT 'S' || k AS name, 'src/pages/n' || n || '/S' || k || '.tsx' AS file, CAST(3 AS BIGINT) AS line, true AS exported, 'useH' || k AS "hookCalls", CASE WHEN k IN (SELECT p_partkey FROM part) THEN 'OP_' || k ELSE '' END AS "operationRefs" FROM s""",
     "S-05_permissions_from_text": """SELECT 'n' || n_nationkey || '.read' AS key, 'ALL,R' || n_regionkey AS roles, 'src/common/permissions/index.ts' AS file, 1 + row_number() OVER (ORDER BY n_nationkey) AS line FROM nation""",
