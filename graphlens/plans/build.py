@@ -27,7 +27,8 @@ def _nodes(label: str, rows: DataFrame) -> DataFrame:
 def gql(b: Batches, g: Graph) -> None:
     g.nodes["GqlOperation"] = _nodes("GqlOperation", b["operations"].withColumnRenamed("gqlName", "gql_name"))
     g.nodes["GqlHook"] = _nodes("GqlHook", b["hooks"])
-    sites = b["callsites"].select("project", "target", "targetKind", F.col("file").alias("path"), "line", F.col("column").alias("col"), F.col("targetFile").alias("at"))
+    told = F.col("targetFile") if "targetFile" in b["callsites"].columns else F.lit(None).cast("string")
+    sites = b["callsites"].select("project", "target", "targetKind", F.col("file").alias("path"), "line", F.col("column").alias("col"), told.alias("at"))
     _files(g, sites)
     operations, hooks, files = g.nodes["GqlOperation"], g.nodes["GqlHook"], g.nodes["File"]
     wraps = b["hooks"].select("project", F.col("name").alias("hook"), F.explode("operations").alias("symbol"))
@@ -36,8 +37,8 @@ def gql(b: Batches, g: Graph) -> None:
         label = "GqlOperation" if kind == "operation" else "GqlHook"
         named = sites.where(F.col("targetKind") == kind)
         # A site that tells its target's file means that declaration; one that does not means all of the name.
-        told = resolve_edges(named.where("at is not null"), files, nodes, {"path": "path"}, {"target": key, "at": "file"}, ["line", "col"])
-        g.edges[edge, "File", label] = told.unionByName(resolve_edges(named.where("at is null"), files, nodes, {"path": "path"}, {"target": key}, ["line", "col"])).distinct()
+        exact = resolve_edges(named.where("at is not null"), files, nodes, {"path": "path"}, {"target": key, "at": "file"}, ["line", "col"])
+        g.edges[edge, "File", label] = exact.unionByName(resolve_edges(named.where("at is null"), files, nodes, {"path": "path"}, {"target": key}, ["line", "col"])).distinct()
 
 
 def routes(b: Batches, g: Graph) -> None:

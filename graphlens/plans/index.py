@@ -16,7 +16,7 @@ from graphlens.operators import extract, literals, symbols
 from graphlens.operators.trees import Keep, checkpointed
 from graphlens.plans.build import OWNED, Batches, build, rebuild
 from graphlens.sources.config import ProjectConfig, compiler_aliases, compiler_files, folder_exists, projects, repo_root
-from graphlens.sources.records import BATCHES
+from graphlens.sources.records import BATCHES, OPTIONAL
 from graphlens.sources.text import list_files, read_texts, rejected_files
 
 # Where a repository keeps its documents and tests.
@@ -57,7 +57,7 @@ def record_batches(sources: Sources, router_files: tuple[str, ...] = ProjectConf
         found.later(name, lambda: keep(name, make()))
 
     def batch(name: str, make: Callable[[], DataFrame]) -> None:
-        table(name, lambda: make().select(*T._parse_datatype_string(BATCHES[name]).names))
+        table(name, lambda: make().select(*T._parse_datatype_string(BATCHES[name] + OPTIONAL.get(name, "")).names))
 
     if listed is None:
         code = lambda: sources.code

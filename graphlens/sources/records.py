@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 BATCHES = {
     "operations": "project string, symbol string, gqlName string, kind string, file string, line bigint, exported boolean",
     "hooks": "project string, name string, file string, line bigint, operations array<string>",
-    "callsites": "project string, target string, targetKind string, file string, line bigint, column bigint, targetFile string",
+    "callsites": "project string, target string, targetKind string, file string, line bigint, column bigint",
     "routes": "project string, path string, index boolean, depth bigint, parentPath string, file string, line bigint, components array<string>, guards array<string>, permissions array<string>",
     "components": "project string, name string, file string, line bigint, exported boolean, hookCalls array<string>, operationRefs array<string>",
     "permissions": "project string, key string, roles array<string>, file string, line bigint",
@@ -25,6 +25,9 @@ BATCHES = {
     "projects": "name string, root string",
 }
 
+#: Columns that a batch may have besides: a call site may tell the file that declares its target.
+OPTIONAL = {"callsites": ", targetFile string"}
+
 
 def read_batch(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """The records of one kind, with their stated schema: nothing is inferred, unknown fields are left out.
@@ -43,7 +46,7 @@ def rejected_records(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 def _read(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Every line that is not blank, its record's fields, and the line itself where it is no record."""
-    schema = T._parse_datatype_string(BATCHES[kind]).add("_corrupt", "string")
+    schema = T._parse_datatype_string(BATCHES[kind] + OPTIONAL.get(kind, "")).add("_corrupt", "string")
     lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("file_of_record"))
     return lines.select("file_of_record", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r")).select("file_of_record", "r.*")
 
