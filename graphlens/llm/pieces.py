@@ -246,27 +246,28 @@ class Vocabulary:
             return None
         return first, next(i for i in range(hi, lo - 1, -1) if self.word_start(text, i))
 
-    def traced(self, text: str, lo: int, hi: int, entry: int, leave: int) -> list[Token]:
-        """The tokens that start inside a chunk, on the best path between two boundary states."""
+    def traced(self, text: str, lo: int, hi: int, entry: int, leave: int) -> bytes:
+        """The ids of the tokens that start inside a chunk, on the best path between two boundary states.
+
+        Only what lies before the chunk's first word start and behind its last depends on the states; whole words between
+        them come from the cache.
+        """
         entries, exits = self.states(text, lo), self.states(text, hi)
+        ids = lambda path: self.packed([self.text[i] if i >= 0 else chr(-1 - i) for _, _, i in path])
         last = exits[leave]
         cuts = self._inner(text, lo, hi)
         if not cuts:
-            return self.path(self.run(text, lo, hi, [entries[entry]]), [entries[entry]], 0, last)
+            return ids(self.path(self.run(text, lo, hi, [entries[entry]]), [entries[entry]], 0, last))
         out = []
         if cuts[0] > lo:
             ends = self.run(text, lo, cuts[0], [entries[entry]])
-            out += self.path(ends, [entries[entry]], 0, self.best_end(ends, cuts[0]))
-        at = cuts[0]
-        for word in _WORDS.findall(text[cuts[0] : cuts[1]]):
-            for piece in self.segment(word):
-                out.append((at, at + len(piece), self.ids.get(piece, -1 - ord(piece[0]))))
-                at += len(piece)
+            out.append(ids(self.path(ends, [entries[entry]], 0, self.best_end(ends, cuts[0]))))
+        out += map(self.cache.__getitem__, _WORDS.findall(text[cuts[0] : cuts[1]]))
         if cuts[1] < hi:
             start = (cuts[1], cuts[1], 0)
             ends = self.run(text, cuts[1], hi, [start])
-            out += self.path(ends, [start], 0, last if last[0] != last[1] else self.best_end(ends, hi))
-        return out
+            out.append(ids(self.path(ends, [start], 0, last if last[0] != last[1] else self.best_end(ends, hi))))
+        return b"".join(out)
 
     # --- whole texts ------------------------------------------------------------------------------------------------
 
@@ -280,8 +281,7 @@ class Vocabulary:
         bounds = [(lo, min(len(text), lo + chunk)) for lo in range(0, len(text), chunk)]
         matrices = [self.transfer(text, lo, hi) for lo, hi in bounds]
         enter, leave = chosen(matrices)
-        path = [t for (lo, hi), a, b in zip(bounds, enter, leave, strict=True) for t in self.traced(text, lo, hi, a, b)]
-        return self.packed([self.text[i] if i >= 0 else chr(-1 - i) for _, _, i in path])
+        return b"".join([self.traced(text, lo, hi, a, b) for (lo, hi), a, b in zip(bounds, enter, leave, strict=True)])
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
@@ -397,9 +397,8 @@ def _traces(model: bytes, kind: str):
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                path = vocabulary.traced(normal(r["context"]), r["lo"], r["hi"], r["enter"], r["leave"])
-                ids = np.frombuffer(vocabulary.packed([vocabulary.text[i] if i >= 0 else chr(-1 - i) for _, _, i in path]), np.int32)
-                out.append(ids.tolist())
+                ids = vocabulary.traced(normal(r["context"]), r["lo"], r["hi"], r["enter"], r["leave"])
+                out.append(np.frombuffer(ids, np.int32).tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["key", "k", "ids"])
 
     return run
