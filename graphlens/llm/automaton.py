@@ -253,7 +253,7 @@ def match(docs: DataFrame, reference: DataFrame, split: Split, width: int, text_
     ranges [a, b) inside occurrences of windows, with their byte range [start, stop); those of different blocks may
     overlap. The documents stream past the first block's automaton without a shuffle. Every further block
     is a pass of its own over the texts, so that a task holds one automaton at a time; its few hits, one row per
-    distinct text, are joined to the documents by the text's hash.
+    distinct text, are written, its broadcast is given up, and the hits are joined to the documents by the text's hash.
     """
     names = [fresh_name(docs, c) for c in names]
     count, spans, items = names
@@ -262,7 +262,7 @@ def match(docs: DataFrame, reference: DataFrame, split: Split, width: int, text_
     context = docs.sparkSession.sparkContext
 
     def matcher(k: int) -> Broadcast:
-        # Bounded by block_words; the driver holds one at a time.
+        # Bounded by block_words; the first block's and one other exist at a time.
         return context.broadcast(bytes(blocks.where(F.col("block") == k).first().payload))
 
     schema = with_schema(docs, **{count: "long", spans: SPANS, items: "array<string>"})
@@ -272,8 +272,10 @@ def match(docs: DataFrame, reference: DataFrame, split: Split, width: int, text_
         texts = docs.select(F.sha2(text_col, 256).alias("key"), F.col(text_col).alias("body")).where("body is not null")
         found = None
         for k in numbers[1:]:
-            own = texts.mapInArrow(_stream(matcher(k), split, 1, ["n", "more", "ids"], True), f"key string, n long, more {SPANS}, ids array<string>")
-            own = own.groupBy("key").agg(F.first("more").alias("more"), F.first("ids").alias("ids"))
+            sent = matcher(k)
+            own = texts.mapInArrow(_stream(sent, split, 1, ["n", "more", "ids"], True), f"key string, n long, more {SPANS}, ids array<string>")
+            own = cut(own.groupBy("key").agg(F.first("more").alias("more"), F.first("ids").alias("ids")))
+            sent.destroy()  # what it found is written
             found = own if found is None else found.unionByName(own)
         found = cut(found.groupBy("key").agg(F.flatten(F.collect_list("more")).alias("more_"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids_")).withColumnRenamed("key", "key_"))
         out = out.join(found, F.sha2(out[text_col], 256) == found["key_"], "left")

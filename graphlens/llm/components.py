@@ -15,6 +15,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     both sides are dealt anew and a hub's rows can be split between tasks. Each round's links are written to the shared
     folder and the round's before are deleted. The links shrink to one star per component, and the rounds end when
     none changes.
+
+    Defined results: links to oneself and repeated or turned links count once or not at all, so a node that has no other
+    link is not in the result; nodes must not be null; no links - no rows; links that have not settled after
+    ``max_rounds`` rounds raise.
     """
     links = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
     links = cut(links)

@@ -14,7 +14,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows are grouped by hash *and* bytes, with one row per distinct text and map task going through the shuffle, so a
     hot text is aggregated before it moves and a hash collision cannot join two texts. The groups then return to the
-    rows by hash, and by bytes only for hashes that more than one text has.
+    rows by that hash and the SHA-256 of their bytes.
 
     Defined results: null id - the row is a member like any other, ids of a group ignore nulls (keep_id null if all
     are), and a null id is never kept beside a real one; equal ids with equal text - all such rows are kept; empty

@@ -67,7 +67,11 @@ def _fingerprints(text_at: int, width: int, seed: int, name: str, keep: list[int
 
 
 def add_fingerprint(docs: DataFrame, name: str = "fingerprint", text_col: str = "text", width: int = 4, seed: int = 42, keep: list[str] | None = None) -> DataFrame:
-    """The documents, or their columns ``keep``, with a 64-bit SimHash, as a signed long, of their lower-cased word shingles."""
+    """The documents, or their columns ``keep``, with a 64-bit SimHash, as a signed long, of their lower-cased word shingles.
+
+    Defined results: null and wordless texts give zero; fewer words than ``width`` form one shingle; equal texts give equal
+    values; ``name`` must not be taken; empty table - no rows.
+    """
     keep = docs.columns if keep is None else keep
     places = [docs.columns.index(c) for c in keep]
     schema = with_schema(docs.select(*keep), **{name: "long"})

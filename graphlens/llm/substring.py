@@ -191,7 +191,10 @@ def reference_spans(docs: DataFrame, reference: DataFrame, window: int = 50, tex
 def remove_reference(docs: DataFrame, reference: DataFrame, window: int = 50, text_col: str = "text", **options) -> DataFrame:
     """The documents' own columns, the text without the spans of ``window`` words or more that a reference text has.
 
-    Texts without such a span stay byte for byte; the rest is as in ``reference_spans``.
+    Texts without such a span stay byte for byte, null texts null; the rest is as in ``reference_spans``.
+
+    Defined results: a text that is all span becomes empty; equal texts become equal; white space around a span stays; no
+    reference, or one of fewer words than a window only, changes nothing; empty table - no rows.
     """
     out = reference_spans(docs, reference, window, text_col, **options)
     return out.withColumn(text_col, without_spans(F.col(text_col), F.col(out.columns[-1]))).select(*docs.columns)

@@ -271,7 +271,13 @@ def fit_linear(x: np.ndarray, target: np.ndarray, weight: np.ndarray, decay: flo
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = 4000, lexicon: int = 400, groups: int = 4):
-    """The scorer of a block of texts, learnt from at most ``sample`` labelled rows of each label that are not held out."""
+    """The scorer of a block of texts, learnt from at most ``sample`` labelled rows of each label that are not held out.
+
+    Lexicons are the ``lexicon`` units at most that tell toxic rows of the sample best, dealt to ``groups`` voters of either kind.
+
+    Defined results: rows without a label, id or text do not teach; with labels of one value only, every text scores that
+    value (0 without labels); of rows with one id one text teaches.
+    """
     chosen = labelled_sample(labels, label, id_col, sample)
     every = {r[0]: r[1] for r in learnable(labels, label, id_col).groupBy("label").count().collect()}
     texts = cut(one_text_each(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")), chosen, "body").select("label", "body"))
@@ -298,6 +304,9 @@ def add_toxicity(docs: DataFrame, labels: DataFrame, name: str = "toxicity", id_
     """The documents with the probability that they are toxic, from their whole texts, in one pass without a shuffle.
 
     The column gets underscores where its name is taken.
+
+    Defined results: null texts score as empty ones, and every text scores between 0 and 1; equal texts score alike, whatever
+    their ids and other columns; labels as in ``fit_toxicity``; empty table - no rows.
     """
     scorer = fit_toxicity(docs, labels, id_col=id_col, text_col=text_col, **options)
     place = docs.columns.index(text_col)
