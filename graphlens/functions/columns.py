@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 def collect_distinct(value: Column) -> Column:
     """Aggregate: the distinct values without nulls, sorted; no value gives an empty list."""
-    return F.array_sort(F.collect_set(value))
+    return F.sort_array(F.collect_set(value))
 
 
 def record_or_null(present: Column, *columns: Column) -> Column:
@@ -29,7 +29,7 @@ def as_text(df: DataFrame, separator: str = ",") -> DataFrame:
 
 def _text(value: Column, kind: T.DataType, separator: str) -> Column:
     if isinstance(kind, T.ArrayType):
-        return F.array_join(F.array_sort(F.transform(value, _element(kind.elementType, separator))), separator)
+        return F.array_join(F.sort_array(F.transform(value, _element(kind.elementType, separator))), separator)
     if isinstance(kind, T.StructType):
         return F.concat_ws("|", *[F.coalesce(_text(value[f.name], f.dataType, separator), F.lit("")) for f in kind.fields])
     return value.cast("string")

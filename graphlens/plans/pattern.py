@@ -31,8 +31,8 @@ def into(edge: str, source: str, target: str, *keep: str) -> Hop:
     return Hop(edge, source, target, True, keep)
 
 
-def walk(graph: Graph, start: DataFrame, *hops: Hop) -> DataFrame:
-    """(anchor, node columns, kept edge properties) of the last hop's nodes; ``start`` has columns anchor and at.
+def ends(graph: Graph, start: DataFrame, *hops: Hop) -> DataFrame:
+    """(anchor, at, kept edge properties): the ids that the hops lead to; ``start`` has columns anchor and at.
 
     Edges carry the ends' ids only, so nodes on the way are not read.
     """
@@ -44,9 +44,14 @@ def walk(graph: Graph, start: DataFrame, *hops: Hop) -> DataFrame:
         step = edges.select(F.col(here).alias("at"), F.col(there).alias("to"), *[F.col(c).alias(f"edge_{c}") for c in hop.keep])
         rows = rows.join(step, "at").select("anchor", F.col("to").alias("at"), *[c for c in kept], *[f"edge_{c}" for c in hop.keep])
         kept += [f"edge_{c}" for c in hop.keep]
+    return rows.distinct()
+
+
+def walk(graph: Graph, start: DataFrame, *hops: Hop) -> DataFrame:
+    """(anchor, node columns, kept edge properties) of the last hop's nodes; ``start`` has columns anchor and at."""
     label = hops[-1].source if hops[-1].reverse else hops[-1].target
-    nodes = graph.nodes[label]
-    return rows.distinct().join(nodes.drop("project"), rows["at"] == nodes["id"]).drop("at")
+    nodes, rows = graph.nodes[label], ends(graph, start, *hops)
+    return rows.join(nodes.drop("project"), rows["at"] == nodes["id"]).drop("at")
 
 
 def anchors(nodes: DataFrame) -> DataFrame:

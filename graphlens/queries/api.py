@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlens.functions.columns import collect_distinct, contains_text
 from graphlens.graph import Graph
 from graphlens.operators.joins import prefix_join
-from graphlens.plans.pattern import anchors, assemble, gather, into, out, walk
+from graphlens.plans.pattern import Hop, anchors, assemble, ends, gather, into, out, walk
 
 
 class NotFound(LookupError):
@@ -115,28 +115,72 @@ def routes_list(g: Graph, project: str, prefix: str | None = None, limit: int =
     return top(found.select("path", "index", "depth", "file", "line", "components", "guards", "permissions", "id"), bounded(limit, 5000), "path", "depth", "id").drop("id")
 
 
-def _under_pages(g: Graph, pages: DataFrame) -> dict[str, DataFrame]:
-    """(anchor, ...) of what lies under the directories of pages (anchor, project, dir), by prefix: hooks and operations."""
-    heads = pages.select("anchor", "project", F.concat("dir", F.lit("/")).alias("dir_prefix")).distinct()
+def _below(g: Graph, dirs: DataFrame) -> dict[str, tuple[DataFrame, tuple[Hop, ...]]]:
+    """(anchor, at) of hooks, components and files under directories (project, dir_prefix), the anchor, and the hops from there."""
+    files = {
+        "GqlHook": g.nodes["GqlHook"].select("project", F.col("id").alias("at"), "file"),
+        "Component": g.nodes["Component"].select("project", F.col("id").alias("at"), "file"),
+        "File": g.nodes["File"].select("project", F.col("id").alias("at"), F.col("path").alias("file")),
+    }
     # The prefixes are few beside the files: each directory is matched once, however many anchors have it.
-    dirs = heads.select("project", "dir_prefix").distinct()
-    hooks = g.nodes["GqlHook"].select("project", F.col("id").alias("at"), "file")
-    components = g.nodes["Component"].select("project", F.col("id").alias("at"), "file")
-    files = g.nodes["File"].select("project", F.col("id").alias("at"), F.col("path").alias("file"))
-    below = {k: prefix_join(v, dirs, "file", "dir_prefix", ["project"], directories=True).select(F.struct("project", "dir_prefix").alias("anchor"), "at") for k, v in (("h", hooks), ("c", components), ("f", files))}
-    to = heads.select("anchor", F.struct("project", "dir_prefix").alias("dir_id"))
-    reached = {
-        "hooks": walk_self(g, below["h"], "GqlHook"),
-        "by_hook": walk(g, below["h"], out("WRAPS", "GqlHook", "GqlOperation")),
-        "by_file": walk(g, below["f"], out("USES_OPERATION", "File", "GqlOperation")),
-        "by_component": walk(g, below["c"], out("USES_OPERATION", "Component", "GqlOperation")),
+    start = {k: prefix_join(v, dirs, "file", "dir_prefix", ["project"], directories=True).select(F.col("dir_prefix").alias("anchor"), "at") for k, v in files.items()}
+    return {
+        "hooks_2": (start["GqlHook"], ()),
+        "ops_2": (start["File"], (out("USES_OPERATION", "File", "GqlOperation"),)),
+        "ops_3": (start["Component"], (out("USES_OPERATION", "Component", "GqlOperation"),)),
+        "ops_5": (start["GqlHook"], (out("WRAPS", "GqlHook", "GqlOperation"),)),
     }
-    out_ = {}
-    for k, rows in reached.items():
-        name = ["name", "file"] if k == "hooks" else ["symbol", "gql_name"]
-        rows = rows.select(F.col("anchor").alias("dir_id"), *name).distinct()
-        out_[k] = rows.join(to, "dir_id").drop("dir_id")
-    return out_
+
+
+# What the lists hold, by the list's kind: the node label and the fields of a record.
+_RECORDS = {"hooks": ("GqlHook", ("name", "file")), "ops": ("GqlOperation", ("symbol", "gql_name"))}
+
+
+def _bytes_of_records(g: Graph, project: str) -> int:
+    """How large the records of a project's hooks and operations are at most, as arrays of structs: one scan of their texts."""
+    sizes = [_project(g.nodes[label], project).select(sum(F.coalesce(F.octet_length(c), F.lit(0)) + 24 for c in fields).cast("long").alias("n")) for label, fields in _RECORDS.values()]
+    return sizes[0].unionByName(sizes[1]).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _ranked(g: Graph, project: str, kind: str) -> DataFrame:
+    """(id, code, record): nodes of a project and the rank of their record among all; equal records share one."""
+    label, fields = _RECORDS[kind]
+    nodes = _project(g.nodes[label], project).select("id", F.struct(*fields).alias("record"))
+    return nodes.withColumn("code", F.dense_rank().over(Window.orderBy("record")) - 1)
+
+
+def _under_pages(g: Graph, project: str, pages: DataFrame) -> DataFrame:
+    """(anchor, hooks_2, ops_2, ops_3, ops_5): lists of ranks of what lies under the directories of pages (anchor, dir).
+
+    A directory's list is put together once, as an array; anchors of the same directories are one set, and a set's arrays
+    are joined once. No row stands for an anchor, a directory and a thing in it. Ranks sort as the records do.
+    """
+    heads = pages.select("anchor", F.concat("dir", F.lit("/")).alias("dir_prefix")).distinct()
+    dirs = heads.select(F.lit(project).alias("project"), "dir_prefix").distinct()
+    coded = {k: _ranked(g, project, k).select(F.col("id").alias("at"), "code") for k in _RECORDS}
+    kinds = _below(g, dirs)
+    rows = [(ends(g, start, *hops) if hops else start.distinct()).join(coded[k.split("_")[0]], "at").select("anchor", F.lit(k).alias("kind"), "code") for k, (start, hops) in kinds.items()]
+    found = rows[0]
+    for more in rows[1:]:
+        found = found.unionByName(more)
+    lists = found.groupBy(F.col("anchor").alias("dir_prefix")).agg(*[F.collect_set(F.when(F.col("kind") == k, F.col("code"))).alias(k) for k in kinds])
+    sets = heads.groupBy("anchor").agg(F.sort_array(F.collect_set("dir_prefix")).alias("dirs"))
+    apart = sets.select("dirs").distinct().withColumn("dir_prefix", F.explode("dirs")).join(lists, "dir_prefix")
+    joined = apart.groupBy("dirs").agg(*[F.sort_array(F.array_distinct(F.flatten(F.collect_list(k)))).alias(k) for k in kinds])
+    return sets.join(joined, "dirs").drop("dirs")
+
+
+def _under_pages_by_row(g: Graph, project: str, pages: DataFrame) -> list[DataFrame]:
+    """The same four lists, of records, from one row per anchor and thing: for projects whose records are too large for one table."""
+    heads = pages.select("anchor", F.concat("dir", F.lit("/")).alias("dir_id")).distinct()
+    dirs = heads.select(F.lit(project).alias("project"), F.col("dir_id").alias("dir_prefix")).distinct()
+    lists = []
+    for k, (start, hops) in _below(g, dirs).items():
+        fields = _RECORDS[k.split("_")[0]][1]
+        rows = walk(g, start, *hops) if hops else walk_self(g, start, "GqlHook")
+        rows = rows.select(F.col("anchor").alias("dir_id"), *fields).distinct().join(heads, "dir_id").drop("dir_id")
+        lists.append(gather(rows, k, *[F.col(c) for c in fields]))
+    return lists
 
 
 def walk_self(g: Graph, start: DataFrame, label: str) -> DataFrame:
@@ -145,16 +189,33 @@ def walk_self(g: Graph, start: DataFrame, label: str) -> DataFrame:
     return start.distinct().join(nodes.drop("project"), start["at"] == nodes["id"]).drop("at")
 
 
-def _lists(rows: DataFrame, components: list[DataFrame], under: dict[str, DataFrame], direct: DataFrame, hooked: DataFrame, hooks: DataFrame) -> DataFrame:
-    h = lambda d, n: gather(d, n, F.col("name"), F.col("file"))
+def _lists(g: Graph, project: str, rows: DataFrame, small: list[DataFrame], pages: DataFrame, direct: DataFrame, hooked: DataFrame, hooks: DataFrame, table_bytes: int) -> DataFrame:
+    """Nodes with the lists hooks, ops_direct and ops_via_hooks: what components reach, then what lies under pages.
+
+    Up to ``table_bytes`` of records, lists travel as ranks and become records in the last projection, by a table of the
+    records that is broadcast; beyond, they are made of records from the start. The rows are the same.
+    """
     o = lambda d, n: gather(d, n, F.col("symbol"), F.col("gql_name"))
-    found = assemble(rows, *components, h(hooks, "hooks_1"), h(under["hooks"], "hooks_2"), o(direct, "ops_1"), o(under["by_file"], "ops_2"), o(under["by_component"], "ops_3"), o(hooked, "ops_4"), o(under["by_hook"], "ops_5"))
+    small = [*small, gather(hooks, "hooks_1", F.col("name"), F.col("file")), o(direct, "ops_1"), o(hooked, "ops_4")]
+    if _bytes_of_records(g, project) > table_bytes:
+        found = assemble(rows, *small, *_under_pages_by_row(g, project, pages))
+        listed_ = {k: F.col(k) for k in ("hooks_2", "ops_2", "ops_3", "ops_5")}
+    else:
+        found = assemble(rows, *small, _under_pages(g, project, pages))
+        for k in _RECORDS:
+            records = F.transform(F.sort_array(F.collect_set(F.struct("code", "record"))), lambda x: x["record"])
+            found = found.join(F.broadcast(_ranked(g, project, k).agg(records.alias(f"all_{k}")).withColumn("project", F.lit(project))), "project")
+        record = lambda kind: lambda code: F.get(F.col(f"all_{kind}"), code)
+        listed_ = {k: F.transform(k, record(k.split("_")[0])) for k in ("hooks_2", "ops_2", "ops_3", "ops_5")}
     # Lists are distinct in themselves, not across: what two branches reach is there twice.
-    return found.select("*", F.concat("hooks_1", "hooks_2").alias("hooks"), F.concat("ops_1", "ops_2", "ops_3").alias("ops_direct"), F.concat("ops_4", "ops_5").alias("ops_via_hooks"))
+    return found.select("*", F.concat("hooks_1", listed_["hooks_2"]).alias("hooks"), F.concat("ops_1", listed_["ops_2"], listed_["ops_3"]).alias("ops_direct"), F.concat("ops_4", listed_["ops_5"]).alias("ops_via_hooks"))
+
 
+def routes_resolve(g: Graph, project: str, path: str | None = None, table_bytes: int = 8 << 20) -> DataFrame:
+    """What routes reach: guards, permissions, components, hooks and operations; all routes unless a path is given.
 
-def routes_resolve(g: Graph, project: str, path: str | None = None) -> DataFrame:
-    """What routes reach: guards, permissions, components, hooks and operations; all routes unless a path is given."""
+    ``table_bytes``: up to how many bytes of records their table is broadcast.
+    """
     rows = _project(g.nodes["Route"], project)
     if path is not None:
         rows = rows.where(F.col("path") == path)
@@ -163,8 +224,8 @@ def routes_resolve(g: Graph, project: str, path: str | None = None) -> DataFrame
     hooks = walk(g, start, renders, out("CALLS_HOOK", "Component", "GqlHook"))
     hooked = walk(g, start, renders, out("CALLS_HOOK", "Component", "GqlHook"), out("WRAPS", "GqlHook", "GqlOperation"))
     direct = walk(g, start, renders, out("USES_OPERATION", "Component", "GqlOperation"))
-    pages = walk(g, start, renders, out("BELONGS_TO", "Component", "Page")).withColumn("project", F.lit(project))
-    found = _lists(rows, _route_branches(g, rows), _under_pages(g, pages), direct, hooked, hooks)
+    pages = walk(g, start, renders, out("BELONGS_TO", "Component", "Page"))
+    found = _lists(g, project, rows, _route_branches(g, rows), pages, direct, hooked, hooks, table_bytes)
     return found.select("path", "index", "depth", "file", "line", "guards", "permissions", "components", "hooks", "ops_direct", "ops_via_hooks")
 
 
@@ -222,8 +283,8 @@ def pages_list(g: Graph, project: str, domain: str | None = None) -> DataFrame:
     return top(found.select("domain", "entity", "dir", "files", "subdirs", "components", "routes"), None, "domain", "entity", "dir")
 
 
-def page_get(g: Graph, project: str, domain: str | None = None, entity: str = "") -> DataFrame:
-    """What pages reach; all pages unless a domain is given, then its page of the entity."""
+def page_get(g: Graph, project: str, domain: str | None = None, entity: str = "", table_bytes: int = 8 << 20) -> DataFrame:
+    """What pages reach; all pages unless a domain is given, then its page of the entity. ``table_bytes`` as for routes."""
     rows = _project(g.nodes["Page"], project)
     if domain is not None:
         rows = rows.where((F.col("domain") == domain) & (F.coalesce("entity", F.lit("")) == entity))
@@ -232,8 +293,8 @@ def page_get(g: Graph, project: str, domain: str | None = None, entity: str = ""
     hooks = walk(g, start, belongs, out("CALLS_HOOK", "Component", "GqlHook"))
     hooked = walk(g, start, belongs, out("CALLS_HOOK", "Component", "GqlHook"), out("WRAPS", "GqlHook", "GqlOperation"))
     direct = walk(g, start, belongs, out("USES_OPERATION", "Component", "GqlOperation"))
-    under = _under_pages(g, rows.select(F.col("id").alias("anchor"), "project", "dir"))
-    found = _lists(rows, _page_branches(g, rows), under, direct, hooked, hooks)
+    pages = rows.select(F.col("id").alias("anchor"), "dir")
+    found = _lists(g, project, rows, _page_branches(g, rows), pages, direct, hooked, hooks, table_bytes)
     return found.select("domain", "entity", "dir", "files", "subdirs", "components", "routes", "hooks", "ops_direct", "ops_via_hooks")
 
 
