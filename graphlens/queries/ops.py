@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from graphlens.functions.columns import as_text
 from graphlens.functions.matches import matches_with_lines
 from graphlens.functions.paths import join_route, resolve, stem
+from graphlens.graph import Graph
 from graphlens.operators import extract, mutation
 from graphlens.operators.joins import prefix_join
 from graphlens.queries import api
 from graphlens.queries.fixture import PROJECT, fixture, table
+from graphlens.sources.config import shared_folder
+from graphlens.sources.records import read_batch, rejected_records
 
 
 def x30_match_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,6 +142,46 @@ def a08_two_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_hook.agg(F.count(F.lit(1)).alias("hooks"), F.sum("users").alias("uses"), F.max("users").alias("most"), F.count_if(F.col("users") > 100).alias("busy"))
 
 
+def _record_lines(spark: SparkSession, sf_dir: str) -> str:
+    """Parts as operation records in JSON lines, written to a new folder.
+
+    One in seven is no JSON, one has a text for its line number, one a field that the schema does not have.
+    """
+    k, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("long")
+    known = {"project": F.lit(PROJECT), "symbol": F.concat(F.lit("OP_"), k), "gqlName": F.concat(F.lit("Get"), k), "kind": F.lit("query"), "file": F.concat(F.lit("src/p"), k, F.lit(".ts"))}
+    fields = [v.alias(n) for n, v in known.items()]
+    good = [*fields, size.alias("line"), (size % 2 == 0).alias("exported")]
+    which = F.col("p_partkey") % 7
+    line = F.when(which == 0, F.concat(F.lit("{ no record "), k)).when(which == 1, F.to_json(F.struct(*fields, F.lit("many").alias("line")))).when(which == 2, F.to_json(F.struct(*good, F.lit(1).alias("extra")))).otherwise(F.to_json(F.struct(*good)))
+    folder = f"{shared_folder(spark)}/operations"
+    table(spark, sf_dir, "part").select(line.alias("value")).write.text(folder)
+    return folder
+
+
+def s17_json_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_batch(spark, _record_lines(spark, sf_dir), "operations").drop("project")
+
+
+def s19_rejected_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rejected_records(spark, _record_lines(spark, sf_dir), "operations").drop("file")
+
+
+def w10_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixture's routes and components, of which some are there twice and some are lost, and what is then wrong."""
+    g = fixture(spark, sf_dir)
+    components = g.nodes["Component"].where("id % 10 <> 0")
+    twice = components.where("id % 97 = 1").withColumn("name", F.concat("name", F.lit("again")))
+    routes = g.nodes["Route"].where("id % 4 <> 0")
+    edge = ("RENDERS", "Route", "Component")
+    return Graph({"Route": routes, "Component": mutation.insert(components, twice)}, {edge: g.edges[edge]}).violations()
+
+
+def w01_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers put to customers by nation: what both have stays twice, and columns that one side lacks are null."""
+    old = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("key"), F.col("c_mktsegment").alias("v"))
+    return mutation.insert(old, table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("with_v"))
+
+
 def q26_build_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of every node and edge table of the fixture graph."""
     return api.reindex_summary(fixture(spark, sf_dir), PROJECT)
@@ -155,12 +198,16 @@ QUERIES = {
     "X-30_match_lines": x30_match_lines,
     "J-06_prefix_join": j06_prefix_join,
     "J-10_prefix_anti": j10_prefix_anti,
+    "S-17_json_batches": s17_json_batches,
+    "S-19_rejected_records": s19_rejected_records,
+    "W-01_insert": w01_insert,
     "W-02_upsert": w02_upsert,
     "W-03_upsert_set": w03_upsert_set,
     "W-04_upsert_first": w04_upsert_first,
     "W-06_resolve_edges": w06_resolve_edges,
     "W-08_gate": w08_gate,
     "W-09_wipe": w09_wipe,
+    "W-10_violations": w10_violations,
     "A-08_two_levels": a08_two_levels,
     "Q-26_build_counts": q26_build_counts,
 }
@@ -192,12 +239,19 @@ m AS (SELECT doc_id, n, unnest(regexp_extract_all(line, 'ent([a-z]+)', 1)) AS ta
 SELECT doc_id, count(*) AS matches, sum(n)::BIGINT AS line_sum, max(tail) AS last_tail FROM m GROUP BY doc_id""",
     "J-06_prefix_join": f"WITH {_HEADS} SELECT value, head FROM lit JOIN heads ON starts_with(value, head)",
     "J-10_prefix_anti": f"WITH {_HEADS} SELECT value FROM lit WHERE NOT EXISTS (SELECT 1 FROM heads WHERE starts_with(value, head))",
+    "S-17_json_batches": """SELECT 'OP_' || p_partkey AS symbol, 'Get' || p_partkey AS "gqlName", 'query' AS kind, 'src/p' || p_partkey || '.ts' AS file, CAST(p_size AS BIGINT) AS line, p_size % 2 = 0 AS exported FROM part WHERE p_partkey % 7 NOT IN (0, 1)""",
+    "S-19_rejected_records": """SELECT 'operations' AS kind, '{ no record ' || p_partkey AS record, 'no JSON' AS reason FROM part WHERE p_partkey % 7 = 0
+UNION ALL SELECT 'operations', '{"project":"fx","symbol":"OP_' || p_partkey || '","gqlName":"Get' || p_partkey || '","kind":"query","file":"src/p' || p_partkey || '.ts","line":"many"}', 'a field of another type' FROM part WHERE p_partkey % 7 = 1""",
+    "W-01_insert": "SELECT key, count(*) AS n, count(v) AS with_v FROM (SELECT c_nationkey AS key, c_mktsegment AS v FROM customer UNION ALL SELECT s_nationkey, NULL FROM supplier) GROUP BY 1",
     "W-02_upsert": f"WITH o AS ({_OLD}), n AS ({_NEW}) SELECT key, v FROM o UNION ALL SELECT key, v FROM n WHERE key NOT IN (SELECT key FROM o)",
     "W-03_upsert_set": f"WITH o AS ({_OLD}), n AS ({_NEW}) SELECT key, v FROM n UNION ALL SELECT key, v FROM o WHERE key NOT IN (SELECT key FROM n)",
     "W-04_upsert_first": "SELECT o_custkey, arg_min(o_orderstatus, o_orderkey) FILTER (o_orderkey % 3 <> 0) AS status, arg_min(o_orderpriority, o_orderkey) FILTER (o_orderkey % 5 <> 0) AS priority FROM orders GROUP BY 1",
     "W-06_resolve_edges": "SELECT DISTINCT l_suppkey AS src, p_partkey AS dst, l_linenumber AS line FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey - p_partkey % 2 = l_partkey",
     "W-08_gate": "SELECT CAST(c_nationkey AS VARCHAR) AS project, c_custkey FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier GROUP BY 1 HAVING max(s_acctbal) > 8000)",
     "W-09_wipe": """SELECT 'Route' AS "table", c_mktsegment AS project, count(*) AS n FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY 2 UNION ALL SELECT 'RENDERS', c_mktsegment, count(*) FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment <> 'BUILDING' GROUP BY 2""",
+    "W-10_violations": """SELECT * FROM (SELECT 'node_Component' AS "table", 'repeated id' AS problem, count(*) AS n FROM orders WHERE o_orderkey % 10 <> 0 AND o_orderkey % 97 = 1
+UNION ALL SELECT 'edge_RENDERS__Route__Component', 'missing dst', count(*) FROM orders WHERE o_orderkey % 10 = 0
+UNION ALL SELECT 'edge_RENDERS__Route__Component', 'missing src', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 0)) WHERE n > 0""",
     "A-08_two_levels": "SELECT count(*) AS hooks, sum(u)::BIGINT AS uses, max(u) AS most, count(*) FILTER (u > 100) AS busy FROM (SELECT l_suppkey, count(DISTINCT l_orderkey) AS u FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)",
     "Q-26_build_counts": f"""SELECT 'node Domain' AS "table", count(DISTINCT year(o_orderdate)) AS n FROM orders UNION ALL SELECT 'node Page', count(DISTINCT (year(o_orderdate), o_orderpriority)) + count(DISTINCT year(o_orderdate)) FROM orders
 UNION ALL SELECT 'node Component', count(*) FROM orders UNION ALL SELECT 'node Route', count(*) FROM customer UNION ALL SELECT 'node GqlOperation', count(*) FROM part UNION ALL SELECT 'node GqlHook', count(*) FROM supplier

@@ -90,6 +90,9 @@ def test_route_answers(graph):
     assert sorted(o.gql_name for o in r.ops_direct) == ["B", "B", "FragA", "GetA"]
     assert sorted(o.gql_name for o in r.ops_via_hooks) == ["B", "FragA", "GetA"]
     assert found[True].components == [] and found[True].hooks == []
+    # The lists are the same without a table of records.
+    by_row = {r["index"]: r for r in api.routes_resolve(graph, "p", "/e", table_bytes=0).collect()}
+    assert by_row == found
     assert api.routes_resolve(graph, "q", "/e").count() == 0
     with pytest.raises(api.NotFound):
         api.first(api.routes_resolve(graph, "p", "/none"), "path")
