@@ -192,8 +192,8 @@ def walk_self(g: Graph, start: DataFrame, label: str) -> DataFrame:
 def _lists(g: Graph, project: str, rows: DataFrame, small: list[DataFrame], pages: DataFrame, direct: DataFrame, hooked: DataFrame, hooks: DataFrame, table_bytes: int) -> DataFrame:
     """Nodes with the lists hooks, ops_direct and ops_via_hooks: what components reach, then what lies under pages.
 
-    Up to ``table_bytes`` of records, lists travel as ranks and become records in the last projection, by a table of the
-    records that is broadcast; beyond, they are made of records from the start. The rows are the same.
+    Up to ``table_bytes`` of records, lists travel as ranks and become records in the last projection, by an array of
+    all records that every task is sent; beyond, they are made of records from the start. The rows are the same.
     """
     o = lambda d, n: gather(d, n, F.col("symbol"), F.col("gql_name"))
     small = [*small, gather(hooks, "hooks_1", F.col("name"), F.col("file")), o(direct, "ops_1"), o(hooked, "ops_4")]
@@ -204,7 +204,7 @@ def _lists(g: Graph, project: str, rows: DataFrame, small: list[DataFrame], page
         found = assemble(rows, *small, _under_pages(g, project, pages))
         for k in _RECORDS:
             records = F.transform(F.sort_array(F.collect_set(F.struct("code", "record"))), lambda x: x["record"])
-            found = found.join(F.broadcast(_ranked(g, project, k).agg(records.alias(f"all_{k}")).withColumn("project", F.lit(project))), "project")
+            found = found.withColumn(f"all_{k}", _ranked(g, project, k).agg(records).scalar())
         record = lambda kind: lambda code: F.get(F.col(f"all_{kind}"), code)
         listed_ = {k: F.transform(k, record(k.split("_")[0])) for k in ("hooks_2", "ops_2", "ops_3", "ops_5")}
     # Lists are distinct in themselves, not across: what two branches reach is there twice.
@@ -214,7 +214,7 @@ def _lists(g: Graph, project: str, rows: DataFrame, small: list[DataFrame], page
 def routes_resolve(g: Graph, project: str, path: str | None = None, table_bytes: int = 8 << 20) -> DataFrame:
     """What routes reach: guards, permissions, components, hooks and operations; all routes unless a path is given.
 
-    ``table_bytes``: up to how many bytes of records their table is broadcast.
+    ``table_bytes``: up to how many bytes of records every task is sent all of them.
     """
     rows = _project(g.nodes["Route"], project)
     if path is not None:
