@@ -142,3 +142,12 @@ def test_ways_from_roots_at_any_depth(spark):
     ring = spark.createDataFrame([(1, None, "a"), (2, 3, "b"), (3, 2, "c")], "node long, parent long, v string")
     with pytest.raises(ValueError, match="ring"):
         from_roots(ring, "v", lambda a, b: F.concat(a, b))
+
+
+def test_a_document_token_is_looked_up_once(spark):
+    """The automaton's table stands once in the expression, as an array that is read by place: its cost is that of the tokens."""
+    said = str(graphql.definitions(F.col("t")))
+    assert said.count("get(array(0, 0") == 1 and "map(" not in said
+    df = spark.createDataFrame([("query A { a }" + " fragment F on T { b { c } }" * 2 + " { d }",), ("query A { a } }",), ("",)], "t string")
+    got = [r.d for r in df.select(graphql.definitions(F.col("t")).alias("d")).collect()]
+    assert got[0] == [("query", "A"), ("fragment", "F"), ("fragment", "F"), ("query", None)] and got[1:] == [None, None]
