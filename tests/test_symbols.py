@@ -151,3 +151,22 @@ def test_a_document_token_is_looked_up_once(spark):
     df = spark.createDataFrame([("query A { a }" + " fragment F on T { b { c } }" * 2 + " { d }",), ("query A { a } }",), ("",)], "t string")
     got = [r.d for r in df.select(graphql.definitions(F.col("t")).alias("d")).collect()]
     assert got[0] == [("query", "A"), ("fragment", "F"), ("fragment", "F"), ("query", None)] and got[1:] == [None, None]
+
+
+def test_values_over_many_parts_and_own_marks(spark, monkeypatch):
+    """Values are read from parts of a text, tokens from a marked copy: neither a part's end nor a text's own marks are told."""
+    monkeypatch.setattr(literals, "_PART", 7)
+    long = "x😀é" * 20
+    for text in (f"const R = {{ a: '{long}', b: [ '1', {{ c : 2 }} ],\n d: {long[1]} }}", "const R = { a: '', b: '' }"):
+        files = texts(spark, ("f.ts", text))
+        found = literals.tokens(files)
+        got = {r.key: r.value for r in literals.entries(files, found).where("key is not null").collect()}
+        assert got == ({"a": f"'{long}'", "b": "[ '1', { c : 2 } ]", "c": "2", "d": long[1]} if long in text else {"a": "''", "b": "''"})
+        assert all(text[r.pos - 1 :].startswith(r.token) for r in found.collect())
+
+
+def test_tasks_follow_the_characters(spark, monkeypatch):
+    """Texts that are alike are small in a shuffle: the tasks that list their tokens are counted by characters."""
+    monkeypatch.setattr(literals, "_TASK", 100)
+    files = texts(spark, *[(f"f{k}.ts", "const a = 1\n" * 10) for k in range(20)])
+    assert literals.tokens(files).rdd.getNumPartitions() == 24
