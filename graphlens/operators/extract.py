@@ -35,6 +35,8 @@ CLASS_SELECTOR = r"(?md)^\s*\.([A-Za-z_][A-Za-z0-9_-]*)\b"
 STYLE_IMPORT = r"import\s+\w+\s+from\s+['\"]([^'\"]*\.module\.scss)['\"]"
 GQL_TEMPLATE = r"(?s)(export\s+)?(?:const|let|var)\s+(\w+)\s*(?::[^=]+)?=\s*gql\s*`((?:[^`\\]++|\\.)*+)`"
 HOOK = r"^use[A-Z]"
+#: Tokens of a file that are compared with the ranges there.
+STRETCH = 64
 
 _FILE = ["project", "path"]
 
@@ -184,7 +186,9 @@ def element_parts(found: DataFrame, elements: DataFrame) -> DataFrame:
     # The tag that an attribute stands in is the last that began at its level.
     level = Window.partitionBy(*_FILE, "level").orderBy("n")
     tags = tags.withColumn("owner", F.last("tag", ignorenulls=True).over(level))
-    inside = tags.join(elements.select(*_FILE, "object", "from_n", "to_n"), _FILE).where("n >= from_n and n < to_n")
+    # Tokens meet the elements of their stretch of the file, not all of the file's.
+    spans = elements.select(*_FILE, "object", "from_n", "to_n", F.explode(F.sequence(F.floor(F.col("from_n") / STRETCH), F.floor((F.col("to_n") - 1) / STRETCH))).alias("stretch"))
+    inside = tags.withColumn("stretch", F.floor(F.col("n") / STRETCH)).join(spans, [*_FILE, "stretch"]).where("n >= from_n and n < to_n").drop("stretch")
     values = inside.where("token = '{' and prev = '='").select(*_FILE, "object", F.col("n").alias("open"), F.col("close").alias("shut"))
     key = [*_FILE, "object"]
     covered = lambda rows: rows.join(values, (rows["project"].eqNullSafe(values["project"])) & (rows["path"] == values["path"]) & (rows["object"] == values["object"]) & (rows["n"] > values["open"]) & (rows["n"] < values["shut"]), "left_anti")
@@ -285,14 +289,18 @@ def routes(nodes: DataFrame, keep: Keep = checkpointed) -> DataFrame:
     return nodes.select("project", "file", "line", "node", "index", "e").join(placed, "node").select("project", "path", "index", "depth", F.col("parent_path").alias("parentPath"), "file", "line", "e.components", "e.guards", "e.permissions")
 
 
+def in_permissions() -> Column:
+    """Whether a path is of a file that may set PERMISSIONS."""
+    return F.col("path").contains("/common/permissions/") | F.col("path").startswith("common/permissions/")
+
+
 def permission_entries(texts: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """Entries of the literals in files of /common/permissions/; those of the object that ``PERMISSIONS`` is set to have root.
 
     The first file, by path, that sets PERMISSIONS to an object counts. ``found`` are the texts' token rows.
     """
-    here = F.col("path").contains("/common/permissions/") | F.col("path").startswith("common/permissions/")
-    files = texts.where(here)
-    found = checkpointed("tokens", literals.tokens(files)) if found is None else found.where(here)
+    files = texts.where(in_permissions())
+    found = checkpointed("tokens", literals.tokens(files)) if found is None else found.where(in_permissions())
     parts = literals.entries(files, found)
     root = literals.declared(found, "PERMISSIONS").where("bracket = '{'").groupBy("project").agg(F.min_by(F.struct("path", "literal"), "path").alias("d")).select("project", "d.path", "d.literal", F.lit(True).alias("root"))
     return parts.join(root, ["project", "path", "literal"], "left")
@@ -322,11 +330,16 @@ def component_imports(found: DataFrame) -> DataFrame:
     """
     own = symbols.declarations(found).where("word in ('const', 'let', 'var')").select(*_FILE, "stmt", "name", F.col("n").alias("from_n"), "until", "line")
     rows = own.join(found.select(*_FILE, "stmt", "n", "token"), [*_FILE, "stmt"]).where("n > from_n and n <= until")
-    listed = rows.groupBy(*_FILE, "name", "line").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("t"))
-    at = lambda token, more: F.get("t", (F.array_position("t", token) - 1 + more).cast("int"))
-    spec = F.when((at("import", 1) == "(") & at("import", 2).rlike("^['\"]"), F.substring(at("import", 2), F.lit(2), F.length(at("import", 2)) - 2))
-    export = F.when((F.array_position("t", "default") > 0) & (at("default", 1) == ":") & (at("default", 3) == "."), at("default", 4))
-    is_lazy = (F.get("t", F.lit(0)) == "=") & (F.array_position("t", "lazy") > 0) & (at("lazy", 1) == "(") & (F.array_position("t", "import") > 0)
+    # The first of each of these words, with what stands behind it: a declarator is not gathered whole, it may be a route tree.
+    key = [*_FILE, "name", "line"]
+    order = Window.partitionBy(*key).orderBy("n")
+    behind = lambda k: F.lead("token", k).over(order).alias(f"t{k}")
+    rows = rows.select(*key, "n", "token", *[behind(k) for k in range(1, 5)])
+    of = lambda word: F.min_by(F.struct("n", "t1", "t2", "t3", "t4"), F.when(F.col("token") == word, F.col("n"))).alias(word)
+    listed = rows.groupBy(*key).agg(F.min_by("token", "n").alias("head"), of("import"), of("default"), of("lazy"))
+    spec = F.when((F.col("import.t1") == "(") & F.col("import.t2").rlike("^['\"]"), F.substring(F.col("import.t2"), F.lit(2), F.length("import.t2") - 2))
+    export = F.when((F.col("default.t1") == ":") & (F.col("default.t3") == "."), F.col("default.t4"))
+    is_lazy = (F.col("head") == "=") & (F.col("lazy.t1") == "(") & F.col("import").isNotNull()
     lazy = listed.where(is_lazy).select(*_FILE, "name", spec.alias("spec"), export.alias("export"), F.lit(0).alias("order"), F.col("line").cast("long").alias("line")).where("spec is not null")
     eager = symbols.module_names(found).where("kind = 'import' and name <> '*'")
     eager = eager.select(*_FILE, F.col("local").alias("name"), "spec", F.when(F.col("name") != "default", F.col("name")).alias("export"), F.lit(1).alias("order"), F.col("n").cast("long").alias("line"))

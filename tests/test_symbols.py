@@ -170,3 +170,13 @@ def test_tasks_follow_the_characters(spark, monkeypatch):
     monkeypatch.setattr(literals, "_TASK", 100)
     files = texts(spark, *[(f"f{k}.ts", "const a = 1\n" * 10) for k in range(20)])
     assert literals.tokens(files).rdd.getNumPartitions() == 24
+
+
+def test_elements_meet_the_tokens_of_their_stretch(spark, monkeypatch):
+    """Each token is compared with the elements near it, and elements of many stretches, in one another too, keep all theirs."""
+    monkeypatch.setattr(extract, "STRETCH", 4)
+    routes = ",".join(f"{{ path: 'r{k}', element: <A{k}>{'<B />' * 9}</A{k}> }}" for k in range(5))
+    nested = "{ path: 'n', element: <Out list={[{ element: <In /> }]}><End /></Out> }"
+    nodes = extract.route_nodes(texts(spark, ("r.tsx", f"const routes = [{routes}, {nested}]")))
+    got = {r.segment: r.e.components for r in nodes.collect()}
+    assert got == {**{f"r{k}": [f"A{k}", *["B"] * 9] for k in range(5)}, "n": ["Out", "End"]}
