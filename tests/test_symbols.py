@@ -180,3 +180,27 @@ def test_elements_meet_the_tokens_of_their_stretch(spark, monkeypatch):
     nodes = extract.route_nodes(texts(spark, ("r.tsx", f"const routes = [{routes}, {nested}]")))
     got = {r.segment: r.e.components for r in nodes.collect()}
     assert got == {**{f"r{k}": [f"A{k}", *["B"] * 9] for k in range(5)}, "n": ["Out", "End"]}
+
+
+def test_an_extractor_lists_the_tokens_of_its_own_files(spark):
+    """Routes and permissions list no other files' tokens; a route tree beside lazy components is not gathered into one row."""
+    kept = []
+
+    def keep(name, rows):
+        kept.append(name)
+        return checkpointed(name, rows)
+
+    code = texts(
+        spark,
+        ("src/r.tsx", "const L = lazy(() => import('./l').then((m) => ({ default: m.P })))\nexport const routes = [{ path: '/a', element: <L /> }]"),
+        ("src/l.tsx", "\nexport const P = () => useH()"),
+        ("src/common/permissions/i.ts", "const PERMISSIONS = { a: { read: ['R'] } }"),
+        ("src/gql/hooks/h.ts", "export function useH() { return 1 }"),
+    )
+    from graphlens.plans.index import Sources, record_batches
+
+    made = record_batches(Sources(code=code), ("src/r.tsx",), keep=keep)
+    assert rows(made["routes"], "path", "components") == [("/a", ["L"])] and rows(made["permissions"], "key", "roles") == [("a.read", ["R"])]
+    assert {k for k in kept if k.endswith("tokens")} == {"router_tokens", "permission_tokens"}
+    assert rows(made["components"], "name", "file", "line", "hookCalls") == [("L", "src/l.tsx", 2, ["useH"])]
+    assert "other_tokens" not in kept
