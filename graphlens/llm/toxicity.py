@@ -326,8 +326,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     Lexicons are the words and word beginnings that are telling on at most ``sample`` labelled rows of each label, none
     of them held out (crc32 of the id as text, modulo 4, is 2). Lexicon voters and pattern voters, which read how a
     text is written, vote on those rows; the generative label model turns the votes alone into posteriors, and a
-    linear classifier learns the posteriors. It then scores every whole text in one pass without a shuffle. Only the
-    text is an input of the score.
+    linear classifier learns the posteriors; the sample's labels set the level of its scores. It then scores every whole
+    text in one pass without a shuffle. Only the text is an input of the score.
 
     Defined results: null and empty texts are scored like a text without words; with no labels, or one kind only, the
     score is 0 or that label's value for all; an id with several labels counts as its largest, and of several texts of
@@ -371,13 +371,45 @@ def _fit(texts: DataFrame, features: Features, prior: float, got: dict[int, int]
     words = rows["words"].to_numpy()
     drawn = got[1] / (got[0] + got[1])
     votes = features.votes(counts, words, pattern)
-    # The labels only check the voters: one that is right no more often than chance is left out of the model.
+    # Labels check the voters: one that is right no more often than chance is left out of the model.
     label = rows["label"].to_numpy() > 0
     better = np.array([useful(v, label) for v in votes.T], bool)
     posterior, _, _ = label_model(votes[:, better], drawn) if better.any() else (np.full(len(label), drawn), None, None)
     # The sample has more of the rarer label than all labelled rows have: weights set the shares right.
     weight = posterior * prior / drawn + (1 - posterior) * (1 - prior) / (1 - drawn)
-    return fit_linear(features.design(counts, words, pattern).astype(np.float32), posterior, weight)
+    design = features.design(counts, words, pattern).astype(np.float32)
+    weights = fit_linear(design, posterior, weight)
+    slope, offset = _level(design @ weights, label, np.where(label, prior / drawn, (1 - prior) / (1 - drawn)))
+    weights *= slope
+    weights[-1] += offset
+    return weights
+
+
+def _level(logit: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int = 100) -> tuple[float, float]:
+    """Slope and offset that turn logits into log-odds of the labels: the classifier orders texts, labels say how high its scores are.
+
+    Weighted logistic regression by damped Newton steps. Targets are drawn in by one row of either label, so that separable
+    labels give finite values. Logits that do not rise with the label stay as they are.
+    """
+    ones = int(label.sum())
+    target = np.where(label, (ones + 1) / (ones + 2), 1 / (len(label) - ones + 2))
+    x = np.column_stack([logit, np.ones(len(logit))]).astype(np.float64)
+    at = np.array([1.0, 0.0])
+
+    def loss(at: np.ndarray) -> float:
+        z = x @ at
+        return float(weight @ (np.logaddexp(0, z) - target * z))
+
+    for _ in range(rounds):
+        p = _sigmoid(x @ at)
+        step = np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + 1e-9 * np.eye(2), x.T @ (weight * (p - target)))
+        size = 1.0
+        while size > 1e-6 and loss(at - size * step) > loss(at):
+            size /= 2
+        at = at - size * step
+        if np.abs(size * step).max() < 1e-6:
+            break
+    return (float(at[0]), float(at[1])) if at[0] > 0 else (1.0, 0.0)
 
 
 def useful(vote: np.ndarray, label: np.ndarray) -> bool:

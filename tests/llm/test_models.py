@@ -364,6 +364,25 @@ def test_separable_labels_and_clashing_columns(spark):
     assert toxicity.add_toxicity(docs, labels).columns[-1] == "toxicity_"
 
 
+def test_labels_set_the_level_of_toxicity_scores(spark, monkeypatch):
+    """A label model that orders texts well but is too sure that they are clean hides no toxic text."""
+    model = toxicity.label_model
+    monkeypatch.setattr(toxicity, "label_model", lambda *a: (0.2 * model(*a)[0], None, None))
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * 3 for _ in range(30)) + (" vile foul mean base cruel rude coarse" if i % 2 else ""), i % 2) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert {r.doc_id: r.predicted for r in toxicity.toxicity_scores(docs, docs).collect()} == {i: y for i, _, y in rows}
+
+
+def test_level_is_finite_and_rising():
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=2000) * 2
+    y = rng.random(2000) < 1 / (1 + np.exp(-(2 * z + 1)))
+    assert toxicity._level(z, y, np.ones(2000)) == pytest.approx((2, 1), abs=0.35)
+    assert np.isfinite(toxicity._level(np.where(y, 5.0, -9.0), y, np.ones(2000))).all()
+    assert toxicity._level(-z, y, np.ones(2000)) == (1.0, 0.0) and np.isfinite(toxicity._level(np.zeros(2000), y, np.ones(2000))).all()
+
+
 def test_a_labelled_id_of_many_rows_teaches_once(spark):
     docs = spark.range(3000).selectExpr("id % 4 as doc_id", "concat('word ', id) as text")
     chosen = spark.createDataFrame([(0, 1), (1, 0), (3, 1)], "id long, label int")
