@@ -11,6 +11,7 @@ from graphlens.graph import Graph, with_identity
 from graphlens.operators import mutation
 from graphlens.operators.joins import prefix_join
 from graphlens.plans.build import OWNED, build, rebuild
+from graphlens.plans.pattern import gather, gather_parts
 from graphlens.queries import ORACLE_SQL, QUERIES, api
 from graphlens.sources.config import projects
 from graphlens.sources.records import BATCHES, empty_batches, read_batch
@@ -99,6 +100,35 @@ def test_route_answers(graph):
     assert api.first(api.routes_resolve(graph, "p", "/e"), "path", "depth")["depth"] == 0
 
 
+def _plan(frame):
+    """The nodes of the optimised plan, without its scalar subqueries."""
+    todo = [frame._jdf.queryExecution().optimizedPlan()]
+    for node in todo:
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    return todo
+
+
+def _names(columns):
+    return {columns.apply(k).name() for k in range(columns.size())}
+
+
+@pytest.mark.parametrize("ask", [api.routes_resolve, api.page_get])
+def test_lists_under_pages_are_not_joined(graph, ask):
+    joins = [_names(n.output()) for n in _plan(ask(graph, "p")) if n.nodeName() == "Join"]
+    assert joins and not set().union(*joins) & {"hooks_2", "ops_2", "ops_3", "ops_5"}
+
+
+def test_no_task_holds_the_sets_of_all_pages(graph):
+    sets = [n for n in _plan(api.page_get(graph, "p")) if n.nodeName() == "Aggregate" and n.toString().startswith("Aggregate [anchor#") and "collect_set(" in n.toString().split("\n")[0]]
+    long = [n for n in sets if "collect_set(place#" not in n.toString().split("\n")[0]]
+    assert long and all(n.groupingExpressions().size() > 1 for n in long)
+
+
+def test_lists_in_parts_are_the_same(spark):
+    rows_ = spark.range(5000).selectExpr("id % 3 as anchor", "if(id % 7 = 0, null, cast(id % 900 as string)) as v").union(spark.sql("select 9L, null"))
+    assert rows(gather_parts(rows_, "l", F.col("v"))) == rows(gather(rows_, "l", F.col("v")))
+
+
 def test_pages_and_domains(graph):
     found = {r.entity: r for r in api.page_get(graph, "p").collect()}
     assert [h.name for h in found[""].hooks] == ["useA"] and found["ent"].routes == ["/e"]
