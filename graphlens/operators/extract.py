@@ -68,6 +68,7 @@ def style_modules(texts: DataFrame) -> DataFrame:
 
 def style_imports(texts: DataFrame, modules: DataFrame) -> DataFrame:
     """Imports of style modules that exist, relative paths resolved; what leaves the root resolves to nothing."""
+    texts = texts.where(F.contains("text", F.lit(".module.scss")))
     rows = texts.select("project", F.col("path").alias("consumer"), F.explode(_all("text", STYLE_IMPORT)).alias("spec"))
     rows = rows.withColumn("module_file", resolve(directory(F.col("consumer")), F.col("spec")))
     return rows.join(modules.select("project", F.col("file").alias("module_file")), ["project", "module_file"], "left_semi").select("project", "consumer", "module_file").distinct()
@@ -112,7 +113,7 @@ def classified(raw: Column) -> tuple[Column, Column]:
 
 def app_testids(texts: DataFrame) -> DataFrame:
     """Test ids in application sources; templates that begin with a hole are dropped, repeats in one line count once."""
-    parts = []
+    parts, texts = [], texts.where(F.contains("text", F.lit("testid")))
     for name, group in ((r"\.tsx$", (TESTID_ATTRIBUTE, TESTID_PROPERTY, TESTID_TEMPLATE)), (r"\.ts$", (TESTID_PROPERTY, TESTID_TEMPLATE, TESTID_LITERAL))):
         for order, rx in enumerate(group):
             parts.append(_named(texts.where(F.col("path").rlike(name)), rx, 1).withColumn("order", F.lit(order)))
@@ -245,7 +246,7 @@ def jsx(value: Column) -> Column:
 
 def enum_members(texts: DataFrame) -> DataFrame:
     """(project, name, value): string members of enums, named Enum.MEMBER."""
-    enums = _named(texts, r"(?s)\benum\s+(\w+)\s*\{([^}]*)\}", 2).select("project", F.col("g1").alias("enum"), F.col("g2").alias("body"))
+    enums = _named(texts.where(F.contains("text", F.lit("enum"))), r"(?s)\benum\s+(\w+)\s*\{([^}]*)\}", 2).select("project", F.col("g1").alias("enum"), F.col("g2").alias("body"))
     pair = lambda k: _all("body", r"(?m)(\w+)\s*=\s*['\"]([^'\"\n]*)['\"]", k)
     rows = enums.select("project", "enum", F.explode(F.arrays_zip(pair(1).alias("member"), pair(2).alias("value"))).alias("x"))
     return rows.groupBy("project", F.concat_ws(".", "enum", "x.member").alias("name")).agg(F.min("x.value").alias("value"))
@@ -329,7 +330,7 @@ def component_imports(found: DataFrame) -> DataFrame:
     A lazy component is a variable set to a call of lazy; its module and export are those named in its own declarator.
     """
     own = symbols.declarations(found).where("word in ('const', 'let', 'var')").select(*_FILE, "stmt", "name", F.col("n").alias("from_n"), "until", "line")
-    rows = own.join(found.select(*_FILE, "stmt", "n", "token"), [*_FILE, "stmt"]).where("n > from_n and n <= until")
+    rows = own.join(found.where("word in ('const', 'let', 'var')").select(*_FILE, "stmt", "n", "token"), [*_FILE, "stmt"]).where("n > from_n and n <= until")
     # The first of each of these words, with what stands behind it: a declarator is not gathered whole, it may be a route tree.
     key = [*_FILE, "name", "line"]
     order = Window.partitionBy(*key).orderBy("n")

@@ -20,7 +20,10 @@ _BEGINS = rf"\s*+(?!(?<=\n[ \t]{{0,60}})(?:{_WORDS})\b)(?=[\p{{L}}\p{{N}}'\"&])"
 _TEXT = rf"(?:(?<=[^=\s(,]>)|(?<=\n[ \t]{{0,60}}>)){_BEGINS}{_ELEMENT_TEXT}(?=[<{{])|(?<=\}}){_BEGINS}{_ELEMENT_TEXT}(?=</)"
 _REGEX = r"(?<=[=(,:!&|?\[]\s{0,3})/(?![/*\s>])(?:[^/\\\[\n]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/[a-z]*+"
 _NAME = r"[A-Za-z_$\p{L}][\w$\p{L}]*+"
+NAME = rf"^{_NAME}$"
 TOKEN = rf"{_COMMENT}|{_TEXT}|{_STRING}|{_TEMPLATE}|{_REGEX}|=>|{_NAME}|\p{{N}}[\w.]*+|[\[\]{{}}(),:;=<>]|[^\s\w$\p{{L}}\[\]{{}}(),:;=<>'\"`/]++|[/'\"`]"
+#: Words that say what a statement declares.
+DECLARING = ("const", "let", "var", "function", "class", "import", "enum")
 #: What begins a statement, and what stands before such a word inside one.
 STARTS = tuple(_WORDS.split("|"))
 INSIDE = ("export", "default", "async", "declare", "abstract", "import", "const", "let", "var", "function", "class", "=", "=>", ":", "|", "&", "<", ",", "?", "typeof", "extends", "implements", ".", "?.")
@@ -52,11 +55,12 @@ def _pieces(text: Column) -> Column:
 
 
 def tokens(texts: DataFrame) -> DataFrame:
-    """Tokens but comments and the words of elements: (project, path, n, pos, line, column, token, level, prev, prev2, next, stmt, close).
+    """Tokens but comments and the words of elements: (project, path, n, pos, line, column, token, level, prev, prev2, next, stmt, close, behind, is_name, head, second, word, end).
 
     level counts the brackets around a token: an opening bracket has the level that it stands in, a closing one the level
     that it ends. prev, prev2 and next are the tokens beside it; stmt numbers the file's statements; close is the token
-    number of an opening bracket's counterpart.
+    number of an opening bracket's counterpart, behind the token after that; is_name tells identifiers. head and second are the first tokens of a token's
+    statement, word the first at its top level that declares, end its last token's number.
     """
     # Files are dealt before their tokens are listed: all windows find them together. Tasks are counted by characters: texts
     # that resemble one another are next to nothing in a shuffle, and their tokens are not.
@@ -86,7 +90,11 @@ def tokens(texts: DataFrame) -> DataFrame:
     rows = rows.withColumn("stmt", F.sum(F.col("begins").cast("int")).over(upto)).drop("begins")
     inner = Window.partitionBy(*_FILE, "inner").orderBy("n")
     rows = rows.withColumn("inner", F.when(opens, F.col("level") + 1).when(closes, F.col("level")))
-    return rows.withColumn("close", F.when(opens, F.lead("n").over(inner))).drop("inner")
+    rows = rows.select("*", F.when(opens, F.lead("n").over(inner)).alias("close"), F.when(opens, F.lead("next").over(inner)).alias("behind")).drop("inner")
+    # What statements begin with stands in every row, while a file's rows are together: nothing has to look it up again.
+    whole = Window.partitionBy(*_FILE, "stmt").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    declares = F.when((F.col("level") == 0) & F.col("token").isin(*DECLARING), F.col("token"))
+    return rows.select("*", F.col("token").rlike(NAME).alias("is_name"), F.first("token").over(whole).alias("head"), F.first("next").over(whole).alias("second"), F.first(declares, ignorenulls=True).over(whole).alias("word"), F.last("n").over(whole).alias("end"))
 
 
 def entries(texts: DataFrame, found: DataFrame) -> DataFrame:

@@ -12,24 +12,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlens.functions.paths import directory, resolve
+from graphlens.operators import literals
 
 _FILE = ["project", "path"]
 _STMT = [*_FILE, "stmt"]
 _DECLARATION = [*_FILE, "name", "n", "line", "stmt", "word", "exported", "default", "until"]
-NAME = r"^[A-Za-z_$\p{L}][\w$\p{L}]*$"
 #: What a module's name may lack of its file's path, in the order of preference.
 ENDINGS = ("", ".tsx", ".ts", ".jsx", "/index.tsx", "/index.ts")
 Aliases = tuple[tuple[str, str], ...]
 Keep = Callable[[str, DataFrame], DataFrame]
 
 
-def is_name(token: str = "token") -> Column:
-    return F.col(token).rlike(NAME)
-
-
-def _first(value: str, condition: Column) -> Column:
-    """Aggregate: the value at the first token of a group for which a condition holds."""
-    return F.min_by(value, F.when(condition, F.col("n")))
+def is_name() -> Column:
+    return F.col("is_name")
 
 
 def _unquoted(token: Column) -> Column:
@@ -39,22 +34,16 @@ def _unquoted(token: Column) -> Column:
 # --- declarations -------------------------------------------------------------------------------------------------
 
 
-def statements(found: DataFrame) -> DataFrame:
-    """One row per top-level statement: its tokens' range, the word that declares, whether it exports, as the default or not."""
-    word = F.col("token").isin("const", "let", "var", "function", "class", "import", "enum") & (F.col("level") == 0)
-    rows = found.groupBy(*_STMT).agg(F.min("n").alias("begin"), F.max("n").alias("end"), F.min_by("token", "n").alias("head"), F.min_by("next", "n").alias("second"), _first("token", word).alias("word"))
-    return rows.select(*_STMT, "begin", "end", "head", "second", "word", (F.col("head") == "export").alias("exported"), ((F.col("head") == "export") & (F.col("second") == "default")).alias("default"))
-
-
 def declarations(found: DataFrame) -> DataFrame:
     """Top-level functions, classes, enums and variables: (project, path, name, n, line, stmt, word, exported, default, until).
 
     A declarator runs from its name (token n) to the next one's of its statement; ``until`` is its last token.
     """
-    top = found.where("level = 0").join(statements(found).select(*_STMT, "end", "word", "exported", "default"), _STMT)
     named = F.col("word").isin("function", "class", "enum") & (F.col("prev").isin("function", "class", "enum") | ((F.col("prev") == "*") & (F.col("prev2") == "function")))
     variable = F.col("word").isin("const", "let", "var") & (F.col("prev").isin("const", "let", "var") | ((F.col("prev") == ",") & F.col("next").isin("=", ":")))
-    rows = top.where(is_name() & (named | variable))
+    exported = F.col("head") == "export"
+    rows = found.where((F.col("level") == 0) & is_name() & (named | variable))
+    rows = rows.select(*_STMT, "token", "n", "line", "word", "end", exported.alias("exported"), (exported & (F.col("second") == "default")).alias("default"))
     following = F.lead("n").over(Window.partitionBy(*_STMT).orderBy("n"))
     return rows.select(*_FILE, F.col("token").alias("name"), "n", "line", "stmt", "word", "exported", "default", F.coalesce(following - 1, F.col("end")).alias("until"))
 
@@ -65,8 +54,9 @@ def functions(found: DataFrame) -> DataFrame:
     A function's body is its braces. An arrow's is what stands behind it: the braces, or all to the declarator's end. A
     variable is a function if an arrow function or the word function stands right behind its sign of equality.
     """
-    own = declarations(found).where("word in ('const', 'let', 'var', 'function')")
-    top = found.where("level = 0").select(*_STMT, F.col("n").alias("at"), "token", "prev", "close")
+    said = F.col("word").isin("const", "let", "var", "function")
+    own = declarations(found).where(said)
+    top = found.where((F.col("level") == 0) & said).select(*_STMT, F.col("n").alias("at"), "token", "prev", "close")
     rows = own.join(top, _STMT).where("at > n and at <= until")
     # The tokens of a declarator outside all brackets; behind an opening bracket comes what follows its counterpart.
     listed = rows.groupBy(*_DECLARATION).agg(F.array_sort(F.collect_list(F.struct("at", "token", "prev", "close"))).alias("t"))
@@ -77,7 +67,7 @@ def functions(found: DataFrame) -> DataFrame:
     listed = listed.withColumn("t", F.when(F.get("t", F.lit(0))["token"] == "async", after(F.col("t"), F.lit(1))).otherwise(F.col("t")))
     first, second, arrow = F.get("t", F.lit(0)), F.get("t", F.lit(1)), place(F.col("t"), "=>")
     spoken = (F.col("word") == "function") | (first["token"] == "function")
-    is_arrow = (arrow > 0) & (((first["token"] == "(") & second["token"].isin("=>", ":")) | (first["token"] == "<") | (first["token"].rlike(NAME) & (second["token"] == "=>")))
+    is_arrow = (arrow > 0) & (((first["token"] == "(") & second["token"].isin("=>", ":")) | (first["token"] == "<") | (first["token"].rlike(literals.NAME) & (second["token"] == "=>")))
     brace = F.get(F.filter("t", lambda x: (x["token"] == "{") & ~x["prev"].isin(":", "|", "&", "=>", "<", ",", "=", "extends")), F.lit(0))
     behind = F.get("t", arrow.cast("int"))
     body = F.when(spoken, brace).when(is_arrow, behind)
@@ -108,10 +98,11 @@ def module_names(found: DataFrame) -> DataFrame:
     kind is import or export; name is the other module's or the exported name (default; * for all), local the name here;
     n is the token of the name that is not of this file's own making.
     """
-    heads = statements(found).where("head = 'import' or (head = 'export' and (second in ('{', '*', 'type') or `default`))")
-    rows = found.join(heads.select(*_STMT, "head", "second", "default"), _STMT).where("level <= 1")
-    quoted = F.col("token").rlike("^['\"]") & F.col("prev").isin("from", "import") & (F.col("level") == 0)
-    specs = rows.where(quoted).groupBy(*_STMT).agg(F.min(_unquoted(F.col("token"))).alias("spec"))
+    rows = found.where("level <= 1 and (head = 'import' or (head = 'export' and second in ('{', '*', 'type', 'default')))")
+    # Few tokens can be a name or a module there; the others are put aside before they are looked at more closely.
+    rows = rows.where(F.col("next").isin(",", "}", "from") | F.col("prev").isin("default", "from", "import", "as"))
+    quoted = (F.col("token").startswith("'") | F.col("token").startswith('"')) & F.col("prev").isin("from", "import") & (F.col("level") == 0)
+    module = F.when(quoted, _unquoted(F.col("token")))
     begins = F.col("prev").isin("{", ",") | ((F.col("prev") == "type") & F.col("prev2").isin("{", ","))
     ends = F.col("next").isin(",", "}")
     inside = (F.col("level") == 1) & is_name()
@@ -121,7 +112,7 @@ def module_names(found: DataFrame) -> DataFrame:
     default = mine & (F.col("level") == 0) & is_name() & F.col("next").isin(",", "from") & ((F.col("prev") == "import") | ((F.col("prev") == "type") & (F.col("prev2") == "import")))
     space = mine & (F.col("level") == 0) & (F.col("prev") == "as") & (F.col("prev2") == "*")
     star = ~mine & (F.col("level") == 0) & (F.col("token") == "*") & (F.col("next") == "from")
-    set_default = F.col("default") & (F.col("level") == 0) & (F.col("prev") == "default") & is_name() & ~F.col("token").isin("function", "class", "async", "abstract")
+    set_default = ~mine & (F.col("second") == "default") & (F.col("level") == 0) & (F.col("prev") == "default") & is_name() & ~F.col("token").isin("function", "class", "async", "abstract")
     one = lambda name, local, at: F.struct(F.lit(name).alias("name") if isinstance(name, str) else name.alias("name"), local.alias("local"), at.alias("at"))
     token, other, n = F.col("token"), F.col("prev2"), F.col("n")
     said = (
@@ -133,7 +124,8 @@ def module_names(found: DataFrame) -> DataFrame:
         .when(star, one("*", F.lit(None).cast("string"), n))
         .when(set_default, one("default", token, n))
     )
-    listed = rows.withColumn("said", said).where("said is not null").join(specs, _STMT, "left")
+    listed = rows.select(*_STMT, "head", said.alias("said"), module.alias("module")).where("said is not null or module is not null")
+    listed = listed.withColumn("spec", F.min("module").over(Window.partitionBy(*_STMT))).where("said is not null")
     return listed.select(*_STMT, F.when(mine, "import").otherwise("export").alias("kind"), "said.name", "said.local", "spec", F.col("said.at").alias("n"))
 
 
@@ -213,45 +205,54 @@ def exported_names(found: DataFrame, names: DataFrame, modules: DataFrame, keep:
 # --- references ---------------------------------------------------------------------------------------------------
 
 
-def hidden(found: DataFrame, names: DataFrame) -> DataFrame:
+def hidden(found: DataFrame, names: DataFrame, keep: Keep) -> DataFrame:
     """(project, path, name, from_n, to_n): where a local declaration of a file's name hides the one of its top level.
 
     ``names`` (project, path, name) are the names that matter. A local variable, function or class hides a name in the
     braces around it; a parameter in its function.
     """
-    spans = found.where("close is not null").select(*_FILE, F.col("n").alias("open"), "close", (F.col("level") + 1).alias("inner"), F.col("token").alias("bracket"), F.col("prev").alias("bp"), F.col("prev2").alias("bp2"))
-    mine = found.join(names.select(*_FILE, F.col("name").alias("token")).distinct(), [*_FILE, "token"], "left_semi").where("level > 0").select(*_FILE, "token", "n", "level", "prev", "prev2", "next")
-    around = mine.join(spans.withColumnRenamed("inner", "level"), [*_FILE, "level"]).where("open < n and n < close")
-    words = ["const", "let", "var", "function", "class"]
-    declared = around.where(F.col("prev").isin(*words)).select(*_FILE, "token", F.col("open").alias("from_n"), F.col("close").alias("to_n"))
-    # A name taken out of an object or list that is declared in braces: the braces around the declaration count.
+    spans = found.where("close is not null").select(*_FILE, F.col("n").alias("open"), "close", (F.col("level") + 1).alias("level"), F.col("token").alias("bracket"), F.col("prev").alias("bp"), F.col("prev2").alias("bp2"), "behind", "end")
+    here = found.where((F.col("level") > 0) & is_name()).select(*_FILE, "token", "n", "level", "prev", "next")
+    known = names.select(*_FILE, F.col("name").alias("token")).distinct()
+    variables = F.col("bp").isin("const", "let", "var")
+    # What follows the closing bracket tells parameters from arguments.
+    is_function = (F.col("bp") == "function") | (F.col("bp2") == "function")
+    takes = (F.col("bracket") == "(") & (F.coalesce(is_function, F.lit(False)) | F.col("behind").isin("=>", ":"))
     bound = F.col("next").isin(",", "}", "]", "=") & (F.col("prev").isin("{", "[", ",", "...") | (F.col("prev") == ":"))
-    taken = around.where(bound & F.col("bp").isin("const", "let", "var") & (F.col("level") > 1)).select(*_FILE, "token", "open", (F.col("level") - 1).alias("inner"))
-    outer = spans.select(*_FILE, "inner", F.col("open").alias("from_n"), F.col("close").alias("to_n"))
-    taken = taken.join(outer, [*_FILE, "inner"]).where("from_n < open and open < to_n").select(*_FILE, "token", "from_n", "to_n")
-    # Parameters, plain or taken out of an object: what follows the closing bracket tells them from arguments.
-    listed = around.where((F.col("bracket") == "(") & F.col("prev").isin("(", ",", "...")).select(*_FILE, "token", "open")
-    nested = around.where((F.col("bracket") == "{") & bound & F.col("bp").isin("(", ",")).select(*_FILE, "token", F.col("open").alias("o"), (F.col("level") - 1).alias("inner"))
-    nested = nested.join(spans.where("bracket = '('").select(*_FILE, "inner", "open", "close"), [*_FILE, "inner"]).where("open < o and o < close").select(*_FILE, "token", "open")
-    heads = listed.unionByName(nested).distinct().join(spans.where("bracket = '('").select(*_FILE, "open", "close", "inner", "bp", "bp2"), [*_FILE, "open"])
+    first = F.col("prev").isin("(", ",", "...")
+    unpacked = (F.col("bracket") == "{") & F.col("bp").isin("(", ",")
+    # Only brackets that may declare something meet the tokens that may be declared there.
+    around = here.where(bound | first).join(spans.where(variables | unpacked | takes), [*_FILE, "level"]).where("open < n and n < close")
+    around = keep("declared_in_brackets", around.join(known, [*_FILE, "token"], "left_semi"))
+    declared = here.where(F.col("prev").isin("const", "let", "var", "function", "class")).join(known, [*_FILE, "token"], "left_semi").select(*_FILE, "token", "level", F.col("n").alias("at"), F.col("n").alias("to"))
+    # A name taken out of an object or list that is declared in braces: the braces around the declaration count.
+    taken = around.where(bound & variables & (F.col("level") > 1)).select(*_FILE, "token", (F.col("level") - 1).alias("level"), F.col("open").alias("at"), F.col("open").alias("to"))
+    # Parameters, plain or taken out of an object.
+    head = ["open", "close", "level", "bp", "bp2", "behind", "end"]
+    listed = around.where(first & takes).select(*_FILE, "token", *head)
+    nested = around.where(bound & unpacked).select(*_FILE, "token", F.col("open").alias("o"), (F.col("level") - 1).alias("level"))
+    nested = nested.join(spans.where(takes), [*_FILE, "level"]).where("open < o and o < close").select(*_FILE, "token", *head)
+    heads = listed.unionByName(nested).distinct()
+    # The brackets around all of them are looked up together.
+    asked = heads.select(*_FILE, "token", (F.col("level") - 1).alias("level"), F.col("open").alias("at"), F.col("close").alias("to"), F.struct(*head).alias("head"))
+    asked = asked.unionByName(declared.unionByName(taken), allowMissingColumns=True)
+    outer = spans.select(F.col("project").alias("in_project"), F.col("path").alias("in_path"), F.col("level").alias("in_level"), F.col("open").alias("from_n"), F.col("close").alias("to_n"))
+    found_in = asked.join(outer, F.expr("project = in_project and path = in_path and level = in_level and from_n < at and to < to_n"), "left")
+    braces = found_in.where("head is null and from_n is not null").select(*_FILE, "token", "from_n", "to_n")
     # What follows the parameters at their level: to the end of the brackets around them, or of their statement.
-    ends = found.groupBy(*_STMT).agg(F.max("n").alias("stmt_end"))
-    around_them = spans.select(*_FILE, (F.col("inner") + 1).alias("inner"), F.col("open").alias("outer_open"), F.col("close").alias("outer_close"))
-    limits = heads.join(around_them, [*_FILE, "inner"]).where("outer_open < open and close < outer_close").select(*_FILE, "token", "open", "outer_close")
-    heads = heads.join(limits, [*_FILE, "token", "open"], "left").join(found.select(*_FILE, F.col("n").alias("open"), "stmt"), [*_FILE, "open"]).join(ends, _STMT)
-    heads = heads.withColumn("limit", F.coalesce("outer_close", F.col("stmt_end") + 1)).drop("outer_close", "stmt", "stmt_end")
-    level = found.select(*_FILE, "n", F.col("token").alias("t"), F.col("level").alias("l"), F.col("close").alias("c"), F.col("prev").alias("p"))
-    follow = heads.join(level, _FILE).where("l = inner - 1 and n > close and n < limit")
-    rows = follow.groupBy(*_FILE, "token", "open", "close", "inner", "bp", "bp2", "limit").agg(F.array_sort(F.collect_list(F.struct("n", "t", "c", "p"))).alias("f"))
+    heads = found_in.where("head is not null").select(*_FILE, "token", "head.*", F.coalesce("to_n", F.col("head.end") + 1).alias("limit")).drop("end")
+    told = F.col("token").isin("=>", "{", ",", ";") | (F.col("prev") == "=>")
+    level = found.where(told).select(*_FILE, "n", F.col("token").alias("t"), (F.col("level") + 1).alias("level"), F.col("close").alias("c"), F.col("prev").alias("p"))
+    follow = heads.join(level, [*_FILE, "level"]).where("n > close and n < limit")
+    rows = follow.groupBy(*_FILE, "token", "open", "close", "level", "bp", "bp2", "behind", "limit").agg(F.array_sort(F.collect_list(F.struct("n", "t", "c", "p"))).alias("f"))
     arrow = F.array_position(F.transform("f", lambda x: x["t"]), "=>").cast("int")
-    is_arrow = (F.get("f", F.lit(0))["t"] == "=>") | ((F.get("f", F.lit(0))["t"] == ":") & (arrow > 0))
-    is_function = (F.col("bp") == "function") | (F.col("bp2") == "function")
+    is_arrow = (F.col("behind") == "=>") | ((F.col("behind") == ":") & (arrow > 0))
     body = F.when(is_function, F.get(F.filter("f", lambda x: (x["t"] == "{") & ~x["p"].isin(":", "|", "&", "<", ",")), F.lit(0))).when(is_arrow, F.get("f", arrow))
     comma = F.filter("f", lambda x: (x["n"] > F.col("body.n")) & x["t"].isin(",", ";"))
     rows = rows.withColumn("body", body).where("body is not null")
     stop = F.when(F.col("body.t") == "{", F.col("body.c")).otherwise(F.coalesce(F.get(comma, F.lit(0))["n"], F.col("limit")))
     params = rows.select(*_FILE, "token", F.col("open").alias("from_n"), stop.alias("to_n"))
-    return declared.unionByName(taken).unionByName(params).withColumnRenamed("token", "name").distinct()
+    return braces.unionByName(params).withColumnRenamed("token", "name").distinct()
 
 
 def references(found: DataFrame, known: DataFrame, files: DataFrame, aliases: Aliases, keep: Keep) -> DataFrame:
@@ -267,21 +268,21 @@ def references(found: DataFrame, known: DataFrame, files: DataFrame, aliases: Al
     exports = keep("exported_names", exported_names(found, names, modules, keep))
     symbol = F.struct(F.col("name"), F.col("kind"), F.col("file")).alias("symbol")
     symbols = known.select("project", symbol, F.col("file").alias("at_path"), F.col("name").alias("at_name")).distinct()
-    open_ = exports.join(symbols, ["project", "at_path", "at_name"]).select("project", F.col("path").alias("module"), "name", "symbol")
+    open_ = keep("exported_symbols", exports.join(symbols, ["project", "at_path", "at_name"]).select("project", F.col("path").alias("module"), "name", "symbol"))
     taken = names.where("spec is not null").join(modules, [*_FILE, "spec"])
     imported = taken.where("kind = 'import' and name <> '*'").join(open_, ["project", "module", "name"])
     own = symbols.select("project", F.col("at_path").alias("path"), F.col("at_name").alias("name"), "symbol")
     bindings = keep("bindings", own.unionByName(imported.select(*_FILE, F.col("local").alias("name"), "symbol")).distinct())
-    named = found.select(*_FILE, "n", "line", "column", "token", "prev", "prev2", "next")
+    named = found.where(is_name()).select(*_FILE, "n", "line", "column", "token", "prev", "prev2", "next", "head")
     member = F.coalesce(F.col("prev").isin(".", "?."), F.lit(False))
     key = F.coalesce((F.col("next") == ":") & F.col("prev").isin("{", ","), F.lit(False))
-    uses = named.where(~member & ~key).join(bindings.withColumnRenamed("name", "token"), [*_FILE, "token"])
-    covers = hidden(found, bindings).withColumnRenamed("name", "token")
+    uses = named.where(~member & ~key).select(*_FILE, "n", "line", "column", "token").join(bindings.withColumnRenamed("name", "token"), [*_FILE, "token"])
+    covers = hidden(found, bindings, keep).withColumnRenamed("name", "token")
     shown = uses.join(covers, (uses["project"].eqNullSafe(covers["project"])) & (uses["path"] == covers["path"]) & (uses["token"] == covers["token"]) & (uses["n"] >= covers["from_n"]) & (uses["n"] <= covers["to_n"]), "left_anti")
     # The other module's names in import and export statements.
     spoken = imported.where("local <> name").select(*_FILE, "n", "symbol")
     passed = taken.where("kind = 'export' and local is not null").select("project", "path", "module", F.col("local").alias("name"), "n").join(open_, ["project", "module", "name"]).select(*_FILE, "n", "symbol")
-    spoken = spoken.unionByName(passed).join(named, [*_FILE, "n"]).where("token <> 'default'")
+    spoken = spoken.unionByName(passed).join(named.where("head in ('import', 'export') and token <> 'default'"), [*_FILE, "n"])
     spaces = taken.where("kind = 'import' and name = '*'").select(*_FILE, F.col("local").alias("prev2"), "module")
     members = named.where(member).join(spaces, [*_FILE, "prev2"]).join(open_.withColumnRenamed("name", "token"), ["project", "module", "token"])
     parts = [x.select(*_FILE, "line", "column", "symbol") for x in (shown, spoken, members)]

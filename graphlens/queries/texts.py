@@ -37,8 +37,9 @@ def _long(k: Column, part: str) -> Column:
 
 def sources(spark: SparkSession, sf_dir: str) -> Sources:
     t = lambda name: table(spark, sf_dir, name)
-    part, customer = t("part").select(F.col("p_partkey").alias("k")), t("customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"))
-    supplier = t("supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n"))
+    # Keys are dealt before their texts are made: a table of a few megabytes is a few tasks', its texts are a hundred times as long.
+    part, customer = t("part").select(F.col("p_partkey").alias("k")).repartition("k"), t("customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n")).repartition("k")
+    supplier = t("supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n")).repartition("k")
     nation = t("nation").select(F.col("n_nationkey").alias("n"), F.col("n_regionkey").alias("r"))
     file = lambda rows, path, text: rows.select(F.lit(PROJECT).alias("project"), path.alias("path"), text.alias("text"))
     lines = lambda *parts: F.array_join(F.flatten(F.array(*[p if isinstance(p, Column) else F.array(F.lit(p)) for p in parts])), "\n")

@@ -204,3 +204,45 @@ def test_an_extractor_lists_the_tokens_of_its_own_files(spark):
     assert {k for k in kept if k.endswith("tokens")} == {"router_tokens", "permission_tokens"}
     assert rows(made["components"], "name", "file", "line", "hookCalls") == [("L", "src/l.tsx", 2, ["useH"])]
     assert "other_tokens" not in kept
+
+
+def test_statements_are_told_in_their_tokens(spark):
+    """What a statement begins with and declares stands in each of its tokens: declarations and modules are read off without a join."""
+    found = tokens(spark, ("a.ts", "import A, { B as C } from './x'\nexport default function f() { const y = 1 }\na.b = 2;\nexport let p = 1, q"), ("b.ts", "x(1)\nexport * from './a' // end"))
+    got = found.select("path", "stmt", "head", "second", "word", "end").distinct().orderBy("path", "stmt").collect()
+    assert [(r.path, r.head, r.second, r.word) for r in got] == [("a.ts", "import", "A", "import"), ("a.ts", "export", "default", "function"), ("a.ts", "export", "let", "let"), ("b.ts", "x", "(", None), ("b.ts", "export", "*", None)]
+    last = {(r.path, r.stmt): r.n for r in found.groupBy("path", "stmt").agg(F.max("n").alias("n")).collect()}
+    assert [r.end for r in got] == [last[r.path, r.stmt] for r in got]
+    named, declared = symbols.module_names(found), symbols.declarations(found)
+    assert rows(named.fillna("-"), "path", "kind", "name", "local", "spec") == [("a.ts", "import", "B", "C", "./x"), ("a.ts", "import", "default", "A", "./x"), ("b.ts", "export", "*", "-", "./a")]
+    assert rows(declared, "name", "exported", "default") == [("f", True, True), ("p", True, False)]
+    for frame in (named, declared):
+        assert "Join" not in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+HIDING = """import { A, B } from './x'
+run(A, { B }, [A], ...A)
+const f = ({ a: { A }, B = 1 }: T): R => run(A, B)
+function g(x, A: T) { return A + B }
+const h = function (...B) { return (A) => { return [A, B] } }
+class K { m(A) { return A } n() { const { B } = z; { let A = B } return A } }
+const t = cond ? (A) : (B)
+const u = cond ? (B) => B : A
+const v = async (A) => run(A), w = A
+items.map((A) => A, A).filter(B => B)
+if (A) { for (const B of A) { run(B) } run(B) }
+"""
+
+
+def test_only_brackets_that_declare_hide(spark):
+    """Arguments, however many, are not looked at as parameters; a declaration of any kind hides a name in its own extent alone."""
+    found = tokens(spark, ("a.ts", HIDING))
+    names = spark.createDataFrame([("p", "a.ts", x) for x in "AB"], "project string, path string, name string")
+    kept = {}
+    covers = symbols.hidden(found, names, lambda name, frame: kept.setdefault(name, checkpointed(name, frame)))
+    uses = found.where("token in ('A', 'B')").select("path", F.col("token").alias("name"), "n", "line", "column").join(covers, ["path", "name"]).where("n >= from_n and n <= to_n")
+    got = sorted({(r.line, r.column, r.name) for r in uses.collect()})
+    assert {y: "".join(name for line, _, name in got if line == y) for y, *_ in got} == {3: "BB", 4: "AA", 5: "BAAB", 6: "BAB", 8: "BB", 9: "AA", 10: "AA", 11: "B"}
+    # Line 2 has calls alone: none of their brackets meets a name.
+    later = found.where("line = 3").agg(F.min("n")).first()[0]
+    assert kept["declared_in_brackets"].where((F.col("open") < later) & (F.col("bracket") != "{")).isEmpty()
