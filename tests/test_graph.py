@@ -3,12 +3,13 @@
 from pathlib import Path
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from graphlens.functions.columns import as_text
 from graphlens.graph import Graph, with_identity
-from graphlens.operators import mutation
+from graphlens.operators import mutation, ranks
 from graphlens.operators.joins import prefix_join
 from graphlens.plans.build import OWNED, build, rebuild
 from graphlens.plans.pattern import gather, gather_parts
@@ -129,6 +130,40 @@ def test_lists_in_parts_are_the_same(spark):
     assert rows(gather_parts(rows_, "l", F.col("v"))) == rows(gather(rows_, "l", F.col("v")))
 
 
+@pytest.mark.parametrize("ask", [api.routes_resolve, api.page_get])
+def test_lists_are_texts(graph, ask):
+    want = rows(as_text(ask(graph, "p")))
+    assert any(r[-1] for r in want) and rows(ask(graph, "p", texts=True)) == want == rows(ask(graph, "p", texts=True, table_bytes=0))
+    assert rows(ask(graph, "q", texts=True)) == rows(as_text(ask(graph, "q")))
+
+
+def test_texts_are_in_their_own_order(spark):
+    # A bar stands behind a digit, so that records and their texts are ordered otherwise; two records may have one text.
+    ops = batches(spark, projects=[("p", "/p")], operations=[("p", s, n, "query", "o.ts", 1, True) for s, n in (("A", "x"), ("A1", "x"), ("A1", "x|y"), ("A1|x", "y"))], components=[("p", "C", "src/pages/d/C.tsx", 1, True, [], ["A", "A1", "A1|x"])], pages=[("p", "d", None, "src/pages/d", [("C", "src/pages/d/C.tsx")], {}, [])])
+    g, _ = build(spark, ops)
+    texts = "A1|x,A1|x,A1|x|y,A1|x|y,A1|x|y,A1|x|y,A|x,A|x"
+    assert [r.ops_direct for r in api.page_get(g, "p", texts=True).collect()] == [texts] == [r.ops_direct for r in as_text(api.page_get(g, "p")).collect()]
+
+
+@pytest.mark.parametrize("ask", [api.routes_resolve, api.page_get])
+def test_no_row_has_a_copy_of_the_tables(graph, ask):
+    names = set().union(*[_names(n.output()) for n in _plan(ask(graph, "p"))])
+    assert not any(n.startswith(("all_", "under")) for n in names)
+
+
+def test_texts_of_ranks(spark, monkeypatch):
+    n = 2000  # few values in the first row, many in the others: both ways of putting lists together
+    below = {p: sorted({(p * 31 + i * i) % n for i in range(3 if p == 0 else 700)}) for p in range(5)}
+    own = [(0, [0], [7, 9]), (1, [1, 2, 4], [0, 1999]), (2, [], []), (3, [3], []), (4, [0, 1, 2, 3, 4], list(range(0, n, 3)))]
+    frame = spark.createDataFrame(own, "id long, places array<int>, a array<int>").coalesce(1)
+    under = pa.table({"place": pa.array(list(below)), "b": pa.array(list(below.values()), pa.list_(pa.int32()))})
+    texts = {"k": pa.table({"code": pa.array(range(n)), "value": [f"v{c:05}" for c in range(n)]})}
+    want = [(i, ",".join(f"v{c:05}" for c in sorted([*a, *set().union(*[below[p] for p in places])]))) for i, places, a in own]
+    for at_once in (1, 1 << 20):
+        monkeypatch.setattr(ranks, "_AT_ONCE", at_once)
+        assert rows(ranks.joined_texts(frame, "places", under, {"l": ("k", ("a", "b"))}, texts)) == want
+
+
 def test_pages_and_domains(graph):
     found = {r.entity: r for r in api.page_get(graph, "p").collect()}
     assert [h.name for h in found[""].hooks] == ["useA"] and found["ent"].routes == ["/e"]
