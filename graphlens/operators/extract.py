@@ -138,7 +138,7 @@ def operations(texts: DataFrame) -> DataFrame:
     one = found.groupBy("project", F.col("g2").alias("symbol")).agg(F.min_by(F.struct("path", "line", "g1", "g3"), F.struct("path", "line")).alias("d"))
     body = F.regexp_replace("d.g3", r"\$\{[^}]+\}", "")
     stub = F.array(F.struct(F.lit("fragment").alias("kind"), F.lit(None).cast("string").alias("name")))
-    rows = one.withColumn("x", F.explode(F.coalesce(F.nullif(graphql.definitions(body), F.array().cast("array<struct<kind:string,name:string>>")), stub)))
+    rows = one.withColumn("found", graphql.definitions_in_batches(body)).withColumn("x", F.explode(F.when(F.size("found") > 0, F.col("found")).otherwise(stub)))
     return rows.select("project", "symbol", F.coalesce("x.name", "symbol").alias("gqlName"), F.col("x.kind").alias("kind"), F.col("d.path").alias("file"), F.col("d.line").alias("line"), (F.col("d.g1") != "").alias("exported"))
 
 

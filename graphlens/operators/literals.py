@@ -1,11 +1,17 @@
 """Source texts as tokens with their brackets, and object and array literals as rows: running sums, not a parser.
 
 A text's tokens are exploded once; a bracket's depth is a running sum, the bracket that holds a token is the last one
-opened at its depth, and an entry of a literal is what stands between two commas of that depth. Windows go by file.
+opened at its depth, and an entry of a literal is what stands between two commas of that depth. Windows go by file; the
+token rows' own running sums and neighbours are told in Arrow batches of whole files, where they lie side by side already.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +22,10 @@ _COMMENT = r"//[^\n]*+|/\*(?s:.*?)(?:\*/|\z)"
 _WORDS = "export|import|const|let|var|function|type|interface|class|enum|async|declare|abstract|namespace"
 # The words of an element, between a tag's end and the next tag or expression: no statement begins in them.
 _ELEMENT_TEXT = rf"(?:[^<>{{}}=;()\n]++|\n(?!\s*+(?:{_WORDS})\b)|\([^<>{{}}=;()]*+\))++"
-_BEGINS = rf"\s*+(?!(?<=\n[ \t]{{0,60}})(?:{_WORDS})\b)(?=[\p{{L}}\p{{N}}'\"&])"
-_TEXT = rf"(?:(?<=[^=\s(,]>)|(?<=\n[ \t]{{0,60}}>)){_BEGINS}{_ELEMENT_TEXT}(?=[<{{])|(?<=\}}){_BEGINS}{_ELEMENT_TEXT}(?=</)"
-_REGEX = r"(?<=[=(,:!&|?\[]\s{0,3})/(?![/*\s>])(?:[^/\\\[\n]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/[a-z]*+"
+# What is looked back for stands behind what is cheap to see: else sixty places before each token are tried.
+_BEGINS = rf"\s*+(?=[\p{{L}}\p{{N}}'\"&])(?!(?=(?:{_WORDS})\b)(?<=\n[ \t]{{0,60}}))"
+_TEXT = rf"(?<=>)(?:(?<=[^=\s(,]>)|(?<=\n[ \t]{{0,60}}>)){_BEGINS}{_ELEMENT_TEXT}(?=[<{{])|(?<=\}}){_BEGINS}{_ELEMENT_TEXT}(?=</)"
+_REGEX = r"(?=/)(?<=[=(,:!&|?\[]\s{0,3})/(?![/*\s>])(?:[^/\\\[\n]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/[a-z]*+"
 _NAME = r"[A-Za-z_$\p{L}][\w$\p{L}]*+"
 NAME = rf"^{_NAME}$"
 TOKEN = rf"{_COMMENT}|{_TEXT}|{_STRING}|{_TEMPLATE}|{_REGEX}|=>|{_NAME}|\p{{N}}[\w.]*+|[\[\]{{}}(),:;=<>]|[^\s\w$\p{{L}}\[\]{{}}(),:;=<>'\"`/]++|[/'\"`]"
@@ -62,39 +69,124 @@ def tokens(texts: DataFrame) -> DataFrame:
     number of an opening bracket's counterpart, behind the token after that; is_name tells identifiers. head and second are the first tokens of a token's
     statement, word the first at its top level that declares, end its last token's number.
     """
-    # Files are dealt before their tokens are listed: all windows find them together. Tasks are counted by characters: texts
-    # that resemble one another are next to nothing in a shuffle, and their tokens are not.
+    # Tasks are counted by characters: texts that resemble one another are next to nothing in a shuffle, and their tokens are not.
     spread = texts.repartition(_tasks(texts), *_FILE)
     rows = spread.select(*_FILE, F.posexplode(_pieces(F.col("text"))).alias("n", "x")).select(*_FILE, "n", "x.gap", "x.token").where("token is not null")
-    order = Window.partitionBy(*_FILE).orderBy("n")
-    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
-    feeds = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    tail = lambda c: F.when(F.contains(c, F.lit("\n")), F.length(F.substring_index(c, "\n", -1)))
-    opens, closes = F.col("token").isin("{", "[", "("), F.col("token").isin("}", "]", ")")
-    rows = rows.select(*_FILE, "n", "gap", "token", F.sum(F.length("gap") + F.length("token")).over(upto).alias("end"), (F.sum(feeds("gap") + feeds("token")).over(upto) - feeds("token") + 1).alias("line"))
-    start = F.col("end") - F.length("token")
-    # Positions of the last line feed: in the gap before the token, and up to a token's end.
-    in_gap = start - tail(F.col("gap"))
-    rows = rows.select(*_FILE, "n", "token", "line", (start + 1).alias("pos"), in_gap.alias("feed"), F.coalesce(F.col("end") - tail(F.col("token")), in_gap).alias("last_feed"))
-    column = F.col("pos") - F.greatest(F.coalesce("feed", F.lit(0)), F.coalesce(F.max("last_feed").over(before), F.lit(0)))
-    level = F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(upto) + F.when(opens, -1).when(closes, 1).otherwise(0)
-    rows = rows.select(*_FILE, "n", "pos", "line", column.alias("column"), "token", level.alias("level"))
-    rows = rows.where(~F.col("token").rlike(r"^/[/*]"))
-    prev, after = F.lag("token").over(order), F.lead("token").over(order)
-    # An element's words: what no other kind of token looks like, or a name between a tag's end and the next tag.
-    shape = F.col("token").rlike(r"^[\s\p{L}\p{N}'\"&]") & ~F.col("token").rlike(rf"^(?:{_NAME}|\p{{N}}[\w.]*+|[^\s\w$\p{{L}}'\"]++|{_STRING}|['\"])$")
-    alone = F.col("token").rlike(rf"^{_NAME}$") & (prev == ">") & after.isin("<", "{") & ~F.col("token").isin(*STARTS)
-    rows = rows.withColumn("words", shape | F.coalesce(alone, F.lit(False))).where("not words").drop("words")
-    begins = (F.col("level") == 0) & (F.col("token").isin(*STARTS) & ~F.coalesce(prev.isin(*INSIDE), F.lit(False)) | (F.coalesce(prev, F.lit("")) == ";"))
-    rows = rows.select("*", prev.alias("prev"), F.lag("token", 2).over(order).alias("prev2"), F.lead("token").over(order).alias("next"), begins.alias("begins"))
-    rows = rows.withColumn("stmt", F.sum(F.col("begins").cast("int")).over(upto)).drop("begins")
-    inner = Window.partitionBy(*_FILE, "inner").orderBy("n")
-    rows = rows.withColumn("inner", F.when(opens, F.col("level") + 1).when(closes, F.col("level")))
-    rows = rows.select("*", F.when(opens, F.lead("n").over(inner)).alias("close"), F.when(opens, F.lead("next").over(inner)).alias("behind")).drop("inner")
-    # What statements begin with stands in every row, while a file's rows are together: nothing has to look it up again.
-    whole = Window.partitionBy(*_FILE, "stmt").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    declares = F.when((F.col("level") == 0) & F.col("token").isin(*DECLARING), F.col("token"))
-    return rows.select("*", F.col("token").rlike(NAME).alias("is_name"), F.first("token").over(whole).alias("head"), F.first("next").over(whole).alias("second"), F.first(declares, ignorenulls=True).over(whole).alias("word"), F.last("n").over(whole).alias("end"))
+    rows = rows.withColumn("is_name", F.col("token").rlike(NAME))
+    # An element's words: what no other kind of token looks like.
+    words = ~F.col("is_name") & F.col("token").rlike(r"^[\s\p{L}\p{N}'\"&]") & ~F.col("token").rlike(rf"^(?:\p{{N}}[\w.]*+|[^\s\w$\p{{L}}'\"]++|{_STRING}|['\"])$")
+    return rows.withColumn("words", words).mapInArrow(_by_file, _TOKENS)
+
+
+_TOKENS = (
+    "project string, path string, n int, pos long, line long, column long, token string, level long, prev string, prev2 string, next string, "
+    "stmt long, close int, behind string, is_name boolean, head string, second string, word string, end int"
+)
+#: Tokens that are told together, with the rest of the last one's file, and bytes of them.
+_BATCH, _BYTES = 1 << 16, 1 << 26
+
+
+def _by_file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Token rows with what their files' other tokens tell; a file's rows come one after another, the first has the number 0."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        waiting.append(batch)
+        begins = np.flatnonzero(batch["n"].to_numpy() == 0)
+        full = sum(map(len, waiting)) >= _BATCH or sum(b.nbytes for b in waiting) >= _BYTES
+        if full and len(begins):
+            yield from _told([*waiting[:-1], batch.slice(0, begins[-1])])
+            waiting = [batch.slice(begins[-1])]
+    yield from _told(waiting)
+
+
+def _kept(table: pa.Table, where: np.ndarray, *columns: np.ndarray) -> tuple:
+    return table.filter(pa.array(where)), *[c[where] for c in columns]
+
+
+def _is(tokens: pa.Array, *words: str) -> np.ndarray:
+    return pc.is_in(tokens, pa.array(words)).to_numpy(zero_copy_only=False)
+
+
+def _told(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The token rows of whole files: running sums and neighbours, each file by itself."""
+    table = pa.Table.from_batches(batches).combine_chunks() if batches else None
+    if not table:
+        return
+    one = lambda name: table[name].combine_chunks()
+    file = np.cumsum(one("n").to_numpy() == 0)
+
+    def summed(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Running sums, each file's from 0."""
+        total, first = np.cumsum(x), np.flatnonzero(np.diff(of, prepend=-1))
+        return total - np.repeat(total[first] - x[first], np.diff(first, append=len(x)))
+
+    length = lambda x: pc.utf8_length(x).to_numpy().astype(np.int64)
+    feeds = lambda x: pc.count_substring(x, "\n").to_numpy().astype(np.int64)
+
+    def tail(x: pa.Array, some: np.ndarray) -> np.ndarray:
+        """Characters behind the last line feed of those texts that have some."""
+        out = np.zeros(len(x), np.int64)
+        out[some] = [len(t) - t.rfind("\n") - 1 for t in x.filter(pa.array(some)).to_pylist()]
+        return out
+
+    gap, token = one("gap"), one("token")
+    in_gap, in_token = feeds(gap), feeds(token)
+    end = summed(length(gap) + length(token), file)
+    start = end - length(token)
+    line = summed(in_gap + in_token, file) - in_token + 1
+    # Positions of the last line feed: in the gap before a token, up to the token's end, and up to the end of the token before.
+    feed = np.where(in_gap > 0, start - tail(gap, in_gap > 0), 0)
+    last = np.where(in_token > 0, end - tail(token, in_token > 0), feed)
+    far = int(end.max()) + 1
+    before = np.maximum.accumulate(last + file * far) - file * far
+    before = np.where(np.diff(file, prepend=-1) != 0, 0, np.roll(before, 1))
+    column = start + 1 - np.maximum(feed, before)
+    opens, closes = _is(token, "{", "[", "("), _is(token, "}", "]", ")")
+    level = summed(opens.astype(np.int64) - closes, file) - opens + closes
+    said = pc.or_(pc.starts_with(token, "//"), pc.starts_with(token, "/*")).to_numpy(zero_copy_only=False)
+    table, file, start, line, column, level = _kept(table, ~said, file, start, line, column, level)
+
+    def beside(k: int) -> pa.Array:
+        """The place of the token k places on in the same file, or null."""
+        at = np.arange(len(file)) + k
+        there = (at >= 0) & (at < len(file))
+        at = np.where(there, at, 0)
+        return pa.array(at, mask=~there | (file[at] != file)) if len(file) else pa.array([], pa.int64())
+
+    # A name between a tag's end and the next tag is an element's word, too.
+    token = one("token")
+    near = lambda k, *words: _is(token.take(beside(k)), *words)
+    alone = one("is_name").to_numpy(zero_copy_only=False) & near(-1, ">") & near(1, "<", "{") & ~_is(token, *STARTS)
+    table, file, start, line, column, level = _kept(table, ~(one("words").to_numpy(zero_copy_only=False) | alone), file, start, line, column, level)
+    if not len(file):
+        return
+    token, n = one("token"), one("n").to_numpy()
+    prev, prev2, after = token.take(beside(-1)), token.take(beside(-2)), token.take(beside(1))
+    begins = (level == 0) & (_is(token, *STARTS) & ~_is(prev, *INSIDE) | _is(prev, ";"))
+    stmt = summed(begins.astype(np.int64), file)
+    # A bracket's counterpart is the next one of the level inside it.
+    opens, closes = _is(token, "{", "[", "("), _is(token, "}", "]", ")")
+    inner = level + opens
+    brackets = np.flatnonzero(opens | closes)
+    order = brackets[np.lexsort((brackets, inner[brackets], file[brackets]))]
+    pairs = opens[order[:-1]] & (inner[order[:-1]] == inner[order[1:]]) & (file[order[:-1]] == file[order[1:]])
+    other = np.zeros(len(file), np.int64)
+    other[order[:-1][pairs]] = order[1:][pairs]
+    other = pa.array(other, mask=other == 0)
+    # What statements begin with stands in every row: nothing has to look it up again.
+    first = np.flatnonzero((np.diff(file, prepend=-1) != 0) | (np.diff(stmt, prepend=-1) != 0))
+    sizes = np.diff(first, append=len(file))
+    head, places = np.repeat(first, sizes), np.arange(len(file))
+    declares = np.minimum.reduceat(np.where((level == 0) & _is(token, *DECLARING), places, len(file)), first)
+    declares = np.repeat(declares, sizes)
+    word = token.take(pa.array(np.where(declares < len(file), declares, 0), mask=declares == len(file)))
+    numbers = pa.array(n)
+    columns = [
+        one("project"), one("path"), numbers, start + 1, line, column, token, level, prev, prev2, after,
+        stmt, numbers.take(other), after.take(other), one("is_name"), token.take(pa.array(head)), after.take(pa.array(head)), word, numbers.take(pa.array(np.repeat(first + sizes - 1, sizes))),
+    ]
+    names = [c.split()[0] for c in _TOKENS.split(", ")]
+    yield from pa.table([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names).to_batches(max_chunksize=_BATCH)
 
 
 def entries(texts: DataFrame, found: DataFrame) -> DataFrame:

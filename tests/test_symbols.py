@@ -1,5 +1,7 @@
 """Bindings, extents, the document grammar, element trees, ways from roots, and literals of a megabyte."""
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,3 +248,31 @@ def test_only_brackets_that_declare_hide(spark):
     # Line 2 has calls alone: none of their brackets meets a name.
     later = found.where("line = 3").agg(F.min("n")).first()[0]
     assert kept["declared_in_brackets"].where((F.col("open") < later) & (F.col("bracket") != "{")).isEmpty()
+
+
+def test_documents_in_batches_agree_with_the_table(spark):
+    df = spark.createDataFrame([(k,) for k in [*DOCUMENTS, None]], "d string")
+    got = {r.d: None if r.x is None else [tuple(y) for y in r.x] for r in df.select("d", graphql.definitions_in_batches(F.col("d")).alias("x")).collect()}
+    assert got == DOCUMENTS | {None: None}
+
+
+def test_tokens_are_told_without_windows(spark):
+    plan = literals.tokens(texts(spark, ("a.ts", "const a = 1")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
+
+
+def test_files_are_told_whole_wherever_batches_end(monkeypatch):
+    """Batches cut files anywhere: the rows are those of each file by itself."""
+    files = ["const a = { b : [ 1 ] } ; let f = ( x ) => { } // c \n export { a }", "/* only */", "a", "} ] ) ( [ {", "import x from 'y' ; // z", "< B > words < / B >"]
+    made = [("p", f"f{k}", n, " \n" if n % 3 else "", t, t.isidentifier(), t == "words") for k, f in enumerate(files) for n, t in enumerate(f.split(" "))]
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made, strict=True)], ["project", "path", "n", "gap", "token", "is_name", "words"])
+    whole = whole.set_column(2, "n", whole["n"].cast(pa.int32()))
+    told = lambda batches: [r for b in literals._by_file(iter(batches)) for r in b.to_pylist()]
+    alone = [r for k in range(len(files)) for r in told([whole.filter(pc.equal(whole["path"], f"f{k}"))])]
+    assert [(r["token"], r["close"], r["end"]) for r in alone if r["token"] == "{"][:2] == [("{", 9, 10), ("{", 19, 22)]
+    assert told([whole]) == alone and told([]) == []
+    for batch, size in ((1, 1), (4, 3), (7, 10), (1 << 16, 2)):
+        monkeypatch.setattr(literals, "_BATCH", batch)
+        assert told([whole.slice(k, size) for k in range(0, len(whole), size)]) == alone
+    monkeypatch.setattr(literals, "_BYTES", 1)
+    assert told([whole.slice(k, 4) for k in range(0, len(whole), 4)]) == alone
